@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets
+from . import html, media, mixing, secrets, toxicity
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe(media.mux(table(spark, sf_dir, "documents")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,6 +36,8 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_media_columns": op3_media_columns,
+    "op5_html_extraction": op5_html_extraction,
+    "op7_toxicity": op7_toxicity,
     "op10_mixing_sources": op10_mixing_sources,
 }
 
