@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, media, mixing, secrets, toxicity
+from . import html, media, mixing, quality, secrets, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op5_html_extraction": op5_html_extraction,
     "op7_toxicity": op7_toxicity,
+    "op9_quality": op9_quality,
     "op10_mixing_sources": op10_mixing_sources,
 }
 
