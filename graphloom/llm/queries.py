@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, media, mixing, quality, secrets, toxicity
+from . import bpe, html, media, mixing, quality, secrets, tokenfiles, toxicity
 from .common import table
 
+#: Where the public vocabulary files are unless a caller names another.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -17,6 +26,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), live.alias("n_live"), copied.alias("n_copied"))
 
 
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary_path()), vocabulary_path())
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe(media.mux(table(spark, sf_dir, "documents")))
 
@@ -25,6 +38,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.stored(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,8 +56,10 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_bpe_encoding": op2_bpe_encoding,
     "op3_media_columns": op3_media_columns,
     "op5_html_extraction": op5_html_extraction,
+    "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
     "op9_quality": op9_quality,
     "op10_mixing_sources": op10_mixing_sources,
