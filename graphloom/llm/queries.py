@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, media, mixing, quality, secrets, tokenfiles, toxicity
+from . import bpe, html, media, mixing, ngrams, quality, secrets, tokenfiles, toxicity
 from .common import table
 
 #: Where the public vocabulary files are unless a caller names another.
@@ -34,6 +34,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe(media.mux(table(spark, sf_dir, "documents")))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_bpe_encoding": op2_bpe_encoding,
     "op3_media_columns": op3_media_columns,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,

@@ -63,10 +63,9 @@ def sequence_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.n
     starts = np.repeat(ends - counts, have) + (np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have))
     limit = np.repeat(ends, have)
     out = np.zeros(len(starts), np.uint64)
-    step = np.uint64(1)
+    steps = powers(n + 1)[1:]
     padded = np.concatenate([words, np.zeros(n, np.uint64)])
-    for i in range(n):
-        step = step * _STEP + np.uint64(2 * i + 1)
+    for i, step in enumerate(steps):
         there = starts + i < limit
         out += np.where(there, mixed(padded[starts + i] + np.uint64(i + 1)), np.uint64(i + 1)) * step
     return mixed(out), have
