@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, bytes_of, slices
+from .common import binary, slices
 from .wordspans import piece_hashes
 
 #: Texts of more characters are encoded in halves; parts are not halved below this.
@@ -241,7 +241,7 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), lon
     return short.unionByName(long)
 
 
-def _digests(path: str):
+def _digests(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known = _tables(path)[0], token_bytes(path)
         for batch in batches:
@@ -250,17 +250,18 @@ def _digests(path: str):
                 ids = unpacked(raw).tolist()
                 text = b"".join([known[i] for i in ids]).decode("utf-8", "replace")
                 rows.append((len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "ids"]
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if keep_ids or n != "ids"]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [*(n for n, _ in kept), "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def digests(ids: DataFrame, path: str) -> DataFrame:
-    """`ids` with the number of ids, the digest of their decimal list and that of the text they decode to, instead of them."""
-    kept = ", ".join(f"`{n}` {t}" for n, t in ids.dtypes if n != "ids")
-    return ids.mapInArrow(_digests(path), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(ids: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """`ids` with the number of ids, the digest of their decimal list and that of the text they decode to; the ids
+    themselves stay if asked for."""
+    kept = ", ".join(f"`{n}` {t}" for n, t in ids.dtypes if keep_ids or n != "ids")
+    return ids.mapInArrow(_digests(path, keep_ids), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -273,6 +274,3 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(texts, pa.string())], [*(n for n, _ in kept), "text"])
 
     return ids.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in ids.dtypes if n != "ids"] + ["text string"]))
-
-
-__all__ = ["bytes_of", "decode", "decoded", "digests", "encode", "encode_texts", "encoded", "halves", "join", "join_tree"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, media, mixing, ngrams, quality, secrets, tokenfiles, toxicity
+from . import bpe, embeddings, html, media, mixing, ngrams, quality, secrets, tokenfiles, toxicity
 from .common import table
 
 #: Where the public vocabulary files are unless a caller names another.
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality": op9_quality,
     "op10_mixing_sources": op10_mixing_sources,
 }
