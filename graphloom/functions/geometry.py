@@ -34,7 +34,7 @@ def random_score(query_id: Column, node_id: Column) -> Column:
 def shard_cell(angle: Column, cells: int) -> Column:
     """The cell of an angle on a circle of equal cells; 0 without an angle."""
     cell = F.floor(F.pmod(angle, F.lit(TURN)) / F.lit(TURN) * cells).cast("int")
-    return F.coalesce(F.least(F.lit(cells - 1), cell), F.lit(0))
+    return F.when(angle.isNull(), 0).otherwise(F.least(F.lit(cells - 1), cell))
 
 
 def shard_id(theta: Column, phi: Column, rows: int = 4, columns: int = 4) -> Column:

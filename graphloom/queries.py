@@ -239,9 +239,9 @@ def concept_index(spark, sf_dir):
 
 def traverse_best_first(spark, sf_dir):
     found, q = concept_index(spark, sf_dir), questions(spark, sf_dir)
-    path = index.shared_path(spark, "seeds")
-    index.seeds(q, found).write.parquet(path)
-    rows = traverse.best_first(q, spark.read.parquet(path), found.nodes, found.edges)
+    path = index.shared_path(spark, "walk")
+    index.seeds(q, found).write.parquet(f"{path}/seeds")
+    rows = traverse.best_first(q, spark.read.parquet(f"{path}/seeds"), found.nodes, found.edges, path)
     return rows.where("kind <> 'pruned'").select("query_id", "seq", "kind", "from_id", "to_id", "edge_type", F.round("score", 4).alias("score"), "depth", "reason")
 
 

@@ -1,0 +1,290 @@
+"""Text, chunks, graph, ranking and traversal against plain models of them."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from graphloom.functions import geometry, text
+from graphloom.operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
+from graphloom.plans import index
+from graphloom.plans.policy import TraversalPolicy
+from graphloom.sources import files, markup
+
+DOCS = [
+    ("d1", "Token audience", "kb://auth/1", "auth", "Service account token audience requires a bound issuer. The token audience must match the service boundary. Retry keeps the trace context header."),
+    ("d2", "Trace context", "kb://obs/2", "observability", "Trace context propagation needs the traceparent header. Lost trace context hides the retry storm. Dashboard metrics show the token audience errors."),
+    ("d3", "Rollout", "kb://work/3", "workloads", "A rolling rollout replaces pods in order. The resolution was a slower rollout of pods. Pods restart when the probe fails."),
+    ("d4", "Rollout notes", "kb://work/4", "workloads", "Rolling rollout of pods stalled. The probe fails before pods restart. " + "More notes about the rolling rollout of pods follow here. " * 30),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(DOCS, "id string, title string, source string, domain string, text string").withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+
+
+@pytest.fixture(scope="module")
+def built(spark, docs, tmp_path_factory):
+    return index.build(docs, str(tmp_path_factory.mktemp("index")))
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def phrases_model(body, limit=8):
+    found = []
+    for sentence in re.split(r"(?<=[.!?])\s+", body.strip()):
+        runs = [[]]
+        for t in re.findall(text.TOKEN, sentence.lower()):
+            if t in text.STOPWORDS:
+                runs.append([])
+            else:
+                runs[-1].append(t)
+        for run in runs:
+            at = 0
+            while len(run) - at >= 4:
+                found.append(" ".join(run[at : at + 4]))
+                at += 3
+            if len(run) - at >= 2:
+                found.append(" ".join(run[at:]))
+    return list(dict.fromkeys(found))[:limit]
+
+
+def test_phrases_and_terms(spark):
+    rnd = random.Random(5)
+    words = ["token", "audience", "the", "retry", "and", "pods", "a", "x1", "three-way", "Rolling.", "probe!", "so?"]
+    bodies = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    rows = spark.createDataFrame([(b,) for b in bodies], "t string").select("t", text.noun_phrases(F.col("t")).alias("p"), text.important_terms(F.col("t"), 5).alias("i")).collect()
+    for r in rows:
+        assert r["p"] == phrases_model(r["t"])
+        found = [t for t in re.findall(text.TOKEN, r["t"].lower()) if t not in text.STOPWORDS]
+        assert r["i"] == sorted(set(found), key=lambda t: (-found.count(t), t))[:5]
+
+
+def test_text_functions(spark):
+    assert value(spark, text.normalize(F.lit(" a\0b \n\t c\u00a0d "))) == "a b c d"
+    assert value(spark, text.markdown_to_text(F.lit("# Title\nSee [docs](http://x) `code`\n```\nno\n```"))).split() == ["Title", "See", "docs", "code"]
+    assert value(spark, text.sentences(F.lit("One. Two!  Three? four"))) == ["One.", "Two!", "Three?", "four"]
+    assert value(spark, text.canonical_uri(F.lit("http://a/b//#frag"))) == "http://a/b"
+    assert value(spark, text.stable_id("concept", F.lit("a"), F.lit("b"))) == "concept:" + hashlib.sha1(b"a::b").hexdigest()[:12]
+    assert value(spark, text.domain_of_path(F.lit("/x/team/file.md"))) == "team"
+    assert value(spark, text.title(F.lit("\n First one. Second"), F.lit("none"))) == "First one."
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=900))
+def test_chunk_spans(body):
+    flat = " ".join(body.split())
+    spans = list(chunks.cut_points(flat, 360))
+    assert all(b - a <= 360 for a, b in spans)
+    assert "".join(flat[a:b] for a, b in spans).replace(" ", "") == flat.replace(" ", "")
+    assert all(x[1] <= y[0] for x, y in itertools.pairwise(spans))
+
+
+def test_chunks_hold_their_text(docs):
+    rows = chunks.chunk(docs).collect()
+    flat = {d[0]: " ".join(d[4].split()) for d in DOCS}
+    assert all(flat[r["document_id"]][r["start"] : r["end"]].strip() == r["text"] for r in rows)
+    assert max(r["ordinal"] for r in rows) > 3
+
+
+def test_geometry(spark):
+    near = geometry.torus_distance(F.lit(0.02), F.lit(1.0), F.lit(2 * math.pi - 0.02), F.lit(1.0))
+    assert abs(value(spark, near) - 0.04) < 1e-9
+    for a, b in [(0.1, 6.0), (3.0, 1.0), (6.2, 0.0)]:
+        assert -math.pi <= value(spark, geometry.angular_delta(F.lit(a), F.lit(b))) < math.pi
+    assert value(spark, geometry.shard_id(F.lit(2 * math.pi), F.lit(3.2))) == "shard:2:0"
+    assert value(spark, geometry.shard_id(F.lit(None).cast("double"), F.lit(None).cast("double"))) == "shard:0:0"
+    assert abs(value(spark, geometry.edge_weight(F.lit("portal"), F.lit(20), F.lit("a b c d e"))) - 0.92) < 1e-12
+    with pytest.raises(ValueError):
+        geometry.shard_id(F.lit(0.0), F.lit(0.0), 0, 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=2, max_size=40), st.integers(1, 30))
+def test_capped_pairs(domains, most):
+    ids = [f"n{i:03d}" for i in range(len(domains))]
+    pairs = extract.capped(ids, domains, most)
+    every = len(ids) * (len(ids) - 1) // 2
+    assert len(pairs) == len({tuple(sorted(p)) for p in pairs}) == min(most, every) if every <= most else len(pairs) <= most
+    assert all(i != j for i, j in pairs)
+
+
+def test_graph(spark, built):
+    nodes, edges = built.nodes, built.edges
+    assert graph.dangling(nodes, edges).count() == 0
+    kinds = {r["edge_type"] for r in edges.select("edge_type").distinct().collect()}
+    assert {"portal", "adjacent_to"} <= kinds and kinds & {"supports", "related_to"}
+    assert edges.count() == edges.select("id").distinct().count()
+    bad = edges.limit(1).withColumn("target", F.lit("concept:none"))
+    with pytest.raises(ValueError, match="missing"):
+        graph.checked(nodes, bad)
+    assert graph.stats(nodes, edges).first()["portal_edges"] == edges.where("edge_type = 'portal'").count()
+    new = nodes.limit(1).withColumn("label", F.lit("changed"))
+    assert graph.upsert(nodes, new).where("label = 'changed'").count() == 1
+
+
+def test_index_goes_stale(spark, docs, built):
+    assert not index.stale(docs, built.path)
+    assert index.stale(docs.limit(2), built.path) and index.stale(docs, built.path, 5) and index.stale(docs, built.path + "-none")
+
+
+def test_embedding_and_topk(spark):
+    rows = embed.hash_embed(spark.createDataFrame([("a", "token migration"), ("b", ""), ("c", "token")], "id string, text string")).collect()
+    by = {r["id"]: r["embedding"] for r in rows}
+    assert embed.token_place("token") == (319, 1) and embed.token_place("migration")[0] == 8
+    assert abs(sum(x * x for x in by["a"]) - 1) < 1e-6 and not any(by["b"]) and by["c"][319] == 1.0
+    items = spark.createDataFrame([(r["id"], r["embedding"]) for r in rows], "node_id string, embedding array<float>")
+    best = embed.topk(items.toDF("query_id", "embedding").where("query_id = 'c'"), items, 2).orderBy("rank").collect()
+    assert [r["node_id"] for r in best] == ["c", "a"]
+
+
+def test_bm25(spark):
+    bodies = {"a": "token audience token", "b": "trace header", "c": "token header pods pods"}
+    items = spark.createDataFrame(list(bodies.items()), "node_id string, body string")
+    got = {r["node_id"]: r["score"] for r in rank.bm25(items, spark.createDataFrame([("q", "token header token")], "query_id string, query string")).collect()}
+    n, avg = 3, sum(len(b.split()) for b in bodies.values()) / 3
+    for node, body in bodies.items():
+        words, want = body.split(), 0.0
+        for t in "token header token".split():
+            df, tf = sum(t in b.split() for b in bodies.values()), words.count(t)
+            want += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / avg))
+        assert abs(got.get(node, 0.0) - want) < 1e-9
+
+
+QUERIES = [("q1", "How does the token audience relate to trace context?"), ("q2", "Why do pods restart during a rollout?"), ("q3", "What is the weather forecast tomorrow?")]
+
+
+def test_traversal_keeps_its_budgets(spark, built):
+    queries = spark.createDataFrame(QUERIES, "query_id string, query string")
+    policy = TraversalPolicy(max_hops=2, max_nodes=6, max_portal_hops=2)
+    a = index.answers(queries, built, policy)
+    trace = [r.asDict() for r in a.trace.collect()]
+    for q in ("q1", "q2"):
+        rows = [r for r in trace if r["query_id"] == q]
+        visits, hops = ([r for r in rows if r["kind"] == k] for k in ("visit", "hop"))
+        assert len({r["from_id"] for r in visits}) == len(visits) <= 6
+        assert sum(r["edge_type"] == "portal" for r in hops) <= 2
+        for node in {r["from_id"] for r in hops}:
+            own = [r for r in hops if r["from_id"] == node]
+            assert len(own) <= 3 and sum(r["edge_type"] == "portal" for r in own) <= 1
+    pairs = {frozenset((r["source"], r["target"])) for r in built.edges.collect()}
+    assert all(frozenset((r["from_id"], r["to_id"])) in pairs for r in trace if r["kind"] == "hop")
+    found = {r["query_id"]: r for r in a.answers.collect()}
+    assert found["q3"]["withheld"] and found["q3"]["confidence"] == 0 and "could not find enough source-backed evidence" in found["q3"]["answer"]
+    assert not found["q1"]["withheld"] and 0 < found["q1"]["confidence"] <= 0.95 and "grounded in" in found["q1"]["answer"]
+    assert a.claims.where("supported").count() > 0
+
+
+def test_rounds_equal_one_search(spark, built):
+    """Searching in rounds visits what a search with all edges at hand does."""
+    queries = spark.createDataFrame(QUERIES[:2], "query_id string, query string")
+    policy = TraversalPolicy(max_hops=3)
+    first = index.seeds(queries, built)
+    asked = queries.select("query_id", text.token_set(F.col("query")).alias("terms"))
+    anchor = first.where("rank = 1").select("query_id", F.col("node_id").alias("seed_id"))
+    everywhere = queries.select("query_id").crossJoin(built.nodes.select(F.col("id").alias("node_id")))
+    edges = traverse.candidates(everywhere, anchor, graph.adjacency(built.edges), built.nodes, asked, policy).collect()
+    tokens = {r["id"]: set(r["t"]) for r in built.nodes.select("id", text.token_set(F.concat_ws(" ", "label", "text")).alias("t")).collect()}
+    got = index.answers(queries, built, policy).trace.where("kind = 'visit'").orderBy("seq").collect()
+    for q, terms in ((r["query_id"], set(r["terms"])) for r in asked.collect()):
+        lists = {}
+        for e in edges:
+            if e["query_id"] == q:
+                lists.setdefault(e["from_id"], []).append((e["to_id"], e["edge_type"], e["weight"], e["edge_score"], e["lexical"], e["matched"], e["pruned"], e["edge_reason"]))
+        for own in lists.values():
+            own.sort(key=lambda e: (-round(e[3], 9), e[0], e[1]))
+        seeds = [(r["node_id"], r["score"]) for r in first.where(F.col("query_id") == q).orderBy("rank").collect()]
+        want = [r[2] for r in traverse.walk(terms, seeds, tokens, lists, policy) if r[1] == "visit"]
+        assert [r["from_id"] for r in got if r["query_id"] == q] == want
+
+
+def test_hop_selection():
+    hops = [{"from_id": f"n{i}", "to_id": f"n{i + 1}", "edge_type": "related_to" if i % 3 else "portal", "score": i / 10, "matched": ["a"] if i % 2 else []} for i in range(12)]
+    kept = traverse.select_hops(hops, {"a"}, {"a"}, 4)
+    assert len(kept) == 4 and {"portal", "related_to"} <= {h["edge_type"] for h in kept} and kept == sorted(kept, key=hops.index)
+    assert traverse.hop_limit(TraversalPolicy()) == 8
+    with pytest.raises(ValueError):
+        TraversalPolicy(max_hops=9)
+
+
+def test_evidence_ranks(spark):
+    spans = spark.createDataFrame([("q", "u1", 0, 5, "token audience header."), ("q", "u1", 0, 5, "token audience header."), ("q", "u2", 0, 9, "token here and more text"), ("q", "u3", 0, 9, "nothing")], "query_id string, uri string, start int, end int, text string")
+    queries = spark.createDataFrame([("q", "token audience")], "query_id string, query string")
+    ranked = answer.ranked_evidence(spans, queries).orderBy("rank").collect()
+    assert [(r["uri"], r["support"]) for r in ranked] == [("u1", 2), ("u2", 1)]
+
+
+def test_source_health(spark):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), ("",)], "text string")
+    h = graph.source_health(rows, F.lit("file"), warnings=50, unsupported=2).first()
+    assert h["duplicate_documents"] == 1 and h["empty_documents"] == 1
+    assert abs(h["quality_score"] - (1 - 0.35 - 0.08 - 0.04 - 0.06)) < 1e-9
+
+
+def test_workspace(spark, tmp_path):
+    (tmp_path / "team").mkdir()
+    (tmp_path / "team" / "a.md").write_text("# Head\nBody text here.")
+    (tmp_path / "team" / "b.html").write_text("<p>Hello &amp; bye</p><script>x</script>")
+    (tmp_path / "c.txt").write_text("plain")
+    (tmp_path / "d.xlsx").write_bytes(b"no")
+    (tmp_path / "e.pdf").write_bytes(b"not a pdf")
+    docs, records = files.workspace(spark, str(tmp_path))
+    texts = {r["title"]: r["text"] for r in docs.collect()}
+    assert texts["Hello & bye"] == "Hello & bye" and "plain" in texts.values() and any(t.startswith("Head") for t in texts.values())
+    by = {r["path"].rsplit("/", 1)[1]: r for r in records.collect()}
+    assert not by["d.xlsx"]["supported"] and by["d.xlsx"]["warnings"] and by["e.pdf"]["warnings"] and by["a.md"]["normalized_sha256"]
+    manifest = tmp_path / "m.toml"
+    manifest.write_text('sources = ["x.md", {url = "http://a"}]\npaths = ["p"]\n')
+    assert files.manifest_sources(str(manifest)) == ["x.md", "http://a", "p"]
+
+
+def test_pinned_urls(spark):
+    shape = "url string, body string, content_type string, etag string, last_modified string, retrieved_at string"
+    old = spark.createDataFrame([("http://a/x", "<p>old</p>", "text/html", "1", "", "")], shape)
+    new = spark.createDataFrame([("http://a/x", "<p>new</p>", "text/html", "2", "", ""), ("http://b/y", "text", "text/plain", "3", "", "")], shape)
+    assert {r["body"] for r in files.pinned(old, new).collect()} == {"<p>old</p>", "text"}
+    assert {r["body"] for r in files.pinned(old, new, True).collect()} == {"<p>new</p>", "text"}
+    assert {r["text"] for r in files.snapshot_documents(new).collect()} == {"new", "text"}
+    manifest = spark.createDataFrame([("m1", "http://a/x", "0" * 64, None), ("m2", "http://c", None, None)], "id string, url string, expected_raw_sha256 string, expected_normalized_sha256 string")
+    told = {r["id"]: r["warnings"] for r in files.drift(manifest, new).collect()}
+    assert told == {"m1": ["raw bytes differ from the pin"], "m2": ["no snapshot"]}
+
+
+def test_page_text():
+    assert markup.page_text("<p>a<b>b</b></p><style>c</style>d &lt; e") == "a b d < e"
+    assert markup.page_text(None) == ""
+
+
+def test_evaluation(spark):
+    shape = "question_id string, question string, strategy string, expected_terms array<string>, expected_sources array<string>, expected_edge_types array<string>, expect_answer boolean, answer string, evidence_text string, returned_sources array<string>, edge_types array<string>, source_hits int, skipped boolean, latency_ms double, warnings array<string>, shard_fanout int"
+    good = ("1", "what", "s", ["tok"], ["u"], ["portal"], True, "token audience", "the token audience", ["u#1"], ["portal", "related_to"], 1, False, 1.0, [], 1)
+    none = ("2", "what", "s", [], [], [], False, text.WITHHELD, "", [], [], 0, False, 3.0, ["budget"], 9)
+    rows = evaluate.scored(spark.createDataFrame([good, none], shape))
+    by = {r["question_id"]: r for r in rows.collect()}
+    assert by["1"]["term_recall"] == by["1"]["faithfulness"] == by["1"]["path_precision"] == 1.0 and by["1"]["passed"] and by["2"]["passed"]
+    s = evaluate.summary(rows).first()
+    assert s["rows"] == 2 and s["pass_rate"] == 1.0 and s["p50_latency_ms"] == 2.0
+    assert {r["label"] for r in evaluate.failures(rows).collect()} == {"budget_limited", "high_shard_fanout"}
+    q = spark.createDataFrame([(1, ["a://x/", "b://y"])], "question_id int, expected_sources array<string>")
+    got = spark.createDataFrame([(1, "a://x#c"), (1, "z://y")], "question_id int, uri string")
+    same = spark.createDataFrame([("b://y", "z://y")], "uri string, same string")
+    assert evaluate.source_matches(q, got, same).first()["source_hits"] == 2
+
+
+def test_stream(spark, docs, tmp_path):
+    from graphloom.streaming import ingest
+
+    docs.drop("metadata").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.drop("metadata").schema).parquet(str(tmp_path / "in"))
+    q = ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).select("document_id").distinct().count() == 4
