@@ -30,8 +30,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    return bpe.digests(bpe.encoded(docs, path), path, keep_ids=True)
+    return bpe.encoded(docs, vocabulary_path(), finish=bpe.IDS_AND_DIGESTS)
 
 
 STAGES = [

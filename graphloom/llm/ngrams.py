@@ -30,7 +30,7 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Share of a set that its prefix takes beyond what a link needs.
 LONGER = 0.125
 #: Shingles that stand last in the order, at most (only speed depends on them), and how often they repeat at least.
-LAST_SHINGLES, REPEATED, TASK_SHINGLES = 65_536, 32, 4 << 20
+LAST_SHINGLES, REPEATED, TASK_SHINGLES = 65_536, 32, 2 << 20
 #: Entries that may be broadcast (16 bytes each); more are joined by a shuffle. Sets of a family that one task takes.
 BROADCAST_ROWS, FAMILY_SETS = 1 << 20, 2_000
 #: Rounds of dropping sets with too few shared shingles.
@@ -197,9 +197,9 @@ def _linked(group: pd.DataFrame) -> pd.DataFrame:
     """Edges from each set of a family to one of its component."""
     group = group.drop_duplicates("name").sort_values("name")
     roots = overlap.components([np.frombuffer(x, np.uint64) for x in group["shingles"]], NUM, DEN)
-    name = group["name"].to_numpy()
-    out = pd.DataFrame({"a": name, "b": name[roots] if len(roots) else name})
-    return out[out["a"] != out["b"]]
+    name = group["name"].to_numpy(object)
+    moved = [(a, b) for a, b in zip(name, name[roots] if len(roots) else name, strict=True) if a != b]
+    return pd.DataFrame({"a": pd.Series([a for a, _ in moved], dtype=object), "b": pd.Series([b for _, b in moved], dtype=object)})
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary_path()), vocabulary_path())
+    return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary_path(), finish=bpe.DIGESTS)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
