@@ -271,6 +271,9 @@ l AS (SELECT warned, list_filter([CASE WHEN term_recall <= 0 THEN 'missing_expec
   CASE WHEN faithfulness < 0.5 THEN 'low_faithfulness' END, CASE WHEN warned THEN 'budget_limited' END, CASE WHEN lines > 6 THEN 'high_shard_fanout' END], lambda x: x IS NOT NULL) AS labels FROM rows WHERE NOT passed OR warned)
 SELECT label, count(*) AS rows FROM (SELECT unnest(CASE WHEN len(labels) = 0 AND warned THEN ['warning_only'] ELSE labels END) AS label FROM l) GROUP BY 1""",
     "thesis_check": f"WITH {RUNS}, b AS (SELECT * FROM summary WHERE strategy <> '1-URGENT' ORDER BY pass_rate DESC, source_recall DESC, path_recall DESC, p95 LIMIT 1) SELECT b.strategy AS baseline, round(s.pass_rate - b.pass_rate, 4) AS pass_rate_delta, round(s.source_recall - b.source_recall, 4) AS source_recall_delta, round(s.path_recall - b.path_recall, 4) AS path_recall_delta, round(s.faithfulness - b.faithfulness, 4) AS faithfulness_delta FROM summary s, b WHERE s.strategy = '1-URGENT'",
+    "suite_breakdown": f"WITH {RUNS} SELECT CASE WHEN expect_answer THEN 'answered' ELSE 'negative' END AS suite, strategy, count(*) AS rows, round(avg(passed::INT), 4) AS pass_rate, round(avg(faithfulness), 4) AS faithfulness, round(quantile_cont(latency_ms, 0.95), 4) AS p95_latency_ms FROM rows GROUP BY 1, 2",
+    "cost_notes": f"WITH {RUNS} SELECT (SELECT strategy FROM summary ORDER BY p95 DESC, strategy DESC LIMIT 1) AS slowest, (SELECT strategy FROM summary ORDER BY faithfulness, strategy LIMIT 1) AS least_faithful",
+    "status_counts": "SELECT CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS status, count(*) AS rows FROM labels GROUP BY 1",
     "hardest_misses": f"WITH {RUNS} SELECT question_id, strategy, row_number() OVER (ORDER BY round(term_recall + source_recall + path_recall, 9), strategy, question_id) AS place FROM rows WHERE NOT passed QUALIFY place <= 8",
     "audit_override": "SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'open' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS status, CASE WHEN l.quality = 1 THEN l.toxic::VARCHAR ELSE d.lang END AS expected_terms FROM documents d LEFT JOIN labels l USING (doc_id)",
     "golden_questions": "WITH t AS (SELECT (SELECT count(*) FROM nation) AS ns, (SELECT count(*) FROM region) AS nt) SELECT c_custkey AS i, n_name AS scenario, replace(r_name || ': how does {name} recover?', '{name}', n_name) AS question, (2 + c_custkey % 2)::BIGINT AS hop_target FROM customer, t JOIN nation ON n_nationkey = c_custkey % ns JOIN region ON r_regionkey = (c_custkey // ns) % nt",

@@ -335,6 +335,21 @@ def thesis_check(spark, sf_dir):
     return found.select("baseline", *[F.round(c, 4).alias(c) for c in ("pass_rate_delta", "source_recall_delta", "path_recall_delta", "faithfulness_delta")])
 
 
+def suite_breakdown(spark, sf_dir):
+    rows = evaluate.scored(runs(spark, sf_dir)).withColumn("suite", F.when(F.col("expect_answer"), "answered").otherwise("negative"))
+    s = evaluate.summary(rows, "suite", "strategy")
+    return s.select("suite", "strategy", "rows", *[F.round(c, 4).alias(c) for c in ("pass_rate", "faithfulness", "p95_latency_ms")])
+
+
+def cost_notes(spark, sf_dir):
+    return evaluate.cost_notes(evaluate.summary(evaluate.scored(runs(spark, sf_dir))))
+
+
+def status_counts(spark, sf_dir):
+    records = tables.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"))
+    return evaluate.status_counts(records)
+
+
 def hardest_misses(spark, sf_dir):
     found = evaluate.hardest(evaluate.scored(runs(spark, sf_dir)))
     return found.select("question_id", "strategy", F.col("place").cast("long"))
@@ -367,6 +382,6 @@ QUERIES = {
         tokenize_documents, important_terms, sentence_split, noun_phrases, normalize_text, markdown_text, document_titles, chunk_documents, page_html_text, url_domain, conversation_documents, doclet_rounds, concept_nodes,
         adjacency_edges, shared_phrase_edges, capped_phrase_edges, graph_stats, neighbors_khop, hash_embedding, vector_topk, torus_layout, torus_scale, torus_distance, shard_assign, shard_fanout, layout_probe, bm25_topk,
         hybrid_fusion, community_topk, graph_rerank, edge_scores, traverse_levels, traverse_best_first, graph_answers, agentic_hits, evidence_rank, support_sentences, answer_rows, answer_claims, source_health, eval_rows, strategy_summary,
-        failure_taxonomy, thesis_check, hardest_misses, audit_override, golden_questions, uri_matches,
+        failure_taxonomy, thesis_check, suite_breakdown, cost_notes, status_counts, hardest_misses, audit_override, golden_questions, uri_matches,
     )
 }

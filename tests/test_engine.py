@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import geometry, text
 from graphloom.operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
-from graphloom.plans import index
+from graphloom.plans import index, report
 from graphloom.plans.policy import TraversalPolicy
 from graphloom.sources import files, markup
 
@@ -274,6 +274,8 @@ def test_evaluation(spark):
     s = evaluate.summary(rows).first()
     assert s["rows"] == 2 and s["pass_rate"] == 1.0 and s["p50_latency_ms"] == 2.0
     assert {r["label"] for r in evaluate.failures(rows).collect()} == {"budget_limited", "high_shard_fanout"}
+    told = report.render(rows, "s")
+    assert "| s | 2 | 1.00 |" in told and "budget_limited" in told
     q = spark.createDataFrame([(1, ["a://x/", "b://y"])], "question_id int, expected_sources array<string>")
     got = spark.createDataFrame([(1, "a://x#c"), (1, "z://y")], "question_id int, uri string")
     same = spark.createDataFrame([("b://y", "z://y")], "uri string, same string")
