@@ -77,9 +77,11 @@ def noun_phrases(text: Column, limit: int = 8) -> Column:
 
 def important_terms(text: Column, limit: int = 8) -> Column:
     """The most frequent content tokens, ties by the token."""
-    found = tokens(text)
-    ranked = F.transform(F.array_distinct(found), lambda t: F.struct((-F.size(F.filter(found, lambda x: x == t))).alias("n"), t.alias("t")))
-    return F.slice(F.transform(F.sort_array(ranked), lambda x: x["t"]), 1, limit)
+    count = lambda found, t: F.size(F.filter(found, lambda x: x == t))
+    ranked = lambda found: F.sort_array(F.transform(F.array_distinct(found), lambda t: F.struct((-count(found, t)).alias("n"), t.alias("t"))))
+    # inside transform the tokens have a name, so they are found once and not for each of them
+    terms = F.transform(F.array(tokens(text)), lambda found: F.slice(F.transform(ranked(found), lambda x: x["t"]), 1, limit))
+    return F.get(terms, F.lit(0))
 
 
 def title(text: Column, fallback: Column, width: int = 96) -> Column:
