@@ -28,7 +28,7 @@ LONG_CHARS = 32_768
 #: Pieces whose ids a worker keeps at most; tokens on each side of the first window of a join.
 KEPT_PIECES, FIRST_WINDOW = 300_000, 8
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 20
+SLICE = 5 << 19
 #: Bytes that count as white space before or after a cut, and first bytes of characters that may be.
 _UNSAFE = np.zeros(256, bool)
 _UNSAFE[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
