@@ -1,9 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models over the characters of words, one of toxic and one of ordinary labelled texts, share
-the counts that they back off to: how many different characters precede a shorter sequence in either class. Rare
+Two interpolated Kneser-Ney models over the bytes of words, one of toxic and one of ordinary labelled texts, share
+the counts that they back off to: how many different bytes precede a shorter sequence in either class. Rare
 expressions then get nearly equal likelihoods, and a word speaks for a class only where that class has seen it or words
 like it. The score of a text comes from length-normalised differences of its log-likelihoods.
+
+Sequences are counted under exact keys in a table that grows with the documents and their labels, and what each says is
+computed in groups of that table. Only the calibration sees a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -16,21 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .wordspans import LOWER, mixed, piece_hashes, spans
+from .common import cut, scratch, slices
+from .wordspans import LOWER, piece_hashes, spans
 
-#: Longest sequence of characters, counters of a table, discount.
-ORDER, BITS, DISCOUNT = 6, 18, 0.75
-SIZE = 1 << BITS
+#: Longest sequence of bytes, bits of a byte in a key (the last one is lowest; a word's end and start are symbols of their
+#: own), discount.
+ORDER, SYMBOL_BITS, DISCOUNT = 6, 9, 0.75
 #: Sequences up to this length have counts that both classes share.
 SHARED = 2
-#: Labelled rows that the models and the calibration are fitted on, at most (those of the smallest hashes).
+#: Labelled rows that a classifier is fitted on, at most (those of the smallest hashes); a quarter is the share of the
+#: calibration here.
 FIT_ROWS = 24_000
 #: Words whose log-likelihood ratio is above this count as evidence.
 EVIDENT = 3.0
 #: What one word can say for either class at most.
 CLIP = (-2.0, 14.0)
-_PARTS = 16
+#: Log-likelihood ratios are whole numbers of this unit, so that their sums do not depend on the order of rows.
+UNIT = 2.0**-32
+#: Most frequent sequences whose ratios are broadcast (speed only: all others are joined), sequences of a group.
+HOT_KEYS, BUCKET_ROWS = 1 << 18, 100_000
+#: Labelled documents up to which they are sent to the texts instead of both being shuffled (speed only).
+BROADCAST_ROWS = 500_000
+#: Sequences that a task holds before it adds up equal ones.
+HELD_KEYS = 1 << 21
+
 
 
 def held_out(doc_id) -> F.Column:
@@ -49,125 +61,133 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray):
     return data[take], np.append(at, lengths.sum()), back, counts
 
 
-def sequences(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each length 1 to ORDER, the counter of the sequence of so many bytes that ends at each place (a word's end is a
-    byte of its own, and its start fills what is missing); and the word of each place."""
+def places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER symbols up to each place of some words (a word's end is a symbol of its own, and its start fills what is
+    missing); and the word of each place."""
     lengths = np.diff(at) + 1
     word = np.repeat(np.arange(len(lengths)), lengths)
-    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(word)) - begin
-    text = np.full(len(word), 256, np.uint64)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    text = np.full(len(word), 256, np.int64)
     text[place < lengths[word] - 1] = data
-    out, key = [], np.zeros(len(word), np.uint64)
+    key = np.zeros(len(word), np.int64)
     for i in range(ORDER):
-        back = np.maximum(np.arange(len(word)) - i, 0)
-        key = mixed(key * np.uint64(1_000_003) + np.where(place >= i, text[back], np.uint64(257)) + np.uint64(i + 1))
-        out.append((key & np.uint64(SIZE - 1)).astype(np.int64))
-    return out, word
-
-
-def contexts(data_at: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
-    """For each length, the counter of what comes before the last byte (for length 1 one counter for all)."""
-    lengths = np.diff(data_at) + 1
-    first = np.cumsum(lengths) - lengths
-    out = [np.zeros(len(found[0]), np.int64)]
-    for i in range(1, ORDER):
-        before = np.roll(found[i - 1], 1)
-        before[first] = i
-        out.append(before)
-    return out
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each class has each sequence, and for each sequence its context and its end one byte shorter."""
-    total = np.zeros((2, ORDER, SIZE), np.float32)
-    links = np.zeros((2, ORDER, SIZE), np.int32)
+        key |= np.where(place >= i, text[np.maximum(np.arange(len(word)) - i, 0)], 257) << (SYMBOL_BITS * i)
+    return key, word
+
+
+def last(key: np.ndarray, length: int) -> np.ndarray:
+    """The last `length` symbols of the keys."""
+    return key & ((1 << (SYMBOL_BITS * length)) - 1)
+
+
+def added(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of keys and counts with equal keys added up."""
+    rows = np.concatenate(parts, 1)
+    key, back = np.unique(rows[0], return_inverse=True)
+    return np.stack([key, *(np.rint(np.bincount(back, x, len(key))).astype(np.int64) for x in rows[1:])])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each sequence of ORDER symbols ends somewhere in the texts, and in labelled texts of either class."""
+    held, n = [np.zeros((4, 0), np.int64)], 0
     for batch, data, offsets in slices(batches, "text"):
-        toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False).astype(np.int64)
         words, at, back, counts = distinct_words(data, offsets)
-        found, word = sequences(words, at)
-        before = contexts(at, found)
-        label = np.repeat(toxic, counts)
-        for i in range(ORDER):
-            np.maximum.at(links[0, i], found[i], before[i].astype(np.int32))
-            np.maximum.at(links[1, i], found[i], found[max(i - 1, 0)].astype(np.int32))
-            for k in (0, 1):
-                times = np.bincount(back[label == k], minlength=len(at) - 1)[word].astype(np.float64)
-                total[k, i] += np.bincount(found[i], times, SIZE).astype(np.float32)
-    rows = [("counts", i, x.tobytes()) for i, x in enumerate(total.reshape(-1, SIZE))] + [("links", i, x.tobytes()) for i, x in enumerate(links.reshape(-1, SIZE))]
-    kinds, parts, blobs = zip(*rows, strict=True)
-    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "part", "table"])
-
-
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    counts = group["kind"].iloc[0] == "counts"
-    total = np.frombuffer(group["table"].iloc[0], np.float32 if counts else np.int32).copy()
-    for x in group["table"].iloc[1:]:
-        (np.add if counts else np.maximum)(total, np.frombuffer(x, total.dtype), out=total)
-    return pd.DataFrame({"kind": group["kind"].iloc[:1], "part": group["part"].iloc[:1], "table": [total.tobytes()]})
-
-
-class Models:
-    """Both models: counts by class and length, their contexts, and the shared counts that they back off to."""
-
-    def __init__(self, tables: dict[tuple[str, int], bytes]):
-        zero = np.zeros(SIZE, np.float32)
-        counts = np.stack([np.frombuffer(tables[("counts", i)], np.float32) if ("counts", i) in tables else zero for i in range(2 * ORDER)]).reshape(2, ORDER, SIZE)
-        links = np.stack([np.frombuffer(tables[("links", i)], np.int32) if ("links", i) in tables else zero.astype(np.int32) for i in range(2 * ORDER)]).reshape(2, ORDER, SIZE)
-        pooled = counts.sum(0) > 0
-        shared = np.zeros((ORDER, SIZE), np.float32)
-        for i in range(SHARED):  # how many different longer sequences end in this one, in either class
-            shared[i] = np.bincount(links[1, i + 1][pooled[i + 1]], minlength=SIZE)
-        self.seen = np.concatenate([counts, shared[None]])
-        self.total, self.kinds = np.zeros_like(self.seen), np.zeros_like(self.seen)
-        for k in range(3):
-            for i in range(ORDER):
-                there = self.seen[k, i] > 0
-                self.total[k, i] = np.bincount(links[0, i][there], self.seen[k, i][there], SIZE)
-                self.kinds[k, i] = np.bincount(links[0, i][there], minlength=SIZE)
-
-    def _step(self, k: int, i: int, at: np.ndarray, before: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        n = self.total[k, i][before].astype(np.float64)
-        p = np.maximum(self.seen[k, i][at] - DISCOUNT, 0.0) + DISCOUNT * self.kinds[k, i][before] * lower
-        return np.where(n > 0, p / np.maximum(n, 1.0), lower)
-
-    def ratios(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of some words."""
-        found, word = sequences(words, at)
-        before = contexts(at, found)
-        p = np.full(len(word), 1.0 / 300)
-        for i in range(SHARED):
-            p = self._step(2, i, found[i], before[i], p)
-        both = [p, p]
-        for i in range(SHARED, ORDER):
-            both = [self._step(k, i, found[i], before[i], both[k]) for k in (0, 1)]
-        return np.bincount(word, np.log(both[1]) - np.log(both[0]), minlength=len(at) - 1)
-
-
-def measures(models: Models, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each text: the difference of the log-likelihoods by word, the same of its three most toxic words, and the share
-    of evident words; 0 without words."""
-    words, at, back, counts = distinct_words(data, offsets)
-    out = np.zeros((len(counts), 3))
-    if not len(back):
-        return out
-    each = np.clip(models.ratios(words, at), *CLIP)[back]
-    text = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((-each, text))
-    place = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-    n = np.maximum(counts, 1)
-    out[:, 0] = np.bincount(text, each, len(counts)) / n
-    out[:, 1] = np.bincount(text[place < 3], each[order][place < 3], len(counts)) / np.clip(counts, 1, 3)
-    out[:, 2] = np.bincount(text, each > EVIDENT, len(counts)) / n
-    return out
-
-
-def _measured(models):
+        key, word = places(words, at)
+        sums = [np.bincount(back, minlength=len(at) - 1)]
+        for c in ("ordinary", "toxic"):
+            rows = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            sums.append(np.rint(np.bincount(back, np.repeat(rows, counts), len(at) - 1)).astype(np.int64))
+        held.append(added([np.stack([key, *(x[word] for x in sums)])]))
+        n += held[-1].shape[1]
+        if n > HELD_KEYS:
+            held = [added(held)]
+            n = held[0].shape[1]
+            if n > HELD_KEYS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["key", "times", "ordinary", "toxic"])
+                held, n = [np.zeros((4, 0), np.int64)], 0
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in added(held)], ["key", "times", "ordinary", "toxic"])
+
+
+def smoothed(seen: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    p = np.maximum(seen - DISCOUNT, 0.0) + DISCOUNT * kinds * lower
+    return np.where(total > 0, p / np.maximum(total, 1), lower)
+
+
+def shared_model(pairs: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The probability of the last of every two symbols, by both of them, from how many different symbols precede each
+    pair in either class."""
+    side = 1 << SYMBOL_BITS
+    two = np.bincount(pairs, seen, side * side).reshape(side, side)
+    one = (two > 0).sum(0).astype(float)
+    p = smoothed(one, np.full(side, one.sum()), np.full(side, (one > 0).sum()), np.full(side, 1.0 / 300))
+    return smoothed(two, two.sum(1)[:, None], (two > 0).sum(1)[:, None], p[None]).ravel()
+
+
+def ratios(keys: np.ndarray, counts: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+    """log P(toxic) - log P(ordinary) of the last symbol of each key, in UNITs. The keys are all those whose second and
+    third last symbols are the same as in one of them, so that every context is whole."""
+    both = [shared[last(keys, SHARED)]] * 2
+    seen = counts[0] + counts[1] > 0
+    if not seen.any():
+        return np.zeros(len(keys), np.int64)
+    for length in range(SHARED + 1, ORDER + 1):
+        wanted = last(keys, length)
+        own, back = np.unique(wanted[seen], return_inverse=True)
+        context, start = np.unique(own >> SYMBOL_BITS, return_index=True)
+        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+        in_ = np.minimum(np.searchsorted(context, wanted >> SYMBOL_BITS), len(context) - 1)
+        there, known = own[at] == wanted, context[in_] == wanted >> SYMBOL_BITS
+        for k in (0, 1):
+            n = np.bincount(back, counts[k][seen], len(own))
+            total, kinds = np.add.reduceat(n, start), np.add.reduceat((n > 0).astype(np.int64), start)
+            both[k] = smoothed(np.where(there, n[at], 0), np.where(known, total[in_], 0), kinds[in_], both[k])
+    return np.rint((np.log(both[1]) - np.log(both[0])) / UNIT).astype(np.int64)
+
+
+def _ratios(shared):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keys = group["key"].to_numpy(np.int64)
+        found = ratios(keys, [group[c].to_numpy(np.int64) for c in ("ordinary", "toxic")], shared.value)
+        return pd.DataFrame({"key": keys, "times": group["times"], "ratio": found})
+
+    return run
+
+
+def _measured(hot):
+    """Of each text: its words, the sum of what they say, the three highest, how many are evident; without the words that
+    have sequences which are not hot. Of those how often they are there, the sum of their hot sequences, and the others."""
+    low, high = (int(x / UNIT) for x in CLIP)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = hot.value
         for batch, data, offsets in slices(batches, "text"):
-            m = measures(models.value, data, offsets)
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *(pa.array(m[:, i], pa.float64()) for i in range(3))], [*(n for n, _ in kept), "by_word", "top", "share"])
+            words, at, back, counts = distinct_words(data, offsets)
+            key, word = places(words, at)
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+            sums = np.zeros(len(at) - 1, np.int64)
+            if len(key):
+                sums = np.add.reduceat(np.where(hit, values[place], 0) if len(keys) else np.zeros(len(key), np.int64), at[:-1] + np.arange(len(at) - 1))
+            lack = np.bincount(word[~hit], minlength=len(at) - 1)
+            text = np.repeat(np.arange(len(counts)), counts)
+            known = lack[back] == 0
+            own, each = text[known], np.clip(sums, low, high)[back[known]]
+            total = np.zeros(len(counts), np.int64)
+            np.add.at(total, own, each)
+            order = np.lexsort((-each, own))
+            have = np.bincount(own, minlength=len(counts))
+            first = np.arange(len(each)) - np.repeat(np.cumsum(have) - have, have) < 3
+            top = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.minimum(have, 3))), pa.int32()), pa.array(each[order][first]))
+            evident = np.bincount(own, each > EVIDENT / UNIT, len(counts)).astype(np.int64)
+            pair, times = np.unique(text[~known] * len(at) + back[~known], return_counts=True)
+            owner, w = pair // len(at), pair % len(at)
+            gaps, begin = key[~hit], np.cumsum(lack) - lack
+            take = np.repeat(begin[w] - (np.cumsum(lack[w]) - lack[w]), lack[w]) + np.arange(lack[w].sum())
+            open_ = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lack[w])), pa.int32()), pa.array(gaps[take]))
+            rest = pa.StructArray.from_arrays([pa.array(times.astype(np.int64)), pa.array(sums[w]), open_], ["times", "partial", "keys"])
+            rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(counts)))), pa.int32()), rest)
+            columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(counts, pa.int64()), pa.array(total), top, pa.array(evident), rest]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "total", "top", "evident", "rest"])
 
     return run
 
@@ -193,33 +213,87 @@ def fit_rows(labels: DataFrame, label: str, limit: int = FIT_ROWS) -> DataFrame:
     return hashed.orderBy("_h", label).limit(limit).select("doc_id", label, F.pmod("_h", F.lit(4)).cast("int").alias("part"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS):
-    """(models, weights), fitted on at most `limit` labelled rows that are not held out. Without labelled rows of both
-    classes every text scores the share of toxic rows."""
-    spark = docs.sparkSession
-    # at most `limit` narrow rows, so this side is small at any size of the corpus
-    sample = F.broadcast(fit_rows(labels, "toxic", limit))
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic", "part").repartition(_PARTS)
-    tables = chosen.where("part <> 3").select("text", "toxic").mapInArrow(_count, "kind string, part int, table binary").groupBy("kind", "part").applyInPandas(_merged, "kind string, part int, table binary")
-    models = spark.sparkContext.broadcast(Models({(r["kind"], r["part"]): bytes(r["table"]) for r in tables.toLocalIterator()}))
-    rows = chosen.where("part = 3").select("text", "toxic").mapInArrow(_measured(models), "toxic int, by_word double, top double, share double").collect()
-    y = np.array([r["toxic"] for r in rows], float)
-    x = np.array([[r["by_word"], r["top"], r["share"]] for r in rows], float).reshape(-1, 3)
-    if len(set(y)) < 2:
-        base = (y.sum() + 0.1) / (len(y) + 1)
-        return models, np.array([0.0, 0.0, 0.0, np.log(base / (1 - base))])
-    return models, logistic(x, y)
+def split(labels: DataFrame, limit: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, ordinary, toxic), how often each document counts for the models, and (doc_id, toxic) for the calibration:
+    a quarter of the labelled rows that are not held out, `limit` / 4 at most by order of a hash. All others count."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
+    quarter = F.pmod("_h", F.lit(4)) == 3
+    highest = known.where(quarter).select("_h").orderBy("_h").limit(max(1, limit // 4)).agg(F.max("_h")).first()[0]
+    fitted = quarter & (F.col("_h") <= F.lit(highest if highest is not None else 0))
+    counted = known.where(~fitted).groupBy("doc_id").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    return counted, known.where(fitted).select("doc_id", "toxic")
+
+
+def counted_places(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(key, times, ordinary, toxic): all sequences of ORDER symbols of the documents. Counts of shorter ones are sums."""
+    if counted.count() <= BROADCAST_ROWS:
+        counted = F.broadcast(counted)
+    marked = docs.select("doc_id", "text").join(counted, "doc_id", "left").select("text", F.coalesce("ordinary", F.lit(0)).alias("ordinary"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    found = marked.mapInArrow(_places, "key long, times long, ordinary long, toxic long")
+    path = scratch(docs.sparkSession, "sequences")
+    found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("times", "ordinary", "toxic"))).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def place_ratios(counts: DataFrame) -> DataFrame:
+    """(key, times, ratio): of every sequence what its last symbol says for the toxic class, in UNITs."""
+    spark = counts.sparkSession
+    symbols = lambda n: F.lit((1 << (n * SYMBOL_BITS)) - 1)
+    # pairs of symbols: 258 x 258 rows at most at any size of the corpus
+    three = counts.where("ordinary + toxic > 0").select(F.col("key").bitwiseAND(symbols(SHARED + 1)).alias("key")).distinct()
+    pairs = three.groupBy(F.col("key").bitwiseAND(symbols(SHARED)).alias("pair")).agg(F.count(F.lit(1)).alias("seen")).toPandas()
+    shared = spark.sparkContext.broadcast(shared_model(pairs["pair"].to_numpy(np.int64), pairs["seen"].to_numpy(np.int64)))
+    buckets = max(1, -(-counts.count() // BUCKET_ROWS))
+    # a sequence and its contexts have the same second and third last symbols
+    bucket = F.pmod(F.xxhash64(F.shiftright("key", SYMBOL_BITS).bitwiseAND(symbols(SHARED))), F.lit(buckets))
+    path = scratch(spark, "ratios")
+    counts.groupBy(bucket.alias("bucket")).applyInPandas(_ratios(shared), "key long, times long, ratio long").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def measures(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, by_word, top, share) of each document: the difference of the log-likelihoods by word, the same of its three
+    most toxic words, and the share of evident words, 0 without words; and the rows of the calibration."""
+    counted, fitted = split(labels, limit)
+    known = place_ratios(counted_places(docs, counted))
+    frequent = known.orderBy(F.desc("times"), "key").limit(HOT_KEYS).select("key", "ratio").toPandas().sort_values("key")
+    hot = docs.sparkSession.sparkContext.broadcast((frequent["key"].to_numpy(np.int64), frequent["ratio"].to_numpy(np.int64)))
+    kind = dict(docs.dtypes)["doc_id"]
+    shape = f"doc_id {kind}, n long, total long, top array<long>, evident long, rest array<struct<times: long, partial: long, keys: array<long>>>"
+    parts = docs.select("doc_id", "text").mapInArrow(_measured(hot), shape)
+    if len(frequent) == HOT_KEYS:  # else all sequences are hot
+        parts = cut(parts.withColumn("row", F.monotonically_increasing_id()))
+        open_ = parts.select("row", F.posexplode("rest").alias("word", "w")).select("row", "word", "w.times", "w.partial", F.explode("w.keys").alias("key"))
+        low, high = (F.lit(int(x / UNIT)) for x in CLIP)
+        words = open_.join(known.select("key", "ratio"), "key").groupBy("row", "word").agg(F.first("times").alias("times"), (F.first("partial") + F.sum("ratio")).alias("ratio")).withColumn("ratio", F.greatest(low, F.least(high, "ratio")))
+        copies = F.flatten(F.collect_list(F.array_repeat("ratio", F.least("times", F.lit(3)).cast("int"))))
+        further = F.sum(F.when(F.col("ratio") > EVIDENT / UNIT, F.col("times")).otherwise(0))
+        rest = words.groupBy("row").agg(F.sum(F.col("ratio") * F.col("times")).alias("more"), F.slice(F.sort_array(copies, False), 1, 3).alias("also"), further.alias("further"))
+        parts = parts.join(rest, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).withColumn("evident", F.col("evident") + F.coalesce("further", F.lit(0)))
+        parts = parts.withColumn("top", F.when(F.col("also").isNull(), F.col("top")).otherwise(F.slice(F.sort_array(F.concat("top", "also"), False), 1, 3)))
+    n = F.greatest("n", F.lit(1))
+    top = F.aggregate("top", F.lit(0).cast("long"), lambda a, b: a + b) / F.greatest(F.size("top"), F.lit(1))
+    return cut(parts.select("doc_id", (F.col("total") / n * UNIT).alias("by_word"), (top * UNIT).alias("top"), (F.col("evident") / n).alias("share"))), fitted
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, by_word): one row per row of `docs`, from its whole text alone.
 
-    Null and empty texts are scored as texts without a difference. Rows with equal texts score equally. Labels that are
-    null or neither 0 nor 1 are not used. An empty table gives an empty result.
+    The models count all labelled rows that are neither held out nor of the calibration. Null and empty texts are scored
+    as texts without a difference. Rows with equal texts score equally. Labels that are null or neither 0 nor 1 are not
+    used. Without calibration rows of both classes every text scores their share of toxic rows. An empty table gives an
+    empty result.
     """
-    models, w = fit(docs, labels, limit)
-    kind = dict(docs.dtypes)["doc_id"]
-    measured = docs.select("doc_id", "text").mapInArrow(_measured(models), f"doc_id {kind}, by_word double, top double, share double")
+    measured, fitted = measures(docs, labels, limit)
+    rows = measured.join(fitted, "doc_id").select("toxic", "by_word", "top", "share").collect()  # as many as the calibration sees
+    y = np.array([r["toxic"] for r in rows], float)
+    x = np.array([[r["by_word"], r["top"], r["share"]] for r in rows], float).reshape(-1, 3)
+    if len(set(y)) < 2:
+        base = (y.sum() + 0.1) / (len(y) + 1)
+        w = np.array([0.0, 0.0, 0.0, np.log(base / (1 - base))])
+    else:
+        w = logistic(x, y)
     z = sum((F.col(c) * F.lit(float(w[i])) for i, c in enumerate(("by_word", "top", "share"))), F.lit(float(w[3])))
     p = 1 / (1 + F.exp(-z))
     return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score"), (p >= threshold).cast("int").alias("predicted"), "by_word")

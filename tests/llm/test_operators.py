@@ -279,6 +279,30 @@ def test_toxicity(spark, odd, empty, labels):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_counts_all_rows(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(12)) + " same Same") for i in range(600)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    counted, fitted = toxicity.split(known, 40)
+    fit = {r["doc_id"] for r in fitted.collect()}
+    assert len(fit) == 10
+    want = Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and i not in fit:
+            for w in text.lower().split():
+                symbols = [257] * 5 + [*w.encode(), 256]
+                want.update((tuple(symbols[end - 6 : end]), i % 2) for end in range(6, len(symbols) + 1))
+    got = Counter()
+    for r in toxicity.counted_places(docs, counted).collect():
+        symbols = tuple(r["key"] >> (9 * i) & 511 for i in reversed(range(6)))
+        got.update({(symbols, 0): r["ordinary"], (symbols, 1): r["toxic"]})
+    assert +got == want
+    scores = {r["doc_id"]: tuple(r) for r in toxicity.score(docs, known).collect()}
+    monkeypatch.setattr(toxicity, "HOT_KEYS", 50)  # all other sequences come by the join
+    assert {r["doc_id"]: tuple(r) for r in toxicity.score(docs, known).collect()} == scores
+
+
 def test_quality(spark, odd, empty, labels):
     rnd = random.Random(3)
     good = lambda: " ".join(rnd.choice(["the", "river", "runs", "under", "old", "bridges", "and", "stones"]) for _ in range(60)) + ".\nMore."
