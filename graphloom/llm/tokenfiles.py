@@ -22,10 +22,8 @@ from .common import scratch
 
 #: Documents of a shard, shards at most, ids of a frame.
 SHARD_DOCS, MOST_SHARDS, FRAME_IDS = 4096, 16_384, 1 << 20
-#: Passes of replacement, rules of a pass at most, occurrences that a rule needs, bits of the counters of a pass.
-ROUNDS, PASS_RULES, LEAST_COUNT, COUNTER_BITS = 4, 5_000, 24, 20
-#: A pass with fewer rules is the last: what would follow saves less than a hundredth of the symbols.
-LEAST_RULES = 2_000
+#: Rules of a pass at most (others wait for the next pass), occurrences that a rule needs, bits of the counters of a pass.
+PASS_RULES, LEAST_COUNT, COUNTER_BITS = 5_000, 24, 20
 #: Fixed value: begins every frame.
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIIB3x")
@@ -33,26 +31,31 @@ _HEAD = struct.Struct("<4sIIIIIB3x")
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(sequence, rules, first rule of each pass) of the ids of a frame; ends marks last ids of documents, which no rule
-    covers. A rule is its two symbols; rule r is symbol vocabulary + r."""
+    covers. A rule is its two symbols; rule r is symbol vocabulary + r. Passes go on until no pair is frequent."""
     seq, end = ids.astype(np.int64), ends.copy()
     rules, passes = np.zeros((0, 2), np.int64), []
-    for _ in range(ROUNDS):
+    while True:
         free = ~(end[:-1] | end[1:])
         code = (seq[:-1] << 32) | seq[1:]
         bins = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
         often = np.bincount(bins[free], minlength=1 << COUNTER_BITS) >= LEAST_COUNT
-        at = np.flatnonzero(free & often[bins])
+        candidates = np.flatnonzero(free & often[bins])
         pair = np.zeros(1 << COUNTER_BITS, np.int64)  # of each counter the first pair; others that share it wait for a later pass
-        pair[bins[at][::-1]] = code[at][::-1]
-        at = at[pair[bins[at]] == code[at]]
-        times = np.bincount(bins[at], minlength=1 << COUNTER_BITS)
+        pair[bins[candidates][::-1]] = code[candidates][::-1]
+        at = candidates[pair[bins[candidates]] == code[candidates]]
+        slot = bins[at]
+        times = np.bincount(slot, minlength=len(pair))
+        if not (times >= LEAST_COUNT).any():  # what is frequent stands behind other pairs in its counter
+            at = candidates
+            pair, slot = np.unique(code[at], return_inverse=True)
+            times = np.bincount(slot, minlength=len(pair))
         chosen = np.flatnonzero(times >= LEAST_COUNT)
         if not len(chosen):
             break
         chosen = chosen[np.lexsort((pair[chosen], -times[chosen]))][:PASS_RULES]
-        symbol = np.full(1 << COUNTER_BITS, -1)
+        symbol = np.full(len(pair), -1)
         symbol[chosen] = vocabulary + len(rules) + np.arange(len(chosen))
-        symbol = symbol[bins[at]]
+        symbol = symbol[slot]
         at, symbol = at[symbol >= 0], symbol[symbol >= 0]
         run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # of neighbouring places every second one, from the left
         second = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
@@ -63,8 +66,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.nda
         seq, end = seq[~gone], end[~gone]
         passes.append(len(rules))
         rules = np.concatenate([rules, np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], 1)])
-        if len(chosen) < LEAST_RULES:
-            break
     return seq, rules, passes
 
 
@@ -89,7 +90,7 @@ def expansion_lengths(rules: np.ndarray, passes: list[int], vocabulary: int) ->
 
 def frame(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> bytes:
     """The bytes of a frame: header, documents (id, whether null, symbols and ids before each), rules, their expansion
-    lengths, sequence (16-bit symbols where they fit)."""
+    lengths, sequence (16 bits of each symbol, then the bits above them where there are any)."""
     sizes = np.array([len(x) for x in ids], np.int64)
     ends = np.zeros(int(sizes.sum()), bool)
     ends[np.cumsum(sizes)[sizes > 0] - 1] = True
@@ -99,11 +100,11 @@ def frame(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) ->
     each = np.where(seq >= vocabulary, lengths[np.maximum(seq - vocabulary, 0)] if len(lengths) else 1, 1)
     symbol_ends = np.searchsorted(np.cumsum(each), token_ends)
     symbol_ends = np.where(token_ends > 0, symbol_ends + 1, 0)
-    width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
+    width = max(16, int(vocabulary + len(rules) - 1).bit_length())
     parts = [_HEAD.pack(MAGIC, len(ids), len(seq), len(rules), len(passes), vocabulary, width)]
     parts += [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], "u1").tobytes()]
     parts += [x.astype("<u4").tobytes() for x in (symbol_ends, token_ends, np.array(passes, np.int64), rules, lengths)]
-    return b"".join([*parts, seq.astype(f"<u{width}").tobytes()])
+    return b"".join([*parts, (seq & 0xFFFF).astype("<u2").tobytes(), *(np.packbits((seq >> i & 1).astype(bool)).tobytes() for i in range(16, width))])
 
 
 class Frame:
@@ -127,7 +128,9 @@ class Frame:
         self.passes = take("<u4", passes).tolist()
         self.rules = take("<u4", 2 * rules).astype(np.int64).reshape(-1, 2)
         self.lengths = take("<u4", rules).astype(np.int64)
-        self.sequence = take(f"<u{width}", symbols)
+        self.sequence = take("<u2", symbols).astype(np.int64)
+        for i in range(16, width):
+            self.sequence |= np.unpackbits(take("u1", -(-symbols // 8)), count=symbols).astype(np.int64) << i
 
     def ids(self, i: int) -> np.ndarray:
         low = self.symbol_ends[i - 1] if i else 0

@@ -123,6 +123,16 @@ def test_grammar_round_trip(docs):
     assert np.array_equal(f.all_ids(), np.concatenate(ids) if ids else [])
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    ids = [np.append(np.arange(1, 300), 0)] * 3000
+    f = tokenfiles.Frame(tokenfiles.frame(list(range(len(ids))), ids, 50_257))
+    assert len(f.sequence) <= 10 * len(ids) and np.array_equal(f.all_ids(), np.concatenate(ids))
+    own = np.random.default_rng(1).integers(1, 400, 400_000)
+    f = tokenfiles.Frame(tokenfiles.frame([0], [own], 1 << 16))  # symbols above 16 bits
+    times = np.unique((f.sequence[:-2] << 32) | f.sequence[1:-1], return_counts=True)[1]
+    assert times.max() < tokenfiles.LEAST_COUNT and np.array_equal(f.all_ids(), own)
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     path = str(tmp_path / "frames")
     tokenfiles.write(odd, vocabulary_path(), path, shard_docs=4, frame_ids=500)
