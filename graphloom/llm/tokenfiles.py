@@ -1,9 +1,10 @@
 """Token ids in binary files with Re-Pair grammar compression.
 
 Documents in ascending order of their ids are cut into shards, shards into frames of about a million token ids. In each
-frame the most frequent pairs of neighbouring ids are replaced by nonterminals, again and again; a frame holds the
-rules with the lengths that they expand to, the remaining sequence, and where each document begins in it, so that any
-document can be decoded alone. Frames are rows of a Parquet table in the shared folder; reading needs only those files.
+frame the most frequent pairs of neighbouring ids are replaced by nonterminals, again and again, until no pair stands
+twice; a frame holds the rules with the lengths that they expand to, the remaining sequence, and where each document
+begins in it, so that any part of a document can be decoded alone. Frames are rows of a Parquet table in the shared
+folder; reading needs only those files.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,98 +22,133 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import scratch
 
-#: Documents of a shard, shards at most, ids of a frame.
-SHARD_DOCS, MOST_SHARDS, FRAME_IDS = 4096, 16_384, 1 << 20
-#: Rules of a pass at most (others wait for the next pass), occurrences that a rule needs, bits of the counters of a pass.
-PASS_RULES, LEAST_COUNT, COUNTER_BITS = 5_000, 24, 20
+#: Documents of a shard, shards at most (beyond them shards grow; a task streams its shards), ids of a frame.
+SHARD_DOCS, MOST_SHARDS, FRAME_IDS = 4096, 1 << 17, 1 << 20
+#: Sampled rows for each bound between shards.
+SAMPLED = 32
+#: Pairs of so many occurrences are replaced before those of fewer; it ends with pairs that stand twice.
+LEVELS = (16, 2)
 #: Fixed value: begins every frame.
-MAGIC = b"RPG1"
-_HEAD = struct.Struct("<4sIIIIIB3x")
+MAGIC = b"RPG2"
+_HEAD = struct.Struct("<4sIIIIBI3x")
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(sequence, rules, first rule of each pass) of the ids of a frame; ends marks last ids of documents, which no rule
-    covers. A rule is its two symbols; rule r is symbol vocabulary + r. Passes go on until no pair is frequent."""
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules) of the ids of a frame; ends marks the last ids of documents, behind which no rule reaches. A rule
+    is its two symbols; rule r is symbol vocabulary + r and holds only symbols before it.
+
+    Where two pairs overlap, the one that stands more often in the frame wins (ties go by a hash), so the most frequent
+    pair is always replaced everywhere, and many others with it. Within a level only places next to a replacement, and
+    those that lost to another pair, can hold a pair that has become frequent; only they are counted again."""
     seq, end = ids.astype(np.int64), ends.copy()
-    rules, passes = np.zeros((0, 2), np.int64), []
-    while True:
-        free = ~(end[:-1] | end[1:])
-        code = (seq[:-1] << 32) | seq[1:]
-        bins = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-        often = np.bincount(bins[free], minlength=1 << COUNTER_BITS) >= LEAST_COUNT
-        candidates = np.flatnonzero(free & often[bins])
-        pair = np.zeros(1 << COUNTER_BITS, np.int64)  # of each counter the first pair; others that share it wait for a later pass
-        pair[bins[candidates][::-1]] = code[candidates][::-1]
-        at = candidates[pair[bins[candidates]] == code[candidates]]
-        slot = bins[at]
-        times = np.bincount(slot, minlength=len(pair))
-        if not (times >= LEAST_COUNT).any():  # what is frequent stands behind other pairs in its counter
-            at = candidates
-            pair, slot = np.unique(code[at], return_inverse=True)
-            times = np.bincount(slot, minlength=len(pair))
-        chosen = np.flatnonzero(times >= LEAST_COUNT)
-        if not len(chosen):
-            break
-        chosen = chosen[np.lexsort((pair[chosen], -times[chosen]))][:PASS_RULES]
-        symbol = np.full(len(pair), -1)
-        symbol[chosen] = vocabulary + len(rules) + np.arange(len(chosen))
-        symbol = symbol[slot]
-        at, symbol = at[symbol >= 0], symbol[symbol >= 0]
-        run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # of neighbouring places every second one, from the left
-        second = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
-        at, symbol = at[second], symbol[second]
-        seq[at] = symbol
-        gone = np.zeros(len(seq), bool)
-        gone[at + 1] = True
-        seq, end = seq[~gone], end[~gone]
-        passes.append(len(rules))
-        rules = np.concatenate([rules, np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], 1)])
-    return seq, rules, passes
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, passes: list[int], vocabulary: int) -> np.ndarray:
-    """The ids of a sequence: rules of the last pass first, as they hold symbols of earlier passes."""
-    seq = seq.astype(np.int64)
-    for low in reversed(passes):
-        rule = seq >= vocabulary + low
-        at = np.arange(len(seq)) + np.cumsum(rule) - rule
-        out = np.repeat(seq, 1 + rule)
-        out[at[rule]], out[at[rule] + 1] = rules[seq[rule] - vocabulary, 0], rules[seq[rule] - vocabulary, 1]
-        seq = out
-    return seq
-
-
-def expansion_lengths(rules: np.ndarray, passes: list[int], vocabulary: int) -> np.ndarray:
-    length = np.ones(vocabulary + len(rules), np.int64)
-    for low, high in zip(passes, [*passes[1:], len(rules)][: len(passes)], strict=True):
-        length[vocabulary + low : vocabulary + high] = length[rules[low:high]].sum(1)
+    rules, made = [np.zeros((0, 2), np.int64)], 0
+    for least in levels:
+        active = np.ones(max(len(seq) - 1, 0), bool)
+        while len(at := np.flatnonzero(active & ~end[:-1])):
+            slot, pair = pd.factorize((seq[at] << 32) | seq[at + 1])
+            run = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(slot) != 0)))  # of x x x x every second pair
+            even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+            times = np.bincount(slot[even], minlength=len(pair))
+            often = (times >= least)[slot]
+            at, slot, even = at[often], slot[often], even[often]
+            rank = (times << 32) | ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+            own, overlap = rank[slot], (np.diff(at) == 1) & (np.diff(slot) != 0)
+            wins = even.copy()
+            wins[1:] &= ~(overlap & (own[:-1] >= own[1:]))
+            wins[:-1] &= ~(overlap & (own[1:] > own[:-1]))
+            enough = np.bincount(slot[wins], minlength=len(pair)) >= max(2, least // 2)
+            if not enough.any():
+                break
+            chosen = np.flatnonzero(enough)
+            chosen = chosen[np.argsort(pair[chosen])]
+            symbol = np.zeros(len(pair), np.int64)
+            symbol[chosen] = vocabulary + made + np.arange(len(chosen))
+            used = wins & enough[slot]
+            place, lost = at[used], at[~used]
+            seq[place], end[place] = symbol[slot[used]], end[place + 1]
+            gone = np.zeros(len(seq), bool)
+            gone[place + 1] = True
+            lost = lost[~gone[lost] & ~gone[lost + 1]]
+            moved = np.cumsum(gone)
+            seq, end = seq[~gone], end[~gone]
+            place, active = place - moved[place], np.zeros(max(len(seq) - 1, 0), bool)
+            active[lost - moved[lost]] = True
+            active[place[place < len(active)]] = True
+            active[place[place > 0] - 1] = True
+            made += len(chosen)
+            rules.append(np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], 1))
+    return seq, np.concatenate(rules)
+
+
+def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Ids that each rule stands for; a rule is reckoned once both of its symbols are."""
+    length = np.append(np.ones(vocabulary, np.int64), np.zeros(len(rules), np.int64))
+    open_ = np.arange(len(rules))
+    while len(open_):
+        both = length[rules[open_]]
+        ready = (both > 0).all(1)
+        length[vocabulary + open_[ready]] = both[ready].sum(1)
+        open_ = open_[~ready]
     return length[vocabulary:]
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The ids from `low` to `high` of what some symbols stand for. The lengths tell where each part of a rule stands, so
+    rules outside of the range are not expanded."""
+    symbol = symbols.astype(np.int64)
+    size = np.ones(len(symbol), np.int64)
+    size[symbol >= vocabulary] = lengths[symbol[symbol >= vocabulary] - vocabulary]
+    at = np.cumsum(size) - size
+    high = int(size.sum()) if high is None else high
+    out = np.zeros(max(high - low, 0), np.int64)
+    while len(symbol):
+        inside = (at < high) & (at + size > low)
+        symbol, at, size = symbol[inside], at[inside], size[inside]
+        plain = symbol < vocabulary
+        out[at[plain] - low] = symbol[plain]
+        left, right = rules[symbol[~plain] - vocabulary].T
+        first = np.ones(len(left), np.int64)
+        first[left >= vocabulary] = lengths[left[left >= vocabulary] - vocabulary]
+        at, size = np.concatenate([at[~plain], at[~plain] + first]), np.concatenate([first, size[~plain] - first])
+        symbol = np.concatenate([left, right])
+    return out
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits as four runs of bytes, which compress better."""
+    return np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def frame(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> bytes:
-    """The bytes of a frame: header, documents (id, whether null, symbols and ids before each), rules, their expansion
-    lengths, sequence (16 bits of each symbol, then the bits above them where there are any)."""
+    """The bytes of a frame: header, documents (id, whether null, symbols and ids before each), rules (steps from one left
+    symbol to the next, right symbols) and their expansion lengths, sequence (16 bits of each symbol, then the bits above
+    them where there are any)."""
     sizes = np.array([len(x) for x in ids], np.int64)
     ends = np.zeros(int(sizes.sum()), bool)
     ends[np.cumsum(sizes)[sizes > 0] - 1] = True
-    seq, rules, passes = compress(np.concatenate(ids) if ids else np.zeros(0, np.int64), ends, vocabulary)
-    lengths = expansion_lengths(rules, passes, vocabulary)
+    seq, rules = compress(np.concatenate(ids) if ids else np.zeros(0, np.int64), ends, vocabulary)
+    lengths = expansion_lengths(rules, vocabulary)
     token_ends = np.cumsum(sizes)
     each = np.where(seq >= vocabulary, lengths[np.maximum(seq - vocabulary, 0)] if len(lengths) else 1, 1)
     symbol_ends = np.searchsorted(np.cumsum(each), token_ends)
     symbol_ends = np.where(token_ends > 0, symbol_ends + 1, 0)
     width = max(16, int(vocabulary + len(rules) - 1).bit_length())
-    parts = [_HEAD.pack(MAGIC, len(ids), len(seq), len(rules), len(passes), vocabulary, width)]
+    packed = zlib.compress(_planes(np.concatenate([np.diff(rules[:, 0], prepend=0) & 0xFFFFFFFF, rules[:, 1], lengths])), 1)
+    parts = [_HEAD.pack(MAGIC, len(ids), len(seq), len(rules), vocabulary, width, len(packed))]
     parts += [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], "u1").tobytes()]
-    parts += [x.astype("<u4").tobytes() for x in (symbol_ends, token_ends, np.array(passes, np.int64), rules, lengths)]
+    parts += [symbol_ends.astype("<u4").tobytes(), token_ends.astype("<u4").tobytes(), packed]
     return b"".join([*parts, (seq & 0xFFFF).astype("<u2").tobytes(), *(np.packbits((seq >> i & 1).astype(bool)).tobytes() for i in range(16, width))])
 
 
 class Frame:
-    """A frame read back; `ids(i)` decodes one document, `all_ids()` all of them."""
+    """A frame read back; `ids(i)` decodes one document or a part of it, `all_ids()` all of them."""
 
     def __init__(self, raw: bytes):
-        magic, docs, symbols, rules, passes, self.vocabulary, width = _HEAD.unpack_from(raw)
+        magic, docs, symbols, rules, self.vocabulary, width, packed = _HEAD.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a frame")
         at = _HEAD.size
@@ -125,35 +162,58 @@ class Frame:
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
         self.symbol_ends, self.token_ends = take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
-        self.passes = take("<u4", passes).tolist()
-        self.rules = take("<u4", 2 * rules).astype(np.int64).reshape(-1, 2)
-        self.lengths = take("<u4", rules).astype(np.int64)
+        steps, right, self.lengths = _from_planes(zlib.decompress(take("u1", packed)), 3 * rules).reshape(3, rules)
+        self.rules = np.stack([np.cumsum(steps) & 0xFFFFFFFF, right], 1)
         self.sequence = take("<u2", symbols).astype(np.int64)
         for i in range(16, width):
             self.sequence |= np.unpackbits(take("u1", -(-symbols // 8)), count=symbols).astype(np.int64) << i
 
-    def ids(self, i: int) -> np.ndarray:
-        low = self.symbol_ends[i - 1] if i else 0
-        return expand(self.sequence[low : self.symbol_ends[i]], self.rules, self.passes, self.vocabulary)
+    def ids(self, i: int, low: int = 0, high: int | None = None) -> np.ndarray:
+        begin = self.symbol_ends[i - 1] if i else 0
+        size = int(self.token_ends[i] - (self.token_ends[i - 1] if i else 0))
+        low, high, _ = slice(low, high).indices(size)
+        return expand(self.sequence[begin : self.symbol_ends[i]], self.rules, self.lengths, self.vocabulary, low, high)
+
+    def ids_of_rule(self, rule: int) -> np.ndarray:
+        return expand(np.array([self.vocabulary + rule]), self.rules, self.lengths, self.vocabulary)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.sequence, self.rules, self.passes, self.vocabulary)
+        return expand(self.sequence, self.rules, self.lengths, self.vocabulary)
+
 
+def _shards(docs: np.ndarray, ties: np.ndarray, bound_docs: np.ndarray, bound_ties: np.ndarray) -> np.ndarray:
+    """How many bounds (an id and a tie) are not above each row."""
+    low, high = np.searchsorted(bound_docs, docs, "left"), np.searchsorted(bound_docs, docs, "right")
+    for i in np.flatnonzero(high > low).tolist():
+        low[i] += np.searchsorted(bound_ties[low[i] : high[i]], ties[i], "right")
+    return low.astype(np.int32)
 
-def _prepared(bounds: list[int], end_id: int):
+
+def _prepared(bounds: tuple[np.ndarray, np.ndarray], end_id: int):
     """With the end id: the shard of a document, the number of its ids, their checksum, and the ids (16 bits if they fit)."""
-    edges = np.array(bounds, np.int64)
 
     def make(path: str, ids: list[np.ndarray], batch: pa.RecordBatch) -> list[pa.Array]:
-        docs = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        docs, ties = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
         ids = [np.append(x, np.uint32(end_id)) for x in ids]
         crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
         small = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
-        return [pa.array(np.searchsorted(edges, docs, "right").astype(np.int32)), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(small, pa.binary())]
+        return [pa.array(_shards(docs, ties, *bounds)), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(small, pa.binary())]
 
     return make, "shard int, n long, crc long, ids binary"
 
 
+def shard_bounds(rows: DataFrame, shard_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and ties at which shards begin, from a sample of SAMPLED rows for each shard (MOST_SHARDS at most)."""
+    n = rows.count()
+    shards = min(MOST_SHARDS, max(1, -(-n // shard_docs)))
+    if shards == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sample = rows.sample(min(1.0, SAMPLED * shards / n), 7).toPandas()
+    docs, ties = sample["doc_id"].to_numpy(np.int64), sample["tie"].to_numpy(np.int64)
+    order = np.lexsort((ties, docs))[np.arange(1, shards) * len(sample) // shards]
+    return docs[order], ties[order]
+
+
 def _framed(vocabulary: int, frame_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, docs, ids, held = None, 0, [], [], 0
@@ -180,16 +240,15 @@ def _framed(vocabulary: int, frame_ids: int):
 def write(docs: DataFrame, vocabulary_path: str, path: str, end_id: int = 0, shard_docs: int = SHARD_DOCS, frame_ids: int = FRAME_IDS) -> None:
     """Encode the whole text of every row, append `end_id`, and write the frames to `path` (shard, frame, n_ids, bytes).
 
-    Order is ascending by doc_id, nulls first, ties by length and content of the ids. Null texts count as empty and
-    have only the end id. An empty table gives an empty table of frames.
+    Order is ascending by doc_id, nulls first; rows of one id go by a hash of their text, so that an id which many rows
+    have is cut into shards too. Null texts count as empty and have only the end id. An empty table gives an empty
+    table of frames.
     """
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    shards = min(MOST_SHARDS, max(1, -(-ids.count() // shard_docs)))
-    shares = [i / shards for i in range(1, shards)]
-    bounds = sorted(set(int(x) for x in ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", shares, 0.25 / shards))) if shares else []
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    bounds = shard_bounds(keyed.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "tie"), shard_docs)
     vocabulary = len(bpe.token_bytes(vocabulary_path))
-    encoded = bpe.encoded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), vocabulary_path, finish=_prepared(bounds, end_id))
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n", "crc")
+    encoded = bpe.encoded(keyed, vocabulary_path, ("doc_id", "tie"), _prepared(bounds, end_id))
+    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie", "n", "crc")
     ordered.mapInArrow(_framed(vocabulary, frame_ids), "shard int, frame int, n_ids long, bytes binary").write.parquet(path)
 
 

@@ -123,14 +123,36 @@ def test_grammar_round_trip(docs):
     assert np.array_equal(f.all_ids(), np.concatenate(ids) if ids else [])
 
 
-def test_grammar_goes_on_until_no_pair_is_frequent():
+def test_grammar_goes_on_until_no_pair_repeats():
     ids = [np.append(np.arange(1, 300), 0)] * 3000
     f = tokenfiles.Frame(tokenfiles.frame(list(range(len(ids))), ids, 50_257))
-    assert len(f.sequence) <= 10 * len(ids) and np.array_equal(f.all_ids(), np.concatenate(ids))
+    assert len(f.sequence) <= 2 * len(ids) and np.array_equal(f.all_ids(), np.concatenate(ids))
     own = np.random.default_rng(1).integers(1, 400, 400_000)
     f = tokenfiles.Frame(tokenfiles.frame([0], [own], 1 << 16))  # symbols above 16 bits
-    times = np.unique((f.sequence[:-2] << 32) | f.sequence[1:-1], return_counts=True)[1]
-    assert times.max() < tokenfiles.LEAST_COUNT and np.array_equal(f.all_ids(), own)
+    pairs, times = np.unique((f.sequence[:-1] << 32) | f.sequence[1:], return_counts=True)
+    assert (times[pairs >> 32 != pairs & 0xFFFFFFFF] < 2).all() and np.array_equal(f.all_ids(), own)
+    assert len(tokenfiles.Frame(tokenfiles.frame([0], [np.full(200_000, 7)], 50_257)).sequence) < 40
+
+
+def test_random_access_into_frames():
+    rnd = random.Random(8)
+    words = [[rnd.randint(1, 500) for _ in range(rnd.randint(2, 9))] for _ in range(60)]
+    ids = [np.array([*(i for _ in range(rnd.randint(0, 80)) for i in rnd.choice(words)), 0]) for _ in range(40)]
+    f = tokenfiles.Frame(tokenfiles.frame(list(range(40)), ids, 50_257))
+    assert len(f.rules) and f.lengths.tolist() == [len(f.ids_of_rule(r)) for r in range(len(f.rules))]
+    for i, x in enumerate(ids):
+        low, high = sorted(rnd.randint(0, len(x)) for _ in range(2))
+        assert np.array_equal(f.ids(i, low, high), x[low:high]) and np.array_equal(f.ids(i), x)
+
+
+def test_many_rows_of_one_id_are_cut_into_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text number {i} of many") for i in range(60)] + [(1, "first"), (9, "last")], "doc_id long, text string")
+    path = str(tmp_path / "hot")
+    tokenfiles.write(docs, vocabulary_path(), path, shard_docs=8)
+    frames = spark.read.parquet(path)
+    got = sorted(tokenfiles.read(frames).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1] + [7] * 60 + [9] and frames.select("shard").distinct().count() > 4
+    assert all(x["start"] + x["n_tokens"] == y["start"] for x, y in zip(got, got[1:]))
 
 
 def test_token_files(spark, odd, empty, tmp_path):
