@@ -1,10 +1,20 @@
 """BPE encoding and decoding with a public vocabulary, exactly as the tokenizers library does it.
 
-Short texts are cut at single spaces between solid characters. No merge and no rule of the pre-tokenizer reaches across
-such a place, so the pieces are encoded once per distinct piece and put together again. Long texts are taken as one
-unsplit run: they are halved until the parts are short, the parts are encoded in parallel as rows of their own, and the
-halves are joined again pairwise, level by level. Around each join a window of tokens is encoded anew and grown until
-both of its ends agree with what either side has, which makes the join exact.
+Texts of more than a few thousand bytes are taken as one unsplit run: they are halved until the parts (leaves) are short,
+the leaves are encoded side by side, and neighbours are joined pairwise, level by level; very long texts spread their
+halves over tasks first. Around each join a window of tokens is encoded anew and grown until both of its ends agree with
+what either side has.
+
+Why agreeing ends make a join exact: ids are the encoding of a run that the pre-tokenizer does not split if and only if
+each two neighbours are the encoding of their own bytes (merges go by rank, so nothing else can bring a pair together).
+Hence ids outside of the window stay valid wherever the text is split there as before. It is: where a letter meets
+something else, a number meets something else, or anything meets white space, the pre-tokenizer always splits, and from
+there on its splits depend on nothing before. So the agreeing end has to hold such a place (`settled`), or be all of one
+kind without an apostrophe (only contractions begin inside a run); else the window grows, to the ends of the texts if need
+be. Special tokens are shorter than the first window, so one that a cut went through lies inside it.
+
+A leaf is cut at single spaces between solid characters. No merge and no rule of the pre-tokenizer reaches across such a
+place, so these pieces are encoded once per distinct piece.
 """
 
 from __future__ import annotations
@@ -13,6 +23,7 @@ import functools
 import hashlib
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import binary, slices
 from .wordspans import piece_hashes
 
-#: Texts of more characters are encoded in halves; parts are not halved below this.
-LONG_CHARS = 32_768
+#: Bytes of a leaf at most; texts of more bytes than the second number spread their halves over tasks.
+LEAF_BYTES, ROW_BYTES = 4096, 32_768
 #: Pieces whose ids a worker keeps at most; tokens on each side of the first window of a join.
-KEPT_PIECES, FIRST_WINDOW = 300_000, 8
+KEPT_PIECES, FIRST_WINDOW = 300_000, 16
+#: Fixed value: places in plain text where the pre-tokenizer splits whatever stands around them.
+SPLIT_HERE = re.compile(rb"(?<=[A-Za-z])[\x00-@\[-`{-\x7f]|(?<=[0-9])[\x00-/:-\x7f]|(?<=[!-~])[\t-\r ]")
 #: Bytes of text that are encoded at once.
 SLICE = 5 << 19
 #: Bytes that count as white space before or after a cut, and first bytes of characters that may be.
@@ -179,46 +192,92 @@ def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return ids, np.bincount(text, each, len(offsets) - 1).astype(np.int64)
 
 
-def halves(text: str, least: int) -> list[str]:
-    """A text halved, and its halves again, until the parts have at most `least` characters."""
-    if len(text) <= least:
-        return [text]
-    middle = len(text) // 2
-    return halves(text[:middle], least) + halves(text[middle:], least)
+def halved(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the leaves of some texts (halves of halves, moved to the start of a character), and leaves of each text."""
+    size = np.diff(offsets)
+    leaves = 1 << np.ceil(np.log2(np.maximum(size / least, 1))).astype(np.int64)
+    text = np.repeat(np.arange(len(size)), leaves)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+    at = offsets[:-1][text] + size[text] * number // leaves[text]
+    for _ in range(3):
+        inner = (number > 0) & (at < len(data))
+        at[inner] -= (data[at[inner]] & 0xC0) == 0x80
+    return np.append(at, offsets[-1]), leaves
 
 
-def join(path: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids of two neighbouring texts as one text, from the ids of either."""
-    if not len(left) or not len(right):
-        return np.concatenate([left, right])
-    known = token_bytes(path)
-    width = FIRST_WINDOW
-    while True:
-        a, b = left[-width:], right[:width]
-        whole = len(a) == len(left) and len(b) == len(right)
-        raw = b"".join([known[i] for i in a.tolist()] + [known[i] for i in b.tolist()])
+@functools.cache
+def kind(c: str) -> str:
+    """L, N, a space, O or, where versions of Unicode or of white space differ, ?"""
+    category = unicodedata.ucd_3_2_0.category(c)
+    if category[0] in "LN":
+        return category[0]
+    if category[0] == "C" or c in "\x1c\x1d\x1e\x1f\x85\u180e\u200b":
+        return " " if c in "\t\n\v\f\r" else "?"
+    return " " if c.isspace() else "O"
+
+
+def settled(raw: bytes) -> bool:
+    """Whether the agreeing end of a window says that the text is split there as before: see above."""
+    if SPLIT_HERE.search(raw):
+        return True
+    text = raw.decode("utf-8", "ignore")
+    kinds = "".join(map(kind, text))
+    if kinds and kinds == kinds[0] * len(kinds) and kinds[0] in "LNO" and "'" not in text:
+        return True
+    return any(a in "LNO" and b == " " or a in "LN" and b in "LNO" and a != b or a == "O" and c != "'" and b in "LN" for a, b, c in zip(kinds, kinds[1:], text, strict=False))
+
+
+@functools.cache
+def first_window(path: str) -> int:
+    """More tokens than the longest special token has bytes."""
+    return max([FIRST_WINDOW, *(len(token_bytes(path)[i]) + 1 for i in library(path).get_added_tokens_decoder())])
+
+
+def join_all(path: str, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The ids of each two neighbouring texts as one text, from the ids of either. Windows of all pairs are encoded at once,
+    and those that do not agree again in twice the width."""
+    known, width = token_bytes(path), first_window(path)
+    out = [np.concatenate(p) for p in pairs]
+    open_ = [i for i, (a, b) in enumerate(pairs) if len(a) and len(b)]
+    while open_:
+        windows, again = [], []
+        for i in open_:
+            a, b = pairs[i][0][-width:].tolist(), pairs[i][1][:width].tolist()
+            try:
+                windows.append((i, a, b, b"".join([known[t] for t in a + b]).decode()))
+            except UnicodeDecodeError:  # an end stands inside a character
+                again.append(i)
         half = width // 2
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:  # the window begins or ends inside a character; a larger one is tried
-            width *= 2
-            if whole:
-                raise
-            continue
-        got = encode(path, [text])[0]
-        agree_left = len(a) == len(left) or np.array_equal(got[:half], a[:half])
-        agree_right = len(b) == len(right) or np.array_equal(got[-half:], b[-half:])
-        if whole or agree_left and agree_right and len(got) >= 2 * half:
-            return np.concatenate([left[: len(left) - len(a)], got, right[len(b) :]])
-        width *= 2
-
-
-def join_tree(path: str, parts: list[np.ndarray]) -> np.ndarray:
-    """The parts of one text joined pairwise, as its halves were made."""
-    if len(parts) == 1:
-        return parts[0]
-    middle = len(parts) // 2
-    return join(path, join_tree(path, parts[:middle]), join_tree(path, parts[middle:]))
+        for (i, a, b, _), got in zip(windows, encode(path, [w[3] for w in windows]), strict=True):
+            left, right = pairs[i]
+            new, ends = got.tolist(), lambda ids: settled(b"".join([known[t] for t in ids]))
+            first = len(a) == len(left) or new[:half] == a[:half] and ends(a[:half])
+            last = len(b) == len(right) or new[-half:] == b[-half:] and ends(b[-half:])
+            if len(a) == len(left) and len(b) == len(right) or first and last and len(new) >= 2 * half:
+                out[i] = np.concatenate([left[: len(left) - len(a)], got, right[len(b) :]])
+            else:
+                again.append(i)
+        open_, width = again, 2 * width
+    return out
+
+
+def join_trees(path: str, trees: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The ids of some texts from those of their leaves, joined pairwise and level by level."""
+    trees = [list(t) for t in trees]
+    while any(len(t) > 1 for t in trees):
+        joined = iter(join_all(path, [(t[j], t[j + 1]) for t in trees for j in range(0, len(t) - 1, 2)]))
+        trees = [[*(next(joined) for _ in range(len(t) // 2)), *t[len(t) - len(t) % 2 :]] for t in trees]
+    return [t[0] for t in trees]
+
+
+def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, least: int = LEAF_BYTES) -> list[np.ndarray]:
+    """The ids of each of some texts."""
+    at, leaves = halved(data, offsets, least)
+    ids, counts = encode_texts(path, data, at)
+    ends = np.cumsum(counts)
+    parts = [ids[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+    last = np.cumsum(leaves)
+    return join_trees(path, [parts[a:b] for a, b in zip((last - leaves).tolist(), last.tolist(), strict=True)])
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -260,36 +319,37 @@ DIGESTS = (ids_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string
 IDS_AND_DIGESTS = (ids_and_digests, f"{IDS[1]}, {DIGESTS[1]}")
 
 
-def _encode_short(path: str, kept: list[str], finish, names: list[str]):
+def _encoded(path: str, kept: list[str], finish, names: list[str], least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text", SLICE):
-            ids, counts = encode_texts(path, data, offsets)
-            ends = np.cumsum(counts)
-            each = [ids[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            each = encode_rows(path, data, offsets, least)
             own = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept], kept)
             yield pa.RecordBatch.from_arrays([*own.columns, *finish(path, each, own)], [*kept, *names])
 
     return run
 
 
-def _split_long(kept: list[str], least: int):
+def _spread(kept: list[str], least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, raw in enumerate(binary(batch.column(batch.schema.get_field_index("text"))).to_pylist()):
-                parts = halves(raw.decode(), least)
+        for batch, data, offsets in slices(batches, "text", SLICE):
+            raw = data.tobytes()
+            for i in range(len(batch)):
+                at, _ = halved(data, offsets[i : i + 2], least)
+                parts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 row = batch.slice(i, 1)
                 columns = [pa.concat_arrays([row.column(row.schema.get_field_index(c))] * len(parts)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], [*kept, "part", "text"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], [*kept, "_part", "text"])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), finish=IDS, long_chars: int = LONG_CHARS) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), finish=IDS, row_bytes: int = ROW_BYTES, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """The columns `keep` of every row of `docs` and what `finish` makes of the ids of its whole text (little-endian 32-bit
     integers by default); it is made where the ids are, so that they move no further than they are asked for.
 
-    Null texts count as empty and have no ids. Texts of any length give the ids of the library: those above `long_chars`
-    characters go through halves and joins. Repeated rows give repeated results; an empty table gives an empty result.
+    Null texts count as empty and have no ids. Texts of any length give the ids of the library: those above `leaf_bytes`
+    go through halves and joins, those above `row_bytes` with their halves as rows of their own. Repeated rows give
+    repeated results; an empty table gives an empty result.
     """
     kinds = dict(docs.dtypes)
     kept = list(keep)
@@ -297,17 +357,17 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fin
     names = [c.split()[0] for c in columns.split(", ")]
     plain = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
     rows = docs.select(*kept, "text")
-    is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
-    short = rows.where(~is_long).mapInArrow(_encode_short(path, kept, make, names), f"{plain}, {columns}")
+    is_long = F.coalesce(F.octet_length("text") > row_bytes, F.lit(False))
+    short = rows.where(~is_long).mapInArrow(_encoded(path, kept, make, names, leaf_bytes), f"{plain}, {columns}")
     marked = rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
-    parts = marked.mapInArrow(_split_long([*kept, "_row"], long_chars), f"{plain}, _row long, part int, text string")
-    done = parts.repartition("_row", "part").mapInArrow(_encode_short(path, [*kept, "_row", "part"], *_single(IDS)), f"{plain}, _row long, part int, ids binary")
+    parts = marked.mapInArrow(_spread([*kept, "_row"], row_bytes), f"{plain}, _row long, _part int, text string")
+    done = parts.repartition("_row", "_part").mapInArrow(_encoded(path, [*kept, "_row", "_part"], *_single(IDS), leaf_bytes), f"{plain}, _row long, _part int, ids binary")
 
     def joined(group: pa.Table) -> pa.Table:  # the parts of one row, which were one text before
-        group = group.sort_by("part")
+        group = group.sort_by("_part")
         own = group.select(kept).slice(0, 1).combine_chunks().to_batches()[0]
-        ids = join_tree(path, [unpacked(x) for x in group.column("ids").to_pylist()])
-        return pa.Table.from_arrays([*own.columns, *make(path, [ids], own)], [*kept, *names])
+        ids = join_trees(path, [[unpacked(x) for x in group.column("ids").to_pylist()]])
+        return pa.Table.from_arrays([*own.columns, *make(path, ids, own)], [*kept, *names])
 
     return short.unionByName(done.groupBy("_row").applyInArrow(joined, f"{plain}, {columns}"))
 

@@ -86,18 +86,28 @@ def test_pieces_give_the_library_ids():
     assert [x.tolist() for x in got] == ids_of(texts)
 
 
-@pytest.mark.parametrize("least", [3, 50, 400])
+def rows_of(texts, least):
+    data, offsets = bytes_of(binary(pa.array(texts)))
+    return [x.tolist() for x in bpe.encode_rows(vocabulary_path(), data, offsets, least)]
+
+
+@pytest.mark.parametrize("least", [1, 3, 50, 400])
 def test_joined_halves_give_the_library_ids(least):
     rnd = random.Random(least)
-    texts = ["x" * 3000, "aaab" * 700, "日本語テスト" * 200, "1234567890" * 300, " " * 900 + "end", "".join(rnd.choice("abc '1.\n") for _ in range(4000)), "don't" * 400, "<|endoftext|>" * 90, "🙂é" * 500]
-    for text, want in zip(texts, ids_of(texts), strict=True):
-        parts = [np.array(x, np.uint32) for x in ids_of(bpe.halves(text, least))]
-        assert bpe.join_tree(vocabulary_path(), parts).tolist() == want
+    texts = ["x" * 3000, "aaab" * 700, "日本語テスト" * 200, "日本。語、テ" * 200, "1234567890" * 300, " " * 900 + "end", "".join(rnd.choice("abc '1.\n") for _ in range(4000)), "don't" * 400, "<|endoftext|>" * 90, "🙂é" * 500]
+    texts += ["'" * 700, "''s" * 300, "a'll" * 300, "'re've" * 200, "   \n  " * 200, "\u3000\xa0 " * 200, "x\u0301" * 400, "<|endof" * 100, "", "z"]
+    assert rows_of(texts, least) == ids_of(texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["'", "'s", "'ll", "s", "t", "re", " ", "  ", "\n", "9", ".", "-", "é", "日", "。", "<|", "<|endoftext|>", "the", " of", "\u0301"]), max_size=60).map("".join), st.integers(1, 12))
+def test_joins_at_contractions_and_runs(text, least):
+    assert rows_of([text], least) == ids_of([text])
 
 
 def test_encoded_rows(odd, empty):
     path = vocabulary_path()
-    got = bpe.encoded(odd, path, long_chars=1000, finish=bpe.IDS_AND_DIGESTS).collect()
+    got = bpe.encoded(odd, path, row_bytes=1000, leaf_bytes=100, finish=bpe.IDS_AND_DIGESTS).collect()
     want = Counter((i, h([x for x in w])) for i, w in ((r["doc_id"], ids_of([r["text"]])[0]) for r in odd.collect()))
     assert Counter((r["doc_id"], h(bpe.unpacked(r["ids"]).tolist())) for r in got) == want
     for r in got:
