@@ -1,9 +1,13 @@
 """HTML extraction by tree scoring.
 
 Paragraphs give points for their length and commas to the elements above them, elements lose them again by the share
-of their text that stands in links, and the best container is kept with those siblings that score alike. Menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are left out by element,
-role or class name before that.
+of their text that stands in links, and the best container is kept with those siblings that score alike, and with the
+other articles of the page.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are suspected by element, role or whole
+class name, and left out where the page's prose stands elsewhere: an element around the article is never left out for
+its name, and a part of an article only if it is small beside the article or full of links. Reading a page takes time in
+proportion to its length, however deep or broken its elements are.
 """
 
 from __future__ import annotations
@@ -15,66 +19,121 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Element and class names.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noembed noframes noscript object optgroup option script search select style svg template textarea title video xmp".split())
-DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-DROPPED_NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement alert announcement banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies disqus flash footer gdpr login masthead menu "
-    "modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related replies responses search share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe subscription toolbar warning widget".split()
-)
-KEPT_ELEMENTS = frozenset("html body article main".split())
-GOOD_NAMES = frozenset("article body blog content entry main page post story text".split())
+#: Element, role and class names.
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+BLOCKS = frozenset(
+    (
+        "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3",
+        "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th",
+        "thead", "title", "tr", "ul",
+    )
+)
+NO_TEXT = frozenset(
+    (
+        "audio", "button", "canvas", "embed", "head", "iframe", "input", "map", "noembed", "noframes", "noscript", "object", "optgroup", "option", "script", "select", "style", "svg", "template", "textarea", "title", "video", "xmp",
+    )
+)
+SUSPECT = frozenset(("aside", "dialog", "fieldset", "footer", "form", "header", "menu", "nav", "search"))
+SUSPECT_ROLES = frozenset(("alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"))
+COMMENT_NAMES = frozenset(("comment", "comments", "commentlist", "disqus", "replies", "respond", "responses"))
+SUSPECT_NAMES = COMMENT_NAMES | frozenset(
+    (
+        "ad", "ads", "adsense", "advert", "adverts", "advertisement", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "byline-share", "consent", "cookie", "cookies", "flash", "footer", "gdpr", "header", "login",
+        "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "recommended", "related", "search",
+        "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "warning", "widget",
+    )
+)
+#: Words that turn a class name into a statement about the page, and words for what a part is made as.
+STATES = frozenset(("as", "has", "hide", "in", "is", "js", "no", "not", "on", "show", "under", "with", "without"))
+SHAPES = frozenset(("area", "bar", "block", "box", "buttons", "container", "form", "items", "links", "list", "message", "overlay", "panel", "section", "strip", "wrap", "wrapper"))
+GOOD_NAMES = frozenset(("article", "body", "blog", "content", "entry", "main", "page", "post", "story", "text"))
 POINTS = {"article": 25, "main": 25, "section": 8, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3, "th": -5}
 CLOSES_P = BLOCKS - {"br", "option", "optgroup", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "body", "html", "head", "title"}
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption summary".split())
+CLOSES_ITSELF = frozenset(("li", "dd", "dt", "tr", "td", "th", "option"))
+OPEN_TO_CLOSE = frozenset(("p", "tr", "td", "th"))
+LEAVES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"))
 #: A paragraph counts from so many characters; siblings stay from such a share of the best score.
 LEAST_CHARS, SIBLING_SHARE, SIBLING_LEAST = 25, 0.2, 10
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: A suspect stays if it holds such a share of the page's prose (for reader comments: all but a twentieth). A named part
+#: of an article goes up to such a share of the article, or from such a share of links.
+WRAPPER_SHARE, COMMENT_SHARE, PART_SHARE, PART_LINKS = 5 / 6, 0.95, 1 / 3, 0.3
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+
+
+def tags(page: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """(text before, slash, name, attributes) of each tag as (text, slash + name, attributes, start, end), in order; a tag
+    without a closed quote ends at the next ">", comments and declarations are left out, raw elements have no tags."""
+    at = low = 0
+    quotes = True
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", at)
+            end = page.find("-->" if comment else ">", at + 2)
+            yield page[low:at], "", "", at, at
+            at = low = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        m = TAG.match(page, at) if quotes else None
+        if m:
+            slash, name, attributes, end = m[1], m[2], m[3], m.end()
+        else:
+            m = NAME.match(page, at)
+            if not m:
+                at += 1
+                continue
+            quotes = False  # from here on a quote may lack its end: looking for it again and again would take squared time
+            end = page.find(">", m.end()) + 1
+            if not end:
+                break
+            slash, name, attributes = m[1], m[2], page[m.end() : end - 1]
+        name = name.lower()
+        yield page[low:at], slash + name, attributes, at, end
+        at = low = end
+        if not slash and name in RAW and not attributes.endswith("/"):
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = low = close.start() if close else len(page)
+    yield page[low:], "", "", len(page), len(page)
+
+
+def suspected(names: str, of: frozenset = SUSPECT_NAMES) -> bool:
+    """Whether a class or id is one of the names, ends with one (site-footer) or begins with one and goes on with a shape
+    (share-buttons); not where it only says something about the page (has-menu)."""
+    for name in names.split():
+        parts = name.replace("_", "-").split("-")
+        if name in of or parts[0] not in STATES and (parts[-1] in of or parts[0] in of and parts[-1] in SHAPES):
+            return True
+    return False
 
 
 class Tree:
-    """Elements by number in page order: parent, tag, whether left out, name weight; and the text blocks."""
+    """Elements by number in page order: parent, tag, the block around each, the suspicion that it has raised ("", "part",
+    "comment"; "never" for what has no text), name weight, and the article around it; and the text blocks."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.out, self.weight = [-1], ["#root"], [False], [0]
+        self.parent, self.tag, self.block, self.doubt, self.weight, self.article = [-1], ["#root"], [0], [""], [0], [0]
         self.blocks: list[list] = []  # [element, pieces, characters in links]
-        self._open, self._links, self._fresh = [0], 0, True
-        at = 0
-        while m := MARKUP.search(page, at):
-            if m.start() > at:
-                self._text(page[at : m.start()])
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self._end(tag)
-                continue
-            self._start(tag, m[3])
-            if tag in RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-                at = close.start() if close else len(page)
-        if at < len(page):
-            self._text(page[at:])
+        self._open, self._where, self._walls, self._blocks = [0], {}, [0], [0]
+        self._links, self._fresh = 0, True
+        for text, tag, attributes, _, _ in tags(page):
+            if text:
+                self._text(text)
+            if tag[:1] == "/":
+                self._end(tag[1:])
+            elif tag:
+                self._start(tag, attributes)
 
     def _text(self, raw: str) -> None:
         node = self._open[-1]
-        if self.out[node]:
+        if self.doubt[node] == "never":
             return
         text = html.unescape(raw) if "&" in raw else raw
         if self._fresh:
             if text.isspace():
                 return
-            holder = node
-            while self.tag[holder] not in BLOCKS and holder:
-                holder = self.parent[holder]
-            self.blocks.append([holder, [], 0])
+            self.blocks.append([self.block[node], [], 0])
             self._fresh = False
         self.blocks[-1][1].append(text)
         if self._links:
@@ -85,52 +144,69 @@ class Tree:
             self._fresh = True
             if tag in CLOSES_P:
                 self._close("p")
-            if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
+            if tag in CLOSES_ITSELF:
                 self._close(tag)
         if tag in VOID:
             return
-        above = self._open[-1]
-        given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        names = f"{given.get('class', '')} {given.get('id', '')}"
-        words = {w.lower() for w in NAME.findall(names)} | set(names.lower().split()) if names.strip() else set()
-        inside = tag not in ("header",) or any(self.tag[x] in ("article", "main") for x in self._open)
-        out = self.out[above] or tag in DROPPED or not inside
-        if not out and tag not in KEPT_ELEMENTS:
-            out = bool(words & DROPPED_NAMES) or given.get("role", "").lower() in DROPPED_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-            out = out or "header" in words and not any(self.tag[x] in ("article", "main") for x in self._open)
+        above, node = self._open[-1], len(self.tag)
+        given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
+        names = f"{given.get('class', '')} {given.get('id', '')}".lower()
         self.parent.append(above)
         self.tag.append(tag)
-        self.out.append(out)
+        self.block.append(node if tag in BLOCKS else self.block[above])
+        self.doubt.append(self._doubt(above, tag, names, given))
+        words = set(names.replace("-", " ").replace("_", " ").split())
         self.weight.append(POINTS.get(tag, 0) + (25 if words & GOOD_NAMES else 0))
+        self.article.append(node if tag in ("article", "main") else self.article[above])
         if not attributes.endswith("/") or tag in BLOCKS:
-            self._open.append(len(self.tag) - 1)
+            place = len(self._open)
+            self._open.append(node)
+            self._where.setdefault(tag, []).append(place)
+            if tag in BLOCKS:
+                self._blocks.append(place)
+                if tag not in OPEN_TO_CLOSE:
+                    self._walls.append(place)
             self._links += tag == "a"
 
+    def _doubt(self, above: int, tag: str, names: str, given: dict[str, str]) -> str:
+        if self.doubt[above] == "never" or tag in NO_TEXT:
+            return "never"
+        if tag in ("html", "body"):
+            return ""
+        if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
+            return "never"
+        if names.strip() and suspected(names, COMMENT_NAMES):
+            return "comment"
+        if tag in ("article", "main"):
+            return ""
+        if tag == "header" and self.article[above]:  # the head of an article holds its title
+            return ""
+        if tag in SUSPECT or given.get("role", "").lower() in SUSPECT_ROLES:
+            return "element"
+        return "part" if names.strip() and suspected(names) else ""
+
     def _pop(self, to: int) -> None:
-        for x in self._open[to:]:
-            self._links -= self.tag[x] == "a"
-        del self._open[to:]
+        while len(self._open) > to:
+            tag = self.tag[self._open.pop()]
+            self._where[tag].pop()
+            self._links -= tag == "a"
+            for places in (self._blocks, self._walls):
+                if places[-1] == len(self._open):
+                    places.pop()
 
     def _close(self, tag: str) -> None:
         """Ends an open element that the one to come ends without an end tag; not beyond its list, table or container."""
-        for i in range(len(self._open) - 1, 0, -1):
-            t = self.tag[self._open[i]]
-            if t == tag:
-                return self._pop(i)
-            if t in BLOCKS and t not in ("p", "tr", "td", "th") or t == "table":
-                return None
-        return None
+        place = self._where.get(tag) or [0]
+        wall = self._walls[-1]
+        if place[-1] and place[-1] >= wall:
+            self._pop(place[-1])
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._fresh = True
-        for i in range(len(self._open) - 1, 0, -1):
-            t = self.tag[self._open[i]]
-            if t == tag:
-                return self._pop(i)
-            if tag not in BLOCKS and t in BLOCKS:
-                return None
-        return None
+        place = self._where.get(tag) or [0]
+        if place[-1] and (tag in BLOCKS or place[-1] > self._blocks[-1]):
+            self._pop(place[-1])
 
 
 def main_text(page: str | None) -> str:
@@ -141,43 +217,55 @@ def main_text(page: str | None) -> str:
     blocks = [(b[0], t, b[2]) for b in tree.blocks if (t := " ".join("".join(b[1]).split()))]
     if not blocks:
         return ""
-    n = len(tree.tag)
-    points, chars, linked = [0.0] * n, [0] * n, [0] * n
-    scored = set()
+    n, parent, tag = len(tree.tag), tree.parent, tree.tag
+    chars, linked, prose, told = ([0] * n for _ in range(4))  # prose: paragraphs that count; told: those within articles
     for holder, text, links in blocks:
-        x = holder
-        while x >= 0:
-            chars[x] += len(text)
-            linked[x] += min(links, len(text))
-            x = tree.parent[x]
-        if len(text) >= LEAST_CHARS:
-            near = tree.parent[holder] if tree.tag[holder] in LEAVES else holder
+        chars[holder] += len(text)
+        linked[holder] += min(links, len(text))
+        if len(text) >= LEAST_CHARS and 2 * links < len(text):
+            prose[holder] += len(text)
+            told[holder] += len(text) if tree.article[holder] else 0
+    for own in (chars, linked, prose, told):
+        for x in range(n - 1, 0, -1):  # children come after their parents
+            own[parent[x]] += own[x]
+    density = lambda x: linked[x] / chars[x] if chars[x] else 0.0
+    whole = told if told[0] else prose
+    out = [False] * n
+    for x in range(1, n):
+        doubt, around = tree.doubt[x], tree.article[parent[x]]
+        if out[parent[x]]:
+            out[x] = True
+        elif doubt == "part" and around and not out[around]:
+            out[x] = chars[x] <= PART_SHARE * chars[around] or density(x) >= PART_LINKS
+        elif doubt:
+            out[x] = whole[x] < (COMMENT_SHARE if doubt == "comment" else WRAPPER_SHARE) * whole[0] or not whole[0] and doubt != "comment" and density(x) >= PART_LINKS
+    points, scored = [0.0] * n, set()
+    for holder, text, _ in blocks:
+        if len(text) >= LEAST_CHARS and not out[holder]:
+            near = parent[holder] if tag[holder] in LEAVES else holder
             gain = 1 + text.count(",") + min(len(text) // 100, 3)
-            for x, share in ((near, 1.0), (tree.parent[near] if near > 0 else -1, 0.5)):
+            for x, share in ((near, 1.0), (parent[near] if near > 0 else -1, 0.5)):
                 if x > 0:
                     points[x] += share * gain
                     scored.add(x)
-    scored |= {x for x in range(1, n) if tree.tag[x] in ("article", "main") and chars[x]}
-    density = lambda x: linked[x] / chars[x] if chars[x] else 0.0
-    score = {x: (points[x] + tree.weight[x]) * (1 - density(x)) for x in scored if not tree.out[x]}
+    scored |= {x for x in range(1, n) if tag[x] in ("article", "main") and chars[x]}
+    score = {x: (points[x] + tree.weight[x]) * (1 - density(x)) for x in scored if not out[x]}
     best = max(score, key=lambda x: (score[x], -x), default=0)
-    x = best
-    while x > 0:  # sections and divisions of one article belong together
-        if tree.tag[x] in ("article", "main"):
-            best = x
-            break
-        x = tree.parent[x]
+    best = tree.article[best] or best  # sections and divisions of one article belong together
     roots = {best}
-    if best > 0 and tree.tag[best] != "body":
-        least = max(SIBLING_LEAST, SIBLING_SHARE * score.get(best, 0.0))
-        for y in range(1, n):
-            if y != best and tree.parent[y] == tree.parent[best] and not tree.out[y] and chars[y]:
-                prose = tree.tag[y] == "p" and (chars[y] > 80 and density(y) < 0.25 or chars[y] <= 80 and not linked[y])
-                if score.get(y, 0.0) >= least or prose:
-                    roots.add(y)
+    least = max(SIBLING_LEAST, SIBLING_SHARE * score.get(best, 0.0))
+    for y in range(1, n):
+        if y == best or out[y] or not chars[y]:
+            continue
+        if tag[y] == "article" and density(y) < 0.5:
+            roots.add(y)
+        elif best > 0 and tag[best] != "body" and parent[y] == parent[best]:
+            plain = tag[y] == "p" and (chars[y] > 80 and density(y) < 0.25 or chars[y] <= 80 and not linked[y])
+            if score.get(y, 0.0) >= least or plain:
+                roots.add(y)
     inside = [False] * n
     for y in range(n):
-        inside[y] = y in roots or tree.parent[y] >= 0 and inside[tree.parent[y]]
+        inside[y] = not out[y] and (y in roots or parent[y] >= 0 and inside[parent[y]])
     return " ".join(text for holder, text, _ in blocks if inside[holder])
 
 
@@ -192,7 +280,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
     one space. Null, empty and text-free pages give an empty text; unclosed and stray tags are read as browsers do in
-    the main; rows are independent, so repeated rows give repeated results.
+    the main, pages of any length and depth in time in proportion to their length; rows are independent, so repeated
+    rows give repeated results; an empty table gives an empty result.
     """
     types = dict(pages.dtypes)
     return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -298,6 +299,115 @@ def test_html(spark):
     assert {(r["page_id"], r["n_chars"]) for r in rows} == {(1, 59), (2, 0)}
 
 
+ARTICLE = "<article><h1>T</h1><p>One, two, three paragraphs that are long enough to count here.</p><p>More text of the article follows in this place.</p></article>"
+SAID = "T One, two, three paragraphs that are long enough to count here. More text of the article follows in this place."
+
+
+@pytest.mark.parametrize("name", ["page with-sidebar", "layout has-menu", "share-price", "cookie-recipe", "related-work", "site-content has-sidebar", "no-sidebar", "comments-closed", "sidebar", "menu"])
+def test_html_wrappers_keep_their_article(name):
+    assert html.main_text(f"<body><nav>x</nav><div class='{name}'>{ARTICLE}</div><footer>f</footer></body>") == SAID
+
+
+def test_html_parts():
+    long = "<p>" + "Some words of prose, and others. " * 6 + "</p>"
+    said = ("Some words of prose, and others. " * 6).strip()
+    assert html.main_text(f"<body><form id=aspnetForm><div>{ARTICLE}</div></form></body>") == SAID
+    assert html.main_text(f"<body><div>{ARTICLE}</div><div>{ARTICLE}</div></body>") == f"{SAID} {SAID}"
+    inner = ARTICLE.replace("</article>", f"<section class='related-work'>{long}</section><section class=search-methods>{long}</section></article>")
+    assert html.main_text(f"<body>{inner}</body>") == f"{SAID} {said} {said}"
+    part = "<div class='newsletter-box'><p>Give us your address, please, for news.</p></div><footer>By someone</footer></article>"
+    assert html.main_text(f"<body>{ARTICLE.replace('</article>', part)}</body>") == SAID
+    comments = f"<div id='comments'>{'<article class=comment>' + long + '</article>'}{long * 3}</div>"
+    assert html.main_text(f"<body>{ARTICLE}{comments}<aside>{long}</aside></body>") == SAID
+    assert html.main_text(f"<body><div class='sidebar'>{long}</div><div>{long}{long}</div></body>") == f"{said} {said}"
+
+
+@pytest.mark.parametrize("piece", ["<div>word,", "<i>a</b>", '<a b="', "<ul><li>x", "<p>word, word", "<a b='x\" ", "<table><tr><td>x", "<!-- x", "<script>x", "<"])
+def test_html_takes_time_in_proportion(piece):
+    began = time.process_time()
+    html.main_text(piece * 10_000)
+    once = time.process_time() - began
+    html.main_text(piece * 40_000)
+    assert time.process_time() - began - once < 8 * max(once, 0.1)
+
+
+class Element:
+    """A plain model of tree scoring: every figure from the whole subtree, by its definition."""
+
+    def __init__(self, rnd, tag, depth=0):
+        self.tag, self.children, self.text, self.link = tag, [], "", ""
+        self.name = rnd.choice(["", "", "", "content", "story"]) if tag in ("div", "section") else ""
+        if tag in ("p", "h2"):
+            self.text, self.link = (" ".join(rnd.choice(["word", "prose,", "text", "more."]) for _ in range(rnd.randint(0, n))) for n in (40, rnd.choice([0, 0, 9])))
+        else:
+            kinds = ["p", "p", "h2", "div", "section", "blockquote"] + (["article", "main"] if depth == 1 else [])
+            self.children = [Element(rnd, rnd.choice(kinds if depth < 4 else ["p"]), depth + 1) for _ in range(rnd.randint(1, 4))]
+        for c in self.children:
+            c.up = self
+
+    def html(self):
+        link = f" <a href=x>{self.link}</a>" if self.link else ""
+        return f"<{self.tag} class='{self.name}'>{self.text}{link}{''.join(c.html() for c in self.children)}</{self.tag}>"
+
+    def all(self):
+        return [self, *(x for c in self.children for x in c.all())]
+
+    def said(self):
+        return " ".join((self.text + " " + self.link).split())
+
+    def chars(self):
+        return sum(len(x.said()) for x in self.all())
+
+    def density(self):
+        return sum(min(len(x.link), len(x.said())) for x in self.all()) / self.chars() if self.chars() else 0.0
+
+    def score(self):
+        gain = lambda x: 1 + x.said().count(",") + min(len(x.said()) // 100, 3)
+        own = [c for c in self.children if len(c.said()) >= 25]
+        below = [c for k in self.children for c in k.children if len(c.said()) >= 25]
+        if not own and not below and not (self.tag in ("article", "main") and self.chars()):
+            return None
+        weight = {"article": 25, "main": 25, "section": 8, "div": 5, "blockquote": 3}.get(self.tag, 0) + 25 * (self.name != "")
+        return (sum(map(gain, own)) + 0.5 * sum(map(gain, below)) + weight) * (1 - self.density())
+
+
+def scored_model(body):
+    every = body.all()
+    score = {i: s for i, x in enumerate(every) if (s := x.score()) is not None}
+    if not score:
+        return " ".join(x.said() for x in every if x.said())
+    best = every[max(score, key=lambda i: (round(score[i], 9), -i))]
+    x = best
+    while x is not body:
+        if x.tag in ("article", "main"):
+            best = x
+            break
+        x = x.up
+    roots = [best] + [x for x in every if x.tag == "article" and x.chars() and x.density() < 0.5]
+    if best is not body:
+        least = max(10, 0.2 * (best.score() or 0))
+        for y in best.up.children:
+            plain = y.tag == "p" and (y.chars() > 80 and y.density() < 0.25 or y.chars() <= 80 and not y.link)
+            if (y.score() or 0) >= least or plain:
+                roots.append(y)
+    kept = {id(x) for r in roots for x in r.all()}
+    return " ".join(x.said() for x in every if id(x) in kept and x.said())
+
+
+def test_html_scores_as_a_plain_model():
+    rnd = random.Random(12)
+    for _ in range(400):
+        body = Element(rnd, "body")
+        assert html.main_text(f"<html>{body.html()}</html>") == scored_model(body)
+
+
+def test_html_tables(spark):
+    shape = "page_id long, url string, html string, text string"
+    rows = html.extract(spark.createDataFrame([(1, "u", ARTICLE, "x"), (1, "u", ARTICLE, "x"), (None, None, "", None)], shape)).collect()
+    assert sorted((r["n_chars"], r["text"]) for r in rows) == [(0, ""), (len(SAID), SAID), (len(SAID), SAID)]
+    assert html.extract(spark.createDataFrame([], shape)).count() == 0
+
+
 # classifiers
 
 
