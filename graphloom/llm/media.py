@@ -1,8 +1,8 @@
 """Media columns: ISO base media containers.
 
 `mux` stores bytes as the 8-bit samples of an uncompressed track in an ISO container, `probe` walks the nested boxes of
-such containers and decodes their sample tables: codec, duration, samples and the byte ranges of key frames, without
-decoding a payload. The bytes of the samples are read back through the chunk and size tables.
+such containers and decodes their sample tables, per track, and those of movie fragments: codec, duration, samples and
+the byte ranges of key frames, without decoding a payload. The bytes of the samples are read back through the tables.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import binary
 
@@ -25,6 +26,8 @@ CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"u
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 #: Payloads are filled up with bytes 0 to a positive multiple of this.
 BLOCK = 64
+#: Boxes deeper than this are not opened.
+DEEPEST = 12
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -78,52 +81,189 @@ def muxed(payload: bytes) -> bytes:
     return head + moov(base) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, low: int = 0, high: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start of the body, end) of every box, depth first. Sizes that leave their parent end the walk there."""
+def walk(data: memoryview, low: int = 0, high: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, bool]]:
+    """(path, start of the body, end, whether whole) of every box, depth first. A box whose size leaves its parent is cut at
+    the parent's end and is not whole; nothing follows it."""
     high = len(data) if high is None else high
     while low + 8 <= high:
         size, kind = struct.unpack_from(">I4s", data, low)
         body = low + 8
-        if size == 1 and body + 8 <= high:
+        if size == 1:
+            if body + 8 > high:
+                return
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         elif size == 0:
             size = high - low
-        if size < body - low or low + size > high:
+        if size < body - low:
             return
-        yield (*path, kind), body, low + size
-        if kind in CONTAINERS:
-            yield from walk(data, body, low + size, (*path, kind))
+        end = min(low + size, high)
+        yield (*path, kind), body, end, low + size <= high
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            yield from walk(data, body, end, (*path, kind))
         low += size
 
 
-def _table(data: memoryview, at: int, kind: str, width: int = 1) -> np.ndarray:
-    n = struct.unpack_from(">I", data, at + 4)[0]
-    return np.frombuffer(data, kind, n * width, at + 8).reshape(n, width).astype(np.int64)
+def _numbers(data: memoryview, at: int, end: int, kind: str, n: int) -> np.ndarray:
+    """n big-endian numbers of a box, or as many as it holds."""
+    n = max(0, min(n, (end - at) // np.dtype(kind).itemsize))
+    return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def probed(media: bytes) -> dict:
-    """codec, timescale, duration, samples, offsets and sizes of the samples, and (start, end) of key frames, for the
-    first track. Containers without a whole sample table have codec None and no samples."""
-    data = memoryview(media)
-    boxes: dict[bytes, int] = {}
-    for path, body, _ in walk(data):
-        boxes.setdefault(path[-1], body)
-    if not {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= boxes.keys() or not {b"stco", b"co64"} & boxes.keys():
-        return {"codec": None, "timescale": 0, "duration": 0, "offsets": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int64), "keys": np.zeros((0, 2), np.int64)}
-    codec = bytes(data[boxes[b"stsd"] + 12 : boxes[b"stsd"] + 16]).decode("latin-1")
-    timescale = struct.unpack_from(">I", data, boxes[b"mdhd"] + 12)[0]
-    times = _table(data, boxes[b"stts"], ">u4", 2)
-    one, n = struct.unpack_from(">II", data, boxes[b"stsz"] + 4)
-    sizes = np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", n, boxes[b"stsz"] + 12).astype(np.int64)
-    chunks = (_table(data, boxes[b"co64"], ">u8") if b"co64" in boxes else _table(data, boxes[b"stco"], ">u4"))[:, 0]
+def _table(data: memoryview, box: tuple[int, int], kind: str, width: int = 1) -> np.ndarray:
+    at, end = box
+    if end - at < 8:
+        return np.zeros((0, width), np.int64)
+    found = _numbers(data, at + 8, end, kind, struct.unpack_from(">I", data, at + 4)[0] * width)
+    return found[: len(found) // width * width].reshape(-1, width)
+
+
+def _header(data: memoryview, box: tuple[int, int]) -> tuple[int, int]:
+    """Time scale and duration of a media header of version 0 or 1."""
+    at, end = box
+    if end - at >= 32 and data[at] == 1:
+        return struct.unpack_from(">IQ", data, at + 20)
+    return struct.unpack_from(">II", data, at + 12) if end - at >= 20 else (0, 0)
+
+
+def _samples(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Offsets and sizes of the samples that the tables agree on, and whether they agree on all."""
+    at, end = boxes[b"stsz"]
+    if end - at < 12:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    one, told = struct.unpack_from(">II", data, at + 4)
+    chunks = (_table(data, boxes[b"co64"], ">i8") if b"co64" in boxes else _table(data, boxes[b"stco"], ">u4"))[:, 0]
     runs = _table(data, boxes[b"stsc"], ">u4", 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
-    chunk = np.repeat(np.arange(len(chunks)), per)[:n]
+    if not len(runs) or not len(chunks):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), not told
+    firsts = np.minimum(np.maximum.accumulate(np.append(runs[:, 0] - 1, len(chunks))), len(chunks))
+    ordered = bool((np.diff(runs[:, 0]) > 0).all()) and runs[0, 0] == 1
+    per = np.minimum(np.repeat(runs[:, 1], np.diff(firsts)), len(data))  # a sample of a chunk takes a byte at least, or none are there
+    room = int(np.minimum(np.cumsum(per.astype(float)), 1e15)[-1]) if len(per) else 0
+    n = min(told, room, len(data) + 1) if one else min(told, room, (end - at - 12) // 4)
+    sizes = np.full(n, one, np.int64) if one else _numbers(data, at + 12, end, ">u4", n)
+    last = np.cumsum(per.astype(float))
+    kept = int(np.searchsorted(last, n, "left")) + 1
+    per = per[:kept]
+    chunk = np.repeat(np.arange(len(per)), per)[:n]
     before = np.cumsum(sizes) - sizes
     starts = np.minimum(np.cumsum(per) - per, max(n - 1, 0))
-    offsets = chunks[chunk] + before - before[starts][chunk] if n else np.zeros(0, np.int64)
-    key = _table(data, boxes[b"stss"], ">u4")[:, 0] - 1 if b"stss" in boxes else np.arange(n)
-    return {"codec": codec, "timescale": timescale, "duration": int((times[:, 0] * times[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keys": np.stack([offsets[key], offsets[key] + sizes[key]], 1)}
+    offsets = chunks[np.minimum(chunk + int(firsts[0]), len(chunks) - 1)] + before - before[starts][chunk] if n else np.zeros(0, np.int64)
+    return offsets, sizes, ordered and n == told
+
+
+def _fragments(data: memoryview, track: int, defaults: dict[int, tuple[int, int]], parts: list[list]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], int, bool]:
+    """Offsets, sizes, key flags and duration of a track's samples in movie fragments, and whether all could be read."""
+    offsets, sizes, keys, duration, whole = [], [], [], 0, True
+    for start, boxes in parts:
+        mine, base, size, length, flags, after = False, start, 0, 0, 0, None
+        for name, at, end in boxes:
+            if name == b"tfhd":
+                if end - at < 8:
+                    whole = False
+                    continue
+                given, number = struct.unpack_from(">II", data, at)
+                given &= 0xFFFFFF
+                mine, base, after = number == track, start, None
+                length, size, flags = (*defaults.get(track, (0, 0)), 0)[:3]
+                place = at + 8
+                for bit, form in ((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I")):
+                    if given & bit:
+                        if place + struct.calcsize(form) > end:
+                            whole = False
+                            break
+                        value = struct.unpack_from(form, data, place)[0]
+                        place += struct.calcsize(form)
+                        base, length, size, flags = (value if bit == 1 else base), (value if bit == 8 else length), (value if bit == 16 else size), (value if bit == 32 else flags)
+            elif name == b"trun" and mine:
+                if end - at < 8:
+                    whole = False
+                    continue
+                given, n = struct.unpack_from(">II", data, at)
+                given &= 0xFFFFFF
+                place, first_flags = at + 8, None
+                begin = after if after is not None else base
+                if given & 1 and place + 4 <= end:
+                    begin, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+                if given & 4 and place + 4 <= end:
+                    first_flags, place = struct.unpack_from(">I", data, place)[0], place + 4
+                columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if given & bit]
+                room = (end - place) // (4 * len(columns)) if columns else len(data)
+                whole &= n <= room
+                n = min(n, room)
+                rows = _numbers(data, place, end, ">u4", n * len(columns)).reshape(n, len(columns)) if columns else np.zeros((n, 0), np.int64)
+                column = lambda bit, other: rows[:, columns.index(bit)] if bit in columns else np.full(n, other, np.int64)  # noqa: B023, E731
+                own, marks = column(0x200, size), column(0x400, flags)
+                if n and first_flags is not None:
+                    marks[0] = first_flags
+                duration += int(column(0x100, length).sum())
+                at_ = begin + np.cumsum(own) - own
+                after = int(at_[-1] + own[-1]) if n else begin
+                offsets.append(at_)
+                sizes.append(own)
+                keys.append(marks & 0x10000 == 0)  # not marked as a sample that needs others
+    return offsets, sizes, keys, duration, whole
+
+
+def tracks(media: bytes) -> list[dict]:
+    """One dict for each track: codec, handler, timescale, duration, offsets and sizes of the samples, (start, end) of key
+    frames, whether the container holds all that its tables tell of. Samples in movie fragments follow those of the
+    track's own tables. Boxes of one track never count for another; tables are read as far as their boxes reach, and
+    samples outside of the container are left out, with whole false. No input is an error."""
+    data = memoryview(media)
+    found: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[list] = []
+    defaults: dict[int, tuple[int, int]] = {}
+    intact, start = True, 0
+    for path, body, end, whole in walk(data):
+        intact &= whole
+        kind = path[-1]
+        if path == (b"moof",):
+            start = body - 8
+        if kind == b"trak" and path[:-1] == (b"moov",):
+            found.append({})
+        elif kind == b"traf":
+            fragments.append([start, []])
+        elif path[:2] == (b"moov", b"trak") and found:
+            found[-1].setdefault(kind, (body, end))
+        elif kind == b"trex" and end - body >= 20:
+            number, _, length, size = struct.unpack_from(">IIII", data, body + 4)
+            defaults[number] = (length, size)
+        elif path[:2] == (b"moof", b"traf") and kind in (b"tfhd", b"trun") and fragments:
+            fragments[-1][1].append((kind, body, end))
+    out = []
+    for boxes in found:
+        scale, told = _header(data, boxes.get(b"mdhd", (0, 0)))
+        at, end = boxes.get(b"stsd", (0, 0))
+        codec = bytes(data[at + 12 : at + 16]).decode("latin-1") if end - at >= 16 else None
+        at, end = boxes.get(b"hdlr", (0, 0))
+        handler = bytes(data[at + 8 : at + 12]).decode("latin-1") if end - at >= 12 else None
+        offsets, sizes, whole = np.zeros(0, np.int64), np.zeros(0, np.int64), True
+        if b"stsz" in boxes and b"stsc" in boxes and {b"stco", b"co64"} & boxes.keys():
+            offsets, sizes, whole = _samples(data, boxes)
+        times = _table(data, boxes.get(b"stts", (0, 0)), ">u4", 2)
+        duration = int((times[:, 0].astype(object) * times[:, 1]).sum()) if len(times) else told
+        key = np.ones(len(sizes), bool)
+        if b"stss" in boxes:
+            marked = _table(data, boxes[b"stss"], ">u4")[:, 0] - 1
+            key[:] = False
+            key[marked[(marked >= 0) & (marked < len(key))]] = True
+            whole &= bool(((marked >= 0) & (marked < len(key))).all())
+        at, end = boxes.get(b"tkhd", (0, 0))
+        place = at + (20 if end > at and data[at] == 1 else 12)
+        number = struct.unpack_from(">I", data, place)[0] if end - place >= 4 else 0
+        more = _fragments(data, number, defaults, fragments)
+        offsets, sizes, key = np.concatenate([offsets, *more[0]]), np.concatenate([sizes, *more[1]]), np.concatenate([key, *more[2]]).astype(bool)
+        there = (offsets >= 0) & (offsets + sizes <= len(data))
+        whole &= bool(there.all()) and more[4] and codec is not None
+        out.append({"codec": codec, "handler": handler, "timescale": scale, "duration": duration + more[3] if more[0] and len(times) else more[3] or duration, "offsets": offsets[there], "sizes": sizes[there], "keys": np.stack([offsets, offsets + sizes], 1)[key & there], "whole": whole and intact})
+    return out
+
+
+def probed(media: bytes) -> dict:
+    """The first track with samples, or the first one; codec None and no samples where there is none."""
+    every = tracks(media)
+    best = next((t for t in every if len(t["sizes"])), every[0] if every else None)
+    return best or {"codec": None, "handler": None, "timescale": 0, "duration": 0, "offsets": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int64), "keys": np.zeros((0, 2), np.int64), "whole": False}
 
 
 def payload_of(media: bytes, found: dict) -> bytes:
@@ -140,7 +280,7 @@ def feature_of(found: dict) -> str:
     keys = found["keys"]
     digest = hashlib.sha256(np.ascontiguousarray(keys.astype(">i8")).tobytes()).hexdigest()[:16]
     span = f"{keys[0, 0]}-{keys[0, 1]}" if len(keys) else "-"
-    return f"codec={(found['codec'] or '').strip()};timescale={found['timescale']};duration={found['duration']};samples={len(found['sizes'])};keyframes={len(keys)};first_key={span};key_ranges={digest}"
+    return f"codec={(found['codec'] or '').strip()};whole={str(found['whole']).lower()};timescale={found['timescale']};duration={found['duration']};samples={len(found['sizes'])};keyframes={len(keys)};first_key={span};key_ranges={digest}"
 
 
 def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +303,8 @@ def mux(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_mux, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
-_PROBED = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_keyframes", pa.int64())]
+_PROBED = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_keyframes", pa.int64()), ("whole", pa.bool_())]
+_PROBED_DDL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_keyframes long, whole boolean"
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +313,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for media in binary(batch.column(batch.schema.get_field_index("media"))).to_pylist():
             found = probed(media)
             payload = payload_of(media, found)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(found), found["codec"], found["duration"] / found["timescale"] if found["timescale"] else None, len(found["keys"])))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(found), found["codec"], float(found["duration"]) / found["timescale"] if found["timescale"] else None, len(found["keys"]), found["whole"]))
         columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(_PROBED), _PROBED, strict=True)]
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "media"]
         yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *columns], [*(n for n, _ in kept), *(n for n, _ in _PROBED)])
@@ -180,13 +321,19 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def probe(media: DataFrame) -> DataFrame:
     """`media` with what its column `media` holds instead of that column: payload and container digests, codec, duration
-    and key frames. Null or broken containers have no payload, an empty codec and no key frames."""
+    and key frames, and whether the container holds all that its tables tell of. Columns of the same names are replaced.
+
+    Null containers and such without a track have no payload, a null codec and no key frames; of broken ones what can be
+    read is returned, with whole false. Rows are independent; an empty table gives an empty result."""
+    names = {n for n, _ in _PROBED}
+    media = media.select(*(F.col(f"`{c}`") for c in media.columns if c not in names))
     kept = ", ".join(f"`{n}` {t}" for n, t in media.dtypes if n != "media")
-    return media.mapInArrow(_probe, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_keyframes long")
+    return media.mapInArrow(_probe, f"{kept}, {_PROBED_DDL}" if kept else _PROBED_DDL)
 
 
 def key_ranges(media: DataFrame) -> DataFrame:
-    """(doc_id, sample, start, end): the byte ranges of the key frames of every row's container."""
+    """(doc_id, sample, start, end): the byte ranges of the key frames of every row's container. Null, broken and empty
+    containers have none; repeated rows give theirs again; an empty table gives an empty result."""
 
     def ranges(batches):
         for batch in batches:

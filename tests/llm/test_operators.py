@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -206,6 +207,85 @@ def test_container_round_trip(raw):
     assert media.probed(box[: len(box) // 2])["codec"] in (None, "raw ")
 
 
+def boxes_of(raw, kind):
+    at = raw.find(kind)
+    return at - 4, int.from_bytes(raw[at - 4 : at], "big")
+
+
+def patched(raw, kind, offset, form, *values):
+    at, _ = boxes_of(raw, kind)
+    out = bytearray(raw)
+    struct.pack_into(form, out, at + 8 + offset, *values)
+    return bytes(out)
+
+
+WHOLE = media.muxed(bytes(range(256)) * 200)
+
+
+def test_containers_of_other_makers():
+    assert media.probed(WHOLE)["whole"] and media.probed(WHOLE)["handler"] == "soun"
+    v1 = media.full(b"mdhd", bytes(16), struct.pack(">IQ", 90_000, 180_000), bytes(4), flags=1 << 24)
+    at, size = boxes_of(WHOLE, b"mdhd")
+    assert media._header(memoryview(v1), (8, len(v1))) == (90_000, 180_000)
+    found = media.probed(patched(WHOLE, b"stsz", 8, ">I", 10_000))  # more samples told than there are
+    assert not found["whole"] and len(found["sizes"]) == 50
+    found = media.probed(patched(WHOLE, b"stss", 8, ">I", 9_999))  # a key frame beyond the last sample
+    assert not found["whole"] and len(found["keys"]) == 3
+    cut = media.probed(WHOLE[:-30_000])
+    assert not cut["whole"] and len(media.payload_of(WHOLE[:-30_000], cut)) < 256 * 200 - 30_000 + 1
+    assert media.probed(b"")["codec"] is None and media.tracks(b"abc") == []
+
+
+def trak(number, tables, handler=b"soun", entry=b"mp4a"):
+    stsd = media.full(b"stsd", struct.pack(">I", 1), media.box(entry, bytes(8)))
+    mdhd = media.full(b"mdhd", bytes(8), struct.pack(">II", 1000, 0), bytes(4))
+    tkhd = media.full(b"tkhd", bytes(8), struct.pack(">II", number, 0), bytes(60))
+    hdlr = media.full(b"hdlr", bytes(4), handler, bytes(13))
+    return media.box(b"trak", tkhd, media.box(b"mdia", mdhd, hdlr, media.box(b"minf", media.box(b"stbl", stsd, *tables))))
+
+
+def test_tables_of_one_track_do_not_count_for_another():
+    many = lambda kind, *rows, width: media.full(kind, struct.pack(">I", len(rows)), *(struct.pack(f">{width}I", *r) for r in rows))
+    table = lambda *keys: [many(b"stts", (4, 10), width=2), many(b"stsc", (1, 4, 1), width=3), media.full(b"stsz", struct.pack(">II", 5, 4)), many(b"stco", (0,), width=1), *([many(b"stss", *((k,) for k in keys), width=1)] if keys else [])]
+    found = media.tracks(media.box(b"moov", trak(1, table()), trak(2, table(2), b"vide", b"avc1")))
+    assert [(t["codec"], t["handler"], len(t["keys"]), t["duration"]) for t in found] == [("mp4a", "soun", 4, 40), ("avc1", "vide", 1, 40)]
+    assert found[1]["keys"].tolist() == [[5, 10]]
+
+
+def test_movie_fragments():
+    empty = [media.full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")] + [media.full(b"stsz", struct.pack(">II", 0, 0))]
+    head = media.box(b"moov", trak(1, empty), media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 1, 1, 20, 0, 0x10000))))
+    tfhd = media.full(b"tfhd", struct.pack(">I", 1), struct.pack(">I", 0x10000), flags=0x20020)
+    moof = lambda base: media.box(b"moof", media.box(b"traf", tfhd, media.full(b"trun", struct.pack(">Ii", 3, base), struct.pack(">I", 0x2000000), struct.pack(">III", 4, 5, 6), flags=0x205)))
+    size = len(moof(0))
+    raw = head + moof(size + 8) + media.box(b"mdat", b"aaaabbbbbcccccc")
+    found = media.probed(raw)
+    assert media.payload_of(raw, found) == b"aaaabbbbbcccccc" and found["duration"] == 60 and found["whole"]
+    assert [raw[a:b] for a, b in found["keys"].tolist()] == [b"aaaa"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1400), st.integers(0, 255)), min_size=1, max_size=6), st.integers(0, len(WHOLE)))
+def test_broken_containers_are_never_an_error(changes, length):
+    raw = bytearray(WHOLE)
+    for at, value in changes:
+        raw[at] = value
+    raw = bytes(raw[:length])
+    for track in media.tracks(raw):
+        assert len(media.payload_of(raw, track)) == track["sizes"].sum() and (track["keys"] <= len(raw)).all()
+    media.feature_of(media.probed(raw))
+
+
+def test_key_ranges(spark):
+    rows = spark.createDataFrame([(1, bytearray(WHOLE), 5), (1, bytearray(WHOLE), 5), (2, None, 5), (3, bytearray(b"junk"), 5), (None, bytearray(WHOLE[:2000]), 5)], "doc_id long, media binary, codec long")
+    got = media.key_ranges(rows).collect()
+    assert Counter(r["doc_id"] for r in got)[1] == 8 and not any(r["doc_id"] in (2, 3) for r in got)
+    assert {WHOLE[r["start"] : r["end"]] for r in got if r["doc_id"] == 1} == {(bytes(range(256)) * 200)[i : i + 1024] for i in range(0, 51_200, 16_384)}
+    out = media.probe(rows).collect()
+    assert [r["whole"] for r in sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"]))] == [True, True, False, False, False]
+    assert media.key_ranges(rows.limit(0)).count() == 0 and media.probe(rows.limit(0)).count() == 0
+
+
 # n-gram join
 
 
