@@ -21,14 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local session gets a temporary
+    one; on a cluster that is an error, since executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
     return f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"

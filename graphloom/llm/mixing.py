@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
     """The mixed documents themselves: `docs` with each row repeated as often as it is taken, and the row at a source's
     cut given once more with the words that are left (its own white space between them stays). Rows without words are
     in no source's budget; they come once for each whole pass."""
-    inner = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
+    inner = docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))  # columns of other names are in _row alone
     planned = plan(inner, weights=weights, most=most, keep=("_row",), narrow=False)
     whole = F.array_repeat("_row.text", F.col("passes").cast("int"))
     word_ends = F.split("_row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

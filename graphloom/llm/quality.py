@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import free, slices
 from .toxicity import FIT_ROWS, fit_rows, held_out, logistic
 from .wordspans import LOWER, SPACE, piece_hashes, spans
 
@@ -147,12 +147,14 @@ def _scores(model, name: str):
     return run
 
 
-def scored(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, name: str = "_score") -> DataFrame:
-    """`docs` with the probability of quality 1 of every row, from its whole text alone.
+def scored(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, name: str = "quality_score") -> DataFrame:
+    """`docs` with the probability of quality 1 of every row, from its whole text alone, in the new column `name`.
 
     Null and empty texts score as texts whose statistics are all 0. Rows with equal texts score equally. Labels that are
-    null or neither 0 nor 1 are not used. An empty table gives an empty result.
+    null or neither 0 nor 1 are not used. An empty table gives an empty result. A column `name` must not be there.
     """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {name}")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
     schema = docs.select("*").schema.add(name, "double")
     return docs.mapInArrow(_scores(model, name), schema)
@@ -160,10 +162,12 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, name: str
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limit: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) by `scored`."""
-    found = scored(docs.select("doc_id", "text"), labels, limit)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    found = scored(docs.select("doc_id", "text"), labels, limit, "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limit: int = FIT_ROWS) -> DataFrame:
-    """The rows of `docs` that score `threshold` or more."""
-    return scored(docs, labels, limit).where(F.col("_score") >= threshold).select(*docs.columns)
+    """The rows of `docs` that score `threshold` or more, with the columns of `docs` alone, whatever their names. Rows
+    without a text score as in `scored`; repeated rows stay or go together; an empty table gives an empty result."""
+    [name] = free(docs.columns, "quality_score")
+    return scored(docs, labels, limit, name).where(F.col(name) >= threshold).select(*docs.columns)

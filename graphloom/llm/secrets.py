@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, cut
+from .common import binary, cut, free
 
 #: The base kinds in their order, and the kind of the further candidates.
 KINDS = ("assign", "access", "hex", "owned")
@@ -33,6 +33,8 @@ OWNED_CHARS = bytes(120 if chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop
 HEX_CHARS = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 #: Bits per character from which a value looks live, and the distinct owners from which it is a copied example.
 LIVE_BITS, COPIED_OWNERS = 3.0, 3
+#: A value with more than one in so many of all spans is split over so many tasks when spans meet its counts.
+HOT_SHARE, HOT_PARTS = 4096, 64
 
 
 def entropy(value: str) -> float:
@@ -108,7 +110,10 @@ def scan(docs: DataFrame, doc_id: Column | None = None, repository: Column | Non
     # distinct triples first: a value that a third of all rows hold is down to its owners and repositories before it meets in one task
     triples = some.select(F.col("s.hash").alias("hash"), "repo", "owner").distinct()
     often = triples.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repositories"))
-    judged = some.select("rid", F.col("s.hash").alias("hash"), "s").join(often, "hash")
+    hot = F.broadcast(some.groupBy(F.col("s.hash").alias("hash")).count().where(F.col("count") * HOT_SHARE > some.count()).select("hash", F.lit(True).alias("hot")))  # HOT_SHARE rows at most
+    parts = often.join(hot, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), HOT_PARTS - 1).otherwise(0)))).drop("hot")
+    marked = some.select("rid", F.col("s.hash").alias("hash"), "s").join(hot, "hash", "left").withColumn("part", F.when(F.col("hot"), F.pmod("rid", F.lit(HOT_PARTS))).otherwise(0).cast("int")).drop("hot")
+    judged = marked.join(parts, ["hash", "part"])
     copied = F.col("owners") >= COPIED_OWNERS
     judged = judged.where((F.col("s.k") < 3) | (F.col("s.live") & ~copied))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.k").alias("k"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), "hash", "owners", "repositories", F.col("s.live").alias("live"), copied.alias("copied"))
@@ -120,12 +125,13 @@ def scan(docs: DataFrame, doc_id: Column | None = None, repository: Column | Non
 def redact(docs: DataFrame, mark: str = "[SECRET]", **columns: Column) -> DataFrame:
     """`docs` with every span of `scan` replaced by `mark` in its text (overlapping spans by one), and n_chars, if there,
     counted again. Texts without spans stay as they are, null texts stay null, and no row is dropped."""
+    name, spans = free(docs.columns, "_key", "_spans")
     key = F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    found = scan(docs, doc_id=key, **columns).where(F.size("spans") > 0).select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    found = scan(docs, doc_id=key, **columns).where(F.size("spans") > 0).select(F.col("doc_id").alias(name), F.col("spans").alias(spans)).dropDuplicates([name])
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["end"] < a["at"], a).otherwise(F.struct((s["end"] + 1).cast("int").alias("at"), F.concat(a["out"], F.when(s["start"] + 1 >= a["at"], F.concat(F.substring("text", a["at"], (s["start"] + 1 - a["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"], F.lit(2147483647)))))
-    out = docs.withColumn("_key", key).join(found, "_key", "left").withColumn("text", text)
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"], F.lit(2147483647)))))
+    out = docs.withColumn(name, key).join(found, name, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

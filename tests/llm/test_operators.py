@@ -75,6 +75,37 @@ def test_secret_ownership(spark):
     assert out[1] == "see [SECRET] end" and out[5] == "[SECRET]" and out[3] == f"x {shared}"
 
 
+def test_secret_edge_cases(spark, odd, empty):
+    rows = secrets.scan(odd).collect()
+    assert len(rows) == odd.count() and all(r["base"] == "" and r["spans"] == [] for r in rows)
+    assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
+    clash = odd.withColumn("_key", F.lit("mine")).withColumn("_spans", F.lit(1)).withColumn("rid", F.lit(2))
+    out = secrets.redact(clash)
+    assert out.columns == clash.columns and {tuple(r) for r in out.select("_key", "_spans", "rid").collect()} == {("mine", 1, 2)} and out.count() == odd.count()
+
+
+def ownership_model(rows):
+    """(doc_id, kind, start, copied, live) of all spans that stay, by plain loops."""
+    owners, every = {}, []
+    for i, text, lang, source in rows:
+        base = secrets.base_spans(text or "")
+        for s, k, e, v in base + secrets.further_spans(text or "", base):
+            owners.setdefault(v, set()).add(source)
+            every.append((i, k, s, v))
+    return sorted((i, secrets.KINDS[k], s, len(owners[v]) >= 3, secrets.looks_live(v)) for i, k, s, v in every if k < 3 or secrets.looks_live(v) and len(owners[v]) < 3)
+
+
+def test_ownership_equals_plain_counts(spark, monkeypatch):
+    rnd = random.Random(6)
+    token = lambda: "".join(rnd.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(24)) + "aA1"
+    values = [token() for _ in range(12)]
+    rows = [(i, " and ".join(rnd.choice(["token = ", "see ", ""]) + rnd.choice(values[:1] * 9 + values + [token()]) for _ in range(rnd.randint(0, 4))), "en", rnd.choice(["s1", "s2", "s3", "s4", None])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(secrets, "HOT_SHARE", 8)  # the first value is hot and split
+    got = sorted((r["doc_id"], s["kind"], s["start"], s["copied"], s["live"]) for r in secrets.scan(docs).collect() for s in r["spans"])
+    assert got == ownership_model(rows) and any(x[1] == "owned" for x in got)
+
+
 # BPE and token files
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import WORD, components_model, ids_of
 
 import corpus_pipeline
@@ -83,5 +84,24 @@ def test_stages_keep_the_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() > 0
-        odd = docs.withColumn("_key", docs["source"]).withColumn("extra", docs["n_chars"]).limit(0)
-        assert stage(spark, odd, sf_dir).count() == 0
+
+
+OWN = ["_key", "_spans", "_n", "_name", "_score", "quality_score", "_row", "_text", "size", "part", "rid", "name", "node", "hash", "copies"]
+
+
+def test_stages_with_clashing_names_nulls_and_repeated_rows(spark, sf_dir):
+    """Helper columns of the stages take nothing from the caller's columns of the same names."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = spark.createDataFrame([(None, "no id here at all", "en", "s1", 5), (7001, None, None, None, None), (7002, "", "en", "s2", 0), (7001, None, None, None, None), (7003, "token = 0123456789abcdef0123456789abcdef ok", "en", "s2", 3)], plain.schema)
+    docs = plain.union(more).union(plain.limit(3))
+    for i, c in enumerate(OWN):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir).collect()
+        assert out and out[0].asDict().keys() == set(docs.columns)
+        for r in out:
+            own = "none" if r["doc_id"] is None else str(r["doc_id"])
+            assert all(r[c] == f"{i}:{own}" for i, c in enumerate(OWN)), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == docs.count()
