@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy steps take at once; their arrays are about 30 times as large.
 SLICE_BYTES = 2 << 20
+#: A key with more than one in so many of all rows is split over so many tasks when they meet what belongs to the key.
+HOT_SHARE, HOT_PARTS = 4096, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """`left` joined to `right` (one row for a key) without a task that takes all rows of a hot key: those, HOT_SHARE keys at
+    most, and null keys are split by a hash of the column `by`, and their rows of `right` are repeated for each part."""
+    hot, part = free([*left.columns, *right.columns], "_hot", "_part")
+    counted = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(hot))
+    few = F.broadcast(counted.where(F.col(hot) * F.lit(HOT_SHARE) > F.lit(left.count())).select(key, F.lit(True).alias(hot)))
+    parts = F.when(F.col(hot) | F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    a = left.join(few, key, "left").withColumn(part, parts).drop(hot)
+    b = right.join(few, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.when(F.col(hot), HOT_PARTS - 1).otherwise(0)))).drop(hot)
+    return a.join(b, [key, part], how).drop(part)
+
+
 def binary(column: pa.Array) -> pa.LargeBinaryArray:
     """A string column as UTF-8 bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

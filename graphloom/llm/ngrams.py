@@ -5,9 +5,11 @@
    p - (n - ceil(0.75 n)) of the first p shingles of either. Those prefixes are the short inverted lists; sets with too
    few shared shingles in them link with nothing and are gone.
 3. Families: each remaining set goes to the family of the smallest set that shares a list with it, and as a guest to
-   families of sets that share enough lists with it. Every pair that can link is in a family together.
-4. In a family, DivideSkip finds the sets with the required overlap and joins them to components (overlap.py); families
-   too large for a task are dealt out in pairs of blocks.
+   families of sets that share enough lists with it. Every pair that can link is in a family together. A list that many
+   families share names no guests; it is credited to its sets, and sets of mostly such lists meet in families of theirs.
+4. In a family, DivideSkip finds the sets with the required overlap and joins them to components (overlap.py). A large
+   family is cut into blocks, and a few of its sets, the centres, visit each block: near copies are one component then.
+   Only sets outside of a family's largest component meet its other blocks afterwards.
 5. Components of all families together, and the smallest document id of each.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import components, cut, slices
+from .common import components, cut, free, slices, spread_join
 from .wordspans import LOWER, mixed, piece_hashes, sequence_hashes, spans
 
 #: Words of a shingle; sets link where 100 * intersection >= 75 * union.
@@ -31,8 +33,10 @@ WORDS, NUM, DEN = 5, 75, 100
 LONGER = 0.125
 #: Shingles that stand last in the order, at most (only speed depends on them), and how often they repeat at least.
 LAST_SHINGLES, REPEATED, TASK_SHINGLES = 65_536, 32, 2 << 20
-#: Entries that may be broadcast (16 bytes each); more are joined by a shuffle. Sets of a family that one task takes.
-BROADCAST_ROWS, FAMILY_SETS = 1 << 20, 2_000
+#: Rows of where sets go that may be broadcast (20 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+#: Sets of a family that one task takes, sets of a block of a larger one, centres, families of a list that names guests.
+FAMILY_SETS, BLOCK_SETS, CENTRES, GUEST_FAMILIES = 512, 256, 8, 32
 #: Rounds of dropping sets with too few shared shingles.
 PRUNINGS = 2
 
@@ -135,47 +139,63 @@ def _postings(last):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[np.ndarray, ...]:
-    """Columns of all rows of a partition (of a shuffle by shingle), by shingle, without repetitions of the first two, and
-    where the groups begin."""
-    parts = [[b.column(b.schema.get_field_index(n)).to_numpy() for n in names] for b in batches]
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(names)
-    order = np.lexsort((columns[1], columns[0]))
-    columns = [c[order] for c in columns]
-    if len(order):
-        new = np.append(True, (np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0))
-        columns = [c[new] for c in columns]
-    begins = np.flatnonzero(np.append(True, np.diff(columns[0]) != 0)) if len(columns[0]) else np.zeros(0, np.int64)
-    return (*columns, begins)
+def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of lists of two sets or more, with the smallest set of the list."""
-    shingle, node, least, begins = _grouped(batches, "shingle", "node", "least")
-    size = np.diff(np.append(begins, len(shingle)))
-    keep = np.repeat(size > 1, size)
-    low = np.repeat(node[begins] if len(begins) else node, size)
-    yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep]), pa.array(least[keep]), pa.array(low[keep])], ["shingle", "node", "least", "low"])
+    """The rows of lists of two sets or more, once each, with the smallest set of the list. Rows come by shingle and then by
+    node; of the list that a batch ends in only its name, its smallest set and, while it is alone, its row are kept."""
+    names = ("shingle", "node", "least")
+    alone: list[np.ndarray] | None = None  # the only row so far of the last list
+    last = low = None  # of the last list: (shingle, node) of its last row, its smallest set
+    for batch in batches:
+        rows = _arrays(batch, *names)
+        if not len(rows[0]):
+            continue
+        new = np.append(last is None or (rows[0][0], rows[1][0]) != last, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)).astype(bool)
+        rows = [c[new] for c in rows]
+        if not len(rows[0]):
+            continue
+        more = last is not None and rows[0][0] == last[0]
+        if more and alone is not None:
+            rows = [np.append(a, c) for a, c in zip(alone, rows, strict=True)]
+        begins = np.flatnonzero(np.append(True, np.diff(rows[0]) != 0))
+        size = np.diff(np.append(begins, len(rows[0])))
+        lows = rows[1][begins]
+        if more:
+            lows[0] = low
+        several = size > 1
+        several[0] |= more
+        last, low, alone = (rows[0][-1], rows[1][-1]), lows[-1], None if several[-1] else [c[-1:] for c in rows]
+        keep = np.repeat(several, size)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in rows), pa.array(np.repeat(lows, size)[keep])], [*names, "low"])
 
 
 def _guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, family, least) once for every list in which a set of a smaller family stands beside the set."""
-    shingle, node, least, home, begins = _grouped(batches, "shingle", "node", "least", "home")
-    ends = np.append(begins[1:], len(shingle))
+    """(node, family, least, times) for every list in which a set of a smaller family stands beside the set. Rows come by
+    shingle and then by home; the list that a batch ends in leaves its families, GUEST_FAMILIES at most."""
+    last, seen = None, np.zeros(0, np.int64)
     held: list[np.ndarray] = []
     total = 0
-    for low, high in zip(begins.tolist(), ends.tolist(), strict=True):
-        families = np.unique(home[low:high])
-        if len(families) < 2:
+    for batch in batches:
+        shingle, node, least, home = _arrays(batch, "shingle", "node", "least", "home")
+        if not len(shingle):
             continue
-        smaller = np.searchsorted(families, home[low:high])
-        who = np.repeat(np.arange(low, high), smaller)
-        which = np.arange(len(who)) - np.repeat(np.cumsum(smaller) - smaller, smaller)
-        held.append(np.stack([node[who], families[which], least[who].astype(np.int64)]))
-        total += len(who)
-        if total > 1 << 18:
-            yield _counted(held)
-            held, total = [], 0
+        begins = np.flatnonzero(np.append(True, np.diff(shingle) != 0))
+        for low, high in zip(begins.tolist(), np.append(begins[1:], len(shingle)).tolist(), strict=True):
+            families = np.unique(np.append(seen, home[low:high])) if shingle[low] == last else np.unique(home[low:high])
+            last, seen = shingle[low], families
+            if len(families) < 2:
+                continue
+            smaller = np.searchsorted(families, home[low:high])
+            who = np.repeat(np.arange(low, high), smaller)
+            which = np.arange(len(who)) - np.repeat(np.cumsum(smaller) - smaller, smaller)
+            held.append(np.stack([node[who], families[which], least[who].astype(np.int64)]))
+            total += len(who)
+            if total > 1 << 18:
+                yield _counted(held)
+                held, total = [], 0
     if held:
         yield _counted(held)
 
@@ -193,13 +213,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(name), pa.array(blobs, pa.binary())], ["node", "name", "shingles"])
 
 
-def _linked(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges from each set of a family to one of its component."""
+def _edges(group: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[str, str]]]:
+    """The different sets of a group, and edges from each of them to one of its component."""
     group = group.drop_duplicates("name").sort_values("name")
     roots = overlap.components([np.frombuffer(x, np.uint64) for x in group["shingles"]], NUM, DEN)
-    name = group["name"].to_numpy(object)
-    moved = [(a, b) for a, b in zip(name, name[roots] if len(roots) else name, strict=True) if a != b]
-    return pd.DataFrame({"a": pd.Series([a for a, _ in moved], dtype=object), "b": pd.Series([b for _, b in moved], dtype=object)})
+    name = group["name"].tolist()
+    return group, [(a, name[r]) for a, r in zip(name, roots, strict=True) if a != name[r]]
+
+
+def _linked(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges (a, b) of a family or of a block of one; of blocks their own sets too, as rows without b."""
+    group, edges = _edges(group.sort_values("centre"))
+    own = group[(group["block"] >= 0) & ~group["centre"]]
+    none = [None] * len(edges)
+    return pd.DataFrame(
+        {
+            "family": pd.array([*none, *own["family"]], "Int64"), "node": pd.array([*none, *own["node"]], "Int64"), "a": pd.Series([*(a for a, _ in edges), *own["name"]], dtype=object),
+            "b": pd.Series([*(b for _, b in edges), *[None] * len(own)], dtype=object), "shingles": pd.Series([*none, *own["shingles"]], dtype=object),
+        }
+    )
+
+
+def _met(group: pd.DataFrame) -> pd.DataFrame:
+    _, edges = _edges(group)
+    return pd.DataFrame({"a": pd.Series([a for a, _ in edges], dtype=object), "b": pd.Series([b for _, b in edges], dtype=object)})
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,16 +249,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _last(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most LAST_SHINGLES of the shingles, those that repeat most; how many is settled by a small histogram first."""
-    levels = often.groupBy(F.floor(F.log2("times") * 4).cast("int").alias("level")).count().collect()  # a few dozen rows
-    room, cut_level = LAST_SHINGLES, None
-    for row in sorted(levels, key=lambda r: -r["level"]):
-        room -= row["count"]
-        if room < 0:
+    level = F.floor(F.log2("times") * 4).cast("int")
+    room = LAST_SHINGLES
+    for row in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # a few dozen rows
+        if row["count"] > room:  # of the level that is too full, the first by value
+            often = often.where(level > row["level"]).union(often.where(level == row["level"]).orderBy("shingle").limit(room))
             break
-        cut_level = row["level"]
-    if cut_level is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = often.where(F.floor(F.log2("times") * 4) >= cut_level).toPandas()
+        room -= row["count"]
+    rows = often.toPandas()  # LAST_SHINGLES at most
     shingles = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], rows["times"].to_numpy(np.int64)[order]
@@ -232,35 +267,65 @@ def families(docs: DataFrame, often: DataFrame) -> DataFrame:
     last = docs.sparkSession.sparkContext.broadcast(_last(often))
     lists = "shingle long, node long, least int, low long"
     rows = docs.select("text").mapInArrow(_postings(last), "shingle long, node long, least int")
-    shared = cut(rows.repartition("shingle").mapInArrow(_shared, lists))
+    by_list = lambda df, *then: df.repartition("shingle").sortWithinPartitions("shingle", *then)
+    shared = cut(by_list(rows, "node").mapInArrow(_shared, lists))
     for _ in range(PRUNINGS):
         enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("enough")).where("times >= enough").select("node")
-        shared = cut(shared.select("shingle", "node", "least").join(enough, "node").repartition("shingle").mapInArrow(_shared, lists))
+        shared = cut(by_list(shared.select("shingle", "node", "least").join(enough, "node"), "node").mapInArrow(_shared, lists))
     homes = shared.groupBy("node").agg(F.min("low").alias("home"))
-    beside = shared.select("shingle", "node", "least").join(homes, "node").repartition("shingle")
-    guests = beside.mapInArrow(_guests, "node long, family long, least long, times long").groupBy("node", "family").agg(F.sum("times").alias("times"), F.min("least").alias("least"))
-    return cut(homes.select("node", F.col("home").alias("family")).union(guests.where("times >= least").select("node", "family")))
-
-
-def dealt(entries: DataFrame) -> DataFrame:
-    """(node, family, i, j): families of more sets than a task takes are cut into blocks by a hash, and each block meets
-    each other once."""
-    sized = entries.groupBy("family").agg(F.count(F.lit(1)).alias("sets"))
-    marked = entries.join(sized, "family").withColumn("k", F.when(F.col("sets") <= FAMILY_SETS, F.lit(1)).otherwise(F.ceil(F.col("sets") / F.lit(FAMILY_SETS // 2))).cast("int"))
-    own = marked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return own.select("node", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    beside = shared.join(homes, "node")
+    many = beside.groupBy("shingle").agg(F.countDistinct("home").alias("homes")).where(F.col("homes") > GUEST_FAMILIES).select("shingle", F.lit(True).alias("crowded"))
+    beside = cut(beside.join(many, "shingle", "left"))
+    crowded = beside.where("crowded")
+    credit = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("credit"), F.min("least").alias("least"))
+    named = by_list(beside.where("crowded IS NULL"), "home", "node").mapInArrow(_guests, "node long, family long, least long, times long")
+    guests = named.groupBy("node", "family").agg(F.sum("times").alias("times"), F.min("least").alias("least")).join(credit.select("node", "credit"), "node", "left")
+    guests = guests.where("times + coalesce(credit, 0) >= least").select("node", "family")
+    # two sets that share only crowded lists share as many of them as a link needs, so both have that credit
+    among = crowded.join(credit.where("credit >= least").select("node"), "node").select("node", F.col("low").alias("family"))
+    return cut(homes.select("node", F.col("home").alias("family")).union(guests).union(among).distinct())
+
+
+def blocks(entries: DataFrame) -> DataFrame:
+    """(node, family, block, centre): where sets go. Families of a task's size are one group (block -1); the sets of others go
+    to blocks by a hash, and centres, the sets of the smallest values of a few hashes, to all blocks of their family."""
+    low = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(CENTRES)]
+    large = entries.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.array_distinct(F.array(*low)).alias("centres")).where(F.col("sets") > FAMILY_SETS)
+    large = large.withColumn("blocks", F.ceil(F.col("sets") / F.lit(BLOCK_SETS)).cast("int"))
+    own = entries.join(large.select("family", "blocks"), "family", "left").select("node", "family", F.when(F.col("blocks").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("block"), F.lit(False).alias("centre"))
+    visits = large.select(F.explode("centres").alias("node"), "family", F.sequence(F.lit(0), F.col("blocks") - 1).alias("b")).select("node", "family", F.explode("b").alias("block"), F.lit(True).alias("centre"))
+    return cut(own.union(visits))
+
+
+def strays(sets: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(family, i, j, name, shingles): the sets of large families (family, node, name, shingles) outside of the largest
+    component of their family, in blocks i, with all sets of the family, in blocks j; None where there are none."""
+    placed = cut(sets.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name")))
+    sizes = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
+    if main.isEmpty():
+        return None
+    count = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_SETS)).cast("int")
+    met = placed.join(main, "family").withColumns({"rows": count("few"), "columns": count("all")})
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stray = met.where("root <> main").select("family", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), "name", "shingles")
+    return stray.union(met.select("family", each("rows").alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int").alias("j"), "name", "shingles"))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of `classes`, and (name, component_id) of every set."""
     rows, often = classes(docs)
-    entries = families(docs, often)
-    few = entries.count() <= BROADCAST_ROWS
-    where = dealt(entries)
+    where = blocks(families(docs, often))
+    where = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
     sets = docs.select("text").mapInArrow(_sets, "node long, name string, shingles binary")
-    met = sets.join(F.broadcast(where) if few else where, "node")
-    edges = met.groupBy("family", "i", "j").applyInPandas(_linked, "a string, b string")
+    met = sets.join(where, "node").groupBy("family", "block")
+    found = cut(met.applyInPandas(_linked, "family long, node long, a string, b string, shingles binary"))
+    edges = found.where("b IS NOT NULL").select("a", "b")
     roots = components(edges)
+    more = strays(found.where("b IS NULL").select("family", "node", F.col("a").alias("name"), "shingles"), roots)
+    if more is not None:
+        further = cut(more.groupBy("family", "i", "j").applyInPandas(_met, "a string, b string"))
+        roots = components(edges.union(further))
     smallest = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("low"))
     with_root = smallest.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     lowest = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -276,29 +341,30 @@ def join(docs: DataFrame) -> DataFrame:
     have none. An empty table gives an empty result.
     """
     rows, known = grouped(docs)
-    return rows.join(known, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return spread_join(rows, known, "name", "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component: the one whose doc_id is the component's, and of several with that id the
-    first by text. Rows without an id stay where no row with one links to them, one for each set of shingles."""
+    first by text. Rows without an id stay where no row with one links to them, one for each set of shingles. The columns
+    are those of `docs` alone, whatever their names; null texts link with nothing and stay; an empty table stays empty."""
     rows, known = grouped(docs)
-    kept = rows.join(known, "name", "left").where(F.coalesce("component_id", "doc_id") == F.col("doc_id")).select("doc_id").distinct()
-    first = lambda key: Window.partitionBy(key).orderBy("text")
-    with_id = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first("doc_id"))).where("_n = 1")
-    without = docs.where("doc_id IS NULL").mapInArrow(_with_name, _schema_with_name(docs))
-    alone = without.join(known.where("component_id IS NOT NULL").withColumnRenamed("name", "_name"), "_name", "left_anti")
-    alone = alone.withColumn("_n", F.row_number().over(first("_name"))).where("_n = 1 OR _name IS NULL")
+    number, name = free(docs.columns, "_n", "_name")
+    kept = spread_join(rows, known, "name", "doc_id", "left").where(F.coalesce("component_id", "doc_id") == F.col("doc_id")).select("doc_id").distinct()
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("text"))
+    with_id = docs.join(kept, "doc_id", "left_semi").withColumn(number, first("doc_id")).where(F.col(number) == 1)
+    without = docs.where("doc_id IS NULL").mapInArrow(_with_name(name), docs.select("*").schema.add(name, "string"))
+    alone = without.join(known.where("component_id IS NOT NULL").select(F.col("name").alias(name)), name, "left_anti")
+    alone = alone.withColumn(number, first(name)).where((F.col(number) == 1) | F.col(name).isNull())
     return with_id.select(*docs.columns).union(alone.select(*docs.columns))
 
 
-def _schema_with_name(docs: DataFrame):
-    return docs.select("*").schema.add("_name", "string")
-
+def _with_name(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            found, counts = shingle_sets(data, offsets)
+            a, b = names(found, counts)
+            name = [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(a.tolist(), b.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string())], [*batch.schema.names, column])
 
-def _with_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in slices(batches, "text"):
-        found, counts = shingle_sets(data, offsets)
-        a, b = names(found, counts)
-        name = [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(a.tolist(), b.tolist(), counts.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string())], [*batch.schema.names, "_name"])
+    return run

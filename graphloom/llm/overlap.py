@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -69,10 +69,12 @@ def linked(a: int, b: int, both: int, num: int, den: int) -> bool:
 
 
 class Joined:
-    """Components of sets under Jaccard links, set by set in ascending order of size.
+    """Components of sets under Jaccard links, set by set; the sets come in ascending order of size and have numbers in that
+    order.
 
-    Sets of a large component stand in an index of their own: a set that links to one of a few of its sets needs no
-    search there, as one link joins it to all of them; only where none of these links is that index searched.
+    A component of many sets leaves the common index: a set that links to one of a few of its sets needs no search
+    there, as one link joins it to all of them. Only where none of these links, the component's own index, made then of
+    what it has gained, is searched.
     """
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int], num: int, den: int):
@@ -80,8 +82,8 @@ class Joined:
         self.root = list(range(len(sets)))
         self.small: dict[int, list[int]] = {}
         self.members: dict[int, list[int]] = {}
-        self.own: dict[int, dict[int, list[int]]] = {}
-        for x in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
+        self.own: dict[int, list] = {}  # of a large component its index, and how many of its members are in it
+        for x in range(len(sets)):
             self._add(x)
 
     def find(self, x: int) -> int:
@@ -91,6 +93,8 @@ class Joined:
         return x
 
     def _links(self, x: int, y: int) -> bool:
+        if self.den * self.sizes[y] < self.num * self.sizes[x]:
+            return False
         both = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
         return linked(self.sizes[x], self.sizes[y], both, self.num, self.den)
 
@@ -99,45 +103,41 @@ class Joined:
         found = divide_skip([index[e] for e in elements if e in index], least)
         return [y for y, both in found if linked(self.sizes[x], self.sizes[y], both, self.num, self.den)]
 
-    def _put(self, index: dict[int, list[int]], x: int, elements: list[int]) -> None:
-        for e in elements:
-            own = index.setdefault(e, [])
-            if own and own[-1] > x:  # sets are not numbered in the order they come in
-                own.insert(bisect_left(own, x), x)
-            else:
-                own.append(x)
-
-    def _union(self, x: int, y: int) -> None:
-        a, b = sorted((self.find(x), self.find(y)), key=lambda r: len(self.members[r]))
-        if a == b:
-            return
-        self.root[a] = b
-        if len(self.members[a]) + len(self.members[b]) >= BIG:
-            for r in (a, b):  # out of the common index, into the large component's
-                if r in self.own:
-                    continue
-                for m in self.members[r]:
-                    for e in self.sets[m].tolist():
-                        self.small[e].remove(m)
-            index = self.own.setdefault(b, {})
-            for m in [*self.members[a], *([] if index else self.members[b])]:
-                self._put(index, m, self.sets[m].tolist())
-            self.own.pop(a, None)
-        self.members[b] += self.members.pop(a)
+    def _whole_index(self, r: int) -> dict[int, list[int]]:
+        index, done = self.own[r]
+        for m in self.members[r][done:]:
+            for e in self.sets[m].tolist():
+                insort(index.setdefault(e, []), m)
+        self.own[r][1] = len(self.members[r])
+        return index
 
     def _add(self, x: int) -> None:
         elements = self.sets[x].tolist()
-        hits = []
+        hits = self._search(x, self.small, elements)
         for r in self.own:
             m = self.members[r]
-            tried = [m[i * (len(m) - 1) // (TRIES - 1)] for i in range(TRIES)]
-            hit = next((y for y in tried if self._links(x, y)), None)
-            hits += [hit] if hit is not None else self._search(x, self.own[r], elements)[:1]
-        hits += self._search(x, self.small, elements)
+            hit = next((y for i in range(TRIES) if self._links(x, y := m[i * (len(m) - 1) // (TRIES - 1)])), None)
+            hits += [hit] if hit is not None else self._search(x, self._whole_index(r), elements)[:1]
+        roots = sorted({self.find(y) for y in hits}, key=lambda r: (r in self.own, len(self.members[r])))
         self.members[x] = [x]
-        self._put(self.small, x, elements)
-        for y in hits:
-            self._union(x, y)
+        large = bool(roots) and (roots[-1] in self.own or 1 + sum(len(self.members[r]) for r in roots) >= BIG)
+        if not large:
+            for e in elements:
+                self.small.setdefault(e, []).append(x)
+        into = roots[-1] if roots else x
+        for r in [*roots[:-1], *([x] if roots else [])]:
+            self.root[r] = into
+        if large:
+            for r in roots:
+                if r not in self.own:  # out of the common index
+                    for m in self.members[r]:
+                        for e in self.sets[m].tolist():
+                            own = self.small[e]
+                            del own[bisect_left(own, m)]
+            self.own.setdefault(into, [{}, 0])
+        for r in [*roots[:-1], *([x] if roots else [])]:
+            self.members[into] += self.members.pop(r)
+            self.own.pop(r, None)
 
 
 def components(sets: list[np.ndarray], num: int, den: int) -> list[int]:
@@ -149,7 +149,7 @@ def components(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     shared = times[back] > 1
     ends = np.cumsum(sizes)
     kept = [back[e - n : e][shared[e - n : e]] for n, e in zip(sizes, ends.tolist(), strict=True)]
-    able = [i for i, s in enumerate(kept) if sizes[i] and den * len(s) >= num * sizes[i]]
+    able = sorted((i for i, s in enumerate(kept) if sizes[i] and den * len(s) >= num * sizes[i]), key=lambda i: (sizes[i], i))
     joined = Joined([kept[i] for i in able], [sizes[i] for i in able], num, den)
     out = list(range(len(sets)))
     for k, i in enumerate(able):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, cut, free
+from .common import binary, cut, free, spread_join
 
 #: The base kinds in their order, and the kind of the further candidates.
 KINDS = ("assign", "access", "hex", "owned")
@@ -33,8 +33,6 @@ OWNED_CHARS = bytes(120 if chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop
 HEX_CHARS = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 #: Bits per character from which a value looks live, and the distinct owners from which it is a copied example.
 LIVE_BITS, COPIED_OWNERS = 3.0, 3
-#: A value with more than one in so many of all spans is split over so many tasks when spans meet its counts.
-HOT_SHARE, HOT_PARTS = 4096, 64
 
 
 def entropy(value: str) -> float:
@@ -110,10 +108,7 @@ def scan(docs: DataFrame, doc_id: Column | None = None, repository: Column | Non
     # distinct triples first: a value that a third of all rows hold is down to its owners and repositories before it meets in one task
     triples = some.select(F.col("s.hash").alias("hash"), "repo", "owner").distinct()
     often = triples.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repositories"))
-    hot = F.broadcast(some.groupBy(F.col("s.hash").alias("hash")).count().where(F.col("count") * HOT_SHARE > some.count()).select("hash", F.lit(True).alias("hot")))  # HOT_SHARE rows at most
-    parts = often.join(hot, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), HOT_PARTS - 1).otherwise(0)))).drop("hot")
-    marked = some.select("rid", F.col("s.hash").alias("hash"), "s").join(hot, "hash", "left").withColumn("part", F.when(F.col("hot"), F.pmod("rid", F.lit(HOT_PARTS))).otherwise(0).cast("int")).drop("hot")
-    judged = marked.join(parts, ["hash", "part"])
+    judged = spread_join(some.select("rid", F.col("s.hash").alias("hash"), "s"), often, "hash", "rid")
     copied = F.col("owners") >= COPIED_OWNERS
     judged = judged.where((F.col("s.k") < 3) | (F.col("s.live") & ~copied))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.k").alias("k"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), "hash", "owners", "repositories", F.col("s.live").alias("live"), copied.alias("copied"))

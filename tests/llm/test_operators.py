@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, embeddings, html, media, mixing, ngrams, overlap, quality, secrets, tokenfiles, toxicity
+from graphloom.llm import bpe, common, embeddings, html, media, mixing, ngrams, overlap, quality, secrets, tokenfiles, toxicity
 from graphloom.llm.common import binary, bytes_of, components
 from graphloom.llm.queries import vocabulary_path
 
@@ -101,7 +101,7 @@ def test_ownership_equals_plain_counts(spark, monkeypatch):
     values = [token() for _ in range(12)]
     rows = [(i, " and ".join(rnd.choice(["token = ", "see ", ""]) + rnd.choice(values[:1] * 9 + values + [token()]) for _ in range(rnd.randint(0, 4))), "en", rnd.choice(["s1", "s2", "s3", "s4", None])) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    monkeypatch.setattr(secrets, "HOT_SHARE", 8)  # the first value is hot and split
+    monkeypatch.setattr(common, "HOT_SHARE", 8)  # the first value is hot and split
     got = sorted((r["doc_id"], s["kind"], s["start"], s["copied"], s["live"]) for r in secrets.scan(docs).collect() for s in r["spans"])
     assert got == ownership_model(rows) and any(x[1] == "owned" for x in got)
 
@@ -361,10 +361,17 @@ def near_copies(seed, n=140):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_join_finds_all_links(spark, seed, monkeypatch):
     rows = near_copies(seed)
-    monkeypatch.setattr(ngrams, "FAMILY_SETS", 20)
+    if seed < 4:  # families in blocks, lists that name no guests
+        monkeypatch.setattr(ngrams, "FAMILY_SETS", 6)
+        monkeypatch.setattr(ngrams, "BLOCK_SETS", 3)
+        monkeypatch.setattr(ngrams, "CENTRES", seed)
+        monkeypatch.setattr(ngrams, "GUEST_FAMILIES", 1)
+        monkeypatch.setattr(ngrams, "BROADCAST_ROWS", 10)
+        monkeypatch.setattr(ngrams, "LAST_SHINGLES", 5)
+        monkeypatch.setattr(ngrams, "REPEATED", 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = Counter(tuple(r) for r in ngrams.join(docs).collect())
     assert got == components_model(rows)
@@ -382,6 +389,52 @@ def test_join_edge_cases(odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id IS NULL").count() == 1 and kept.where("doc_id IN (8, 9)").count() == 1
 
 
+def test_lists_across_batches():
+    """Lists cut anywhere into batches give what whole lists give."""
+    rnd = random.Random(3)
+    rows = sorted((rnd.randint(1, 9), rnd.randint(1, 30), 2, rnd.randint(1, 5)) for _ in range(150))
+    batch = lambda part, c: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in c], [("shingle", "node", "least", "home")[i] for i in c])
+
+    def cuts(own):
+        places = sorted(rnd.sample(range(1, len(own)), 40))
+        return [own[a:b] for a, b in zip([0, *places], [*places, len(own)])]
+
+    got = Counter(tuple(r.values()) for part in ngrams._shared(batch(p, (0, 1, 2)) for p in cuts(rows)) for r in part.to_pylist())
+    lists = {}
+    for s, n, _, _ in rows:
+        lists.setdefault(s, set()).add(n)
+    assert got == Counter((s, n, 2, min(own)) for s, own in lists.items() if len(own) > 1 for n in own)
+    beside = sorted(((s, n, 2, n % 4) for s, own in lists.items() for n in own), key=lambda r: (r[0], r[3], r[1]))
+    want = Counter()
+    for s, n, _, home in beside:
+        want.update((n, f) for f in {r[3] for r in beside if r[0] == s} if f < home)
+    got = Counter()
+    for part in ngrams._guests(batch(p, (0, 1, 2, 3)) for p in cuts(beside)):
+        for r in part.to_pylist():
+            got[(r["node"], r["family"])] += r["times"]
+    assert got == want
+
+
+def test_components_of_many_near_copies():
+    rnd = np.random.default_rng(5)
+    base = [rnd.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.append(base[i % 3][rnd.permutation(80)[:74]], rnd.integers(0, 1 << 60, 4).astype(np.uint64))) for i in range(240)]
+    got = overlap.components(sets, 75, 100)
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = i, j
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[a] = b
+    top = lambda x: x if root[x] == x else top(root[x])
+    assert len({(got[i], top(i)) for i in range(len(sets))}) == len(set(got)) == len({top(i) for i in range(len(sets))})
+
+
 def test_divide_skip():
     rnd = random.Random(4)
     for _ in range(200):
