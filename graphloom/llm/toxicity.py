@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models over the bytes of words, one of toxic and one of ordinary labelled texts, share
-the counts that they back off to: how many different bytes precede a shorter sequence in either class. Rare
-expressions then get nearly equal likelihoods, and a word speaks for a class only where that class has seen it or words
-like it. The score of a text comes from length-normalised differences of its log-likelihoods.
+Two interpolated Kneser-Ney models over the bytes of words, one of toxic and one of ordinary labelled texts. The longest
+sequences have their counts, every shorter one the number of different bytes that precede it (continuation counts): in
+its class, and for the shortest, which both models back off to, in either class. Rare expressions then get nearly equal
+likelihoods, and a word speaks for a class only where that class has seen it or words like it. The score of a text comes
+from length-normalised differences of its log-likelihoods: of all words, of the three most toxic ones (what one word says
+may be chance, so the least of the three counts by itself) and from how many words are evident.
 
 Sequences are counted under exact keys in a table that grows with the documents and their labels, and what each says is
 computed in groups of that table. Only the calibration sees a bounded number of rows.
@@ -24,7 +26,7 @@ from .wordspans import LOWER, piece_hashes, spans
 
 #: Longest sequence of bytes, bits of a byte in a key (the last one is lowest; a word's end and start are symbols of their
 #: own), discount.
-ORDER, SYMBOL_BITS, DISCOUNT = 6, 9, 0.75
+ORDER, SYMBOL_BITS, DISCOUNT = 6, 9, 0.95
 #: Sequences up to this length have counts that both classes share.
 SHARED = 2
 #: Labelled rows that a classifier is fitted on, at most (those of the smallest hashes); a quarter is the share of the
@@ -123,24 +125,30 @@ def shared_model(pairs: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return smoothed(two, two.sum(1)[:, None], (two > 0).sum(1)[:, None], p[None]).ravel()
 
 
+def interpolated(wanted: np.ndarray, sequences: np.ndarray, times: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """P(last symbol | those before) of the wanted sequences, from distinct sequences in order and how often each counts."""
+    if not len(sequences):
+        return lower
+    context, start = np.unique(sequences >> SYMBOL_BITS, return_index=True)
+    at = np.minimum(np.searchsorted(sequences, wanted), len(sequences) - 1)
+    in_ = np.minimum(np.searchsorted(context, wanted >> SYMBOL_BITS), len(context) - 1)
+    total, kinds = np.add.reduceat(times, start), np.diff(np.append(start, len(sequences)))
+    there, known = sequences[at] == wanted, context[in_] == wanted >> SYMBOL_BITS
+    return smoothed(np.where(there, times[at], 0), np.where(known, total[in_], 0), kinds[in_], lower)
+
+
 def ratios(keys: np.ndarray, counts: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
     """log P(toxic) - log P(ordinary) of the last symbol of each key, in UNITs. The keys are all those whose second and
-    third last symbols are the same as in one of them, so that every context is whole."""
-    both = [shared[last(keys, SHARED)]] * 2
-    seen = counts[0] + counts[1] > 0
-    if not seen.any():
-        return np.zeros(len(keys), np.int64)
-    for length in range(SHARED + 1, ORDER + 1):
-        wanted = last(keys, length)
-        own, back = np.unique(wanted[seen], return_inverse=True)
-        context, start = np.unique(own >> SYMBOL_BITS, return_index=True)
-        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-        in_ = np.minimum(np.searchsorted(context, wanted >> SYMBOL_BITS), len(context) - 1)
-        there, known = own[at] == wanted, context[in_] == wanted >> SYMBOL_BITS
-        for k in (0, 1):
-            n = np.bincount(back, counts[k][seen], len(own))
-            total, kinds = np.add.reduceat(n, start), np.add.reduceat((n > 0).astype(np.int64), start)
-            both[k] = smoothed(np.where(there, n[at], 0), np.where(known, total[in_], 0), kinds[in_], both[k])
+    third last symbols are the same as in one of them, so that every context, and all that precedes it, is whole."""
+    both = []
+    for own in counts:
+        p = shared[last(keys, SHARED)]
+        seen = keys[own > 0]
+        for length in range(SHARED + 1, ORDER):
+            sequences, times = np.unique(last(np.unique(last(seen, length + 1)), length), return_counts=True)
+            p = interpolated(last(keys, length), sequences, times, p)
+        order = np.argsort(seen)
+        both.append(interpolated(keys, seen[order], own[own > 0][order], p))
     return np.rint((np.log(both[1]) - np.log(both[0])) / UNIT).astype(np.int64)
 
 
@@ -252,9 +260,14 @@ def place_ratios(counts: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: What a text is measured by.
+MEASURES = ("by_word", "top", "third", "share", "evidence", "length")
+
+
 def measures(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, by_word, top, share) of each document: the difference of the log-likelihoods by word, the same of its three
-    most toxic words, and the share of evident words, 0 without words; and the rows of the calibration."""
+    """(doc_id, MEASURES) of each document: the difference of the log-likelihoods by word, the same of its three most toxic
+    words, of the third of them, the share of evident words and the logarithms of their number and of all words, 0 without
+    words; and the rows of the calibration."""
     counted, fitted = split(labels, limit)
     known = place_ratios(counted_places(docs, counted))
     frequent = known.orderBy(F.desc("times"), "key").limit(HOT_KEYS).select("key", "ratio").toPandas().sort_values("key")
@@ -274,7 +287,8 @@ def measures(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple
         parts = parts.withColumn("top", F.when(F.col("also").isNull(), F.col("top")).otherwise(F.slice(F.sort_array(F.concat("top", "also"), False), 1, 3)))
     n = F.greatest("n", F.lit(1))
     top = F.aggregate("top", F.lit(0).cast("long"), lambda a, b: a + b) / F.greatest(F.size("top"), F.lit(1))
-    return cut(parts.select("doc_id", (F.col("total") / n * UNIT).alias("by_word"), (top * UNIT).alias("top"), (F.col("evident") / n).alias("share"))), fitted
+    third = F.coalesce(F.get("top", F.lit(2)), F.lit(0))  # they come from the highest down
+    return cut(parts.select("doc_id", (F.col("total") / n * UNIT).alias("by_word"), (top * UNIT).alias("top"), (third * UNIT).alias("third"), (F.col("evident") / n).alias("share"), F.log1p(F.col("evident").cast("double")).alias("evidence"), F.log1p(parts["n"].cast("double")).alias("length"))), fitted
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = FIT_ROWS) -> DataFrame:
@@ -286,14 +300,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int
     empty result.
     """
     measured, fitted = measures(docs, labels, limit)
-    rows = measured.join(fitted, "doc_id").select("toxic", "by_word", "top", "share").collect()  # as many as the calibration sees
+    rows = sorted(measured.join(fitted, "doc_id").select("toxic", *MEASURES).collect())  # as many as the calibration sees
     y = np.array([r["toxic"] for r in rows], float)
-    x = np.array([[r["by_word"], r["top"], r["share"]] for r in rows], float).reshape(-1, 3)
+    x = np.array([[r[c] for c in MEASURES] for r in rows], float).reshape(-1, len(MEASURES))
     if len(set(y)) < 2:
         base = (y.sum() + 0.1) / (len(y) + 1)
-        w = np.array([0.0, 0.0, 0.0, np.log(base / (1 - base))])
+        w = np.array([0.0] * len(MEASURES) + [np.log(base / (1 - base))])
     else:
-        w = logistic(x, y)
-    z = sum((F.col(c) * F.lit(float(w[i])) for i, c in enumerate(("by_word", "top", "share"))), F.lit(float(w[3])))
+        middle, scale = x.mean(0), x.std(0) + 1e-9
+        w = logistic((x - middle) / scale, y, 0.1)
+        w = np.append(w[:-1] / scale, w[-1] - (w[:-1] * middle / scale).sum())
+    z = sum((F.col(c) * F.lit(float(w[i])) for i, c in enumerate(MEASURES)), F.lit(float(w[-1])))
     p = 1 / (1 + F.exp(-z))
     return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score"), (p >= threshold).cast("int").alias("predicted"), "by_word")
