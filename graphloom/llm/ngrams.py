@@ -5,8 +5,8 @@
    p - (n - ceil(0.75 n)) of the first p shingles of either. Those prefixes are the short inverted lists; sets with too
    few shared shingles in them link with nothing and are gone.
 3. Families: each remaining set goes to the family of the smallest set that shares a list with it, and as a guest to
-   families of sets that share enough lists with it. Every pair that can link is in a family together. A list that many
-   families share names no guests; it is credited to its sets, and sets of mostly such lists meet in families of theirs.
+   families of sets that share enough lists with it. Every pair that can link is in a family together. A crowded list
+   names no guests; it is credited to its sets, and sets of mostly such lists meet in families of theirs.
 4. In a family, DivideSkip finds the sets with the required overlap and joins them to components (overlap.py). A large
    family is cut into blocks, and a few of its sets, the centres, visit each block: near copies are one component then.
    Only sets outside of a family's largest component meet its other blocks afterwards.
@@ -35,8 +35,8 @@ LONGER = 0.125
 LAST_SHINGLES, REPEATED, TASK_SHINGLES = 65_536, 32, 2 << 20
 #: Rows of where sets go that may be broadcast (20 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
-#: Sets of a family that one task takes, sets of a block of a larger one, centres, families of a list that names guests.
-FAMILY_SETS, BLOCK_SETS, CENTRES, GUEST_FAMILIES = 512, 256, 8, 32
+#: Sets of a family that one task takes, sets of a block of a larger one, centres; lists of more families or sets are crowded.
+FAMILY_SETS, BLOCK_SETS, CENTRES, GUEST_FAMILIES, LIST_SETS = 512, 256, 8, 32, 65_536
 #: Rounds of dropping sets with too few shared shingles.
 PRUNINGS = 2
 
@@ -172,37 +172,52 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in rows), pa.array(np.repeat(lows, size)[keep])], [*names, "low"])
 
 
+_GUESTS = ["crowded", "node", "family", "least", "times"]
+
+
 def _guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, family, least, times) for every list in which a set of a smaller family stands beside the set. Rows come by
-    shingle and then by home; the list that a batch ends in leaves its families, GUEST_FAMILIES at most."""
-    last, seen = None, np.zeros(0, np.int64)
-    held: list[np.ndarray] = []
-    total = 0
+    """(crowded, node, family, least, times): for every list, each set with the families of smaller sets in it; of crowded
+    lists each set once, with the smallest one. Rows come by shingle; at most LIST_SETS rows of a list are held back."""
+    last, crowded = None, False
+    held: list[np.ndarray] = []  # node, least, home, low of the last list, until it ends or is crowded
+    out: list[np.ndarray] = []
+
+    def close() -> None:
+        if not held or crowded:
+            return
+        node, least, home, _ = np.concatenate(held, 1)
+        families = np.unique(home)
+        smaller = np.searchsorted(families, home)
+        who = np.repeat(np.arange(len(node)), smaller)
+        which = np.arange(len(who)) - np.repeat(np.cumsum(smaller) - smaller, smaller)
+        out.append(np.stack([np.zeros(len(who), np.int64), node[who], families[which], least[who]]))
+
     for batch in batches:
-        shingle, node, least, home = _arrays(batch, "shingle", "node", "least", "home")
-        if not len(shingle):
-            continue
-        begins = np.flatnonzero(np.append(True, np.diff(shingle) != 0))
-        for low, high in zip(begins.tolist(), np.append(begins[1:], len(shingle)).tolist(), strict=True):
-            families = np.unique(np.append(seen, home[low:high])) if shingle[low] == last else np.unique(home[low:high])
-            last, seen = shingle[low], families
-            if len(families) < 2:
-                continue
-            smaller = np.searchsorted(families, home[low:high])
-            who = np.repeat(np.arange(low, high), smaller)
-            which = np.arange(len(who)) - np.repeat(np.cumsum(smaller) - smaller, smaller)
-            held.append(np.stack([node[who], families[which], least[who].astype(np.int64)]))
-            total += len(who)
-            if total > 1 << 18:
-                yield _counted(held)
-                held, total = [], 0
-    if held:
-        yield _counted(held)
-
-
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    rows, times = np.unique(np.concatenate(held, 1), axis=1, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(times.astype(np.int64))], ["node", "family", "least", "times"])
+        shingle, node, least, home, low = _arrays(batch, "shingle", "node", "least", "home", "low")
+        rows = np.stack([node, least, home, low]) if len(shingle) else np.zeros((4, 0), np.int64)
+        begins = np.flatnonzero(np.append(True, np.diff(shingle) != 0)) if len(shingle) else np.zeros(0, np.int64)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(shingle)], strict=False):
+            if shingle[a] != last:
+                close()
+                last, crowded, held = shingle[a], False, []
+            held.append(rows[:, a:b])
+            if not crowded and (len(held) > 1 or b - a > GUEST_FAMILIES):
+                crowded = sum(h.shape[1] for h in held) > LIST_SETS or len(np.unique(np.concatenate([h[2] for h in held]))) > GUEST_FAMILIES
+            if crowded:
+                every = np.concatenate(held, 1)
+                out.append(np.stack([np.ones(every.shape[1], np.int64), every[0], every[3], every[1]]))
+                held = []
+        if sum(o.shape[1] for o in out) > 1 << 18:
+            yield _counted(out)
+            out = []
+    close()
+    if out:
+        yield _counted(out)
+
+
+def _counted(rows: list[np.ndarray]) -> pa.RecordBatch:
+    found, times = np.unique(np.concatenate(rows, 1), axis=1, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(r) for r in found), pa.array(times.astype(np.int64))], _GUESTS)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,16 +288,14 @@ def families(docs: DataFrame, often: DataFrame) -> DataFrame:
         enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("enough")).where("times >= enough").select("node")
         shared = cut(by_list(shared.select("shingle", "node", "least").join(enough, "node"), "node").mapInArrow(_shared, lists))
     homes = shared.groupBy("node").agg(F.min("low").alias("home"))
-    beside = shared.join(homes, "node")
-    many = beside.groupBy("shingle").agg(F.countDistinct("home").alias("homes")).where(F.col("homes") > GUEST_FAMILIES).select("shingle", F.lit(True).alias("crowded"))
-    beside = cut(beside.join(many, "shingle", "left"))
-    crowded = beside.where("crowded")
-    credit = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("credit"), F.min("least").alias("least"))
-    named = by_list(beside.where("crowded IS NULL"), "home", "node").mapInArrow(_guests, "node long, family long, least long, times long")
-    guests = named.groupBy("node", "family").agg(F.sum("times").alias("times"), F.min("least").alias("least")).join(credit.select("node", "credit"), "node", "left")
+    beside = shared.join(homes, "node").repartition("shingle").sortWithinPartitions("shingle")
+    named = cut(beside.mapInArrow(_guests, "crowded long, node long, family long, least long, times long"))
+    crowded = named.where("crowded = 1")
+    credit = crowded.groupBy("node").agg(F.sum("times").alias("credit"), F.min("least").alias("least"))
+    guests = named.where("crowded = 0").groupBy("node", "family").agg(F.sum("times").alias("times"), F.min("least").alias("least")).join(credit.select("node", "credit"), "node", "left")
     guests = guests.where("times + coalesce(credit, 0) >= least").select("node", "family")
     # two sets that share only crowded lists share as many of them as a link needs, so both have that credit
-    among = crowded.join(credit.where("credit >= least").select("node"), "node").select("node", F.col("low").alias("family"))
+    among = crowded.select("node", "family").distinct().join(credit.where("credit >= least").select("node"), "node")
     return cut(homes.select("node", F.col("home").alias("family")).union(guests).union(among).distinct())
 
 
@@ -300,7 +313,7 @@ def blocks(entries: DataFrame) -> DataFrame:
 def strays(sets: DataFrame, roots: DataFrame) -> DataFrame | None:
     """(family, i, j, name, shingles): the sets of large families (family, node, name, shingles) outside of the largest
     component of their family, in blocks i, with all sets of the family, in blocks j; None where there are none."""
-    placed = cut(sets.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name")))
+    placed = sets.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     sizes = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
     if main.isEmpty():
@@ -321,7 +334,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = sets.join(where, "node").groupBy("family", "block")
     found = cut(met.applyInPandas(_linked, "family long, node long, a string, b string, shingles binary"))
     edges = found.where("b IS NOT NULL").select("a", "b")
-    roots = components(edges)
+    roots = cut(components(edges))
     more = strays(found.where("b IS NULL").select("family", "node", F.col("a").alias("name"), "shingles"), roots)
     if more is not None:
         further = cut(more.groupBy("family", "i", "j").applyInPandas(_met, "a string, b string"))
@@ -329,7 +342,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     smallest = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("low"))
     with_root = smallest.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     lowest = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows, with_root.join(lowest, "root").select("name", "component_id")
+    return rows, spread_join(with_root, lowest, "root", "name").select("name", "component_id")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -55,10 +55,16 @@ def divide_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     found = []
     for number, times in merge_skip(short, least - aside):
+        spare = times + len(long) - least  # lists that may lack the number
         for own in long:
             i = bisect_left(own, number)
-            times += i < len(own) and own[i] == number
-        if times >= least:
+            if i < len(own) and own[i] == number:
+                times += 1
+            elif spare == 0:
+                break
+            else:
+                spare -= 1
+        else:
             found.append((number, times))
     return found
 

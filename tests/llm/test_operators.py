@@ -1,6 +1,7 @@
 """The operators of the llm subpackage against plain versions, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -389,11 +390,11 @@ def test_join_edge_cases(odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id IS NULL").count() == 1 and kept.where("doc_id IN (8, 9)").count() == 1
 
 
-def test_lists_across_batches():
+def test_lists_across_batches(monkeypatch):
     """Lists cut anywhere into batches give what whole lists give."""
     rnd = random.Random(3)
     rows = sorted((rnd.randint(1, 9), rnd.randint(1, 30), 2, rnd.randint(1, 5)) for _ in range(150))
-    batch = lambda part, c: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in c], [("shingle", "node", "least", "home")[i] for i in c])
+    batch = lambda part, c: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in c], [("shingle", "node", "least", "home", "low")[i] for i in c])
 
     def cuts(own):
         places = sorted(rnd.sample(range(1, len(own)), 40))
@@ -404,15 +405,18 @@ def test_lists_across_batches():
     for s, n, _, _ in rows:
         lists.setdefault(s, set()).add(n)
     assert got == Counter((s, n, 2, min(own)) for s, own in lists.items() if len(own) > 1 for n in own)
-    beside = sorted(((s, n, 2, n % 4) for s, own in lists.items() for n in own), key=lambda r: (r[0], r[3], r[1]))
-    want = Counter()
-    for s, n, _, home in beside:
-        want.update((n, f) for f in {r[3] for r in beside if r[0] == s} if f < home)
-    got = Counter()
-    for part in ngrams._guests(batch(p, (0, 1, 2, 3)) for p in cuts(beside)):
-        for r in part.to_pylist():
-            got[(r["node"], r["family"])] += r["times"]
-    assert got == want
+    for crowd in (100, 3, 1):
+        monkeypatch.setattr(ngrams, "GUEST_FAMILIES", crowd)
+        beside = sorted((s, n, 2, n % 4, min(own)) for s, own in lists.items() for n in own)
+        want = Counter()
+        for s, n, _, home, low in beside:
+            families = {r[3] for r in beside if r[0] == s}
+            want.update([(1, n, low)] if len(families) > crowd else [(0, n, f) for f in families if f < home])
+        got = Counter()
+        for part in ngrams._guests(batch(p, (0, 1, 2, 3, 4)) for p in cuts(beside)):
+            for r in part.to_pylist():
+                got[(r["crowded"], r["node"], r["family"])] += r["times"]
+        assert got == want
 
 
 def test_components_of_many_near_copies():
@@ -619,6 +623,46 @@ def test_toxicity_counts_all_rows(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r) for r in toxicity.score(docs, known).collect()} == scores
 
 
+def test_ratios_equal_plain_kneser_ney():
+    """The log-ratios against probabilities that are computed by their definitions from dictionaries."""
+    rnd = random.Random(11)
+    words = {k: ["".join(rnd.choice("abc" if k else "abd") for _ in range(rnd.randint(1, 8))) for _ in range(40)] for k in (0, 1)}
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    grams = [Counter(), Counter()]
+    for k, own in words.items():
+        for w in own:
+            symbols = [257] * (n - 1) + [*w.encode(), 256]
+            grams[k].update(tuple(symbols[i - n : i]) for i in range(n, len(symbols) + 1))
+
+    def times(k, g):  # of the longest their number, else how many different symbols precede them
+        if len(g) == n:
+            return grams[k][g]
+        longer = {x[-len(g) - 1 :] for c in ((0, 1) if len(g) <= toxicity.SHARED else (k,)) for x in grams[c] if x[-len(g) :] == g}
+        return len(longer)
+
+    everything = {x[-length:] for c in grams for x in c for length in range(1, n + 1)}
+
+    def p(k, g):
+        if not g:
+            return 1.0 / 300
+        beside = [times(k, x) for x in everything if len(x) == len(g) and x[:-1] == g[:-1]]
+        total, kinds = sum(beside), sum(b > 0 for b in beside)
+        lower = p(k, g[1:])
+        return (max(times(k, g) - d, 0) + d * kinds * lower) / total if total else lower
+
+    asked = sorted({x for c in grams for x in c})[::5] + [tuple([257] * (n - 1) + [ord("z")]), tuple(b"abcabz"[-n:])]
+    keys = np.array([sum(s << (9 * i) for i, s in enumerate(reversed(g))) for g in sorted({*asked, *grams[0], *grams[1]})])
+    order = np.argsort(keys)
+    counts = [np.array([c[g] for g in sorted({*asked, *grams[0], *grams[1]})])[order] for c in grams]
+    keys = keys[order]
+    three = np.unique(toxicity.last(keys[counts[0] + counts[1] > 0], 3))
+    shared = toxicity.shared_model(*np.unique(toxicity.last(three, 2), return_counts=True))
+    got = dict(zip(keys.tolist(), (toxicity.ratios(keys, counts, shared) * toxicity.UNIT).tolist()))
+    for g in asked:
+        key = sum(s << (9 * i) for i, s in enumerate(reversed(g)))
+        assert abs(got[key] - math.log(p(1, g) / p(0, g))) < 1e-6
+
+
 def test_quality(spark, odd, empty, labels):
     rnd = random.Random(3)
     good = lambda: " ".join(rnd.choice(["the", "river", "runs", "under", "old", "bridges", "and", "stones"]) for _ in range(60)) + ".\nMore."
