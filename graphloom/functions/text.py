@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 #: Words that are no content, and what a token is.
 STOPWORDS = (
-    "about after also and are because before between from have into that the their them then there these this those when where "
-    "which while with would could should does did how why what were was for not but can has had"
-).split()
+    "about", "after", "also", "and", "are", "because", "before", "between", "from", "have", "into", "that", "the", "their", "them", "then", "there", "this", "these", "those", "when", "where", "which", "while", "with",
+    "would", "could", "should", "does", "did", "how", "why", "what", "were", "was", "for", "not", "but", "can", "has", "had",
+)
 TOKEN = "[a-z][a-z0-9-]{2,}"
+#: A token that is a stopword, or (as the group) one that is not.
+_STOP_OR_TOKEN = f"(?:{'|'.join(STOPWORDS)})(?![a-z0-9-])|({TOKEN})"
 #: Fixed value: queries with one of these are out of scope.
-OUT_OF_SCOPE = "buy forecast investment portfolio stock tomorrow weather".split()
+OUT_OF_SCOPE = ["buy", "forecast", "investment", "portfolio", "stock", "tomorrow", "weather"]
 #: Fixed value: what the withheld answer says.
 WITHHELD = "I could not find enough source-backed evidence to answer this query."
 
@@ -21,14 +23,14 @@ def words_of(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def all_tokens(text: Column) -> Column:
-    """Lower-case tokens with stopwords, in order and with repetitions."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def marked_tokens(text: Column) -> Column:
+    """Lower-case tokens in order and with repetitions; every stopword is an empty string."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_STOP_OR_TOKEN), F.lit(1))
 
 
 def tokens(text: Column) -> Column:
     """Content tokens in order, with repetitions. A null text has null tokens."""
-    return F.filter(all_tokens(text), lambda t: ~F.array_contains(words_of(STOPWORDS), t))
+    return F.filter(marked_tokens(text), lambda t: t != "")
 
 
 def token_set(text: Column) -> Column:
@@ -68,8 +70,7 @@ def _windows(run: Column) -> Column:
 
 def noun_phrases(text: Column, limit: int = 8) -> Column:
     """The first different phrases of a text: per sentence, runs of content tokens cut into windows."""
-    stop = words_of(STOPWORDS)
-    marked = lambda s: F.array_join(F.transform(all_tokens(s), lambda t: F.when(F.array_contains(stop, t), "|").otherwise(t)), " ")
+    marked = lambda s: F.array_join(F.transform(marked_tokens(s), lambda t: F.when(t == "", "|").otherwise(t)), " ")
     runs = lambda s: F.filter(F.transform(F.split(marked(s), r"\|"), lambda r: F.filter(F.split(r, " "), lambda t: t != "")), lambda r: F.size(r) > 1)
     found = F.flatten(F.transform(sentences(text), lambda s: F.flatten(F.transform(runs(s), _windows))))
     return F.slice(F.array_distinct(found), 1, limit)

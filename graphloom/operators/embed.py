@@ -27,9 +27,16 @@ def token_place(token: str, dimensions: int = DIMENSIONS) -> tuple[int, int]:
     return int.from_bytes(digest[:4], "little") % dimensions, 1 if digest[4] % 2 == 0 else -1
 
 
-def hash_embed(rows: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+@functools.lru_cache(1 << 16)
+def token_place_sha1(token: str, dimensions: int = DIMENSIONS) -> tuple[int, int]:
+    """The same by SHA-1, which SQL engines have too: the first eight hexadecimal digits and the ninth."""
+    digest = hashlib.sha1(token.encode()).hexdigest()
+    return int(digest[:8], 16) % dimensions, 1 if int(digest[8], 16) % 2 == 0 else -1
+
+
+def hash_embed(rows: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, place=token_place) -> DataFrame:
     """`rows` with a column embedding: signed counts of the lower-case words between white space, at unit length. Texts
-    without words have a zero vector."""
+    without words have a zero vector. `place` gives the bucket and the sign of a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +44,7 @@ def hash_embed(rows: DataFrame, text: str = "text", dimensions: int = DIMENSIONS
             out = np.zeros((len(texts), dimensions))
             for i, t in enumerate(texts):
                 for token in (t or "").lower().split():
-                    bucket, sign = token_place(token, dimensions)
+                    bucket, sign = place(token, dimensions)
                     out[i, bucket] += sign
             length = np.linalg.norm(out, axis=1, keepdims=True)
             out /= np.where(length > 0, length, 1)
@@ -60,7 +67,8 @@ def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(query_id, node_id, score, rank): the k items of the largest dot product for every query, ties by node_id.
+    """(query_id, node_id, score, rank, low): the k items of the largest dot product for every query, ties by node_id, and
+    the smallest dot product that the query has with any item.
 
     A stated set of queries meets all items in blocks of vectors; each pair of blocks gives k rows for a query at most.
     `queries` is (query_id, embedding), `items` is (node_id, embedding); vectors have one length."""
@@ -72,14 +80,14 @@ def topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 order = np.argsort(np.array(n_ids, object), kind="stable")
                 score = q @ n[order].T
                 top = np.argsort(-np.round(score, 12), 1, "stable")[:, :k]
-                rows = [(q_ids[i], n_ids[order[j]], float(score[i, j])) for i in range(len(q_ids)) for j in top[i]]
-                a, b, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "node_id", "score"])
+                rows = [(q_ids[i], n_ids[order[j]], float(score[i, j]), float(score[i].min())) for i in range(len(q_ids)) for j in top[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["query_id", "node_id", "score", "low"])
 
     met = _blocks(items.select(F.col("node_id").cast("string"), "embedding"), "n").crossJoin(_blocks(queries.select(F.col("query_id").cast("string"), "embedding"), "q"))
-    partial = met.select("q_ids", "q_block", "n_ids", "n_block").mapInArrow(best, "query_id string, node_id string, score double")
-    ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "node_id")))
-    return ranked.where(F.col("rank") <= k)
+    partial = met.select("q_ids", "q_block", "n_ids", "n_block").mapInArrow(best, "query_id string, node_id string, score double, low double")
+    low = partial.groupBy("query_id").agg(F.min("low").alias("low"))
+    ranked = partial.drop("low").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "node_id")))
+    return ranked.where(F.col("rank") <= k).join(low, "query_id")
 
 
 def scale_to_torus(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

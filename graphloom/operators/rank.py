@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from . import embed
 
 #: BM25 parameters and fusion weights.
 K1, B = 1.5, 0.75
@@ -49,13 +50,27 @@ def top(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fused(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """(query_id, node_id, score): both scores scaled to [0, 1] within the query and added by their shares; a node that
-    one side lacks has 0 there before scaling."""
-    both = dense.select("query_id", "node_id", F.col("score").alias("d")).join(lexical.select("query_id", "node_id", F.col("score").alias("l")), ["query_id", "node_id"], "full")
-    both = both.fillna(0.0, ["d", "l"])
-    w = Window.partitionBy("query_id")
-    return both.select("query_id", "node_id", (DENSE_SHARE * geometry.min_max(F.col("d"), w) + LEXICAL_SHARE * geometry.min_max(F.col("l"), w)).alias("score"))
+def scaled(score: Column, low: Column, high: Column) -> Column:
+    return F.when(high == low, F.lit(1.0)).otherwise((score - low) / (high - low))
+
+
+def fused(queries: DataFrame, items: DataFrame, lexical: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, node_id, score): dense and lexical scores, each scaled to [0, 1] over all items of the query, added by
+    their shares. An item that no term of the query finds has a lexical score of 0 before scaling, so 0 is the low end
+    unless every item is found.
+
+    `queries` is (query_id, embedding), `items` is (node_id, embedding), `lexical` has all BM25 scores. Only items that
+    some term finds, and the k + 1 nearest ones of the others, can be among the first k: no more rows are made."""
+    near = embed.topk(queries, items, k + 1)
+    ends = near.groupBy("query_id").agg(F.max("score").alias("d_high"), F.max("low").alias("d_low"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    found = lexical.groupBy("query_id").agg(F.min("score").alias("least"), F.max("score").alias("l_high"), F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(n))  # one row
+    found = found.select("query_id", F.when(F.col("hits") == F.col("n"), F.col("least")).otherwise(F.least(F.lit(0.0), "least")).alias("l_low"), F.greatest(F.lit(0.0), "l_high").alias("l_high"))
+    own = lexical.join(queries.withColumnRenamed("embedding", "q"), "query_id").join(items.withColumnRenamed("embedding", "e"), "node_id").select("query_id", "node_id", F.col("score").alias("l"), geometry.dot(F.col("q"), F.col("e")).alias("d"))
+    rest = near.join(lexical.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").select("query_id", "node_id", F.lit(0.0).alias("l"), F.col("score").alias("d"))
+    both = own.union(rest).join(ends, "query_id").join(found, "query_id", "left")
+    lex = scaled(F.col("l"), F.coalesce("l_low", F.lit(0.0)), F.coalesce("l_high", F.lit(0.0)))
+    return both.select("query_id", "node_id", (DENSE_SHARE * scaled(F.col("d"), F.col("d_low"), F.col("d_high")) + LEXICAL_SHARE * lex).alias("score"))
 
 
 def layout_probe(queries: DataFrame, nodes: DataFrame, kind: str, k: int = 5) -> DataFrame:
@@ -88,8 +103,10 @@ def rerank(items: DataFrame, queries: DataFrame, dense: DataFrame, lexical: Data
     `items` is (node_id, body, evidence), `dense` has the twelve best nodes of a query, `lexical` all BM25 scores."""
     per_query = Window.partitionBy("query_id")
     d = dense.withColumn("dense", geometry.min_max(F.col("score"), per_query)).select("query_id", "node_id", "dense", "rank")
-    low_high = lexical.groupBy("query_id").agg(F.max("score").alias("high"))
-    lex = lexical.join(low_high, "query_id").select("query_id", "node_id", F.when(F.col("high") > 0, F.col("score") / F.col("high")).otherwise(F.lit(1.0)).alias("lexical"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    ends = lexical.groupBy("query_id").agg(F.min("score").alias("least"), F.max("score").alias("high"), F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(n))  # one row
+    ends = ends.withColumn("low", F.when(F.col("hits") == F.col("n"), F.col("least")).otherwise(F.lit(0.0)))
+    lex = lexical.join(ends, "query_id").select("query_id", "node_id", scaled(F.col("score"), F.col("low"), F.col("high")).alias("lexical"))
     seeds = d.where("rank <= 8").select("query_id", "node_id").union(top(lexical.where("score > 0"), 8).select("query_id", "node_id")).distinct()
     asked = queries.select("query_id", text.token_set(F.col("query")).alias("terms"))
     known = items.select("node_id", text.token_set(F.col("body")).alias("tokens"), text.token_set(F.col("evidence")).alias("proof"))

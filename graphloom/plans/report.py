@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import evaluate
 
@@ -18,13 +19,34 @@ def markdown_table(header: list[str], rows: list[list[object]]) -> str:
 
 
 def render(rows: DataFrame, flagship: str) -> str:
-    """`rows` come from `evaluate.scored`. One row for a strategy, failures by label and the hardest misses are collected."""
+    """`rows` come from `evaluate.scored`. One row for a strategy or suite, failures by label and the hardest misses are
+    collected; sections without rows are left out."""
     summaries = evaluate.summary(rows)
-    names = ["strategy", "rows", "pass_rate", *evaluate.METRICS, "p50_latency_ms", "p95_latency_ms"]
-    parts = ["# Evaluation", "## Strategies", markdown_table(names, [[r[n] for n in names] for r in summaries.orderBy("strategy").collect()])]
-    parts += ["## Failures", markdown_table(["label", "rows"], [[r["label"], r["rows"]] for r in evaluate.failures(rows).orderBy("rows", "label").collect()])]
-    parts += ["## Hardest misses", markdown_table(["question", "strategy"], [[r["question_id"], r["strategy"]] for r in evaluate.hardest(rows).orderBy("place").collect()])]
-    found = evaluate.thesis(summaries, flagship).first()
-    if found and found["baseline"]:
-        parts += ["## Against the best other strategy", f"{flagship} against {found['baseline']}: pass rate {found['pass_rate_delta']:+.2f}, sources {found['source_recall_delta']:+.2f}, paths {found['path_recall_delta']:+.2f}, faithfulness {found['faithfulness_delta']:+.2f}."]
+    short = ["pass_rate", *evaluate.METRICS, "p95_latency_ms"]
+    sections = [
+        ("Strategies", ["strategy", "rows", "pass_ci_low", "pass_ci_high", *short, "p50_latency_ms", *(f"mean_{c}" for c in evaluate.COSTS), "warning_rate", "skipped_rate"], summaries.orderBy("strategy")),
+        ("Suites", ["suite", "strategy", "rows", *short], evaluate.breakdown(rows).orderBy("suite", "strategy")),
+        ("Boundary crossings", ["strategy", *short, "mean_portal_hops", "mean_shard_fanout", "mean_shard_crossings"], evaluate.boundary(rows).orderBy("strategy")),
+        ("Failures", ["label", "rows"], evaluate.failures(rows).orderBy(F.desc("rows"), "label")),
+        ("Hardest misses", ["question_id", "strategy"], evaluate.hardest(rows).orderBy("place")),
+        ("Reviews", ["audit_status", "rows"], rows.groupBy("audit_status").agg(F.count(F.lit(1)).alias("rows")).orderBy("audit_status")),
+        ("External strategies", ["external_rows", "skipped_rows", "warning", "rows"], evaluate.external(rows).where("external_rows > 0")),
+        ("Against the best other strategy", ["baseline", "pass_rate_delta", "source_recall_delta", "path_recall_delta", "faithfulness_delta"], evaluate.thesis(summaries, flagship).where("baseline IS NOT NULL")),
+        ("Costs", ["widest", "widest_mean_shard_fanout", "slowest", "slowest_p95_latency_ms", "most_warned", "most_warned_warning_rate"], evaluate.cost_notes(summaries)),
+    ]
+    parts = ["# Evaluation"]
+    for title, names, table in sections:
+        found = [[r[n] for n in names] for r in table.collect()]
+        parts += [f"## {title}", markdown_table(names, found)] if found else []
+    return "\n\n".join(parts) + "\n"
+
+
+def answer_report(answer: dict, hops: list[dict], evidence: list[dict], warnings: list[str]) -> str:
+    """One answer as Markdown: what it says and on what it rests, the path, what to do and what is lacking."""
+    bullets = lambda values: "\n".join(f"- {cell(v)}" for v in values) or "- none"
+    path = [f"{h['from_id']} -> {h['to_id']} ({h['edge_type']}, {h['score']:.2f})" for h in hops]
+    spans = [f"{e['uri']} [{e['start']}-{e['end']}]" for e in evidence]
+    parts = ["# Answer", answer["answer"], f"Confidence {answer['confidence']:.2f}, {answer['sources']} source(s)."]
+    for title, values in (("Root cause", answer["root_cause"]), ("Path", path), ("Evidence", spans), ("Actions", answer["actions"]), ("Missing", answer["missing"]), ("Warnings", warnings)):
+        parts += [f"## {title}", bullets(values)]
     return "\n\n".join(parts) + "\n"

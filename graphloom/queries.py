@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, text
+from .functions.shared import scratch
 from .operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
-from .plans import index
+from .plans import index, strategies
 from .plans.policy import TraversalPolicy
 from .sources import tables
 from .sources.markup import html_text
@@ -32,9 +33,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding rows on the torus by their first two components."""
+    """Embedding rows on the torus by the sums of every second component, from the first and from the second."""
     v = tables.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    at = v.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    half = lambda odd: F.aggregate(F.filter("embedding", lambda x, i: i % 2 == odd), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    at = v.select("vec_id", half(0).alias("x"), half(1).alias("y"))
     return embed.scale_to_torus(at).select(F.col("vec_id").cast("string").alias("node_id"), "theta", "phi")
 
 
@@ -56,8 +58,8 @@ def sentence_split(spark, sf_dir):
 
 
 def noun_phrases(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.noun_phrases(text.normalize(F.col("text")), 8)).alias("pos", "phrase"))
-    return d.select("item_id", F.col("pos").cast("long"), "phrase")
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.noun_phrases(text.normalize(F.col("text")), 8)).alias("pos", "phrase"))
+    return d.select("doc_id", F.col("pos").cast("long"), "phrase")
 
 
 def normalize_text(spark, sf_dir):
@@ -72,7 +74,8 @@ def markdown_text(spark, sf_dir):
 
 def document_titles(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.title(F.col("text"), F.lit("untitled")).alias("title"), text.slug(F.substring(F.col("text"), 1, 40)).alias("slug"), text.estimate_tokens(F.col("text")).alias("tokens_estimated"))
+    d = d.withColumn("title", text.title(F.col("text"), F.lit("untitled")))
+    return d.select("doc_id", "title", text.slug(F.col("title")).alias("slug"), text.estimate_tokens(F.col("text")).alias("tokens_estimated"))
 
 
 def chunk_documents(spark, sf_dir):
@@ -179,18 +182,20 @@ def bm25_topk(spark, sf_dir):
     return rank.top(rank.bm25(items(spark, sf_dir), questions(spark, sf_dir)), 5).select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
-def hybrid_fusion(spark, sf_dir):
-    dense = dense_scores(spark, sf_dir)
-    lexical = rank.bm25(items(spark, sf_dir), questions(spark, sf_dir))
-    return rank.top(rank.fused(dense, lexical), 5).select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+def embedded(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Hash embeddings by SHA-1, which the SQL of these queries has too."""
+    return embed.hash_embed(rows.select(F.col(name), F.col(column)), column, place=embed.token_place_sha1).select(name, "embedding")
 
 
-def dense_scores(spark, sf_dir):
-    """A dense score for every query and document: the share of the query's distinct terms that the document has."""
-    q = questions(spark, sf_dir).select("query_id", text.token_set(F.col("query")).alias("terms"))
-    hits = q.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    words = items(spark, sf_dir).select("node_id", F.explode(text.token_set(F.col("body"))).alias("term"))
-    return hits.join(words, "term").groupBy("query_id", "node_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
+def dense(spark, sf_dir, k: int):
+    """The k nearest documents of every question by hash embeddings."""
+    return embed.topk(embedded(questions(spark, sf_dir), "query", "query_id"), embedded(items(spark, sf_dir), "body", "node_id"), k)
+
+
+def hybrid_fusion(spark, sf_dir):
+    i, q = items(spark, sf_dir), questions(spark, sf_dir)
+    found = rank.fused(embedded(q, "query", "query_id"), embedded(i, "body", "node_id"), rank.bm25(i, q), 5)
+    return rank.top(found, 5).select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
 def community_topk(spark, sf_dir):
@@ -198,27 +203,30 @@ def community_topk(spark, sf_dir):
 
 
 def document_chain(spark, sf_dir):
-    """A graph of documents: each to the next of its source."""
-    w = Window.partitionBy("domain").orderBy("node_id")
-    d = items(spark, sf_dir).withColumn("target", F.lead("node_id").over(w)).where("target IS NOT NULL")
-    return d.select(F.col("node_id").alias("source"), "target", F.lit("related_to").alias("edge_type"), F.lit(0.62).alias("weight"), F.lit("").alias("phrase"), F.array().cast("array<string>").alias("shared_terms"), F.lit("same_source").alias("reason"))
+    """A graph of documents: each to the next of its source, and by a portal to the next of all where that is of another
+    source."""
+    i = items(spark, sf_dir).select("node_id", "domain")
+    same = graph.following(i, "domain", "node_id").where("after.domain = domain").select(F.col("node_id").alias("source"), F.col("after.node_id").alias("target"), F.lit("related_to").alias("edge_type"), F.lit(0.62).alias("weight"))
+    other = graph.following(i, "node_id", "domain").where("after.domain <> domain").select("node_id", "after.node_id", F.lit("portal"), F.lit(0.66))
+    return same.union(other).select("source", "target", "edge_type", "weight", F.lit("").alias("phrase"), F.array().cast("array<string>").alias("shared_terms"), F.lit("next").alias("reason"))
 
 
 def graph_rerank(spark, sf_dir):
     q, i = questions(spark, sf_dir), items(spark, sf_dir)
-    dense = rank.top(dense_scores(spark, sf_dir), 12)
-    found = rank.rerank(i, q, dense, rank.bm25(i, q), document_chain(spark, sf_dir))
+    found = rank.rerank(i, q, dense(spark, sf_dir, 12), rank.bm25(i, q), document_chain(spark, sf_dir))
     return found.select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
 def seeds(spark, sf_dir, k: int = 5):
-    return rank.top(dense_scores(spark, sf_dir), k).select("query_id", "node_id", "score", "rank")
+    return dense(spark, sf_dir, k).select("query_id", "node_id", "score", "rank")
 
 
 def graph_nodes(spark, sf_dir):
+    """Documents as nodes, at places on the torus that a hash of their id gives."""
     i = items(spark, sf_dir)
     groups = F.array(F.struct(F.col("domain").alias("subgraph"), F.lit(1.0).alias("weight")))
-    return i.select(F.col("node_id").alias("id"), F.lit("").alias("label"), F.col("body").alias("text"), F.lit(None).cast("double").alias("theta"), F.lit(None).cast("double").alias("phi"), groups.alias("memberships"))
+    angle = lambda at: F.conv(F.substring(F.sha1("node_id"), at, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.lit(geometry.TURN)
+    return i.select(F.col("node_id").alias("id"), "domain", F.lit("").alias("label"), F.col("body").alias("text"), angle(1).alias("theta"), angle(9).alias("phi"), groups.alias("memberships"), text.token_set(F.col("body")).alias("tokens"))
 
 
 def edge_scores(spark, sf_dir):
@@ -234,15 +242,15 @@ def traverse_levels(spark, sf_dir):
 
 
 def concept_index(spark, sf_dir):
-    return index.build(corpus(spark, sf_dir), index.shared_path(spark, "index"))
+    return index.build(corpus(spark, sf_dir), scratch(spark, "index"))
 
 
 def traverse_best_first(spark, sf_dir):
     found, q = concept_index(spark, sf_dir), questions(spark, sf_dir)
-    path = index.shared_path(spark, "walk")
+    path = scratch(spark, "walk")
     index.seeds(q, found).write.parquet(f"{path}/seeds")
     rows = traverse.best_first(q, spark.read.parquet(f"{path}/seeds"), found.nodes, found.edges, path)
-    return rows.where("kind <> 'pruned'").select("query_id", "seq", "kind", "from_id", "to_id", "edge_type", F.round("score", 4).alias("score"), "depth", "reason")
+    return rows.where("kind IN ('visit', 'hop')").select("query_id", "seq", "kind", "from_id", "to_id", "edge_type", F.round("score", 4).alias("score"), "depth", "reason")
 
 
 def graph_answers(spark, sf_dir):
@@ -252,8 +260,16 @@ def graph_answers(spark, sf_dir):
 
 
 def agentic_hits(spark, sf_dir):
-    nodes, edges = graph_nodes(spark, sf_dir), document_chain(spark, sf_dir)
-    return traverse.agentic(questions(spark, sf_dir), seeds(spark, sf_dir, 2), nodes, edges).select("query_id", "node_id", F.col("rank").cast("long"))
+    i, q = items(spark, sf_dir), questions(spark, sf_dir)
+    first = traverse.agentic_seeds(dense(spark, sf_dir, 2), rank.top(rank.bm25(i, q), 2))
+    found = traverse.agentic(q, first, graph_nodes(spark, sf_dir), document_chain(spark, sf_dir))
+    return found.where("kind = 'visit' AND rank <= 5").select("query_id", "node_id", F.col("rank").cast("long"))
+
+
+def agentic_start(spark, sf_dir):
+    i, q = items(spark, sf_dir), questions(spark, sf_dir)
+    first = traverse.agentic_seeds(dense(spark, sf_dir, 2), rank.top(rank.bm25(i, q), 2))
+    return first.select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
 def evidence(spark, sf_dir):
@@ -289,16 +305,22 @@ def answer_rows(spark, sf_dir):
 
 
 def answer_claims(spark, sf_dir):
-    q = questions(spark, sf_dir)
-    ranked = answer.ranked_evidence(evidence(spark, sf_dir), q)
-    said = q.select("query_id", F.col("query").alias("answer"))
-    other = q.select("query_id", F.lit("the").alias("query"))
-    return answer.claims(said, ranked, other).select("query_id", F.col("seq").cast("long"), "supported", F.col("support_count").cast("long"))
+    q, e = questions(spark, sf_dir), evidence(spark, sf_dir)
+    a = answer.answers(q, labelled(spark, sf_dir), e).where("NOT withheld")
+    return answer.claims(a, answer.ranked_evidence(e, q), q).select("query_id", F.col("seq").cast("long"), "supported", F.col("support_count").cast("long"))
 
 
 def source_health(spark, sf_dir):
-    h = graph.source_health(tables.table(spark, sf_dir, "documents"), F.col("source"), warnings=2, unsupported=1)
-    return h.select("documents", "empty_documents", "source_types", "duplicate_documents", F.round("quality_score", 4).alias("quality_score"))
+    told = F.when(F.length(F.trim("text")) < 20, F.array(F.concat(F.lit("short text in "), "lang")))
+    h = graph.source_health(tables.table(spark, sf_dir, "documents"), F.col("source"), told, unsupported=1)
+    return h.select("documents", "empty_documents", "source_types", "duplicate_documents", "warnings", F.array_join("warning_texts", "|").alias("warning_texts"), F.array_join(F.transform("by_type", lambda t: F.concat_ws("=", t["source_type"], t["count"].cast("string"))), "|").alias("by_type"), F.round("quality_score", 4).alias("quality_score"))
+
+
+def node_health(spark, sf_dir):
+    c = concepts(spark, sf_dir)
+    hashes = corpus(spark, sf_dir).select(F.col("id").alias("document_id"), F.sha2(text.normalize(F.col("text")), 256).alias("normalized_sha256"))
+    rows = c.join(hashes, "document_id").withColumn("warnings", F.when(F.length("text") < 20, F.array(F.lit("short chunk"))))
+    return graph.node_health(rows).select("documents", "chunks", "empty_documents", "duplicate_documents", "warnings", F.round("quality_score", 4).alias("quality_score"))
 
 
 def runs(spark, sf_dir):
@@ -312,10 +334,54 @@ def runs(spark, sf_dir):
         F.col("o_orderkey").cast("string").alias("question_id"), "strategy", F.lit("which orders are open").alias("question"), F.array(F.lit("a"), F.lit("n")).alias("expected_terms"), F.array(F.lit("docs://flags/"), F.lit("docs://none/")).alias("expected_sources"),
         expected.alias("expected_edge_types"), (F.col("lines") > 1).alias("expect_answer"), F.concat(F.lit("orders flags "), F.array_join("flags", " ")).alias("answer"), F.array_join("flags", " ").alias("evidence_text"),
         F.when(F.col("lines") > 1, F.array(F.lit("docs://flags#1"))).otherwise(F.array().cast("array<string>")).alias("returned_sources"), "edge_types", F.when(F.col("lines") > 1, 1).otherwise(0).alias("source_hits"), F.lit(False).alias("skipped"),
+        F.when(F.col("lines") > 3, "boundary_crossing").otherwise("plain").alias("suite"), F.col("lines").cast("int").alias("nodes_visited"), (F.col("lines") % 3).cast("int").alias("portal_hops"), F.size("flags").alias("shard_crossings"), (F.col("lines") == 7).alias("external"), F.lit(0).alias("hops_taken"),
         F.col("o_totalprice").alias("latency_ms"), F.when(F.col("quantity") > 100, F.array(F.lit("node budget reached"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.col("lines").alias("shard_fanout"),
     )
 
 
+SUMMARY = ("pass_rate", *evaluate.METRICS, "p50_latency_ms", "p95_latency_ms", "pass_ci_low", "pass_ci_high", *(f"mean_{c}" for c in evaluate.COSTS), "warning_rate", "skipped_rate", "external_rate")
+
+
+def labelled_questions(spark, sf_dir):
+    """The benchmark passages as questions: three of their terms, and the documents that hold them, are expected."""
+    b = tables.table(spark, sf_dir, "benchmark").where("text <> ''")
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    held = d.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains(d["text"], F.col("passage")))  # a stated set of queries
+    uri = F.concat(F.lit("docs://"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.col("doc_id").cast("string"))
+    sources = held.groupBy("item_id").agg(F.sort_array(F.collect_set(uri)).alias("sources"))
+    none = F.array().cast("array<string>")
+    return b.join(sources, "item_id", "left").select(
+        F.col("item_id").cast("string").alias("id"), F.when(F.size("sources") > 1, "boundary_crossing").otherwise("plain").alias("suite"), F.col("text").alias("question"), text.important_terms(F.col("text"), 3).alias("expected_terms"),
+        F.coalesce("sources", none).alias("expected_sources"), none.alias("expected_edge_types"), F.lit(True).alias("expect_answer"), F.lit("built_in").alias("audit_status"),
+    )
+
+
+def bm25_eval(spark, sf_dir):
+    """The BM25 answers of the documents, scored as an evaluation scores a strategy."""
+    q = questions(spark, sf_dir)
+    e = evidence(spark, sf_dir)
+    ranked = answer.ranked_evidence(e, q).where(F.col("rank") <= answer.SPANS)
+    texts = ranked.groupBy("query_id").agg(F.array_join(answer.in_order("text"), " ").alias("evidence_text"), F.array_distinct(answer.in_order("uri")).alias("returned_sources"))
+    none = F.array().cast("array<string>")
+    said = answer.answers(q, labelled(spark, sf_dir), e).select("query_id", "answer").join(texts, "query_id", "left")
+    met = labelled_questions(spark, sf_dir).withColumnRenamed("id", "question_id").join(said.withColumnRenamed("query_id", "question_id"), "question_id")
+    met = met.withColumns({"evidence_text": F.coalesce("evidence_text", F.lit("")), "returned_sources": F.coalesce("returned_sources", none), "edge_types": none, "strategy": F.lit("bm25")})
+    hits = evaluate.source_matches(met, met.select("question_id", F.explode("returned_sources").alias("uri")))
+    return evaluate.scored(met.join(hits, "question_id", "left"))
+
+
+def bm25_eval_rows(spark, sf_dir):
+    return bm25_eval(spark, sf_dir).select("question_id", "suite", *[F.round(m, 4).alias(m) for m in evaluate.METRICS], "passed")
+
+
+def strategy_eval(spark, sf_dir):
+    """Strategies over one index of the documents, for the benchmark passages; `graph_answers` has the traversal."""
+    path = scratch(spark, "runs")
+    rows = strategies.scored(concept_index(spark, sf_dir), labelled_questions(spark, sf_dir), path, "vector_only,bm25,hybrid_dense_bm25,hybrid_graph_rerank,bounded_agentic,community_summary,torus_layout")
+    s = evaluate.summary(rows)
+    return s.select("strategy", "rows", *[F.round(c, 4).alias(c) for c in ("pass_rate", *evaluate.METRICS, *(f"mean_{c}" for c in evaluate.COSTS), "warning_rate")])
+
+
 def eval_rows(spark, sf_dir):
     r = evaluate.scored(runs(spark, sf_dir))
     return r.select("question_id", "strategy", *[F.round(m, 4).alias(m) for m in evaluate.METRICS], "passed")
@@ -323,7 +389,7 @@ def eval_rows(spark, sf_dir):
 
 def strategy_summary(spark, sf_dir):
     s = evaluate.summary(evaluate.scored(runs(spark, sf_dir)))
-    return s.select("strategy", "rows", *[F.round(c, 4).alias(c) for c in ("pass_rate", *evaluate.METRICS, "p50_latency_ms", "p95_latency_ms", "pass_ci_low", "pass_ci_high")])
+    return s.select("strategy", "rows", *[F.round(c, 4).alias(c) for c in SUMMARY])
 
 
 def failure_taxonomy(spark, sf_dir):
@@ -336,18 +402,35 @@ def thesis_check(spark, sf_dir):
 
 
 def suite_breakdown(spark, sf_dir):
-    rows = evaluate.scored(runs(spark, sf_dir)).withColumn("suite", F.when(F.col("expect_answer"), "answered").otherwise("negative"))
-    s = evaluate.summary(rows, "suite", "strategy")
+    s = evaluate.breakdown(evaluate.scored(runs(spark, sf_dir)))
     return s.select("suite", "strategy", "rows", *[F.round(c, 4).alias(c) for c in ("pass_rate", "faithfulness", "p95_latency_ms")])
 
 
+def boundary_slice(spark, sf_dir):
+    s = evaluate.boundary(evaluate.scored(runs(spark, sf_dir)))
+    return s.select("strategy", "rows", *[F.round(c, 4).alias(c) for c in ("pass_rate", "path_precision", "mean_portal_hops", "mean_shard_fanout", "mean_shard_crossings")])
+
+
 def cost_notes(spark, sf_dir):
-    return evaluate.cost_notes(evaluate.summary(evaluate.scored(runs(spark, sf_dir))))
+    n = evaluate.cost_notes(evaluate.summary(evaluate.scored(runs(spark, sf_dir))))
+    return n.select("widest", F.round("widest_mean_shard_fanout", 4).alias("fanout"), "slowest", F.round("slowest_p95_latency_ms", 4).alias("p95"), "most_warned", F.round("most_warned_warning_rate", 4).alias("warned"))
+
+
+def reviews(spark, sf_dir):
+    """Labels as review records of their documents: quality says what the review says, and every third one is not signed."""
+    label = tables.table(spark, sf_dir, "labels")
+    signed = F.col("doc_id") % 3 != 0
+    none = F.array().cast("array<string>")
+    return label.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("line"), F.when(F.col("quality") == 1, "Approved ").otherwise("rejected").alias("status"), F.when(F.col("doc_id") % 5 == 0, "assistant").otherwise("human").alias("review_type"),
+        F.when(signed, "someone").otherwise("").alias("auditor"), F.when(signed, "2024-01-01").otherwise(" ").alias("reviewed_at"), F.lit("reviewed").alias("question"), F.array(F.col("toxic").cast("string")).alias("expected_terms"), none.alias("expected_sources"),
+        none.alias("expected_edge_types"), F.lit(True).alias("expect_answer"),
+    )
 
 
 def status_counts(spark, sf_dir):
-    records = tables.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"))
-    return evaluate.status_counts(records)
+    r = reviews(spark, sf_dir)
+    return evaluate.status_counts(r.select(evaluate.review_status(*(F.col(c) for c in ("status", "review_type", "auditor", "reviewed_at"))).alias("status")))
 
 
 def hardest_misses(spark, sf_dir):
@@ -356,9 +439,9 @@ def hardest_misses(spark, sf_dir):
 
 
 def audit_override(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("open").alias("status"), F.array("lang").alias("expected_terms"))
-    records = tables.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("line"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"), F.array(F.col("toxic").cast("string")).alias("expected_terms"))
-    return evaluate.audited(d, records).select("id", "status", F.array_join("expected_terms", ",").alias("expected_terms"))
+    none = F.array().cast("array<string>")
+    d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("open").alias("audit_status"), F.lit("asked").alias("question"), F.array("lang").alias("expected_terms"), none.alias("expected_sources"), none.alias("expected_edge_types"), F.lit(False).alias("expect_answer"))
+    return evaluate.audited(d, reviews(spark, sf_dir)).select("id", "audit_status", "question", F.array_join("expected_terms", ",").alias("expected_terms"), "expect_answer")
 
 
 def golden_questions(spark, sf_dir):
@@ -381,7 +464,7 @@ QUERIES = {
     for f in (
         tokenize_documents, important_terms, sentence_split, noun_phrases, normalize_text, markdown_text, document_titles, chunk_documents, page_html_text, url_domain, conversation_documents, doclet_rounds, concept_nodes,
         adjacency_edges, shared_phrase_edges, capped_phrase_edges, graph_stats, neighbors_khop, hash_embedding, vector_topk, torus_layout, torus_scale, torus_distance, shard_assign, shard_fanout, layout_probe, bm25_topk,
-        hybrid_fusion, community_topk, graph_rerank, edge_scores, traverse_levels, traverse_best_first, graph_answers, agentic_hits, evidence_rank, support_sentences, answer_rows, answer_claims, source_health, eval_rows, strategy_summary,
-        failure_taxonomy, thesis_check, suite_breakdown, cost_notes, status_counts, hardest_misses, audit_override, golden_questions, uri_matches,
+        hybrid_fusion, community_topk, graph_rerank, edge_scores, traverse_levels, traverse_best_first, graph_answers, agentic_hits, agentic_start, evidence_rank, support_sentences, answer_rows, answer_claims, source_health, node_health, eval_rows, strategy_summary,
+        failure_taxonomy, thesis_check, suite_breakdown, boundary_slice, cost_notes, bm25_eval_rows, strategy_eval, status_counts, hardest_misses, audit_override, golden_questions, uri_matches,
     )
 }

@@ -4,13 +4,47 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import graph
 from . import markup
 
 
+#: Unsupported files of a folder that have a warning each.
+TOLD = 12
+
+
+def ingest(spark: SparkSession, sources: list[str], snapshots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents and records of all sources: files and folders are read, URLs come from their pinned `snapshots`. No sources,
+    and a URL without a snapshot, are errors."""
+    if not sources:
+        raise ValueError("no sources: name files, folders, URLs or a manifest of them")
+    urls = [s for s in sources if s.lower().startswith(("http://", "https://"))]
+    docs = records = None
+    for root in [s for s in sources if s not in urls]:
+        own, facts = workspace(spark, root)
+        docs, records = (own, facts) if docs is None else (docs.unionByName(own), records.unionByName(facts))
+    if urls:
+        found = snapshots.where(F.col("url").isin(*urls)) if snapshots is not None else None
+        missing = sorted(set(urls) - {r["url"] for r in found.select("url").collect()}) if found is not None else urls  # the sources that a caller names
+        if missing:
+            raise ValueError(f"no snapshot of {', '.join(missing[:5])}: fetch it and pin it first")
+        own = snapshot_documents(found)
+        raw = F.sha2("body", 256)
+        facts = found.select(F.col("url").alias("path"), F.lit("url").alias("source_type"), "content_type", F.lit(True).alias("supported"), raw.alias("raw_sha256"), F.sha2(text.normalize(F.col("body")), 256).alias("normalized_sha256"), "retrieved_at", F.array().cast("array<string>").alias("warnings"))
+        docs, records = (own, facts) if docs is None else (docs.unionByName(own, True), records.unionByName(facts, True))
+    return docs, records
+
+
+def health(docs: DataFrame, records: DataFrame) -> DataFrame:
+    """The health of ingested sources: `graph.source_health` over the records of supported files and their documents."""
+    unsupported = records.where("NOT supported").count()
+    read = records.where("supported").select("path", "source_type", "warnings").join(docs.select(F.col("source").alias("path"), "text"), "path", "left")
+    return graph.source_health(read, F.col("source_type"), F.col("warnings"), unsupported)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, modificationTime, length, content, supported) of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -27,8 +61,10 @@ def workspace(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     unsupported = F.array(F.concat(F.lit("unsupported file: "), F.element_at(F.split("path", "/"), -1)))
     records = known.select(
-        "path", F.lit("file").alias("source_type"), "supported", "raw_sha256", F.when(F.col("supported"), sha).alias("normalized_sha256"), "retrieved_at", F.when(F.col("supported"), F.col("warnings")).otherwise(unsupported).alias("warnings")
+        "path", F.lit("file").alias("source_type"), markup.content_type(F.col("path")).alias("content_type"), "supported", "raw_sha256", F.when(F.col("supported"), sha).alias("normalized_sha256"), "retrieved_at", F.when(F.col("supported"), F.col("warnings")).otherwise(unsupported).alias("warnings")
     )
+    number_of = F.row_number().over(Window.partitionBy("supported", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).orderBy("path"))
+    records = records.withColumn("warnings", F.when(F.col("supported") | (number_of <= TOLD), F.col("warnings")).otherwise(F.array().cast("array<string>")))
     name = text.slug(F.col("path"))
     number = F.concat(F.lit("doc:workspace:"), F.substring(name, -64, 64), F.lit(":"), F.substring(sha, 1, 12))
     docs = known.where("supported").select(number.alias("id"), text.title(F.col("text"), F.element_at(F.split("path", "/"), -1)).alias("title"), F.col("path").alias("source"), text.domain_of_path(F.col("path")).alias("domain"), "text", F.create_map(F.lit("source_type"), F.lit("file"), F.lit("raw_sha256"), F.col("raw_sha256")).alias("metadata"))

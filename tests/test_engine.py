@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import geometry, text
 from graphloom.operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
-from graphloom.plans import index, report
+from graphloom.plans import index, report, store, strategies
 from graphloom.plans.policy import TraversalPolicy
 from graphloom.sources import files, markup
 
@@ -108,14 +109,37 @@ def test_geometry(spark):
         geometry.shard_id(F.lit(0.0), F.lit(0.0), 0, 4)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), min_size=2, max_size=40), st.integers(1, 30))
-def test_capped_pairs(domains, most):
-    ids = [f"n{i:03d}" for i in range(len(domains))]
-    pairs = extract.capped(ids, domains, most)
-    every = len(ids) * (len(ids) - 1) // 2
-    assert len(pairs) == len({tuple(sorted(p)) for p in pairs}) == min(most, every) if every <= most else len(pairs) <= most
-    assert all(i != j for i, j in pairs)
+def capped_model(ids, domains, most):
+    """The rules of capped pairs over a whole list, one after the other."""
+    n, taken = len(ids), []
+    if n * (n - 1) // 2 <= most:
+        return {(i, j) for i in range(n) for j in range(i + 1, n)}
+    half = max(1, most // 2)
+    step = max(1, (n - 1) // half)
+    order = [(i, i + 1) for i in range(0, n - 1, step)][:half]
+    members = {d: [i for i in range(n) if domains[i] == d] for d in sorted(set(domains))}
+    for r in range(max(map(len, members.values()))):
+        order += [(members[a][r % len(members[a])], members[b][r % len(members[b])]) for a, b in itertools.combinations(members, 2)]
+    order += [(i, i + gap) for gap in range(2, n) for i in range(0, n - gap, step)]
+    for i, j in order:
+        if len(taken) < most and (i, j) not in taken and (j, i) not in taken:
+            taken.append((i, j))
+    return set(taken)
+
+
+@pytest.mark.parametrize("most", [1, 7, 20])
+def test_capped_pairs(spark, monkeypatch, most):
+    """Ranks and filters bring all places that the rules ask for, whatever the list's length."""
+    monkeypatch.setattr(extract, "WHOLE", 12)
+    rnd = random.Random(most)
+    lists = {f"p{i}": [rnd.choice("abcd"[: 1 + i % 4]) for _ in range(rnd.choice([2, 5, 9, 40, 150]))] for i in range(14)}
+    rows = [(f"{p}-{i:03d}", f"d{i:04d}", 0, d, [p], []) for p, own in lists.items() for i, d in enumerate(own)]
+    concepts = spark.createDataFrame(rows, "id string, document_id string, ordinal int, domain string, phrases array<string>, terms array<string>").repartition(5)
+    got = {}
+    for r in extract.capped_pairs(concepts, most).collect():
+        got.setdefault(r["phrase"], set()).add((int(r["left_id"][-3:]), int(r["right_id"][-3:])))
+    assert got == {p: capped_model(range(len(own)), own, most) for p, own in lists.items()}
+    assert all(len(pairs) <= most for pairs in got.values()) and extract.capped_pairs(concepts, 0).count() == 0
 
 
 def test_graph(spark, built):
@@ -203,14 +227,48 @@ def test_rounds_equal_one_search(spark, built):
         for own in lists.values():
             own.sort(key=lambda e: (-round(e[3], 9), e[0], e[1]))
         seeds = [(r["node_id"], r["score"]) for r in first.where(F.col("query_id") == q).orderBy("rank").collect()]
-        want = [r[2] for r in traverse.walk(terms, seeds, tokens, lists, policy) if r[1] == "visit"]
-        assert [r["from_id"] for r in got if r["query_id"] == q] == want
-
-
-def test_hop_selection():
-    hops = [{"from_id": f"n{i}", "to_id": f"n{i + 1}", "edge_type": "related_to" if i % 3 else "portal", "score": i / 10, "matched": ["a"] if i % 2 else []} for i in range(12)]
-    kept = traverse.select_hops(hops, {"a"}, {"a"}, 4)
-    assert len(kept) == 4 and {"portal", "related_to"} <= {h["edge_type"] for h in kept} and kept == sorted(kept, key=hops.index)
+        rows, over = traverse.Search(seeds, policy).run(terms, tokens, lists)
+        assert over and [r["from_id"] for r in got if r["query_id"] == q] == [r[2] for r in rows if r[1] == "visit"]
+
+
+def test_search_goes_on_from_its_state():
+    edges = {f"n{i}": [(f"n{j}", "portal" if (i + j) % 5 == 0 else "related_to", 0.5, 0.3 + (i * j % 7) / 10, 0.3, ["a"], False, "r") for j in range(12) if j != i] for i in range(12)}
+    tokens, policy = {n: {"a"} if int(n[1:]) % 2 else {"b"} for n in edges}, TraversalPolicy(max_hops=4, max_nodes=9)
+    whole, _ = traverse.Search([("n0", 1.0)], policy).run({"a", "b", "c", "d"}, tokens, edges)
+    rows, state, over = [], None, False
+    loaded = {"n0"}
+    while not over:
+        search = traverse.Search([("n0", 1.0)], policy, state)
+        more, over = search.run({"a", "b", "c", "d"}, {n: tokens[n] for n in loaded}, {n: edges[n] for n in loaded}, loaded)
+        rows, state, loaded = rows + more, search.state(), {n for n, _, _ in search.frontier}
+    assert rows == whole and len([r for r in rows if r[1] == "visit"]) > 4
+
+
+def test_portal_budgets(spark, built):
+    queries = spark.createDataFrame(QUERIES[:1], "query_id string, query string")
+    a = index.answers(queries, built, TraversalPolicy(max_hops=2, max_portal_hops=0))
+    b = a.budget.first()
+    assert b["portal_hops"] == 0 and b["truncated"] == (b["portal_candidates"] > 0) and b["portal_candidates"] > 0
+    assert "portal budget reached" in a.warnings.first()["warnings"]
+    assert {r["reason"] for r in traverse.told(a.trace, "portal").collect()} <= {"portal_budget", "already_visited", "per_node_beam_width", "low_score_without_query_support", "portal_pruned_no_query_support"}
+    assert traverse.told(a.trace, "pruned", contains="PORTAL_budget", most=1).count() == 1
+    assert a.shards.first()["shard_fanout"] >= 1 and a.vector_only.count() == 5
+    told = a.answers.first()
+    assert 0 < len(told["root_cause"]) <= 6 and told["actions"][-1] == answer.LAST_ACTION
+    assert "## Root cause" in report.answer_report(told.asDict(), [], [], [])
+
+
+def test_hop_selection(spark):
+    shape = "query_id string, seq int, kind string, from_id string, to_id string, edge_type string, weight double, score double, depth int, reason string, matched array<string>"
+    hops = [("q", i, "hop", f"n{i}", f"n{i + 1}", "portal" if i == 5 else "related_to" if i == 9 else "supports", 0.5, i / 10 if i not in (5, 9) else 0.0, 1, "r", ["alpha"] if i % 2 else []) for i in range(12)]
+    nodes = spark.createDataFrame([(f"n{i}", 0.1 * i, 0.0, "x") for i in range(13)], "id string, theta double, phi double, text string")
+    queries, none = spark.createDataFrame([("q", "alpha")], "query_id string, query string"), spark.createDataFrame([("q", "alpha")], "query_id string, text string")
+    kept = traverse.reasoning_hops(spark.createDataFrame(hops, shape), queries, nodes, none, 4).orderBy("seq").collect()
+    assert [r["seq"] for r in kept] == [5, 7, 9, 11]  # two by worth, and the only portal and related edge
+    assert traverse.reasoning_hops(spark.createDataFrame(hops, shape), queries, nodes, none, 12).count() == 12
+    again = [("q", 20 + i, "hop", "n11", "n12", "supports", 0.5, 5.0, 1, "r", []) for i in range(3)]  # brings no new node
+    kept = traverse.reasoning_hops(spark.createDataFrame(hops + again, shape), queries, nodes, none, 4).collect()
+    assert sum(r["seq"] >= 20 for r in kept) == 1
     assert traverse.hop_limit(TraversalPolicy()) == 8
     with pytest.raises(ValueError):
         TraversalPolicy(max_hops=9)
@@ -223,11 +281,87 @@ def test_evidence_ranks(spark):
     assert [(r["uri"], r["support"]) for r in ranked] == [("u1", 2), ("u2", 1)]
 
 
+def test_evidence_keeps_the_first(spark):
+    spans = spark.createDataFrame([("q", "u2", 0, 5, "token audience here", 1), ("q", "u1", 0, 5, "token audience here", 2), ("q", "u2", 0, 5, "token audience here", 3)], "query_id string, uri string, start int, end int, text string, seq int")
+    queries = spark.createDataFrame([("q", "token audience")], "query_id string, query string")
+    assert [r["uri"] for r in answer.ranked_evidence(spans, queries).orderBy("rank").collect()] == ["u2", "u1"]
+
+
 def test_source_health(spark):
-    rows = spark.createDataFrame([("a",), ("a",), ("b",), ("",)], "text string")
-    h = graph.source_health(rows, F.lit("file"), warnings=50, unsupported=2).first()
-    assert h["duplicate_documents"] == 1 and h["empty_documents"] == 1
+    rows = spark.createDataFrame([("a", [f"w{i}" for i in range(50)]), ("a", ["w1"]), ("b", None), ("", [])], "text string, told array<string>")
+    h = graph.source_health(rows, F.lit("file"), F.col("told"), unsupported=2).first()
+    assert h["duplicate_documents"] == 1 and h["empty_documents"] == 1 and h["warnings"] == 50 and len(h["warning_texts"]) == 40 and h["by_type"][0]["count"] == 4
     assert abs(h["quality_score"] - (1 - 0.35 - 0.08 - 0.04 - 0.06)) < 1e-9
+    nodes = spark.createDataFrame([("n1", "d1", "x", "h1", []), ("n2", "d1", "y", "h1", []), ("n3", "d2", " ", "h2", ["w"])], "id string, document_id string, text string, normalized_sha256 string, warnings array<string>")
+    assert graph.node_health(nodes).first()["duplicate_documents"] == 0 and graph.node_health(nodes, "node").first()["duplicate_documents"] == 1
+
+
+def test_upsert_takes_the_last(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    rows = spark.createDataFrame([("a", 5, 2), ("a", 4, 1), ("c", 3, 1)], "id string, v int, seq int")
+    assert {tuple(r) for r in graph.upsert(table, rows, "seq").collect()} == {("a", 5), ("b", 2), ("c", 3)}
+
+
+def test_following(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)], "g int, i int").repartition(7)
+    got = {(r["g"], r["i"]): r["after"] and tuple(r["after"]) for r in graph.following(rows, "g", "i").collect()}
+    order = sorted((i % 3, i) for i in range(60))
+    assert got == dict(zip(order, [*order[1:], None]))
+
+
+def test_strategies(spark, built, tmp_path):
+    assert strategies.parsed("bm25, graph_local,vector_only") == ["bm25_local", "graph_local", "vector_only_local"] and len(strategies.parsed("all_with_external")) == 14
+    with pytest.raises(ValueError, match="unknown strategies: nothing"):
+        strategies.parsed("bm25,nothing")
+    rows = [("1", "smoke", "How does the token audience relate to trace context?", ["token", "trace"], ["kb://auth/1", "kb://obs/2"], ["portal"], True), ("2", "smoke", "Why do pods restart during a rollout?", ["pods"], ["kb://work/3"], ["supports"], True), ("3", "negative", "What is the weather forecast tomorrow?", [], [], [], False)]
+    questions = spark.createDataFrame(rows, "id string, suite string, question string, expected_terms array<string>, expected_sources array<string>, expected_edge_types array<string>, expect_answer boolean").withColumn("audit_status", F.lit("built_in"))
+    found = strategies.scored(built, questions, str(tmp_path / "runs"), "graph_traversal,bm25,vector_only,hybrid_dense_bm25,hybrid_graph_rerank,bounded_agentic,community_summary,random_layout,llamaindex_external")
+    found.write.parquet(str(tmp_path / "scored"))
+    found = spark.read.parquet(str(tmp_path / "scored"))
+    assert found.count() == 27
+    s = {r["strategy"]: r for r in evaluate.summary(found.where("suite = 'smoke'")).collect()}
+    assert s["llamaindex_external"]["skipped_rate"] == 1.0 and s["bm25_local"]["term_recall"] == 1.0 and s["graph_traversal"]["path_recall"] >= 0.5 and s["graph_traversal"]["source_recall"] >= 0.5
+    assert all(r["faithfulness"] == 1.0 and r["passed"] for r in found.where("suite = 'negative' AND strategy IN ('graph_traversal', 'bm25_local')").collect())
+    told = report.render(found, "graph_traversal")
+    assert "## Suites" in told and "## External strategies" in told and "## Costs" in told
+    store_path = str(tmp_path / "store")
+    store.append_runs(found.drop("tokens_estimated"), store_path, "r1")
+    store.append_runs(found, store_path, "r2")
+    runs = store.read_runs(spark, store_path)
+    assert runs.count() == 54 and runs.where("tokens_estimated IS NULL").count() == 27 and store.means(runs).count() == 9
+
+
+def test_audits(spark, tmp_path):
+    lines = [
+        {"id": "1", "question": "new", "expected_terms": ["x"], "status": "Approved", "auditor": "me", "reviewed_at": "now", "review_type": "human", "expect_answer": False}, {"id": "2", "question": "no", "status": "approved", "auditor": "", "reviewed_at": ""},
+        {"id": "3", "question": "no", "status": "invalid"}, {"id": "4", "question": "by", "reviewed_terms": ["y"], "status": "reviewed", "auditor": "bot", "reviewed_at": "now", "review_type": "AI"}, {"id": "1", "question": "newest", "expected_terms": ["z"], "status": "approved", "auditor": "me", "reviewed_at": "now"},
+    ]
+    path = tmp_path / "audit.jsonl"
+    path.write_text("\n\n".join(json.dumps(x) for x in lines))
+    questions = tmp_path / "questions.json"
+    questions.write_text(json.dumps([{"id": str(i), "question": "old", "expected_terms": ["a"], "expected_sources": []} for i in range(1, 6)]))
+    asked = store.read_questions(spark, str(questions))
+    assert asked.count() == 5 and asked.first()["suite"] == "golden_candidate" and store.read_questions(spark, str(tmp_path / "none.json")).count() == 0
+    got = {r["id"]: (r["question"], r["expected_terms"], r["expect_answer"], r["audit_status"]) for r in evaluate.audited(asked, store.read_audit(spark, str(path))).collect()}
+    assert got == {
+        "1": ("newest", ["z"], True, "human_reviewed"), "2": ("old", ["a"], True, "reviewed_missing_metadata"), "3": ("old", ["a"], True, "human_rejected"), "4": ("by", ["y"], True, "assistant_reviewed"), "5": ("old", ["a"], True, "curated_pending_human_signoff"),
+    }
+    store.export_audit(asked, str(tmp_path / "export"))
+    assert {r["audit_status"] for r in evaluate.audited(asked, store.read_audit(spark, str(tmp_path / "export"))).collect()} == {"audit_pending"}
+
+
+def test_snapshots(spark, docs, tmp_path):
+    path = str(tmp_path / "snapshot")
+    with pytest.raises(FileNotFoundError):
+        store.read_snapshot(spark, path)
+    assert store.read_health(spark, path).first()["quality_score"] == 1.0 and store.documents(spark, path, docs).count() == 4
+    store.write_snapshot(docs, path, graph.source_health(docs, F.lit("kb")))
+    assert {r["text"] for r in store.read_snapshot(spark, path).collect()} == {d[4] for d in DOCS}
+    assert store.read_health(spark, path).first()["documents"] == 4 and spark.read.json(f"{path}/manifest").first()["chunks"] > 4
+    asked = []
+    cache = store.Cache(str(tmp_path / "cache"), lambda rows: (asked.append(rows.count()), rows.withColumn("value", F.length("text")))[1], "int")
+    texts = spark.createDataFrame([("a",), ("bb",), ("a",)], "text string")
+    assert sorted(r["value"] for r in cache.get(texts).collect()) == [1, 1, 2] and sorted(r["value"] for r in cache.get(texts).collect()) == [1, 1, 2] and asked == [2, 0]
 
 
 def test_workspace(spark, tmp_path):
@@ -242,6 +376,13 @@ def test_workspace(spark, tmp_path):
     assert texts["Hello & bye"] == "Hello & bye" and "plain" in texts.values() and any(t.startswith("Head") for t in texts.values())
     by = {r["path"].rsplit("/", 1)[1]: r for r in records.collect()}
     assert not by["d.xlsx"]["supported"] and by["d.xlsx"]["warnings"] and by["e.pdf"]["warnings"] and by["a.md"]["normalized_sha256"]
+    assert files.health(docs, records).first()["unsupported_sources"] == 1
+    both, facts = files.ingest(spark, [str(tmp_path / "team"), str(tmp_path / "c.txt")])
+    assert both.count() == 3 and facts.count() == 3
+    with pytest.raises(ValueError, match="no sources"):
+        files.ingest(spark, [])
+    with pytest.raises(ValueError, match="no snapshot"):
+        files.ingest(spark, ["http://a/x"])
     manifest = tmp_path / "m.toml"
     manifest.write_text('sources = ["x.md", {url = "http://a"}]\npaths = ["p"]\n')
     assert files.manifest_sources(str(manifest)) == ["x.md", "http://a", "p"]
@@ -261,7 +402,8 @@ def test_pinned_urls(spark):
 
 def test_page_text():
     assert markup.page_text("<p>a<b>b</b></p><style>c</style>d &lt; e") == "a b d < e"
-    assert markup.page_text(None) == ""
+    assert markup.page_text("a<!-- x --><br/>b<SCRIPT type=x>1 < 2</script >c<script>d") == "a b c"
+    assert markup.page_text(None) == "" and markup.page_text("1 < 2 > 0") == "1 < 2 > 0"
 
 
 def test_evaluation(spark):
@@ -275,7 +417,8 @@ def test_evaluation(spark):
     assert s["rows"] == 2 and s["pass_rate"] == 1.0 and s["p50_latency_ms"] == 2.0
     assert {r["label"] for r in evaluate.failures(rows).collect()} == {"budget_limited", "high_shard_fanout"}
     told = report.render(rows, "s")
-    assert "| s | 2 | 1.00 |" in told and "budget_limited" in told
+    assert "| s | 2 | 1.00 | 1.00 | 1.00 |" in told and "budget_limited" in told
+    assert evaluate.cost_notes(evaluate.summary(rows)).first()["slowest"] == "s"
     q = spark.createDataFrame([(1, ["a://x/", "b://y"])], "question_id int, expected_sources array<string>")
     got = spark.createDataFrame([(1, "a://x#c"), (1, "z://y")], "question_id int, uri string")
     same = spark.createDataFrame([("b://y", "z://y")], "uri string, same string")
