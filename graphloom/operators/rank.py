@@ -13,12 +13,14 @@ K1, B = 1.5, 0.75
 DENSE_SHARE, LEXICAL_SHARE = 0.58, 0.42
 
 
-def postings(items: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """(node_id, term, tf, dl) of `items` (node_id, body); dl counts all content tokens."""
+def postings(items: DataFrame, group: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(node_id, term, tf, dl) of `items` (node_id, body); dl counts all content tokens. With `only` (term), other terms do
+    not leave their items."""
     group = group or []
-    words = items.select(*group, "node_id", F.explode(text.tokens(F.col("body"))).alias("term"))
-    counted = words.groupBy(*group, "node_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(*group, "node_id")))
+    words = items.select(*group, "node_id", text.tokens(F.col("body")).alias("words")).select(*group, "node_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    return words.groupBy(*group, "node_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -30,12 +32,18 @@ def bm25(items: DataFrame, queries: DataFrame, group: list[str] | None = None) -
     """(query_id, node_id, score) of the items that share a term with a query. With `group`, the statistics are those of
     the item's group (whose columns `items` has)."""
     group = group or []
-    lists = postings(items, group)
-    sizes = items.withColumn("_n", F.size(text.tokens(F.col("body")))).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avgdl"))
-    found = lists.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
     terms = query_terms(queries)
+    sizes = items.withColumn("_n", F.size(text.tokens(F.col("body")))).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avgdl"))
+    return bm25_of(postings(items, group, terms), sizes, terms, group)
+
+
+def bm25_of(lists: DataFrame, sizes: DataFrame, terms: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """The same from stored postings, the number and mean length of items (n, avgdl; one row without groups), and the terms
+    of the queries."""
+    group = group or []
     # only the lists of terms that some query has go further
-    asked = lists.join(terms.select("term").distinct(), "term", "left_semi").join(found, [*group, "term"])
+    asked = lists.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = asked.join(asked.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df")), [*group, "term"])
     asked = asked.join(sizes, group) if group else asked.crossJoin(F.broadcast(sizes))  # one row without groups
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))
