@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, scratch  # noqa: F401
+
 #: Bytes of text that the numpy steps take at once; their arrays are about 30 times as large.
 SLICE_BYTES = 2 << 20
 #: A key with more than one in so many of all rows is split over so many tasks when they meet what belongs to the key.
@@ -22,18 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local session gets a temporary
-    one; on a cluster that is an error, since executors would write to disks of their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def free(columns: list[str], *names: str) -> list[str]:
     """Names like the given ones that no column has, whatever its case."""
     taken = {c.lower() for c in columns}
@@ -46,18 +34,6 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the shared folder, so that lost executors take nothing with them."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """`left` joined to `right` (one row for a key) without a task that takes all rows of a hot key: those, HOT_SHARE keys at
     most, and null keys are split by a hash of the column `by`, and their rows of `right` are repeated for each part."""
