@@ -362,7 +362,7 @@ def near_copies(seed, n=140):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+@pytest.mark.parametrize("seed", [1, 2, 4])
 def test_join_finds_all_links(spark, seed, monkeypatch):
     rows = near_copies(seed)
     if seed < 4:  # families in blocks, lists that name no guests
