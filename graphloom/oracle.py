@@ -221,6 +221,25 @@ met AS (SELECT l.id AS source, l.phrase, CASE WHEN a.domain <> b.domain THEN 'po
   FROM keys l JOIN keys r ON l.phrase = r.phrase AND l.seq < r.seq AND l.id <> r.id JOIN flags a ON a.id = l.id JOIN flags b ON b.id = r.id)
 SELECT edge_type, count(*) AS edges, round(sum(least(0.92::DOUBLE, CASE edge_type WHEN 'portal' THEN 0.66 WHEN 'depends_on' THEN 0.62 WHEN 'supports' THEN 0.64 ELSE 0.52 END::DOUBLE + least(0.12::DOUBLE, len(string_split(phrase, ' ')) * 0.03::DOUBLE) + least(0.14::DOUBLE, shared * 0.02::DOUBLE))), 2) AS weight,
   count(DISTINCT source) AS sources, sum(least(8, shared))::BIGINT AS shared_terms FROM met GROUP BY 1""",
+    "capped_phrase_edges": f"""{ADJACENT},
+keys AS (SELECT id, domain, document_id || '|' || lpad(ordinal::VARCHAR, 9, '0') AS seq, unnest(list_concat(phrases, terms)) AS phrase FROM nodes),
+pl AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY seq, id) - 1 AS place, count(*) OVER (PARTITION BY phrase) AS n, row_number() OVER (PARTITION BY phrase, domain ORDER BY seq, id) - 1 AS within, count(*) OVER (PARTITION BY phrase, domain) AS own FROM keys),
+small AS (SELECT l.phrase, l.id AS left_id, r.id AS right_id FROM pl l JOIN pl r ON l.phrase = r.phrase AND l.place < r.place AND l.id <> r.id WHERE l.n * (l.n - 1) / 2 <= 96),
+big AS (SELECT *, greatest(1, (n - 1) // 48) AS step FROM pl WHERE n * (n - 1) / 2 > 96),
+s1 AS (SELECT phrase, place AS i, place + 1 AS j, 0 AS a, place AS b, '' AS c, '' AS d FROM big WHERE place % step = 0 AND place < n - 1 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY place) <= 48),
+doms AS (SELECT DISTINCT phrase, domain, own FROM big),
+rounds AS (SELECT phrase, unnest(range(0, least(max(own), 145))) AS r FROM doms GROUP BY 1),
+s2 AS (SELECT x.phrase, p.place AS i, q.place AS j, 1 AS a, r AS b, x.domain AS c, y.domain AS d FROM rounds JOIN doms x USING (phrase) JOIN doms y ON y.phrase = x.phrase AND y.domain > x.domain
+  JOIN big p ON p.phrase = x.phrase AND p.domain = x.domain AND p.within = r % x.own JOIN big q ON q.phrase = y.phrase AND q.domain = y.domain AND q.within = r % y.own),
+s3 AS (SELECT phrase, place AS i, place + gap AS j, 2 AS a, gap AS b, lpad(place::VARCHAR, 9, '0') AS c, '' AS d FROM big, (SELECT unnest(range(2, 21)) AS gap) WHERE place % step = 0 AND place < n - gap),
+every_ AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) QUALIFY row_number() OVER (PARTITION BY phrase, least(i, j), greatest(i, j) ORDER BY a, b, c, d) = 1),
+taken AS (SELECT phrase, i, j FROM every_ QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY a, b, c, d) <= 96),
+both_ AS (SELECT t.phrase, x.id AS left_id, y.id AS right_id FROM taken t JOIN big x ON x.phrase = t.phrase AND x.place = t.i JOIN big y ON y.phrase = t.phrase AND y.place = t.j UNION ALL SELECT * FROM small),
+flags AS (SELECT id, domain, {token_set("text")} AS ts, CASE WHEN contains(lower(text), 'requires') THEN 1 WHEN contains(lower(text), 'resolution') THEN 2 ELSE 0 END AS f FROM nodes),
+met AS (SELECT p.*, CASE WHEN a.domain <> b.domain THEN 'portal' WHEN a.f = 1 OR b.f = 1 THEN 'depends_on' WHEN a.f = 2 OR b.f = 2 THEN 'supports' ELSE 'related_to' END AS edge_type, len(list_intersect(a.ts, b.ts)) AS shared FROM both_ p JOIN flags a ON a.id = left_id JOIN flags b ON b.id = right_id)
+SELECT id, source, target, 'adjacent_to' AS edge_type, round(weight, 4) AS weight, '' AS phrase FROM adjacent
+UNION ALL SELECT 'edge:' || substr(sha1(left_id || '::' || right_id || '::' || phrase || '::' || edge_type), 1, 12), left_id, right_id, edge_type,
+  round(least(0.92::DOUBLE, CASE edge_type WHEN 'portal' THEN 0.66 WHEN 'depends_on' THEN 0.62 WHEN 'supports' THEN 0.64 ELSE 0.52 END::DOUBLE + least(0.12::DOUBLE, len(string_split(phrase, ' ')) * 0.03::DOUBLE) + least(0.14::DOUBLE, shared * 0.02::DOUBLE)), 4), phrase FROM met""",
     "graph_stats": f"{ADJACENT} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM adjacent) AS edges, 0::BIGINT AS portal_edges, (SELECT count(*) FROM (SELECT source AS id FROM adjacent UNION SELECT target FROM adjacent) WHERE id NOT IN (SELECT id FROM nodes)) AS dangling",
     "neighbors_khop": f"""{ADJACENT},
 both_ways AS (SELECT source AS src, target AS dst FROM adjacent UNION SELECT target, source FROM adjacent),
@@ -230,6 +249,8 @@ w2 AS (SELECT * FROM w1 UNION ALL SELECT query_id, dst, 2 FROM w1 JOIN both_ways
 w3 AS (SELECT * FROM w2 UNION ALL SELECT query_id, dst, 3 FROM w2 JOIN both_ways ON node_id = src),
 w AS (SELECT query_id, node_id, min(depth) AS depth FROM w3 GROUP BY 1, 2)
 SELECT query_id, count(*) AS nodes, max(depth)::BIGINT AS depth FROM w GROUP BY 1""",
+    "sha1_embedding": f"""WITH {CORPUS}, {hashed("corpus", "id", "text", "v")}
+SELECT id, count(*) AS buckets, round(sum(v * v), 4) AS norm, round(sum(v * (bucket + 1)), 3) AS moment FROM v WHERE v <> 0 GROUP BY 1""",
     "vector_topk": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id::VARCHAR AS query_id, v.vec_id::VARCHAR AS node_id, list_dot_product(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 50 = 0) SELECT query_id, node_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node_id) AS rank FROM s QUALIFY rank <= 5",
     "torus_scale": f"WITH {POINTS} SELECT node_id, round(theta, 4) AS theta, round(phi, 4) AS phi FROM points",
     "torus_distance": f"WITH {POINTS} SELECT q.node_id AS query_id, round(avg({WRAPPED}), 4) AS wrapped, round(avg({FLAT}), 4) AS flat, round(max({WRAPPED}), 4) AS farthest FROM points q, points p WHERE q.vec_id % 50 = 0 GROUP BY 1",

@@ -138,6 +138,11 @@ def hash_embedding(spark, sf_dir):
     return v.select("id", F.round(norm, 4).alias("norm"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("buckets"))
 
 
+def sha1_embedding(spark, sf_dir):
+    v = embedded(corpus(spark, sf_dir).select(F.col("id"), "text"), "text", "id").select("id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
+    return v.groupBy("id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("value").cast("double") * F.col("value").cast("double")), 4).alias("norm"), F.round(F.sum(F.col("value").cast("double") * (F.col("bucket") + 1)), 3).alias("moment"))
+
+
 def vector_topk(spark, sf_dir):
     v = tables.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -463,7 +468,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_documents, important_terms, sentence_split, noun_phrases, normalize_text, markdown_text, document_titles, chunk_documents, page_html_text, url_domain, conversation_documents, doclet_rounds, concept_nodes,
-        adjacency_edges, shared_phrase_edges, capped_phrase_edges, graph_stats, neighbors_khop, hash_embedding, vector_topk, torus_layout, torus_scale, torus_distance, shard_assign, shard_fanout, layout_probe, bm25_topk,
+        adjacency_edges, shared_phrase_edges, capped_phrase_edges, graph_stats, neighbors_khop, hash_embedding, sha1_embedding, vector_topk, torus_layout, torus_scale, torus_distance, shard_assign, shard_fanout, layout_probe, bm25_topk,
         hybrid_fusion, community_topk, graph_rerank, edge_scores, traverse_levels, traverse_best_first, graph_answers, agentic_hits, agentic_start, evidence_rank, support_sentences, answer_rows, answer_claims, source_health, node_health, eval_rows, strategy_summary,
         failure_taxonomy, thesis_check, suite_breakdown, boundary_slice, cost_notes, bm25_eval_rows, strategy_eval, status_counts, hardest_misses, audit_override, golden_questions, uri_matches,
     )
