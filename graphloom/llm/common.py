@@ -7,15 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, scratch  # noqa: F401
 
 #: Bytes of text that the numpy steps take at once; their arrays are about 30 times as large.
 SLICE_BYTES = 2 << 20
-#: A key with more than one in so many of all rows is split over so many tasks when they meet what belongs to the key.
-HOT_SHARE, HOT_PARTS = 4096, 64
+#: A key with more than one in so many of all rows, and with more rows than the second number, is split over so many tasks
+#: when its rows meet what belongs to the key.
+HOT_SHARE, HOT_ROWS, HOT_PARTS = 4096, 256, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +40,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     most, and null keys are split by a hash of the column `by`, and their rows of `right` are repeated for each part."""
     hot, part = free([*left.columns, *right.columns], "_hot", "_part")
     counted = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(hot))
-    few = F.broadcast(counted.where(F.col(hot) * F.lit(HOT_SHARE) > F.lit(left.count())).select(key, F.lit(True).alias(hot)))
+    few = F.broadcast(counted.where((F.col(hot) * F.lit(HOT_SHARE) > F.lit(left.count())) & (F.col(hot) > HOT_ROWS)).select(key, F.lit(True).alias(hot)))
     parts = F.when(F.col(hot) | F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(HOT_PARTS))).otherwise(0).cast("int")
     a = left.join(few, key, "left").withColumn(part, parts).drop(hot)
     b = right.join(few, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.when(F.col(hot), HOT_PARTS - 1).otherwise(0)))).drop(hot)
     return a.join(b, [key, part], how).drop(part)
 
 
+def share_of(key: Column, share: float) -> Column:
+    """Whether a row is of about such a share of all rows, by a hash of its key: a sample without an order, so that no task
+    and not the driver has to rank rows."""
+    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
 def binary(column: pa.Array) -> pa.LargeBinaryArray:
     """A string column as UTF-8 bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,7 +93,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = cut(small)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import components, cut, free, slices, spread_join
+from .common import components, cut, free, share_of, slices, spread_join
 from .wordspans import LOWER, mixed, piece_hashes, sequence_hashes, spans
 
 #: Words of a shingle; sets link where 100 * intersection >= 75 * union.
@@ -267,11 +267,11 @@ def _last(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     level = F.floor(F.log2("times") * 4).cast("int")
     room = LAST_SHINGLES
     for row in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # a few dozen rows
-        if row["count"] > room:  # of the level that is too full, the first by value
-            often = often.where(level > row["level"]).union(often.where(level == row["level"]).orderBy("shingle").limit(room))
+        if row["count"] > room:  # of the level that is too full, a share (a little less than there is room for)
+            often = often.where((level > row["level"]) | (level == row["level"]) & share_of(F.col("shingle"), 0.97 * room / row["count"]))
             break
         room -= row["count"]
-    rows = often.toPandas()  # LAST_SHINGLES at most
+    rows = often.toPandas()  # about LAST_SHINGLES at most
     shingles = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], rows["times"].to_numpy(np.int64)[order]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices
+from .common import cut, scratch, share_of, slices
 from .wordspans import LOWER, piece_hashes, spans
 
 #: Longest sequence of bytes, bits of a byte in a key (the last one is lowest; a word's end and start are symbols of their
@@ -29,7 +29,7 @@ from .wordspans import LOWER, piece_hashes, spans
 ORDER, SYMBOL_BITS, DISCOUNT = 6, 9, 0.95
 #: Sequences up to this length have counts that both classes share.
 SHARED = 2
-#: Labelled rows that a classifier is fitted on, at most (those of the smallest hashes); a quarter is the share of the
+#: Labelled rows that a classifier is fitted on, about so many at most (by a hash); a quarter is the share of the
 #: calibration here.
 FIT_ROWS = 24_000
 #: Words whose log-likelihood ratio is above this count as evidence.
@@ -214,25 +214,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def fit_rows(labels: DataFrame, label: str, limit: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, label, part): the labelled rows that fitting may see, at most `limit` by order of a hash; part 3 of 0 to 3
-    is for calibration."""
+    """(doc_id, label, part): the labelled rows that fitting may see, about `limit` at most by a hash of their ids; part 3 of
+    0 to 3 is for calibration."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    hashed = known.select("doc_id", F.col(label).cast("int").alias(label), F.xxhash64("doc_id").alias("_h"))
-    return hashed.orderBy("_h", label).limit(limit).select("doc_id", label, F.pmod("_h", F.lit(4)).cast("int").alias("part"))
+    chosen = known.where(share_of(F.col("doc_id"), limit / max(1, known.count())))
+    return chosen.select("doc_id", F.col(label).cast("int").alias(label), F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("part"))
 
 
 def split(labels: DataFrame, limit: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, ordinary, toxic), how often each document counts for the models, and (doc_id, toxic) for the calibration:
-    a quarter of the labelled rows that are not held out, `limit` / 4 at most by order of a hash. All others count."""
+    a quarter of the labelled rows that are not held out, about `limit` / 4 at most by a hash. All others count."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
-    quarter = F.pmod("_h", F.lit(4)) == 3
-    highest = known.where(quarter).select("_h").orderBy("_h").limit(max(1, limit // 4)).agg(F.max("_h")).first()[0]
-    fitted = quarter & (F.col("_h") <= F.lit(highest if highest is not None else 0))
+    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3).alias("quarter"))
+    n = known.where("quarter").count()
+    fitted = F.col("quarter") & share_of(F.col("doc_id"), limit / 4 / max(1, n))
     counted = known.where(~fitted).groupBy("doc_id").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
     return counted, known.where(fitted).select("doc_id", "toxic")
 
 
+def hot_keys(known: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Keys and ratios of the most frequent sequences, HOT_KEYS at most: whole levels of frequency, found by a histogram, so
+    that nothing is ranked; and whether these are all."""
+    level = F.floor(F.log2("times") * 4).cast("int")
+    room, least, all_ = HOT_KEYS, None, True
+    for row in sorted(known.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # a few dozen rows
+        if row["count"] > room:
+            all_ = False
+            break
+        room, least = room - row["count"], row["level"]
+    kept = known.where(level >= least) if least is not None else known.limit(0)
+    rows = kept.select("key", "ratio").toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["ratio"].to_numpy(np.int64), all_
+
+
 def counted_places(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """(key, times, ordinary, toxic): all sequences of ORDER symbols of the documents. Counts of shorter ones are sums."""
     if counted.count() <= BROADCAST_ROWS:
@@ -270,12 +284,12 @@ def measures(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple
     words; and the rows of the calibration."""
     counted, fitted = split(labels, limit)
     known = place_ratios(counted_places(docs, counted))
-    frequent = known.orderBy(F.desc("times"), "key").limit(HOT_KEYS).select("key", "ratio").toPandas().sort_values("key")
-    hot = docs.sparkSession.sparkContext.broadcast((frequent["key"].to_numpy(np.int64), frequent["ratio"].to_numpy(np.int64)))
+    keys, values, all_ = hot_keys(known)
+    hot = docs.sparkSession.sparkContext.broadcast((keys, values))
     kind = dict(docs.dtypes)["doc_id"]
     shape = f"doc_id {kind}, n long, total long, top array<long>, evident long, rest array<struct<times: long, partial: long, keys: array<long>>>"
     parts = docs.select("doc_id", "text").mapInArrow(_measured(hot), shape)
-    if len(frequent) == HOT_KEYS:  # else all sequences are hot
+    if not all_:
         parts = cut(parts.withColumn("row", F.monotonically_increasing_id()))
         open_ = parts.select("row", F.posexplode("rest").alias("word", "w")).select("row", "word", "w.times", "w.partial", F.explode("w.keys").alias("key"))
         low, high = (F.lit(int(x / UNIT)) for x in CLIP)
