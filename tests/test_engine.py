@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import geometry, text
 from graphloom.operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
-from graphloom.plans import index, report, store, strategies
+from graphloom.plans import index, report, store, strategies, sweep
 from graphloom.plans.policy import TraversalPolicy
 from graphloom.sources import files, markup
 
@@ -331,6 +331,21 @@ def test_strategies(spark, built, tmp_path):
     assert runs.count() == 54 and runs.where("tokens_estimated IS NULL").count() == 27 and store.means(runs).count() == 9
 
 
+def test_sweep(spark, docs, tmp_path):
+    questions = spark.createDataFrame([("1", "smoke", "Why do pods restart during a rollout?", ["pods"], ["kb://work/3#0"], [], True, "built_in")], "id string, suite string, question string, expected_terms array<string>, expected_sources array<string>, expected_edge_types array<string>, expect_answer boolean, audit_status string")
+    rows = sweep.sweep(docs, questions, (2, 6), str(tmp_path), "bm25")
+    assert [(r["size"], r["strategy"]) for r in rows.orderBy("size").collect()] == [(2, "bm25_local"), (6, "bm25_local")]
+    assert sweep.render(rows).count("bm25_local") == 2
+
+
+def test_seed_diagnostics_and_payloads(spark, built):
+    r = index.seeds(spark.createDataFrame(QUERIES[:1], "query_id string, query string"), built).orderBy("rank").first()
+    assert abs(r["score"] - sum(r["score_components"].values())) < 1e-9 and set(r["matched"]) <= {"token", "audience", "relate", "trace", "context"}
+    assert json.loads(graph.payloads(built.nodes, "id", "label").first()["payload"]).keys() == {"id", "label"}
+    spans = spark.createDataFrame([(0, 0), (3, 2), (-1, 4)], "start int, end int")
+    assert graph.valid_spans(spans).count() == 1
+
+
 def test_audits(spark, tmp_path):
     lines = [
         {"id": "1", "question": "new", "expected_terms": ["x"], "status": "Approved", "auditor": "me", "reviewed_at": "now", "review_type": "human", "expect_answer": False}, {"id": "2", "question": "no", "status": "approved", "auditor": "", "reviewed_at": ""},
