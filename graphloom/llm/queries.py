@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html, media, mixing, ngrams, quality, secrets, tokenfiles, toxicity
+from . import bpe, clusters, codes, embeddings, html, media, mixing, ngrams, quality, secrets, tokenfiles, toxicity, winnowing
 from .common import table
 
 #: Where the public vocabulary files are unless a caller names another.
@@ -62,6 +62,19 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(*clusters.clustered(table(spark, sf_dir, "embeddings"))).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(*codes.compressed(table(spark, sf_dir, "embeddings")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = winnowing.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_bpe_encoding": op2_bpe_encoding,
@@ -73,8 +86,50 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality": op9_quality,
     "op10_mixing_sources": op10_mixing_sources,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_decontamination": op13_decontamination,
 }
 
+
+def _clustering_sql(k: int = clusters.CENTROIDS, rounds: int = clusters.ROUNDS) -> str:
+    """Lloyd's rounds written out, one set of tables for each."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT vec_id, x, d.c AS c, d.d AS d FROM (SELECT v.vec_id, v.x, min({{'d': {apart}, 'c': c.c}}) AS d FROM v, c{r} c GROUP BY v.vec_id, v.x))""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT c, i, sum(x[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY c, i),
+c{r + 1} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{r} GROUP BY c UNION ALL SELECT c, x FROM c{r} WHERE c NOT IN (SELECT c FROM m{r}))""")
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < {k}),
+{", ".join(steps)},
+t AS (SELECT c, sum(d)::BIGINT AS ci FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, ci AS cluster_inertia, (SELECT sum(ci)::BIGINT FROM t) AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN t USING (c) JOIN c{rounds} f USING (c)"""
+
+
+def _codes_sql(entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    apart = "list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT vec_id, p, x, d.c AS c, d.d AS d FROM (SELECT v.vec_id, v.p, v.x, min({{'d': {apart}, 'c': c.c}}) AS d FROM v JOIN c{r} c USING (p) GROUP BY v.vec_id, v.p, v.x))""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, c, i, sum(x[i])::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT p, c, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY p, c, i),
+c{r + 1} AS (SELECT p, c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{r} GROUP BY p, c UNION ALL SELECT p, c, x FROM c{r} WHERE (p, c) NOT IN (SELECT (p, c) FROM m{r}))""")
+    return f"""
+WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda e: floor(4096 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+v AS (SELECT vec_id, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM w, range(8) AS t(p)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM w QUALIFY c < {entries}),
+c0 AS (SELECT p, c, x FROM v JOIN f USING (vec_id)),
+{", ".join(steps)},
+e AS (SELECT vec_id, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, c)) FROM c{rounds}) AS codebooks_sha256 FROM w JOIN e USING (vec_id)"""
+
 SQL = {
     "op10_mixing_sources": """
 WITH d AS (
@@ -97,4 +152,17 @@ p AS (SELECT d.*, s.source_size, s.target, round(s.target)::BIGINT AS budget,
 q AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM p)
 SELECT doc_id, size, source_size, target,
        (passes * size + greatest(0, least(size, budget - passes * source_size - ahead)))::BIGINT AS taken FROM q""",
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_vector_codes": _codes_sql(),
+    "op13_decontamination": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+k AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS t FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT n FROM k),
+h AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, s WHERE len(w) >= n)),
+m AS (SELECT r, i, n, t FROM h WHERE t IN (SELECT t FROM k)),
+c AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+l AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m JOIN k USING (t)) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)""",
 }

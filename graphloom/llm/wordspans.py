@@ -28,9 +28,9 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the number of words of every text."""
-    inside = ~SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the number of words of every text; `apart` tells the bytes between words."""
+    inside = ~apart[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
