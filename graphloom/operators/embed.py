@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +39,51 @@ def token_place_sha1(token: str, dimensions: int = DIMENSIONS) -> tuple[int, int
 def hash_embed(rows: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, place=token_place) -> DataFrame:
     """`rows` with a column embedding: signed counts of the lower-case words between white space, at unit length. Texts
     without words have a zero vector. `place` gives the bucket and the sign of a word."""
+    return embed_with(rows, HashEmbedder(dimensions, place=place), text)
+
+
+class Embedder(Protocol):
+    """What turns texts into vectors: float32 rows of `dimensions`. Its name and model are part of what an index is made
+    with; it is sent to the executors, so it must be picklable."""
+
+    name: str
+    model: str
+    dimensions: int
+
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+@dataclass(frozen=True)
+class HashEmbedder:
+    """Signed counts of words at unit length. Each different word of a batch is hashed once, and all counts are added up at
+    once."""
+
+    dimensions: int = DIMENSIONS
+    name: str = "hash"
+    model: str = "blake2b"
+    place: Callable[[str, int], tuple[int, int]] = token_place
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        words = [t.lower().split() for t in texts]
+        numbers: dict[str, int] = {}
+        at = np.fromiter((numbers.setdefault(w, len(numbers)) for own in words for w in own), np.int64)
+        places = np.array([self.place(w, self.dimensions) for w in numbers], np.int64).reshape(-1, 2)
+        row = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        out = np.bincount(row * self.dimensions + places[at, 0], places[at, 1], len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(length > 0, length, 1)).astype(np.float32)
+
+
+def embed_with(rows: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
+    """`rows` with a column embedding of the texts, in the batches that Arrow brings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            out = np.zeros((len(texts), dimensions))
-            for i, t in enumerate(texts):
-                for token in (t or "").lower().split():
-                    bucket, sign = place(token, dimensions)
-                    out[i, bucket] += sign
-            length = np.linalg.norm(out, axis=1, keepdims=True)
-            out /= np.where(length > 0, length, 1)
-            flat = pa.array(out.astype(np.float32).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * dimensions, dimensions), pa.int32()), flat)
+            n, d = len(batch), embedder.dimensions
+            out = embedder.embed([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]) if n else np.zeros((0, d), np.float32)
+            if out.shape != (n, d):
+                raise ValueError(f"{embedder.name} gave vectors of shape {out.shape} for {n} texts and {d} dimensions")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * d, d), pa.int32()), pa.array(out.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "embedding"])
 
     return rows.mapInArrow(run, rows.select("*").schema.add("embedding", T.ArrayType(T.FloatType())))
@@ -60,12 +94,25 @@ def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), BLOCK):
                 part = batch.slice(low, BLOCK)
-                matrix = np.array(part.column(1).to_pylist(), float)
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([matrix.tobytes()], pa.binary())], [f"{prefix}_ids", f"{prefix}_block"])
 
     return rows.mapInArrow(run, f"{prefix}_ids array<string>, {prefix}_block binary")
 
 
+def best_places(score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest numbers of each row, largest first, ties by place; the rest is not sorted."""
+    n = score.shape[1]
+    score = np.where(np.isnan(score), -np.inf, score)
+    if n <= k:
+        return np.argsort(-score, 1, "stable")
+    least = np.partition(score, n - k, 1)[:, n - k, None]
+    above, level = score > least, score == least
+    kept = above | (level & (np.cumsum(level, 1) <= k - above.sum(1, keepdims=True)))  # of equal ones the first
+    some = np.nonzero(kept)[1].reshape(len(score), k)
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), 1, "stable"), 1)
+
+
 def topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(query_id, node_id, score, rank, low): the k items of the largest dot product for every query, ties by node_id, and
     the smallest dot product that the query has with any item.
@@ -79,7 +126,7 @@ def topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 q, n = np.frombuffer(q_raw).reshape(len(q_ids), -1), np.frombuffer(n_raw).reshape(len(n_ids), -1)
                 order = np.argsort(np.array(n_ids, object), kind="stable")
                 score = q @ n[order].T
-                top = np.argsort(-np.round(score, 12), 1, "stable")[:, :k]
+                top = best_places(np.round(score, 12), k)
                 rows = [(q_ids[i], n_ids[order[j]], float(score[i, j]), float(score[i].min())) for i in range(len(q_ids)) for j in top[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["query_id", "node_id", "score", "low"])
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..functions.shared import cut
 from . import embed
+from .neighbours import Neighbours, fetch
 
 #: BM25 parameters and fusion weights.
 K1, B = 1.5, 0.75
@@ -104,11 +106,12 @@ def communities(items: DataFrame, queries: DataFrame, k: int = 5, most: int = 2)
     return top(ranked, k)
 
 
-def rerank(items: DataFrame, queries: DataFrame, dense: DataFrame, lexical: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+def rerank(items: DataFrame, queries: DataFrame, dense: DataFrame, lexical: DataFrame, edges: DataFrame, k: int = 5, near: Neighbours | None = None) -> DataFrame:
     """(query_id, node_id, score, rank): dense and lexical seeds with their four best neighbours, each node by dense,
     lexical, shared terms and evidence, neighbours with a bonus for the edge.
 
-    `items` is (node_id, body, evidence), `dense` has the twelve best nodes of a query, `lexical` all BM25 scores."""
+    `items` is (node_id, body, evidence), `dense` has the twelve best nodes of a query, `lexical` all BM25 scores. With
+    `near`, the edges of the seeds are looked up there instead of in `edges`. Only candidates' texts are read."""
     per_query = Window.partitionBy("query_id")
     d = dense.withColumn("dense", geometry.min_max(F.col("score"), per_query)).select("query_id", "node_id", "dense", "rank")
     n = items.agg(F.count(F.lit(1)).alias("n"))
@@ -117,14 +120,22 @@ def rerank(items: DataFrame, queries: DataFrame, dense: DataFrame, lexical: Data
     lex = lexical.join(ends, "query_id").select("query_id", "node_id", scaled(F.col("score"), F.col("low"), F.col("high")).alias("lexical"))
     seeds = d.where("rank <= 8").select("query_id", "node_id").union(top(lexical.where("score > 0"), 8).select("query_id", "node_id")).distinct()
     asked = queries.select("query_id", text.token_set(F.col("query")).alias("terms"))
-    known = items.select("node_id", text.token_set(F.col("body")).alias("tokens"), text.token_set(F.col("evidence")).alias("proof"))
-    both = edges.select("source", "target", "edge_type", "weight").union(edges.select("target", "source", "edge_type", "weight"))
-    around = seeds.withColumnRenamed("node_id", "source").join(both, "source").join(asked, "query_id").join(known.select(F.col("node_id").alias("target"), "tokens"), "target")
+    seeds = cut(seeds)
+    if near is None:
+        both = edges.select("source", "target", "edge_type", "weight").union(edges.select("target", "source", "edge_type", "weight"))
+        both = both.join(seeds.select(F.col("node_id").alias("source")).distinct(), "source", "left_semi")
+        ends = items.join(both.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi")
+        both = both.join(ends.select(F.col("node_id").alias("target"), text.token_set(F.col("body")).alias("tokens")), "target")
+    else:
+        both = near.around(seeds).where("there").select(F.col("src").alias("source"), F.col("dst").alias("target"), "edge_type", "weight", "tokens")
+    around = seeds.withColumnRenamed("node_id", "source").join(both, "source").join(asked, "query_id")
     portal = F.col("edge_type") == "portal"
     order = F.col("weight") + F.when(portal, 0.20).otherwise(0.05) + F.size(F.array_intersect("terms", "tokens"))
     w = Window.partitionBy("query_id", "source").orderBy(F.desc(F.round(order, 9)), "target", "edge_type")
     near = around.withColumn("_n", F.row_number().over(w)).where("_n <= 4").select("query_id", F.col("target").alias("node_id"), (F.col("weight") * 0.10 + F.when(portal, 0.18).otherwise(0.10)).alias("bonus"))
     candidates = seeds.withColumn("bonus", F.lit(0.0)).unionByName(near).groupBy("query_id", "node_id").agg(F.max("bonus").alias("bonus"))
+    candidates = cut(candidates)
+    known = fetch(items, "node_id", candidates).select("node_id", text.token_set(F.col("body")).alias("tokens"), text.token_set(F.col("evidence")).alias("proof"))
     full = candidates.join(d, ["query_id", "node_id"], "left").join(lex, ["query_id", "node_id"], "left").join(asked, "query_id").join(known, "node_id")
     n = F.greatest(F.lit(1), F.size("terms"))
     share = lambda c: F.size(F.array_intersect("terms", c)) / n

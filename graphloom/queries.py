@@ -254,7 +254,7 @@ def traverse_best_first(spark, sf_dir):
     found, q = concept_index(spark, sf_dir), questions(spark, sf_dir)
     path = scratch(spark, "walk")
     index.seeds(q, found).write.parquet(f"{path}/seeds")
-    rows = traverse.best_first(q, spark.read.parquet(f"{path}/seeds"), found.nodes, found.edges, path)
+    rows = traverse.best_first(q, spark.read.parquet(f"{path}/seeds"), found.near, path)
     return rows.where("kind IN ('visit', 'hop')").select("query_id", "seq", "kind", "from_id", "to_id", "edge_type", F.round("score", 4).alias("score"), "depth", "reason")
 
 
