@@ -147,7 +147,9 @@ def scale_to_torus(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def torus_layout(vectors: DataFrame) -> DataFrame:
     """`vectors` with theta and phi: the first two principal axes of `embedding`, each with its largest loading positive,
-    scaled to the torus."""
+    scaled to the torus. Fewer than two vectors lie at 0."""
+    if vectors.limit(2).count() < 2:
+        return vectors.withColumns({"theta": F.lit(0.0), "phi": F.lit(0.0)})
     ready = vectors.withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(ready)
     axes = model.pc.toArray()
