@@ -8,17 +8,16 @@ them are read. `Joined` does the same over any two tables by joins.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
 
-#: Ids that go to a scan as literals at most, beyond which they are joined; ids that a scan compares one by one (the Parquet
-#: reader takes longer lists only as a range).
-LITERALS, EACH = 2048, 10
+#: Ids that go to a scan as literals at most, beyond which they are joined; and the session's setting up to which the Parquet
+#: reader takes a list of ids one by one (it takes longer ones only as a range).
+LITERALS, SETTING = 1000, "spark.sql.parquet.pushdown.inFilterThreshold"
 #: Rows of a page and bytes of a row group of tables that are read by ids.
 PAGE_ROWS, GROUP_BYTES = 1024, 16 << 20
 
@@ -33,24 +32,16 @@ class Neighbours(Protocol):
         """(id, tokens, theta, phi) of the nodes `ids` (node_id)."""
 
 
-def among(column: Column, ids: list[str]) -> Column:
-    """Whether a column is one of the ids, in a form that reaches the statistics of a file's pages."""
-    ids = sorted(set(ids))
-    if not ids:
-        return F.lit(False)
-    few = [column.isin(ids[i : i + EACH]) for i in range(0, len(ids), EACH)]
-    while len(few) > 1:  # a tree of small depth
-        few = [reduce(Column.__or__, few[i : i + 2]) for i in range(0, len(few), 2)]
-    return few[0] if len(ids) <= EACH else column.isin(ids) & few[0]
-
-
 def fetch(table: DataFrame, key: str, ids: DataFrame, column: str = "node_id", most: int = LITERALS) -> DataFrame:
     """The rows of `table` whose `key` is among `ids`. Up to `most` different ids are pushed to the scan; for more, a join
-    that reads the table once is the shorter way. Both give the same rows."""
+    that reads the table once is the shorter way. Both give the same rows. The session's SETTING is raised to LITERALS."""
+    spark = table.sparkSession
+    if int(spark.conf.get(SETTING)) < LITERALS:
+        spark.conf.set(SETTING, LITERALS)
     wanted = ids.select(F.col(column).alias(key)).distinct()
     known = [r[0] for r in wanted.limit(most + 1).collect()]
     if len(known) <= most:
-        return table.where(among(F.col(key), [k for k in known if k is not None]))
+        return table.where(F.col(key).isin(sorted(k for k in known if k is not None)))
     return table.join(wanted, key, "left_semi")
 
 
