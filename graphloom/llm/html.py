@@ -5,9 +5,10 @@ of their text that stands in links, and the best container is kept with those si
 other articles of the page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are suspected by element, role or whole
-class name, and left out where the page's prose stands elsewhere: an element around the article is never left out for
-its name, and a part of an article only if it is small beside the article or full of links. Reading a page takes time in
-proportion to its length, however deep or broken its elements are.
+class name, and left out where the prose around them stands elsewhere: an element around the article is not left out for its
+name, a part of an article is measured by the article alone. Elements and names that are never around an article (menus,
+footers, adverts) are left out wherever there is other text, however large they are. Sections of one container belong
+together. Reading a page takes time in proportion to its length, however deep or broken its elements are.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ SUSPECT_NAMES = COMMENT_NAMES | frozenset(
         "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "warning", "widget",
     )
 )
+#: Elements and names that have no article inside: left out, whatever their size, where a page has other text.
+CHROME = frozenset(("aside", "dialog", "footer", "menu", "nav", "search"))
+ADVERTS = frozenset(("ad", "ads", "adsense", "advert", "adverts", "advertisement", "consent", "cookie", "cookies", "gdpr", "newsletter", "promo", "promoted", "promotion", "sponsor", "sponsored", "subscribe", "subscription"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words that turn a class name into a statement about the page, and words for what a part is made as.
 STATES = frozenset(("as", "has", "hide", "in", "is", "js", "no", "not", "on", "show", "under", "with", "without"))
 SHAPES = frozenset(("area", "bar", "block", "box", "buttons", "container", "form", "items", "links", "list", "message", "overlay", "panel", "section", "strip", "wrap", "wrapper"))
@@ -55,9 +60,9 @@ OPEN_TO_CLOSE = frozenset(("p", "tr", "td", "th"))
 LEAVES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"))
 #: A paragraph counts from so many characters; siblings stay from such a share of the best score.
 LEAST_CHARS, SIBLING_SHARE, SIBLING_LEAST = 25, 0.2, 10
-#: A suspect stays if it holds such a share of the page's prose (for reader comments: all but a twentieth). A named part
-#: of an article goes up to such a share of the article, or from such a share of links.
-WRAPPER_SHARE, COMMENT_SHARE, PART_SHARE, PART_LINKS = 5 / 6, 0.95, 1 / 3, 0.3
+#: A suspect stays if it holds such a share of the page's prose, or of the article's that it is a part of (for reader
+#: comments: all but a twentieth). A further article counts from such a share of the prose of the best container.
+WRAPPER_SHARE, COMMENT_SHARE, ARTICLE_SHARE = 5 / 6, 0.95, 0.2
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
@@ -109,8 +114,9 @@ def suspected(names: str, of: frozenset = SUSPECT_NAMES) -> bool:
 
 
 class Tree:
-    """Elements by number in page order: parent, tag, the block around each, the suspicion that it has raised ("", "part",
-    "comment"; "never" for what has no text), name weight, and the article around it; and the text blocks."""
+    """Elements by number in page order: parent, tag, the block around each, the suspicion that it has raised ("", "element",
+    "part", "comment", "chrome" for what has no article inside; "never" for what has no text), name weight, and the article
+    around it; and the text blocks."""
 
     def __init__(self, page: str):
         self.parent, self.tag, self.block, self.doubt, self.weight, self.article = [-1], ["#root"], [0], [""], [0], [0]
@@ -181,6 +187,8 @@ class Tree:
             return ""
         if tag == "header" and self.article[above]:  # the head of an article holds its title
             return ""
+        if tag in CHROME or names.strip() and suspected(names, ADVERTS):
+            return "chrome"
         if tag in SUSPECT or given.get("role", "").lower() in SUSPECT_ROLES:
             return "element"
         return "part" if names.strip() and suspected(names) else ""
@@ -218,27 +226,37 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     n, parent, tag = len(tree.tag), tree.parent, tree.tag
-    chars, linked, prose, told = ([0] * n for _ in range(4))  # prose: paragraphs that count; told: those within articles
+    under = [False] * n  # of a suspect
+    for x in range(1, n):
+        under[x] = under[parent[x]] or bool(tree.doubt[x])
+    chars, linked, prose, told, clean, articles = ([0] * n for _ in range(6))  # prose: paragraphs that count; told: those in articles; clean: text out of links and suspects
     for holder, text, links in blocks:
         chars[holder] += len(text)
         linked[holder] += min(links, len(text))
+        clean[holder] += 0 if under[holder] else len(text) - min(links, len(text))
         if len(text) >= LEAST_CHARS and 2 * links < len(text):
             prose[holder] += len(text)
             told[holder] += len(text) if tree.article[holder] else 0
-    for own in (chars, linked, prose, told):
+    for x in range(1, n):
+        articles[x] = int(tag[x] in ("article", "main"))
+    for own in (chars, linked, prose, told, clean, articles):
         for x in range(n - 1, 0, -1):  # children come after their parents
             own[parent[x]] += own[x]
     density = lambda x: linked[x] / chars[x] if chars[x] else 0.0
-    whole = told if told[0] else prose
+    plain = [c - k for c, k in zip(chars, linked, strict=True)]
+    whole = told if told[0] else prose if prose[0] else plain  # what a page is measured by: pages without paragraphs by all text
     out = [False] * n
     for x in range(1, n):
         doubt, around = tree.doubt[x], tree.article[parent[x]]
         if out[parent[x]]:
             out[x] = True
-        elif doubt == "part" and around and not out[around]:
-            out[x] = chars[x] <= PART_SHARE * chars[around] or density(x) >= PART_LINKS
+        elif doubt == "chrome" and not articles[x] and (clean[0] or chars[x] < chars[around]):
+            out[x] = True
+        elif doubt in ("part", "chrome") and around and not out[around]:
+            mine = prose if prose[around] else plain
+            out[x] = mine[x] < WRAPPER_SHARE * mine[around] or not mine[around]
         elif doubt:
-            out[x] = whole[x] < (COMMENT_SHARE if doubt == "comment" else WRAPPER_SHARE) * whole[0] or not whole[0] and doubt != "comment" and density(x) >= PART_LINKS
+            out[x] = whole[x] < (COMMENT_SHARE if doubt == "comment" else WRAPPER_SHARE) * whole[0] or not whole[0]
     points, scored = [0.0] * n, set()
     for holder, text, _ in blocks:
         if len(text) >= LEAST_CHARS and not out[holder]:
@@ -252,16 +270,25 @@ def main_text(page: str | None) -> str:
     score = {x: (points[x] + tree.weight[x]) * (1 - density(x)) for x in scored if not out[x]}
     best = max(score, key=lambda x: (score[x], -x), default=0)
     best = tree.article[best] or best  # sections and divisions of one article belong together
+    children: list[list[int]] = [[] for _ in range(n)]
+    for y in range(1, n):
+        if chars[y] and not out[y]:
+            children[parent[y]].append(y)
+    sections = lambda x: [y for y in children[parent[x]] if tag[y] == "section"] if tag[x] == "section" else []
+    while len(sections(best)) > 1 and tag[parent[best]] not in ("body", "html", "#root"):
+        best = tree.article[parent[best]] or parent[best]  # so do sections of one container
     roots = {best}
+    if len(together := sections(best)) > 1:
+        roots |= {*together, *(y for y in children[parent[best]] if tag[y] in HEADINGS)}
     least = max(SIBLING_LEAST, SIBLING_SHARE * score.get(best, 0.0))
     for y in range(1, n):
         if y == best or out[y] or not chars[y]:
             continue
-        if tag[y] == "article" and density(y) < 0.5:
+        if tag[y] == "article" and density(y) < 0.5 and prose[y] >= ARTICLE_SHARE * prose[best]:
             roots.add(y)
         elif best > 0 and tag[best] != "body" and parent[y] == parent[best]:
-            plain = tag[y] == "p" and (chars[y] > 80 and density(y) < 0.25 or chars[y] <= 80 and not linked[y])
-            if score.get(y, 0.0) >= least or plain:
+            plain_text = tag[y] == "p" and (chars[y] > 80 and density(y) < 0.25 or chars[y] <= 80 and not linked[y])
+            if tag[y] != "article" and score.get(y, 0.0) >= least or plain_text:
                 roots.add(y)
     inside = [False] * n
     for y in range(n):

@@ -491,6 +491,28 @@ def test_html_parts():
     assert html.main_text(f"<body><div class='sidebar'>{long}</div><div>{long}{long}</div></body>") == f"{said} {said}"
 
 
+def test_html_keeps_whole_articles():
+    prose = "<p>" + "Some words of prose, and others. " * 4 + "</p>"
+    said = ("Some words of prose, and others. " * 4).strip()
+    assert html.main_text(f"<body><div><section><h2>A</h2>{prose}</section><section><h2>BB</h2><p>tiny part.</p></section></div></body>") == f"A {said} BB tiny part."
+    assert html.main_text(f"<body><h1>T</h1><section><h2>A</h2>{prose}</section><section><p>tiny part.</p></section><footer>f</footer></body>") == f"T A {said} tiny part."
+    assert html.main_text(f"<body><div><div><section>{prose}</section><section><b>x</b></section></div><section>end</section></div></body>") == f"{said} x"
+    # adverts of any size, with and without links
+    ad = "<div class='ad'><p>" + "Buy this now, it is the best of all things. " * 9 + "</p></div>"
+    assert html.main_text(f"<body><article><h1>T</h1>{prose}{ad}</article></body>") == f"T {said}"
+    assert html.main_text(f"<body><article><p>Short.</p>{ad}</article></body>") == "Short."
+    assert html.main_text(f"<body><div class='newsletter'><article>{prose}</article></div></body>") == said
+    # pages without paragraphs that count
+    assert html.main_text("<div><h1>Hi</h1><p>Short.</p></div><footer>foot</footer>") == "Hi Short."
+    assert html.main_text("<nav><a href=x>a</a></nav><div><p>Short.</p></div><footer>Copyright of the company, and all rights reserved for it.</footer>") == "Short."
+    assert html.main_text("<form><p>Short.</p></form>") == "Short."
+    assert html.main_text("<footer>only foot</footer>") in ("", "only foot")
+    # teasers
+    teaser = "<article><h3>Read on</h3><p>One more line that counts as a paragraph.</p></article>"
+    assert html.main_text(f"<body><article><h1>T</h1>{prose * 3}</article><div>{teaser * 2}</div></body>") == f"T {said} {said} {said}"
+    assert html.main_text(f"<body><article>{prose}</article><article>{prose}</article></body>") == f"{said} {said}"
+
+
 @pytest.mark.parametrize("piece", ["<div>word,", "<i>a</b>", '<a b="', "<ul><li>x", "<p>word, word", "<a b='x\" ", "<table><tr><td>x", "<!-- x", "<script>x", "<"])
 def test_html_takes_time_in_proportion(piece):
     began = time.process_time()
@@ -527,6 +549,12 @@ class Element:
     def chars(self):
         return sum(len(x.said()) for x in self.all())
 
+    def prose(self):
+        return sum(len(x.said()) for x in self.all() if len(x.said()) >= 25 and 2 * len(x.link) < len(x.said()))
+
+    def line(self):
+        return [self, *(self.up.line() if self.tag != "body" else [])]
+
     def density(self):
         return sum(min(len(x.link), len(x.said())) for x in self.all()) / self.chars() if self.chars() else 0.0
 
@@ -552,12 +580,19 @@ def scored_model(body):
             best = x
             break
         x = x.up
-    roots = [best] + [x for x in every if x.tag == "article" and x.chars() and x.density() < 0.5]
+    # sections of one container belong together
+    sections = lambda x: [y for y in x.up.children if y.tag == "section" and y.chars()] if x.tag == "section" else []
+    above = lambda x: next((y for y in x.line() if y.tag in ("article", "main")), x)
+    while len(sections(best)) > 1 and best.up is not body:
+        best = above(best.up)
+    roots = [best] + [x for x in every if x.tag == "article" and x.chars() and x.density() < 0.5 and x.prose() >= 0.2 * best.prose()]
     if best is not body:
+        if len(sections(best)) > 1:
+            roots += sections(best) + [y for y in best.up.children if y.tag == "h2" and y.chars()]
         least = max(10, 0.2 * (best.score() or 0))
         for y in best.up.children:
             plain = y.tag == "p" and (y.chars() > 80 and y.density() < 0.25 or y.chars() <= 80 and not y.link)
-            if (y.score() or 0) >= least or plain:
+            if y.tag != "article" and (y.score() or 0) >= least or plain:
                 roots.append(y)
     kept = {id(x) for r in roots for x in r.all()}
     return " ".join(x.said() for x in every if id(x) in kept and x.said())
