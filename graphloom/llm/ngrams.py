@@ -9,7 +9,9 @@
    names no guests; it is credited to its sets, and sets of mostly such lists meet in families of theirs.
 4. In a family, DivideSkip finds the sets with the required overlap and joins them to components (overlap.py). A large
    family is cut into blocks, and a few of its sets, the centres, visit each block: near copies are one component then.
-   Only sets outside of a family's largest component meet its other blocks afterwards.
+   What the blocks leave apart is looked for among the sets of the family that it shares a rare shingle with: shingles
+   that many sets of the family have (its core) can bring two sets no nearer than their shares of it, and where these are
+   too small for a link, a rare one must be common. Only sets that could link by the core alone meet other blocks.
 5. Components of all families together, and the smallest document id of each.
 """
 
@@ -37,6 +39,8 @@ LAST_SHINGLES, REPEATED, TASK_SHINGLES = 65_536, 32, 2 << 20
 BROADCAST_ROWS = 1 << 20
 #: Sets of a family that one task takes, sets of a block of a larger one, centres; lists of more families or sets are crowded.
 FAMILY_SETS, BLOCK_SETS, CENTRES, GUEST_FAMILIES, LIST_SETS = 512, 256, 8, 32, 65_536
+#: Sets of a family that have a shingle in common from which on it is of the family's core.
+CORE_SETS = 64
 #: Rounds of dropping sets with too few shared shingles.
 PRUNINGS = 2
 
@@ -310,19 +314,77 @@ def blocks(entries: DataFrame) -> DataFrame:
     return cut(own.union(visits))
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, name, shingle) of sets (family, name, shingles), a bounded number of rows at a time."""
+    for batch in batches:
+        for low in range(0, len(batch), 64):
+            part = batch.slice(low, 64)
+            each = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            who = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(np.concatenate(each))], ["family", "name", "shingle"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (a, b, left, right) whose sets link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            keep.append(overlap.linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), NUM, DEN))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def strays(sets: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """(family, i, j, name, shingles): the sets of large families (family, node, name, shingles) outside of the largest
-    component of their family, in blocks i, with all sets of the family, in blocks j; None where there are none."""
+    """Edges (a, b) that join the sets of large families (family, node, name, shingles) outside of the largest component of
+    their family to what they link with; None where there are no such sets.
+
+    Sets of m and n shingles link with o common ones where o >= NUM (m + n) / (NUM + DEN). Of these at most as many are of
+    the family's core as the smaller of both shares of it. So pairs of different components either have as many rare
+    shingles in common as that leaves open, at least one, and meet in its list, which is short; or they could link by the
+    core alone, and meet in blocks. For that a family must have a set that is small enough."""
     placed = sets.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     sizes = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
     if main.isEmpty():
         return None
+    size = (F.length("shingles") / 8).cast("int")
+    met = cut(placed.join(main.select("family", "main"), "family").select("family", "name", "root", (F.col("root") != F.col("main")).alias("stray"), size.alias("n"), "shingles").dropDuplicates(["family", "name"]))
+    each = cut(met.select("family", "name", "shingles").mapInArrow(_unpacked, "family long, name string, shingle long"))
+    core = cut(each.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > CORE_SETS).select("family", "shingle"))
+    core = F.broadcast(core) if core.count() <= BROADCAST_ROWS else core
+    rare = cut(each.join(core, ["family", "shingle"], "left_anti"))
+    facts = met.drop("shingles").join(rare.groupBy("family", "name").agg(F.count(F.lit(1)).alias("rare")), ["family", "name"], "left")
+    facts = cut(facts.withColumn("core", F.col("n") - F.coalesce("rare", F.lit(0))))
+    entry = F.struct("name", "root", "stray", "n", "core")
+    lists = rare.join(facts, ["family", "name"]).groupBy("family", "shingle").agg(F.sort_array(F.collect_list(entry)).alias("sets")).where("size(sets) > 1 AND exists(sets, x -> x.stray)")  # CORE_SETS at most
+    pairs = lists.select("family", F.posexplode("sets").alias("at", "a"), "sets").select("family", "a", F.explode(F.filter(F.slice("sets", F.col("at") + 2, F.lit(CORE_SETS)), lambda y: (y["stray"] | F.col("a.stray")) & (y["root"] != F.col("a.root")))).alias("b"))
+    least = F.ceil(F.lit(NUM) * (F.col("a.n") + F.col("b.n")) / F.lit(NUM + DEN))
+    near = pairs.withColumn("open", least - F.least("a.core", "b.core")).groupBy("family", F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first("open").alias("open")).where("both >= open")
+    blobs = met.select("name", "shingles").dropDuplicates(["name"])
+    side = lambda rows, key, value: spread_join(rows, blobs.select(F.col("name").alias(key), F.col("shingles").alias(value)), key, "b" if key == "a" else "a")
+    candidates = cut(near.select("a", "b").distinct())
+    edges = side(side(candidates, "a", "left"), "b", "right").select("a", "b", "left", "right").mapInArrow(_verified, "a string, b string")
+    further = _by_core(met, facts)
+    return edges if further is None else edges.union(further)
+
+
+def _by_core(met: DataFrame, facts: DataFrame) -> DataFrame | None:
+    """Edges of strays that could link by the core alone, with all sets of their family that could: those whose share of the
+    core is enough for the smallest set, and whose size is small enough for the largest share."""
+    reach = (F.floor(F.col("core") * F.lit(NUM + DEN) / F.lit(NUM)) - F.col("n")).alias("reach")  # the largest set that it can link with so
+    able = facts.select("*", reach)
+    ends = able.groupBy("family").agg(F.min("n").alias("smallest"), F.max("reach").alias("furthest"))
+    able = able.join(ends, "family").where("smallest <= reach AND n <= furthest")
+    counts = able.groupBy("family").agg(F.count_if("stray").alias("few"), F.count(F.lit(1)).alias("all")).where("few > 0")
+    able = cut(able.join(counts, "family").select("family", "name", "stray", "few", "all"))
+    if able.isEmpty():
+        return None
     count = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_SETS)).cast("int")
-    met = placed.join(main, "family").withColumns({"rows": count("few"), "columns": count("all")})
+    rows = able.join(met.select("family", "name", "shingles"), ["family", "name"]).withColumns({"rows": count("few"), "columns": count("all")})
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stray = met.where("root <> main").select("family", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), "name", "shingles")
-    return stray.union(met.select("family", each("rows").alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int").alias("j"), "name", "shingles"))
+    own = rows.where("stray").select("family", F.pmod(F.xxhash64("name"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), "name", "shingles")
+    more = own.union(rows.select("family", each("rows").alias("i"), F.pmod(F.xxhash64("name"), F.col("columns")).cast("int").alias("j"), "name", "shingles"))
+    return more.groupBy("family", "i", "j").applyInPandas(_met, "a string, b string")
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,8 +399,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = cut(components(edges))
     more = strays(found.where("b IS NULL").select("family", "node", F.col("a").alias("name"), "shingles"), roots)
     if more is not None:
-        further = cut(more.groupBy("family", "i", "j").applyInPandas(_met, "a string, b string"))
-        roots = components(edges.union(further))
+        roots = components(edges.union(cut(more)))
     smallest = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("low"))
     with_root = smallest.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     lowest = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
