@@ -30,13 +30,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: A term that no text has: the row of a postings pass that only counts its item.
+ITEM = ""
+
+
 def bm25(items: DataFrame, queries: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(query_id, node_id, score) of the items that share a term with a query. With `group`, the statistics are those of
-    the item's group (whose columns `items` has)."""
+    the item's group (whose columns `items` has).
+
+    Texts are cut into tokens once: each item leaves its tokens that some query has, and one row that counts it."""
     group = group or []
     terms = query_terms(queries)
-    sizes = items.withColumn("_n", F.size(text.tokens(F.col("body")))).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avgdl"))
-    return bm25_of(postings(items, group, terms), sizes, terms, group)
+    asked = terms.select("term").distinct()
+    words = items.select(*group, "node_id", F.coalesce(text.tokens(F.col("body")), F.array().cast("array<string>")).alias("words"))
+    each = words.select(*group, "node_id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit(ITEM)))).alias("term"))
+    kept = each.join(asked.union(asked.sparkSession.createDataFrame([(ITEM,)], "term string")), "term", "left_semi")
+    lists = cut(kept.groupBy(*group, "node_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    sizes = lists.where(F.col("term") == ITEM).groupBy(*group).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return bm25_of(lists.where(F.col("term") != ITEM), sizes, terms, group)
 
 
 def bm25_of(lists: DataFrame, sizes: DataFrame, terms: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -69,18 +80,33 @@ def fused(queries: DataFrame, items: DataFrame, lexical: DataFrame, k: int = 5)
     their shares. An item that no term of the query finds has a lexical score of 0 before scaling, so 0 is the low end
     unless every item is found.
 
-    `queries` is (query_id, embedding), `items` is (node_id, embedding), `lexical` has all BM25 scores. Only items that
-    some term finds, and the k + 1 nearest ones of the others, can be among the first k: no more rows are made."""
-    near = embed.topk(queries, items, k + 1)
-    ends = near.groupBy("query_id").agg(F.max("score").alias("d_high"), F.max("low").alias("d_low"))
+    `queries` is (query_id, embedding), `items` is (node_id, embedding), `lexical` has all BM25 scores. Rows are made only for
+    items that can be among the first k: the k + 1 nearest ones, the best ones by BM25, and of the others those whose BM25
+    score is so good that they would be among the first k if they lay as near as the nearest one which is left."""
+    near = cut(embed.topk(queries, items, k + 1))
+    ends = near.groupBy("query_id").agg(F.max("score").alias("d_high"), F.max("low").alias("d_low"), F.min("score").alias("d_next"))
     n = items.agg(F.count(F.lit(1)).alias("n"))
+    lexical = cut(lexical)
     found = lexical.groupBy("query_id").agg(F.min("score").alias("least"), F.max("score").alias("l_high"), F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(n))  # one row
     found = found.select("query_id", F.when(F.col("hits") == F.col("n"), F.col("least")).otherwise(F.least(F.lit(0.0), "least")).alias("l_low"), F.greatest(F.lit(0.0), "l_high").alias("l_high"))
-    own = lexical.join(queries.withColumnRenamed("embedding", "q"), "query_id").join(items.withColumnRenamed("embedding", "e"), "node_id").select("query_id", "node_id", F.col("score").alias("l"), geometry.dot(F.col("q"), F.col("e")).alias("d"))
-    rest = near.join(lexical.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").select("query_id", "node_id", F.lit(0.0).alias("l"), F.col("score").alias("d"))
-    both = own.union(rest).join(ends, "query_id").join(found, "query_id", "left")
-    lex = scaled(F.col("l"), F.coalesce("l_low", F.lit(0.0)), F.coalesce("l_high", F.lit(0.0)))
-    return both.select("query_id", "node_id", (DENSE_SHARE * scaled(F.col("d"), F.col("d_low"), F.col("d_high")) + LEXICAL_SHARE * lex).alias("score"))
+    known = cut(ends.join(found, "query_id", "left").select("query_id", "d_high", "d_low", "d_next", F.coalesce("l_low", F.lit(0.0)).alias("l_low"), F.coalesce("l_high", F.lit(0.0)).alias("l_high")))
+    lex, dense = scaled(F.col("l"), F.col("l_low"), F.col("l_high")), lambda d: scaled(F.col(d), F.col("d_low"), F.col("d_high"))
+    whole = (DENSE_SHARE * dense("d") + LEXICAL_SHARE * lex).alias("score")
+
+    def measured(hits: DataFrame) -> DataFrame:
+        """(query_id, node_id, score) of hits (query_id, node_id, l): their vectors alone are joined."""
+        vectors = items.join(hits.select("node_id").distinct(), "node_id", "left_semi").withColumnRenamed("embedding", "e")
+        met = hits.join(queries.withColumnRenamed("embedding", "q"), "query_id").join(vectors, "node_id").select("query_id", "node_id", "l", geometry.dot(F.col("q"), F.col("e")).alias("d"))
+        return met.join(known, "query_id").select("query_id", "node_id", whole)
+
+    best = top(lexical, 4 * k).drop("rank").withColumnRenamed("score", "l")
+    close = near.select("query_id", "node_id", F.col("score").alias("d")).join(lexical.withColumnRenamed("score", "l"), ["query_id", "node_id"], "left").withColumn("l", F.coalesce("l", F.lit(0.0)))
+    close = close.join(known, "query_id").select("query_id", "node_id", whole)
+    first = cut(close.union(measured(best.join(near.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"))))
+    least = top(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    rest = lexical.withColumnRenamed("score", "l").join(first.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(known, "query_id").join(least, "query_id", "left")
+    able = F.col("reached").isNull() | (DENSE_SHARE * dense("d_next") + LEXICAL_SHARE * lex >= F.col("reached") - 1e-6)
+    return first.union(measured(cut(rest.where(able).select("query_id", "node_id", "l"))))
 
 
 def layout_probe(queries: DataFrame, nodes: DataFrame, kind: str, k: int = 5) -> DataFrame:

@@ -48,6 +48,10 @@ def terms(x: str, limit: int) -> str:
 CORPUS = """corpus AS (
   SELECT doc_id, 'doc:' || doc_id AS id, source || ' ' || doc_id AS title, 'docs://' || source || '/' || doc_id AS uri, source AS domain, coalesce(text, '') AS text FROM documents)"""
 
+#: Documents with four words or more and a reply of them; good: what keeps the limits.
+REPLIES = """said AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{4,}')[1:4] AS w FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{4,}')) >= 4),
+good AS (SELECT * FROM said WHERE doc_id % 11 <> 4 AND doc_id % 7 <> 3)"""
+
 
 def chunked(most: int) -> str:
     return f"""flat AS (SELECT id, title, uri, domain, {normalized("text")} AS t FROM corpus),
@@ -252,6 +256,15 @@ SELECT query_id, count(*) AS nodes, max(depth)::BIGINT AS depth FROM w GROUP BY
     "sha1_embedding": f"""WITH {CORPUS}, {hashed("corpus", "id", "text", "v")}
 SELECT id, count(*) AS buckets, round(sum(v * v), 4) AS norm, round(sum(v * (bucket + 1)), 3) AS moment FROM v WHERE v <> 0 GROUP BY 1""",
     "vector_topk": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id::VARCHAR AS query_id, v.vec_id::VARCHAR AS node_id, list_dot_product(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 50 = 0) SELECT query_id, node_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node_id) AS rank FROM s QUALIFY rank <= 5",
+    "vector_cells": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id::VARCHAR AS query_id, v.vec_id::VARCHAR AS node_id, list_dot_product(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 50 = 0) SELECT query_id, node_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node_id) AS rank FROM s QUALIFY rank <= 5",
+    "label_relations": f"""WITH {REPLIES},
+n AS (SELECT doc_id, 'llm-concept:' || substr(sha1(doc_id || '::' || l), 1, 12) AS id, lower(l) AS low, l FROM (SELECT DISTINCT doc_id, unnest([w[1], w[2], w[3]]) AS l FROM good)),
+b AS (SELECT doc_id, low, arg_max(id, l) AS id FROM n GROUP BY 1, 2),
+r AS (SELECT doc_id, unnest([{{'a': lower(w[1]), 'b': lower(w[2]), 't': 'supports', 'c': 0.5::DOUBLE}}, {{'a': lower(w[2]), 'b': lower(w[3]), 't': 'depends_on', 'c': 1.0::DOUBLE}}, {{'a': lower(w[3]), 'b': lower(w[1]), 't': 'related_to', 'c': 0.25::DOUBLE}}, {{'a': lower(w[1]), 'b': 'nowhere', 't': 'portal', 'c': 0.9::DOUBLE}}]) AS r FROM good),
+e AS (SELECT r.doc_id, x.id AS source, y.id AS target, r.r.t AS edge_type, least(0.94::DOUBLE, 0.52::DOUBLE + r.r.c * 0.38::DOUBLE) AS weight FROM r JOIN b x ON x.doc_id = r.doc_id AND x.low = r.r.a JOIN b y ON y.doc_id = r.doc_id AND y.low = r.r.b WHERE x.id <> y.id)
+SELECT 'llm-edge:' || substr(sha1(doc_id || '::' || source || '::' || target || '::' || edge_type), 1, 12) AS id, source, target, edge_type, round(max(weight), 4) AS weight, 'doc:' || doc_id AS document_id FROM e GROUP BY ALL""",
+    "reply_faults": f"WITH {REPLIES} SELECT CASE WHEN doc_id % 11 = 4 THEN 'the reply is not the JSON that was asked for' WHEN doc_id % 7 = 3 THEN 'a concept breaks its limits' ELSE 'none' END AS fault, count(*) AS replies FROM said GROUP BY 1",
+    "document_changes": "SELECT 'doc:' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' ELSE 'changed' END AS change FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0) AND (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 5 = 0)",
     "torus_scale": f"WITH {POINTS} SELECT node_id, round(theta, 4) AS theta, round(phi, 4) AS phi FROM points",
     "torus_distance": f"WITH {POINTS} SELECT q.node_id AS query_id, round(avg({WRAPPED}), 4) AS wrapped, round(avg({FLAT}), 4) AS flat, round(max({WRAPPED}), 4) AS farthest FROM points q, points p WHERE q.vec_id % 50 = 0 GROUP BY 1",
     "shard_assign": f"WITH {POINTS} SELECT node_id, {CELL.format('phi')} AS shard_row, {CELL.format('theta')} AS shard_column, 'shard:' || {CELL.format('phi')} || ':' || {CELL.format('theta')} AS shard_id FROM points",
@@ -298,6 +311,12 @@ SELECT query_id, node_id, round(score, 4) AS score, rank FROM {top("full_", 5)}"
 {CHAIN},
 f AS (SELECT query_id, node_id, score, node_id AS seed_id FROM {nearest(5)})
 SELECT query_id, from_id, to_id, len(matched)::BIGINT AS matched, round(s, 4) AS score, pruned FROM {scored_edges("f")}""",
+    "edge_components": f"""WITH {ITEMS},
+{DENSE},
+{CHAIN},
+f AS (SELECT query_id, node_id, score, node_id AS seed_id FROM {nearest(5)})
+SELECT query_id, from_id, to_id, round(s, 4) AS score, round(s, 4) AS total, 7::BIGINT AS n_components, round(len(matched)::DOUBLE / greatest(1, n_terms) * 0.48::DOUBLE, 4) AS lexical, round(near_c * 0.16::DOUBLE, 4) AS near_current, 'arrival' AS first_component
+FROM {scored_edges("f")}""",
     "traverse_levels": f"""WITH {ITEMS},
 {DENSE},
 {CHAIN},

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, text
-from .functions.shared import scratch
+from .functions.shared import cut, scratch
 from .operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
-from .plans import index, strategies
+from .plans import enrich, index, strategies, vectors
 from .plans.policy import TraversalPolicy
 from .sources import tables
 from .sources.markup import html_text
@@ -149,6 +149,16 @@ def vector_topk(spark, sf_dir):
     return embed.topk(q, v.select(F.col("vec_id").alias("node_id"), "embedding"), 5).select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
+def vector_cells(spark, sf_dir):
+    """The same nearest rows from cells around centroids, with the bounds that make them exact."""
+    v = tables.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("node_id"), "embedding")
+    path = scratch(spark, "cells")
+    vectors.build(v, path)
+    q = v.where(F.col("node_id").cast("long") % 50 == 0).withColumnRenamed("node_id", "query_id")
+    found = vectors.opened(v, path, "bounded").search(q, 5)
+    return found.select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+
+
 def torus_layout(spark, sf_dir):
     v = embed.torus_layout(tables.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL"))
     return v.select("vec_id", F.round("theta", 4).alias("theta"), F.round("phi", 4).alias("phi"))
@@ -199,7 +209,7 @@ def dense(spark, sf_dir, k: int):
 
 def hybrid_fusion(spark, sf_dir):
     i, q = items(spark, sf_dir), questions(spark, sf_dir)
-    found = rank.fused(embedded(q, "query", "query_id"), embedded(i, "body", "node_id"), rank.bm25(i, q), 5)
+    found = rank.fused(embedded(q, "query", "query_id"), cut(embedded(i, "body", "node_id")), rank.bm25(i, q), 5)
     return rank.top(found, 5).select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
@@ -207,6 +217,41 @@ def community_topk(spark, sf_dir):
     return rank.communities(items(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "domain", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
+def said_of(spark, sf_dir):
+    """Documents as chunks of their own with a reply as a provider may give it: of their first words, each third one as a
+    concept or a relation of two, and every so often one that is cut off or breaks a limit."""
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{4,}"), F.lit(0)), 1, 4)
+    d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("number"), words.alias("w")).where("size(w) = 4")
+    w = lambda i: F.get("w", F.lit(i))
+    concept = lambda i: F.struct(F.concat(F.lit(" "), w(i), F.lit("  ")).alias("label"), F.lit("concept").alias("kind"), F.concat(F.lit("about "), w(i)).alias("summary"), F.lit(0.5 + i / 10).alias("confidence"))
+    relation = lambda a, b, kind, sure: F.struct(a.alias("source_label"), b.alias("target_label"), F.lit(kind).alias("edge_type"), F.lit("r").alias("rationale"), F.lit(sure).alias("confidence"))
+    concepts = F.array(concept(0), concept(1), F.when(F.col("number") % 7 == 3, F.struct(F.lit("x").alias("label"), F.lit("concept").alias("kind"), F.lit("too short").alias("summary"), F.lit(0.5).alias("confidence"))).otherwise(concept(2)))
+    relations = F.array(relation(F.upper(w(0)), w(1), "Supports ", 0.5), relation(w(1), F.lower(w(2)), "depends-on", 1.0), relation(w(2), w(0), "nonsense", 0.25), relation(w(0), F.lit("Nowhere"), "portal", 0.9))
+    reply = F.to_json(F.struct(concepts.alias("concepts"), relations.alias("relations")))
+    cut_off = F.when(F.col("number") % 11 == 4, F.substring(reply, 1, 40)).otherwise(reply)
+    return d.select("chunk_id", F.concat(F.lit("doc:"), "chunk_id").alias("document_id"), F.lit(0).alias("ordinal"), F.lit("t").alias("title"), F.lit("s").alias("source"), F.lit("d").alias("domain"), F.lit(None).cast(index.SPAN).alias("evidence"), cut_off.alias("reply"))
+
+
+def label_relations(spark, sf_dir):
+    """Relations of replies as edges between the concepts of their labels."""
+    good = cut(enrich.checked(said_of(spark, sf_dir)).where("fault IS NULL"))
+    nodes = extract.best_nodes(enrich.concepts_of(good))
+    return enrich.relations_of(good, nodes).select("id", "source", "target", "edge_type", F.round("weight", 4).alias("weight"), "document_id")
+
+
+def reply_faults(spark, sf_dir):
+    """How many replies are good, and what is wrong with the others."""
+    return enrich.checked(said_of(spark, sf_dir)).groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("replies"))
+
+
+def document_changes(spark, sf_dir):
+    """What an index of most documents lacks against an edition in which some are edited, some gone and some new."""
+    d = corpus(spark, sf_dir).withColumn("number", F.substring_index("id", ":", -1).cast("long"))
+    old = d.where("number % 7 <> 0").drop("number")
+    new = d.where("number % 11 <> 0").withColumn("text", F.when(F.col("number") % 5 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))).drop("number")
+    return index.changes(new, index.hashed(old))
+
+
 def document_chain(spark, sf_dir):
     """A graph of documents: each to the next of its source, and by a portal to the next of all where that is of another
     source."""
@@ -241,6 +286,15 @@ def edge_scores(spark, sf_dir):
     return found.select("query_id", "from_id", "to_id", F.size("matched").cast("long").alias("matched"), F.round("edge_score", 4).alias("score"), "pruned")
 
 
+def edge_components(spark, sf_dir):
+    """What the score of each edge at a question's seeds is made of."""
+    q = questions(spark, sf_dir).select("query_id", text.token_set(F.col("query")).alias("terms"))
+    front = seeds(spark, sf_dir).select("query_id", "node_id", "score", F.col("node_id").alias("seed_id"))
+    found = graph.edge_scores(front, graph.adjacency(document_chain(spark, sf_dir)), graph_nodes(spark, sf_dir), q)
+    total = F.aggregate(F.map_values("components"), F.lit(0.0), lambda a, x: a + x)
+    return found.select("query_id", "from_id", "to_id", F.round("edge_score", 4).alias("score"), F.round(total, 4).alias("total"), F.size("components").cast("long").alias("n_components"), F.round(F.col("components")["lexical"], 4).alias("lexical"), F.round(F.col("components")["near_current"], 4).alias("near_current"), F.element_at(F.transform(graph.sorted_entries("components"), lambda e: e["key"]), 1).alias("first_component"))
+
+
 def traverse_levels(spark, sf_dir):
     found = traverse.levels(questions(spark, sf_dir), seeds(spark, sf_dir), graph_nodes(spark, sf_dir), document_chain(spark, sf_dir), TraversalPolicy(max_hops=2))
     return found.select("query_id", F.col("depth").cast("long"), "from_id", "to_id", F.round("score", 4).alias("score"))
@@ -277,9 +331,14 @@ def agentic_start(spark, sf_dir):
     return first.select("query_id", "node_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
-def evidence(spark, sf_dir):
+def best_documents(spark, sf_dir):
+    """The five best documents of each question by BM25, ranked once."""
+    return cut(rank.top(rank.bm25(items(spark, sf_dir), questions(spark, sf_dir)), 5))
+
+
+def evidence(spark, sf_dir, best=None):
     """Chunks of the five best documents of each question."""
-    best = rank.top(rank.bm25(items(spark, sf_dir), questions(spark, sf_dir)), 5).select("query_id", F.col("node_id").alias("document_id"))
+    best = (best or best_documents(spark, sf_dir)).select("query_id", F.col("node_id").alias("document_id"))
     c = chunks.chunk(corpus(spark, sf_dir)).select("document_id", F.col("source").alias("uri"), "start", "end", "text")
     return best.join(c, "document_id").drop("document_id")
 
@@ -295,13 +354,13 @@ def support_sentences(spark, sf_dir):
     return found.select("query_id", F.md5("sentence").alias("sentence_md5"), F.col("support").cast("long"), F.col("rank").cast("long"))
 
 
-def labelled(spark, sf_dir):
-    best = rank.top(rank.bm25(items(spark, sf_dir), questions(spark, sf_dir)), 5)
+def labelled(best):
     return best.select("query_id", F.col("node_id").alias("label"), "rank")
 
 
 def answers(spark, sf_dir):
-    return answer.answers(questions(spark, sf_dir), labelled(spark, sf_dir), evidence(spark, sf_dir))
+    best = best_documents(spark, sf_dir)
+    return answer.answers(questions(spark, sf_dir), labelled(best), evidence(spark, sf_dir, best))
 
 
 def answer_rows(spark, sf_dir):
@@ -310,8 +369,9 @@ def answer_rows(spark, sf_dir):
 
 
 def answer_claims(spark, sf_dir):
-    q, e = questions(spark, sf_dir), evidence(spark, sf_dir)
-    a = answer.answers(q, labelled(spark, sf_dir), e).where("NOT withheld")
+    best = best_documents(spark, sf_dir)
+    q, e = questions(spark, sf_dir), evidence(spark, sf_dir, best)
+    a = answer.answers(q, labelled(best), e).where("NOT withheld")
     return answer.claims(a, answer.ranked_evidence(e, q), q).select("query_id", F.col("seq").cast("long"), "supported", F.col("support_count").cast("long"))
 
 
@@ -364,11 +424,12 @@ def labelled_questions(spark, sf_dir):
 def bm25_eval(spark, sf_dir):
     """The BM25 answers of the documents, scored as an evaluation scores a strategy."""
     q = questions(spark, sf_dir)
-    e = evidence(spark, sf_dir)
+    best = best_documents(spark, sf_dir)
+    e = evidence(spark, sf_dir, best)
     ranked = answer.ranked_evidence(e, q).where(F.col("rank") <= answer.SPANS)
     texts = ranked.groupBy("query_id").agg(F.array_join(answer.in_order("text"), " ").alias("evidence_text"), F.array_distinct(answer.in_order("uri")).alias("returned_sources"))
     none = F.array().cast("array<string>")
-    said = answer.answers(q, labelled(spark, sf_dir), e).select("query_id", "answer").join(texts, "query_id", "left")
+    said = answer.answers(q, labelled(best), e).select("query_id", "answer").join(texts, "query_id", "left")
     met = labelled_questions(spark, sf_dir).withColumnRenamed("id", "question_id").join(said.withColumnRenamed("query_id", "question_id"), "question_id")
     met = met.withColumns({"evidence_text": F.coalesce("evidence_text", F.lit("")), "returned_sources": F.coalesce("returned_sources", none), "edge_types": none, "strategy": F.lit("bm25")})
     hits = evaluate.source_matches(met, met.select("question_id", F.explode("returned_sources").alias("uri")))
@@ -468,8 +529,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_documents, important_terms, sentence_split, noun_phrases, normalize_text, markdown_text, document_titles, chunk_documents, page_html_text, url_domain, conversation_documents, doclet_rounds, concept_nodes,
-        adjacency_edges, shared_phrase_edges, capped_phrase_edges, graph_stats, neighbors_khop, hash_embedding, sha1_embedding, vector_topk, torus_layout, torus_scale, torus_distance, shard_assign, shard_fanout, layout_probe, bm25_topk,
-        hybrid_fusion, community_topk, graph_rerank, edge_scores, traverse_levels, traverse_best_first, graph_answers, agentic_hits, agentic_start, evidence_rank, support_sentences, answer_rows, answer_claims, source_health, node_health, eval_rows, strategy_summary,
+        adjacency_edges, shared_phrase_edges, capped_phrase_edges, graph_stats, neighbors_khop, hash_embedding, sha1_embedding, vector_topk, vector_cells, torus_layout, torus_scale, torus_distance, shard_assign, shard_fanout, layout_probe, bm25_topk,
+        hybrid_fusion, community_topk, graph_rerank, edge_scores, edge_components, label_relations, reply_faults, document_changes, traverse_levels, traverse_best_first, graph_answers, agentic_hits, agentic_start, evidence_rank, support_sentences, answer_rows, answer_claims, source_health, node_health, eval_rows, strategy_summary,
         failure_taxonomy, thesis_check, suite_breakdown, boundary_slice, cost_notes, bm25_eval_rows, strategy_eval, status_counts, hardest_misses, audit_override, golden_questions, uri_matches,
     )
 }

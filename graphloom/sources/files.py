@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,12 @@ def health(docs: DataFrame, records: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, modificationTime, length, content, supported) of all files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"no such source: {root}. Name a file or a folder that all executors can read, or pin a URL first") from None
     return files.withColumn("supported", markup.suffix(F.col("path")).isin(*markup.SUFFIXES))
 
 
@@ -79,6 +85,50 @@ def pinned(snapshots: DataFrame, fetched: DataFrame, refresh: bool = False) -> D
     return snapshots.unionByName(fetched.join(snapshots.select("url"), "url", "left_anti"))
 
 
+#: Endings of a pinned body and of the headers beside it.
+BODY, HEADERS = ".body", ".headers.json"
+_HEADERS = "url string, content_type string, etag string, last_modified string, retrieved_at string, sha256 string"
+
+
+def pin(snapshots: DataFrame, path: str) -> None:
+    """Write snapshots (url, body, content_type, etag, last_modified, retrieved_at) as a table of pinned copies with the hash
+    of each body, below `path`."""
+    snapshots.select("url", "body", "content_type", "etag", "last_modified", "retrieved_at").withColumn("sha256", F.sha2("body", 256)).write.mode("overwrite").parquet(path)
+
+
+def pinned_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots (url, body, content_type, etag, last_modified, retrieved_at, path) of a folder of bodies, each `name`.body
+    with its headers in `name`.headers.json, and the drift (path, url, warnings): bodies without headers, headers without a
+    body, headers that are no JSON, and bodies whose hash is no longer the pinned one; those are no snapshots.
+
+    Spark plans the files over tasks; bodies are read only where a query asks for them, and nothing is fetched."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    name = lambda ending: F.regexp_extract("path", f"^(.*){ending.replace('.', chr(92) + '.')}$", 1)
+    bodies = files.option("pathGlobFilter", f"*{BODY}").load(path).select(name(BODY).alias("path"), F.col("content").alias("raw"), F.lit(True).alias("_body"))
+    heads = files.option("pathGlobFilter", f"*{HEADERS}").load(path).select(name(HEADERS).alias("path"), F.from_json(F.decode("content", "UTF-8"), _HEADERS + ", broken string", {"columnNameOfCorruptRecord": "broken"}).alias("h"), F.lit(True).alias("_head"))
+    met = bodies.join(heads, "path", "full_outer")
+    told = [
+        (F.col("_body").isNull(), "no body"), (F.col("_head").isNull(), "no headers"), (F.col("_head") & (F.col("h").isNull() | F.col("h.broken").isNotNull() | F.col("h.url").isNull()), "headers cannot be read"),
+        (F.col("_body") & F.col("h.sha256").isNotNull() & (F.col("h.sha256") != F.sha2("raw", 256)), "body differs from the pin"),
+    ]
+    warned = met.withColumn("warnings", F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for c, t in told]), lambda x: x.isNotNull()))
+    good = warned.where(F.size("warnings") == 0)
+    body = F.decode("raw", "UTF-8")
+    snapshots = good.select("h.url", body.alias("body"), "h.content_type", "h.etag", "h.last_modified", "h.retrieved_at", "path")
+    return snapshots, warned.where(F.size("warnings") > 0).select("path", F.col("h.url").alias("url"), "warnings")
+
+
+def materialised(manifest: DataFrame, snapshots: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write the documents of a manifest's verified entries as a corpus snapshot below `path`: those that have a snapshot and
+    do not differ from their pins. Returns the documents and what `drift` tells."""
+    from ..plans import store
+
+    found = drift(manifest, snapshots)
+    good = snapshots.join(found.join(manifest.select("id", "url"), ["id", "url"]).where(F.size("warnings") == 0).select("url").distinct(), "url", "left_semi")
+    store.write_snapshot(snapshot_documents(good), path, records=found)
+    return store.read_snapshot(manifest.sparkSession, path), found
+
+
 def snapshot_documents(snapshots: DataFrame) -> DataFrame:
     page = F.lower("content_type").contains("html")
     read = markup.html_text(snapshots.select("*", F.when(page, F.col("body")).otherwise(F.lit("")).alias("html")))
