@@ -120,3 +120,13 @@ def test_stream_keeps_one_edition_of_each_document(spark, tmp_path):
     q = ingest.keep_up(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "other"), buckets=3)
     q.awaitTermination(120)
     assert sorted((r["id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "second"), ("b", "only"), ("c", "new")]
+
+
+def test_documents_that_hold_a_passage(spark):
+    from graphloom.queries import holding
+
+    texts = ["we say alpha-one beta gamma here", "prefixalpha-one beta gammasuffix", "alpha-one beta, gamma", "beta gamma", None, "a b", "ALPHA-ONE BETA GAMMA", "alpha-one beta gamma alpha-one beta gamma"]
+    passages = ["alpha-one beta gamma", "beta gamma", "a b", "gamma", "not there at all", " one beta", "say alpha-one beta gamma here"]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = holding(docs, spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string"))
+    assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == sorted((j, i) for j, p in enumerate(passages) for i, t in enumerate(texts) if t and p in t)
