@@ -18,12 +18,11 @@ def markdown_table(header: list[str], rows: list[list[object]]) -> str:
     return "\n".join("| " + " | ".join(cell(c) for c in row) + " |" for row in lines)
 
 
-def render(rows: DataFrame, flagship: str) -> str:
-    """`rows` come from `evaluate.scored`. One row for a strategy or suite, failures by label and the hardest misses are
-    collected; sections without rows are left out."""
+def sections(rows: DataFrame, flagship: str) -> list[tuple[str, list[str], DataFrame]]:
+    """The parts of a report of `evaluate.scored` rows: title, columns and a table of a few rows, in order."""
     summaries = evaluate.summary(rows)
     short = ["pass_rate", *evaluate.METRICS, "p95_latency_ms"]
-    sections = [
+    return [
         ("Strategies", ["strategy", "rows", "pass_ci_low", "pass_ci_high", *short, "p50_latency_ms", *(f"mean_{c}" for c in evaluate.COSTS), "warning_rate", "skipped_rate"], summaries.orderBy("strategy")),
         ("Suites", ["suite", "strategy", "rows", *short], evaluate.breakdown(rows).orderBy("suite", "strategy")),
         ("Boundary crossings", ["strategy", *short, "mean_portal_hops", "mean_shard_fanout", "mean_shard_crossings"], evaluate.boundary(rows).orderBy("strategy")),
@@ -34,13 +33,29 @@ def render(rows: DataFrame, flagship: str) -> str:
         ("Against the best other strategy", ["baseline", "pass_rate_delta", "source_recall_delta", "path_recall_delta", "faithfulness_delta"], evaluate.thesis(summaries, flagship).where("baseline IS NOT NULL")),
         ("Costs", ["widest", "widest_mean_shard_fanout", "slowest", "slowest_p95_latency_ms", "most_warned", "most_warned_warning_rate"], evaluate.cost_notes(summaries)),
     ]
+
+
+def render(rows: DataFrame, flagship: str) -> str:
+    """The report as Markdown. One row for a strategy or suite, failures by label and the hardest misses are collected;
+    sections without rows are left out."""
     parts = ["# Evaluation"]
-    for title, names, table in sections:
+    for title, names, table in sections(rows, flagship):
         found = [[r[n] for n in names] for r in table.collect()]
         parts += [f"## {title}", markdown_table(names, found)] if found else []
     return "\n\n".join(parts) + "\n"
 
 
+def write_json(rows: DataFrame, flagship: str, path: str) -> None:
+    """The report as JSON below `path`: all scored rows as lines in `rows`, and in `report` one object with the sections."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    rows = rows.sparkSession.read.schema(rows.schema).json(f"{path}/rows")
+    whole = None
+    for title, names, table in sections(rows, flagship):
+        one = table.select(*names).agg(F.collect_list(F.struct(*names)).alias(title.lower().replace(" ", "_")))  # a few rows
+        whole = one if whole is None else whole.crossJoin(one)  # one row each
+    whole.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/report")
+
+
 def answer_report(answer: dict, hops: list[dict], evidence: list[dict], warnings: list[str]) -> str:
     """One answer as Markdown: what it says and on what it rests, the path, what to do and what is lacking."""
     bullets = lambda values: "\n".join(f"- {cell(v)}" for v in values) or "- none"
