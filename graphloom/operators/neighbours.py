@@ -22,27 +22,41 @@ LITERALS, SETTING = 1000, "spark.sql.parquet.pushdown.inFilterThreshold"
 PAGE_ROWS, GROUP_BYTES = 1024, 16 << 20
 
 
+#: Ids as a table (node_id), or as a list that `few` has made of one.
+Ids = DataFrame | list[str]
+
+
+def few(ids: DataFrame, column: str = "node_id", most: int = LITERALS) -> Ids:
+    """The different ids as a list if there are at most `most` of them, else the table: so that several look-ups of the same
+    ids collect them once."""
+    known = [r[0] for r in ids.select(column).distinct().limit(most + 1).collect()]
+    return sorted(k for k in known if k is not None) if len(known) <= most else ids
+
+
 class Neighbours(Protocol):
     """What a search asks for."""
 
-    def around(self, ids: DataFrame, local_only: bool = False) -> DataFrame:
-        """The edges at the nodes `ids` (node_id), from that side, with their ends: as `graph.with_ends` has them."""
+    def around(self, ids: Ids, local_only: bool = False) -> DataFrame:
+        """The edges at the nodes `ids`, from that side, with their ends: as `graph.with_ends` has them."""
 
-    def bodies(self, ids: DataFrame) -> DataFrame:
-        """(id, tokens, theta, phi) of the nodes `ids` (node_id)."""
+    def bodies(self, ids: Ids) -> DataFrame:
+        """(id, tokens, theta, phi) of the nodes `ids`."""
 
 
-def fetch(table: DataFrame, key: str, ids: DataFrame, column: str = "node_id", most: int = LITERALS) -> DataFrame:
+def fetch(table: DataFrame, key: str, ids: Ids, column: str = "node_id", most: int = LITERALS) -> DataFrame:
     """The rows of `table` whose `key` is among `ids`. Up to `most` different ids are pushed to the scan; for more, a join
     that reads the table once is the shorter way. Both give the same rows. The session's SETTING is raised to LITERALS."""
+    ids = few(ids, column, most) if isinstance(ids, DataFrame) else ids
+    return _only(table, key, ids, column)
+
+
+def _only(table: DataFrame, key: str, ids: Ids, column: str = "node_id") -> DataFrame:
+    if isinstance(ids, DataFrame):
+        return table.join(ids.select(F.col(column).alias(key)).distinct(), key, "left_semi")
     spark = table.sparkSession
     if int(spark.conf.get(SETTING)) < LITERALS:
         spark.conf.set(SETTING, LITERALS)
-    wanted = ids.select(F.col(column).alias(key)).distinct()
-    known = [r[0] for r in wanted.limit(most + 1).collect()]
-    if len(known) <= most:
-        return table.where(F.col(key).isin(sorted(k for k in known if k is not None)))
-    return table.join(wanted, key, "left_semi")
+    return table.where(F.col(key).isin(ids))
 
 
 def store(rows: DataFrame, path: str, *order: str) -> None:
@@ -58,12 +72,11 @@ class Joined:
     nodes: DataFrame
     edges: DataFrame
 
-    def around(self, ids: DataFrame, local_only: bool = False) -> DataFrame:
-        here = graph.adjacency(self.edges, local_only).join(ids.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
-        return graph.with_ends(here, self.nodes)
+    def around(self, ids: Ids, local_only: bool = False) -> DataFrame:
+        return graph.with_ends(_only(graph.adjacency(self.edges, local_only), "src", ids), self.nodes)
 
-    def bodies(self, ids: DataFrame) -> DataFrame:
-        some = self.nodes.join(ids.select(F.col("node_id").alias("id")).distinct(), "id", "left_semi")
+    def bodies(self, ids: Ids) -> DataFrame:
+        some = _only(self.nodes, "id", ids)
         return some.select("id", graph.node_tokens(some).alias("tokens"), "theta", "phi")
 
 
@@ -74,11 +87,11 @@ class Clustered:
     nodes: DataFrame
     edges: DataFrame
 
-    def around(self, ids: DataFrame, local_only: bool = False) -> DataFrame:
+    def around(self, ids: Ids, local_only: bool = False) -> DataFrame:
         kept = self.edges.where("edge_type <> 'portal'") if local_only else self.edges
         return fetch(kept, "src", ids)
 
-    def bodies(self, ids: DataFrame) -> DataFrame:
+    def bodies(self, ids: Ids) -> DataFrame:
         return fetch(self.nodes, "id", ids).select("id", "tokens", "theta", "phi")
 
 
