@@ -23,7 +23,8 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     live = F.size(F.filter("spans", lambda s: s["live"] & ~s["copied"])).cast("long")
     copied = F.size(F.filter("spans", lambda s: s["copied"])).cast("long")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), live.alias("n_live"), copied.alias("n_copied"))
+    widest = lambda of: F.coalesce(F.array_max(F.transform("spans", lambda s: s[of])), F.lit(0)).cast("long")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), live.alias("n_live"), copied.alias("n_copied"), widest("owners").alias("most_owners"), widest("repositories").alias("most_repositories"))
 
 
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Each whole text is searched for secrets of the base kinds and for further candidates (long mixed tokens). A candidate
 is kept as the SHA-256 of its value, and the whole corpus tells in how many repositories and under how many owners
 that value stands. Values that several owners share are copied examples; values of one owner that look live (mixed
-characters, high entropy) are credentials, and further candidates of that sort become spans too.
+characters, high entropy) are credentials, and further candidates of that sort become spans too. Owners alone decide: a
+credential that stands in many repositories of its owner is still theirs, and the number of repositories beside it tells
+how far it has spread and has to be withdrawn.
 """
 
 from __future__ import annotations
