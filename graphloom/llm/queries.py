@@ -131,7 +131,54 @@ e AS (SELECT vec_id, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
   (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, c)) FROM c{rounds}) AS codebooks_sha256 FROM w JOIN e USING (vec_id)"""
 
+def _secrets_sql() -> str:
+    """Matches get marks of the private-use area around them, which tell where they start."""
+    assign = secrets.ASSIGN.pattern.replace("'", "''")
+    least = (*secrets.LEAST.values(), 20)
+    patterns = (assign, secrets.ACCESS.pattern, secrets.HEX.pattern, secrets.OWNED.pattern)
+    cuts = " UNION ALL ".join(rf"SELECT r, {k} AS k, '{kind}' AS kind, {least[k]} AS least, string_split(regexp_replace(t, '{patterns[k]}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM d" for k, kind in enumerate(secrets.KINDS))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS o, concat_ws('/', source, lang) AS p FROM documents),
+cuts AS ({cuts}),
+each AS (SELECT r, k, kind, least, split_part(parts[i], chr(57345), 1) AS m, list_sum(list_transform(parts[1 : i - 1], lambda x: length(x)))::BIGINT - (i - 2) AS s
+  FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM cuts WHERE len(parts) > 1)),
+f AS (SELECT r, k, kind, s, s + length(m) AS e, v FROM (SELECT *, CASE k WHEN 0 THEN regexp_extract(m, '{assign}', 2) ELSE m END AS v FROM each) WHERE length(v) >= least),
+g AS (SELECT * FROM f WHERE k < 3 UNION ALL SELECT * FROM f WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+  AND NOT EXISTS (SELECT 1 FROM f b WHERE b.k < 3 AND b.r = f.r AND b.s < f.e AND f.s < b.e)),
+bits AS (SELECT v, -sum(n / length(v) * log2(n / length(v))) AS h FROM (SELECT v, c, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS c FROM (SELECT DISTINCT v FROM g)) GROUP BY v, c) GROUP BY v),
+often AS (SELECT v, count(DISTINCT o)::BIGINT AS owners, count(DISTINCT p)::BIGINT AS repositories FROM g JOIN d USING (r) GROUP BY v),
+j AS (SELECT r, k, kind, s, e, h >= {secrets.LIVE_BITS} AND regexp_matches(v, '[0-9]') AS live, owners >= {secrets.COPIED_OWNERS} AS copied, owners, repositories FROM g JOIN bits USING (v) JOIN often USING (v)),
+a AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+    count(*) FILTER (live AND NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories
+  FROM j WHERE k < 3 OR (live AND NOT copied) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
+FROM d LEFT JOIN a USING (r)"""
+
+
 SQL = {
+    "op1_secret_scans": _secrets_sql(),
+    "op4_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, md5(array_to_string(w, ' ')) AS u FROM d),
+u AS (SELECT u, first(w) AS w, min(doc_id) AS low FROM x GROUP BY u),
+g AS (SELECT DISTINCT u, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT u, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM u)),
+n AS (SELECT u, count(*) AS n FROM g GROUP BY u),
+o AS (SELECT a.u AS a, b.u AS b, count(*) AS o FROM g a JOIN g b USING (g) WHERE a.u <> b.u GROUP BY a.u, b.u),
+l AS (SELECT a, b FROM o JOIN n ON n.u = a JOIN n k ON k.u = b WHERE 100 * o >= 75 * (n.n + k.n - o)),
+c AS (SELECT u, u AS t FROM n UNION SELECT c.u, l.b FROM c JOIN l ON c.t = l.a),
+m AS (SELECT c.u, min(u.low) AS component_id FROM c JOIN u ON c.t = u.u GROUP BY c.u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM x LEFT JOIN n USING (u) LEFT JOIN m USING (u)""",
+    "op8_embedding_near_dedup": r"""
+WITH RECURSIVE x AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT e, min(vec_id) AS low, count(*) AS k, min(r) AS u FROM x WHERE len(e) > 0 AND len(list_filter(e, lambda c: c IS NOT NULL AND isfinite(c))) = len(e) AND len(list_filter(e, lambda c: c <> 0)) > 0 GROUP BY e),
+l AS (SELECT a.u AS a, b.u AS b, b.k FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.u <> b.u WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT u, u AS t FROM u UNION SELECT c.u, l.b FROM c JOIN l ON c.t = l.a),
+m AS (SELECT c.u, min(v.low) AS component_id FROM c JOIN u v ON c.t = v.u GROUP BY c.u),
+n AS (SELECT u, k - 1 + coalesce(o, 0) AS n FROM u LEFT JOIN (SELECT a AS u, sum(k) AS o FROM l GROUP BY a) USING (u))
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = component_id, true) AS kept
+FROM x LEFT JOIN u ON x.e = u.e LEFT JOIN m USING (u) LEFT JOIN n USING (u)""",
     "op10_mixing_sources": """
 WITH d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
