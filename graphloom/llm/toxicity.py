@@ -40,7 +40,8 @@ CLIP = (-2.0, 14.0)
 UNIT = 2.0**-32
 #: Most frequent sequences whose ratios are broadcast (speed only: all others are joined), sequences of a group.
 HOT_KEYS, BUCKET_ROWS = 1 << 18, 100_000
-#: Labelled documents up to which they are sent to the texts instead of both being shuffled (speed only).
+#: Rows (labelled documents, short sequences) up to which they are sent to the others instead of both being shuffled (speed
+#: only).
 BROADCAST_ROWS = 500_000
 #: Sequences that a task holds before it adds up equal ones.
 HELD_KEYS = 1 << 21
@@ -137,14 +138,15 @@ def interpolated(wanted: np.ndarray, sequences: np.ndarray, times: np.ndarray, l
     return smoothed(np.where(there, times[at], 0), np.where(known, total[in_], 0), kinds[in_], lower)
 
 
-def ratios(keys: np.ndarray, counts: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
-    """log P(toxic) - log P(ordinary) of the last symbol of each key, in UNITs. The keys are all those whose second and
-    third last symbols are the same as in one of them, so that every context, and all that precedes it, is whole."""
+def ratios(keys: np.ndarray, counts: list[np.ndarray], shared: np.ndarray | None = None, lower: list[np.ndarray] | None = None) -> np.ndarray:
+    """log P(toxic) - log P(ordinary) of the last symbol of each key, in UNITs. The keys are all those whose SHARED symbols
+    before the last are the same as in one of them, so that every context, and all that precedes it, is whole. With
+    `lower`, the probabilities in either class by those SHARED symbols, they need only be all with the same SHARED + 1."""
     both = []
-    for own in counts:
-        p = shared[last(keys, SHARED)]
+    for i, own in enumerate(counts):
+        p = shared[last(keys, SHARED)] if lower is None else lower[i]
         seen = keys[own > 0]
-        for length in range(SHARED + 1, ORDER):
+        for length in range(SHARED + (1 if lower is None else 2), ORDER):
             sequences, times = np.unique(last(np.unique(last(seen, length + 1)), length), return_counts=True)
             p = interpolated(last(keys, length), sequences, times, p)
         order = np.argsort(seen)
@@ -152,11 +154,22 @@ def ratios(keys: np.ndarray, counts: list[np.ndarray], shared: np.ndarray) -> np
     return np.rint((np.log(both[1]) - np.log(both[0])) / UNIT).astype(np.int64)
 
 
-def _ratios(shared):
+def _ratios(group: pd.DataFrame) -> pd.DataFrame:
+    keys = group["key"].to_numpy(np.int64)
+    found = ratios(keys, [group[c].to_numpy(np.int64) for c in ("ordinary", "toxic")], lower=[group[c].to_numpy() for c in ("p_ordinary", "p_toxic")])
+    return pd.DataFrame({"key": keys, "times": group["times"], "ratio": found})
+
+
+def _short(shared):
+    """The probabilities of the last symbol of sequences of SHARED + 1, all of a context together."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["key"].to_numpy(np.int64)
-        found = ratios(keys, [group[c].to_numpy(np.int64) for c in ("ordinary", "toxic")], shared.value)
-        return pd.DataFrame({"key": keys, "times": group["times"], "ratio": found})
+        group = group.sort_values("tail")
+        tails, out = group["tail"].to_numpy(np.int64), {}
+        for c in ("ordinary", "toxic"):
+            times = group[c].to_numpy(np.int64)
+            out[f"p_{c}"] = interpolated(tails, tails[times > 0], times[times > 0], shared.value[last(tails, SHARED)])
+        return pd.DataFrame({"tail": tails, **out})
 
     return run
 
@@ -259,18 +272,26 @@ def counted_places(docs: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def place_ratios(counts: DataFrame) -> DataFrame:
-    """(key, times, ratio): of every sequence what its last symbol says for the toxic class, in UNITs."""
+    """(key, times, ratio): of every sequence what its last symbol says for the toxic class, in UNITs.
+
+    The probabilities by the SHARED symbols before are computed first, from aggregates with one row for each sequence of
+    SHARED + 1. Groups are then by one symbol more, so that a frequent pair of symbols is spread over many of them."""
     spark = counts.sparkSession
-    symbols = lambda n: F.lit((1 << (n * SYMBOL_BITS)) - 1)
+    ending = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << (n * SYMBOL_BITS)) - 1))
+    before = lambda c, n: F.xxhash64(F.shiftright(c, SYMBOL_BITS).bitwiseAND(F.lit((1 << (n * SYMBOL_BITS)) - 1)))
+    # how many different symbols precede each sequence of SHARED + 1, in either class
+    longer = counts.groupBy(ending("key", SHARED + 2).alias("key")).agg(*(F.max(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in ("ordinary", "toxic")))
+    tails = cut(longer.groupBy(ending("key", SHARED + 1).alias("tail")).agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic"))))
     # pairs of symbols: 258 x 258 rows at most at any size of the corpus
-    three = counts.where("ordinary + toxic > 0").select(F.col("key").bitwiseAND(symbols(SHARED + 1)).alias("key")).distinct()
-    pairs = three.groupBy(F.col("key").bitwiseAND(symbols(SHARED)).alias("pair")).agg(F.count(F.lit(1)).alias("seen")).toPandas()
+    pairs = tails.where("ordinary + toxic > 0").groupBy(ending("tail", SHARED).alias("pair")).agg(F.count(F.lit(1)).alias("seen")).toPandas()
     shared = spark.sparkContext.broadcast(shared_model(pairs["pair"].to_numpy(np.int64), pairs["seen"].to_numpy(np.int64)))
-    buckets = max(1, -(-counts.count() // BUCKET_ROWS))
-    # a sequence and its contexts have the same second and third last symbols
-    bucket = F.pmod(F.xxhash64(F.shiftright("key", SYMBOL_BITS).bitwiseAND(symbols(SHARED))), F.lit(buckets))
+    many = tails.count()
+    bucket = F.pmod(before("tail", SHARED), F.lit(max(1, -(-many // BUCKET_ROWS))))
+    short = tails.groupBy(bucket.alias("bucket")).applyInPandas(_short(shared), "tail long, p_ordinary double, p_toxic double")
+    known = counts.withColumn("tail", ending("key", SHARED + 1)).join(F.broadcast(short) if many <= BROADCAST_ROWS else short, "tail")
+    bucket = F.pmod(before("key", SHARED + 1), F.lit(max(1, -(-counts.count() // BUCKET_ROWS))))
     path = scratch(spark, "ratios")
-    counts.groupBy(bucket.alias("bucket")).applyInPandas(_ratios(shared), "key long, times long, ratio long").write.parquet(path)
+    known.groupBy(bucket.alias("bucket")).applyInPandas(_ratios, "key long, times long, ratio long").write.parquet(path)
     return spark.read.parquet(path)
 
 
