@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import codepoint2name
+
 from .functions.text import OUT_OF_SCOPE, STOPWORDS, TOKEN, WITHHELD
 from .operators.answer import ACTIONS
 
+#: Named character references, and what counts as white space at the ends of a piece of a page.
+NAMED = "MAP {" + ", ".join(f"'&{name};': chr({code})" for code, name in codepoint2name.items()) + "}"
+SPACE = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
+
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
@@ -20,6 +26,21 @@ def token_set(x: str) -> str:
     return f"list_distinct({tokens(x)})"
 
 
+def unescaped(x: str) -> str:
+    """Character references by name or decimal number with a semicolon."""
+    return f"array_to_string(list_transform(string_split(regexp_replace({x}, '&#?[A-Za-z0-9]+;', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)), lambda y: CASE WHEN regexp_full_match(y, '&#[0-9]+;') THEN chr(substr(y, 3, length(y) - 3)::INTEGER) ELSE coalesce(named[y], y) END), '')"
+
+
+#: What of a page is no text: elements without text with their content, comments and markup.
+NO_TEXT = "(?is)" + "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "noscript")) + r"|<!--.*?(?:-->|\z)|<[!?/]?[a-z][^>]*>"
+
+PAGE_TEXT = f"""
+WITH p AS (SELECT page_id, {NAMED} AS named, {SPACE} AS spaces, unnest(regexp_split_to_array(coalesce(html, ''), '{NO_TEXT}')) AS x, generate_subscripts(regexp_split_to_array(coalesce(html, ''), '{NO_TEXT}'), 1) AS i FROM pages),
+q AS (SELECT page_id, i, trim({unescaped("x")}, spaces) AS x FROM p),
+t AS (SELECT page_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS t FROM q GROUP BY page_id)
+SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM t"""
+
+
 def normalized(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
@@ -211,6 +232,7 @@ SQL = {
     "noun_phrases": _phrase_list(),
     "normalize_text": f"SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5, substr(sha256(t), 1, 12) AS sha12 FROM (SELECT doc_id, {normalized("coalesce(text, '')")} AS t FROM documents)",
     "markdown_text": "SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g'), '`([^`]*)`', '\\1', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s{0,3}#{1,6}\\s*', '', 'g') AS t FROM documents)",
+    "page_html_text": PAGE_TEXT,
     "document_titles": "WITH t AS (SELECT doc_id, text, coalesce(substr(list_filter(list_transform(string_split(replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda s: trim(s)), lambda s: s <> '')[1], 1, 96), 'untitled') AS title FROM documents) SELECT doc_id, title, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.35::DOUBLE)::BIGINT AS tokens_estimated FROM t",
     "chunk_documents": f"{CHUNKS} SELECT chunk_id, a::BIGINT AS span_start, b::BIGINT AS span_end, md5(text) AS text_md5 FROM chunks",
     "url_domain": "SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '/+$', '') AS canonical FROM pages",

@@ -3,13 +3,16 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import geometry, sql, text
 from graphloom.operators import chunks
+from graphloom.oracle import SQL
 from graphloom.plans import store, strategies
 from graphloom.sources import files
+from graphloom.sources.markup import html_text
 from graphloom.streaming import ingest
 
 TEXTS = ["The Token audience, and the token's header. " * 20, "", None, "one", "ä ö  ü\n\nline two. " * 40, "a#b/ http://x/y/#z //"]
@@ -130,3 +133,20 @@ def test_documents_that_hold_a_passage(spark):
     docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
     got = holding(docs, spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string"))
     assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == sorted((j, i) for j, p in enumerate(passages) for i, t in enumerate(texts) if t and p in t)
+
+
+def test_page_text_sql(spark):
+    """The text of pages against its SQL: references, elements that go with their content, unclosed parts, odd space."""
+    pages = [
+        "<html><head><style>b{}</style><title>A &amp; B</title></head><body><p>x &lt;b&gt; &copy;&nbsp;</p><p>&#8364; 5&#44; &eacute;</p></body></html>",
+        "<p>one<!-- <b>no</b> --> two<script>if (a < b) { '</p>' }</script>three</p><noscript>gone</noscript >",
+        "<div>open<script>never closed", "<!-- never closed <p>x</p>", "a < b and 3 > 2 <3", "<P\nCLASS='x'>Up</P>\u2003\u00a0<br/>\ttail\u3000",
+        "", None, "&unknown; &amp;lt; plain", "<scripty>kept</scripty><styles>too</styles>",
+    ]
+    rows = [(i, h) for i, h in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = {i: (n, digest) for i, n, digest in con.execute(SQL["page_html_text"]).fetchall()}
+    assert {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in got.items()} == want
