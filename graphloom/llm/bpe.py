@@ -14,7 +14,8 @@ kind without an apostrophe (only contractions begin inside a run); else the wind
 be. Special tokens are shorter than the first window, so one that a cut went through lies inside it.
 
 A leaf is cut at single spaces between solid characters. No merge and no rule of the pre-tokenizer reaches across such a
-place, so these pieces are encoded once per distinct piece.
+place. So pieces of undisputed characters go through a second library with the same vocabulary, all that stand in a row as
+one run, and all others through the first, once per distinct piece.
 """
 
 from __future__ import annotations
@@ -73,37 +74,74 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 @functools.cache
-def _tables(path: str) -> tuple[list[str], np.ndarray]:
-    """The decimal form of every id, and whether its bytes begin with a space."""
-    known = token_bytes(path)
-    return [str(i) for i in range(len(known))], np.array([x[:1] == b" " for x in known])
+def _names(path: str) -> list[str]:
+    """The decimal form of every id."""
+    return [str(i) for i in range(len(token_bytes(path)))]
+
+
+@functools.cache
+def _spaced(path: str) -> np.ndarray:
+    """Whether the bytes of every id begin with a space."""
+    return np.array([x[:1] == b" " for x in token_bytes(path)])
 
 
 def encode(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint32) for e in library(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-#: Characters whose kind (letter, number, white space, other) no version of Unicode disputes.
-PLAIN = re.compile("[\\t\\n\\x20-\\x7e\\u00c0-\\u024f]*")
-#: Fixed value: how the library's byte-level pre-tokenizer splits a text.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: how the library's byte-level pre-tokenizer splits a text in which white space is cut as `merged` does it (the
+#: library looks ahead instead, to leave the last of several white spaces to what follows).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Ids and bytes (no plain text has them) that mark where a run begins and where white space is cut.
+RUN, CUT = 1 << 30, (1 << 30) + 1
+_RUN, _CUT = 0, 1
+#: Bytes of plain characters (tab, newline, 0x20 to 0x7e, U+00C0 to U+024F), whose kind (letter, number, white
+#: space, other) no version of Unicode disputes; the first bytes of those of two bytes, but for the last of them.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[0x09, 0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = True
+_FIRST = np.zeros(256, bool)
+_FIRST[0xC3:0xC9] = True
 
 
 @functools.cache
 def merges(path: str):
-    """The same vocabulary in a second library, which merges plain pieces about four times as fast: ids ascend with the
-    ranks of the merges that make them. Tests hold it against the first library."""
+    """The same vocabulary in a second library, which merges plain runs several times as fast: ids ascend with the ranks of
+    the merges that make them. Tests hold it against the first library."""
     import tiktoken
 
     known, special = token_bytes(path), set(library(path).get_added_tokens_decoder())
-    return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks={x: i for i, x in enumerate(known) if i not in special}, special_tokens={})
-
-
-def encode_run(path: str, text: str) -> np.ndarray:
-    """The ids of some pieces in a row."""
-    if PLAIN.fullmatch(text) and "<|" not in text:
-        return np.array(merges(path).encode_ordinary(text), np.uint32)
-    return encode(path, [text])[0]
+    ranks = {x: i for i, x in enumerate(known) if i not in special}
+    return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={chr(_RUN): RUN, chr(_CUT): CUT})
+
+
+def disputed(data: np.ndarray) -> np.ndarray:
+    """Where bytes are that only the first library may encode: those of characters that are not plain, and the beginnings
+    of special tokens."""
+    bad = ~_PLAIN[data]
+    inner = np.flatnonzero((data >= 0x80) & (data < 0xC0))
+    if len(inner):
+        first = data[inner - 1]
+        bad[inner] = ~(_FIRST[first] | ((first == 0xC9) & (data[inner] < 0x90)))
+    bad[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    return np.flatnonzero(bad)
+
+
+def merged(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of plain runs (in order and apart), all encoded in one call, and how many each has."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    data = data[np.cumsum(inside[:-1], dtype=np.int8) > 0] if (ends - starts).sum() < len(data) else data
+    size = ends - starts
+    text = np.insert(data, np.cumsum(size) - size, _RUN)
+    white = (text == 0x20) | (text == 0x0A) | (text == 0x09)
+    cut = np.flatnonzero(white[:-2] & white[1:-1] & ~white[2:] & (text[2:] != _RUN)) + 1
+    text = np.insert(text, cut, _CUT) if len(cut) else text
+    ids = merges(path).encode_to_numpy(text.tobytes().decode(), allowed_special="all", disallowed_special=())
+    begins = np.flatnonzero(ids == RUN)
+    own = ids < RUN
+    ahead = np.cumsum(own)
+    return ids[own], np.diff(np.append(ahead[begins], ahead[-1]))
 
 
 class Pieces:
@@ -137,10 +175,10 @@ class Pieces:
             plain, others = [], []
             for p in missing:
                 (others if p.rfind(b" ") or len(p) == 1 else plain).append(p)
-            starts = _tables(self.path)[1]
+            starts = _spaced(self.path)
             for low in range(0, len(plain), 4096):  # every piece begins with the only space in it, and so do its ids
                 part = plain[low : low + 4096]
-                got = np.concatenate([encode_run(self.path, b"".join(part[i : i + 512]).decode()) for i in range(0, len(part), 512)])
+                got = np.concatenate(encode(self.path, [b"".join(part[i : i + 512]).decode() for i in range(0, len(part), 512)]))
                 cuts = np.flatnonzero(starts[got])
                 if len(cuts) == len(part) and cuts[0] == 0:
                     self._learn(part, got, np.diff(np.append(cuts, len(got))))
@@ -174,12 +212,8 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of some texts one after the other, and how many each has."""
-    if not len(data):
-        return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-    starts = cut_places(data, offsets)
-    ends = np.append(starts[1:], len(data))
+def _by_piece(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some pieces, each different one encoded once, and how many each piece has."""
     key = piece_hashes(data, starts, ends)
     _, which, back = np.unique(key, return_index=True, return_inverse=True)
     raw = data.tobytes()
@@ -187,8 +221,30 @@ def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     number = kept.numbers([raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])[back]
     each = kept.size[number]
     ahead = np.cumsum(each) - each
-    ids = kept.flat[np.arange(each.sum()) + np.repeat(kept.at[number] - ahead, each)]
+    return kept.flat[np.arange(each.sum()) + np.repeat(kept.at[number] - ahead, each)], each
+
+
+def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts one after the other, and how many each has."""
+    if not len(data):
+        return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+    starts, bad = cut_places(data, offsets), disputed(data)
+    other = np.zeros(len(starts), bool)
+    other[np.searchsorted(starts, bad, "right") - 1] = True
     text = np.searchsorted(offsets, starts, "right") - 1
+    begins = np.append(True, other[1:] | other[:-1] | (np.diff(text) > 0))  # plain pieces in a row of one text are a run
+    starts, other, text = starts[begins], other[begins], text[begins]
+    ends = np.append(starts[1:], len(data))
+    each = np.zeros(len(starts), np.int64)
+    kinds = []
+    for mine, of in ((~other, merged), (other, _by_piece)):
+        ids, each[mine] = of(path, data, starts[mine], ends[mine]) if mine.any() else (np.zeros(0, np.uint32), 0)
+        kinds.append(ids)
+    ids = kinds[0]
+    if other.any():
+        where = np.repeat(other, each)
+        ids = np.empty(len(where), np.uint32)
+        ids[~where], ids[where] = kinds
     return ids, np.bincount(text, each, len(offsets) - 1).astype(np.int64)
 
 
@@ -299,7 +355,7 @@ def ids_only(path: str, ids: list[np.ndarray], batch: pa.RecordBatch) -> list[pa
 
 def ids_digests(path: str, ids: list[np.ndarray], batch: pa.RecordBatch) -> list[pa.Array]:
     """Number of ids, digest of their decimal list, digest of the text that they decode to."""
-    names, known = _tables(path)[0], token_bytes(path)
+    names, known = _names(path), token_bytes(path)
     rows = []
     for x in ids:
         x = x.tolist()

@@ -33,51 +33,89 @@ MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIIIIBI3x")
 
 
+def _grouped(left: np.ndarray, right: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of which there are `least` or more, ascending, how often each stands, and where, pair by pair."""
+    bits, digits = symbols.bit_length(), len(left).bit_length()
+    pair = (left << bits) | right
+    if 2 * bits + digits < 64:  # pair and place are one number
+        pair <<= digits
+        pair |= np.arange(len(left))
+        pair.sort()
+        order = pair & ((1 << digits) - 1)
+        pair >>= digits
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    count = np.diff(np.append(first, len(pair)))
+    often = count >= least
+    order = order[np.repeat(often, count)]
+    pair = pair[first[often]]
+    return np.stack([pair >> bits, pair & ((1 << bits) - 1)]), count[often], order
+
+
+def _distinct(places: np.ndarray, n: int) -> np.ndarray:
+    """Different places among n, ascending, without -1; where they are few, without a look at all n."""
+    if len(places) * 32 < n:
+        places = np.sort(places)
+        return places[np.append(places[:1] >= 0, places[1:] != places[:-1])]
+    there = np.zeros(n + 1, bool)
+    there[places] = True
+    return np.flatnonzero(there[:n])
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules) of the ids of a frame; ends marks the last ids of documents, behind which no rule reaches. A rule
     is its two symbols; rule r is symbol vocabulary + r and holds only symbols before it.
 
     Where two pairs overlap, the one that stands more often in the frame wins (ties go by a hash), so the most frequent
     pair is always replaced everywhere, and many others with it. Within a level only places next to a replacement, and
-    those that lost to another pair, can hold a pair that has become frequent; only they are counted again."""
-    seq, end = ids.astype(np.int64), ends.copy()
+    those that lost to another pair, can hold a pair that has become frequent; only they are counted again. Symbols stay
+    where they are and know their neighbours, so that a pass costs as much as the places that it counts."""
+    n = len(ids)
+    seq, end, live = ids.astype(np.int64), ends.copy(), np.ones(n, bool)
+    end[n - 1 :] = True
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
     rules, made = [np.zeros((0, 2), np.int64)], 0
     for least in levels:
-        active = np.ones(max(len(seq) - 1, 0), bool)
-        while len(at := np.flatnonzero(active & ~end[:-1])):
-            slot, pair = pd.factorize((seq[at] << 32) | seq[at + 1])
-            run = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(slot) != 0)))  # of x x x x every second pair
-            even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
-            times = np.bincount(slot[even], minlength=len(pair))
-            often = (times >= least)[slot]
-            at, slot, even = at[often], slot[often], even[often]
-            rank = (times << 32) | ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-            own, overlap = rank[slot], (np.diff(at) == 1) & (np.diff(slot) != 0)
-            wins = even.copy()
-            wins[1:] &= ~(overlap & (own[:-1] >= own[1:]))
-            wins[:-1] &= ~(overlap & (own[1:] > own[:-1]))
-            enough = np.bincount(slot[wins], minlength=len(pair)) >= max(2, least // 2)
+        at = np.flatnonzero(live & ~end)
+        while len(at):
+            right = after.take(at)
+            pair, times, order = _grouped(seq.take(at), seq.take(right), vocabulary + made, least)
+            slot, even = np.repeat(np.arange(len(times)), times), np.ones(len(at), bool)
+            if len(twin := np.flatnonzero((pair[0] == pair[1])[slot])):  # of x x x x every second pair
+                own, of = at[order[twin]], slot[twin]
+                run = np.flatnonzero(np.append(True, (after[own[:-1]] != own[1:]) | (np.diff(of) != 0)))
+                odd = (np.arange(len(own)) - np.repeat(run, np.diff(np.append(run, len(own))))) % 2 == 1
+                even[order[twin[odd]]] = False
+                times = times - np.bincount(of[odd], minlength=len(times))
+                few = (times < least)[slot]
+                order, slot = order[~few], slot[~few]
+            spot = np.full(len(at), -1)
+            spot[order] = slot
+            often = np.flatnonzero(spot >= 0)
+            at, right, slot, wins = at.take(often), right.take(often), spot.take(often), even.take(often)
+            code = ((pair[0] << 32) | pair[1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            own = ((times << 32) | (code >> np.uint64(32)).astype(np.int64)).take(slot)
+            overlap, more = (right[:-1] == at[1:]) & (slot[1:] != slot[:-1]), own[:-1] >= own[1:]
+            wins[1:] &= ~(overlap & more)
+            wins[:-1] &= ~overlap | more
+            enough = np.bincount(slot[wins], minlength=len(times)) >= max(2, least // 2)
             if not enough.any():
                 break
             chosen = np.flatnonzero(enough)
-            chosen = chosen[np.argsort(pair[chosen])]
-            symbol = np.zeros(len(pair), np.int64)
+            symbol = np.zeros(len(times), np.int64)
             symbol[chosen] = vocabulary + made + np.arange(len(chosen))
-            used = wins & enough[slot]
-            place, lost = at[used], at[~used]
-            seq[place], end[place] = symbol[slot[used]], end[place + 1]
-            gone = np.zeros(len(seq), bool)
-            gone[place + 1] = True
-            lost = lost[~gone[lost] & ~gone[lost + 1]]
-            moved = np.cumsum(gone)
-            seq, end = seq[~gone], end[~gone]
-            place, active = place - moved[place], np.zeros(max(len(seq) - 1, 0), bool)
-            active[lost - moved[lost]] = True
-            active[place[place < len(active)]] = True
-            active[place[place > 0] - 1] = True
+            used = wins & enough.take(slot)
+            place, lost, gone = at[used], at[~used], right[used]
+            beyond = after.take(gone)
+            seq[place], end[place], live[gone] = symbol.take(slot[used]), end.take(gone), False
+            after[place], before[beyond] = beyond, place
+            at = _distinct(np.concatenate([lost[live.take(lost)], place, before.take(place)]), n)
+            at = at[~end.take(at)]
             made += len(chosen)
-            rules.append(np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], 1))
-    return seq, np.concatenate(rules)
+            rules.append(pair[:, chosen].T)
+    return seq[live], np.concatenate(rules)
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -178,7 +216,13 @@ class Frame:
         return expand(np.array([self.vocabulary + rule]), self.rules, self.lengths, self.vocabulary)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.sequence, self.rules, self.lengths, self.vocabulary)
+        if self.lengths.sum() > self.token_ends.max(initial=0):  # rules within rules: each place by itself is less work
+            return expand(self.sequence, self.rules, self.lengths, self.vocabulary)
+        known = np.arange(self.vocabulary + len(self.rules))
+        ids = np.append(known[: self.vocabulary], expand(known[self.vocabulary :], self.rules, self.lengths, self.vocabulary))
+        size = np.append(np.ones(self.vocabulary, np.int64), self.lengths)
+        each = size.take(self.sequence)
+        return ids.take(np.arange(each.sum()) + np.repeat((np.cumsum(size) - size).take(self.sequence) - (np.cumsum(each) - each), each))
 
 
 def _shards(docs: np.ndarray, ties: np.ndarray, bound_docs: np.ndarray, bound_ties: np.ndarray) -> np.ndarray:

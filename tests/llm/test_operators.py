@@ -121,6 +121,28 @@ def test_pieces_give_the_library_ids():
     assert [x.tolist() for x in got] == ids_of(texts)
 
 
+def test_plain_texts_are_encoded_in_whole_runs(monkeypatch):
+    """Only disputed characters go piece by piece: plain texts in whole runs, whatever white space they have."""
+    path = vocabulary_path()
+    rnd = random.Random(11)
+    plain = [*"ab ZÉß09.'|!", "\n", "\t", "  ", " \n ", "   ", "'s", "'ll", " the", "\n\n", "token"]
+    texts = ["", " ", "  ", "\n", "a ", "a  ", " a", "  a", "\ta", "a\n\nb", "a \n", "x" * 900, " " * 300 + "x", "É" * 70]
+    texts += ["".join(rnd.choice(plain) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    mixed = [t + rnd.choice([" 日本 ", "\u2019s", "<|endoftext|>", "\x00", "\x01 \x00", " \u0250", "\u00d7 \u00bf", " <", "<|"]) + u for t, u in zip(texts, texts[1:], strict=False)]
+
+    def encoded(rows):
+        ids, counts = bpe.encode_texts(path, *bytes_of(binary(pa.array(rows))))
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    assert encoded(mixed) == ids_of(mixed)
+
+    def by_piece(*_):
+        raise AssertionError("a plain text was encoded by pieces")
+
+    monkeypatch.setattr(bpe.Pieces, "numbers", by_piece)
+    assert encoded(texts) == ids_of(texts)
+
+
 def rows_of(texts, least):
     data, offsets = bytes_of(binary(pa.array(texts)))
     return [x.tolist() for x in bpe.encode_rows(vocabulary_path(), data, offsets, least)]
@@ -179,6 +201,32 @@ def test_grammar_goes_on_until_no_pair_repeats():
     assert len(tokenfiles.Frame(tokenfiles.frame([0], [np.full(200_000, 7)], 50_257)).sequence) < 40
 
 
+def test_passes_cost_what_they_count():
+    """300 passes over a few documents cost no more because a million ids without any pair stand beside them."""
+    chain = np.concatenate([np.append(np.arange(1, k), 0) for k in range(3, 300) for _ in range(2)])
+    alone = 1000 + np.random.default_rng(3).permutation(1 << 20)
+
+    def seconds(ids):
+        ends = ids == 0
+        ends[-1] = True
+        begin = time.process_time()
+        seq, rules = tokenfiles.compress(ids, ends, 1 << 21)
+        took = time.process_time() - begin
+        lengths = tokenfiles.expansion_lengths(rules, 1 << 21)
+        assert np.array_equal(tokenfiles.expand(seq, rules, lengths, 1 << 21), ids)
+        return took
+
+    few, many, both = (min(seconds(x) for _ in range(3)) for x in (chain, alone, np.append(chain, alone)))
+    assert both < 2 * (few + many)
+
+
+def test_all_ids_of_frames_with_short_and_with_nested_rules():
+    rnd = np.random.default_rng(5)
+    for ids in ([np.append(rnd.integers(1, 90, 4000), 0)], [np.append(np.arange(1, 200), 0)] * 200, [np.zeros(0, np.int64)], []):
+        f = tokenfiles.Frame(tokenfiles.frame(list(range(len(ids))), ids, 50_257))
+        assert np.array_equal(f.all_ids(), np.concatenate(ids) if ids else [])
+
+
 def test_random_access_into_frames():
     rnd = random.Random(8)
     words = [[rnd.randint(1, 500) for _ in range(rnd.randint(2, 9))] for _ in range(60)]
