@@ -20,8 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +49,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """The distinct shingles of some texts, ascending within each, and how many each has."""
     starts, ends, counts = spans(data, offsets)
     found, have = sequence_hashes(piece_hashes(LOWER[data], starts, ends), counts, WORDS)
-    text = np.repeat(np.arange(len(counts)), have)
-    order = np.lexsort((found, text))
-    found, text = found[order], text[order]
-    new = np.append(True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])) if len(found) else np.zeros(0, bool)
-    return found[new], np.bincount(text[new], minlength=len(counts)).astype(np.int64)
+    ends = np.cumsum(have)
+    begins = ends - have
+    for low, high in zip(begins.tolist(), ends.tolist(), strict=True):  # each text by itself: far cheaper than one sort by text and shingle
+        found[low:high].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[begins[have > 0]] = True
+    before = np.append(0, np.cumsum(new))
+    return found[new], (before[ends] - before[begins]).astype(np.int64)
 
 
 def names(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +136,14 @@ def _postings(last):
             text = np.repeat(np.arange(len(counts)), counts)
             at = np.minimum(np.searchsorted(late, found), max(len(late) - 1, 0))
             rank = np.where(late[at] == found, often[at], 0) if len(late) else np.zeros(len(found), np.int64)
-            order = np.lexsort((found, rank, text))
-            place = np.arange(len(found)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = order[place < _prefix(counts)[text]]
+            begins = np.cumsum(counts) - counts
+            first = np.append(0, np.cumsum(rank == 0))
+            place = first[:-1] - first[begins][text]  # shingles that do not stand last are in order already
+            put = np.flatnonzero(rank)
+            put = put[np.lexsort((rank[put], text[put]))]
+            many = np.bincount(text[put], minlength=len(counts))
+            place[put] = (first[begins + counts] - first[begins] - np.cumsum(many) + many)[text[put]] + np.arange(len(put))
+            keep = np.flatnonzero(place < _prefix(counts)[text])
             node = text[keep]
             columns = [pa.array(found[keep].view(np.int64)), pa.array(a[node].view(np.int64)), pa.array(_least(counts)[node].astype(np.int32))]
             for low in range(0, len(keep), 1 << 18):
@@ -181,36 +190,39 @@ _GUESTS = ["crowded", "node", "family", "least", "times"]
 
 def _guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(crowded, node, family, least, times): for every list, each set with the families of smaller sets in it; of crowded
-    lists each set once, with the smallest one. Rows come by shingle; at most LIST_SETS rows of a list are held back."""
+    lists each set once, with the smallest one. Rows come by shingle; the lists that a batch holds whole are taken at once,
+    of the one that it ends in at most LIST_SETS rows are held back."""
     last, crowded = None, False
-    held: list[np.ndarray] = []  # node, least, home, low of the last list, until it ends or is crowded
+    held: list[np.ndarray] = []  # rows of the last list, until it ends or is crowded
     out: list[np.ndarray] = []
 
+    def hold(rows: np.ndarray) -> None:
+        nonlocal crowded, held
+        held.append(rows)
+        crowded = crowded or sum(h.shape[1] for h in held) > LIST_SETS or len(np.unique(np.concatenate([h[3] for h in held]))) > GUEST_FAMILIES
+        if crowded:
+            every = np.concatenate(held, 1)
+            out.append(np.stack([np.ones(every.shape[1], np.int64), every[1], every[4], every[2]]))
+            held = []
+
     def close() -> None:
-        if not held or crowded:
-            return
-        node, least, home, _ = np.concatenate(held, 1)
-        families = np.unique(home)
-        smaller = np.searchsorted(families, home)
-        who = np.repeat(np.arange(len(node)), smaller)
-        which = np.arange(len(who)) - np.repeat(np.cumsum(smaller) - smaller, smaller)
-        out.append(np.stack([np.zeros(len(who), np.int64), node[who], families[which], least[who]]))
+        if held:
+            out.append(_whole(np.concatenate(held, 1)))
 
     for batch in batches:
-        shingle, node, least, home, low = _arrays(batch, "shingle", "node", "least", "home", "low")
-        rows = np.stack([node, least, home, low]) if len(shingle) else np.zeros((4, 0), np.int64)
-        begins = np.flatnonzero(np.append(True, np.diff(shingle) != 0)) if len(shingle) else np.zeros(0, np.int64)
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(shingle)], strict=False):
-            if shingle[a] != last:
-                close()
-                last, crowded, held = shingle[a], False, []
-            held.append(rows[:, a:b])
-            if not crowded and (len(held) > 1 or b - a > GUEST_FAMILIES):
-                crowded = sum(h.shape[1] for h in held) > LIST_SETS or len(np.unique(np.concatenate([h[2] for h in held]))) > GUEST_FAMILIES
-            if crowded:
-                every = np.concatenate(held, 1)
-                out.append(np.stack([np.ones(every.shape[1], np.int64), every[0], every[3], every[1]]))
-                held = []
+        if not len(batch):
+            continue
+        rows = np.stack(_arrays(batch, "shingle", "node", "least", "home", "low")).astype(np.int64)
+        more = int((rows[0] == last).sum()) if last is not None else 0
+        if more:
+            hold(rows[:, :more])
+        if more < rows.shape[1]:
+            tail = int(np.flatnonzero(np.append(True, np.diff(rows[0]) != 0))[-1])
+            close()
+            if more < tail:
+                out.append(_whole(rows[:, more:tail]))
+            last, crowded, held = rows[0, -1], False, []
+            hold(rows[:, tail:])
         if sum(o.shape[1] for o in out) > 1 << 18:
             yield _counted(out)
             out = []
@@ -219,9 +231,26 @@ def _guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(out)
 
 
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """(crowded, node, family, least) of whole lists, whose rows (shingle, node, least, home, low) stand together."""
+    shingle, node, least, home, low = rows[:, np.lexsort((rows[3], rows[0]))]
+    new = np.append(True, np.diff(shingle) != 0)
+    begins, of = np.flatnonzero(new), np.cumsum(new) - 1
+    first = new | np.append(True, np.diff(home) != 0)
+    families, at = home[first], np.cumsum(first) - 1
+    have = np.diff(np.append(at[begins], len(families)))
+    crowded = ((have > GUEST_FAMILIES) | (np.diff(np.append(begins, len(node))) > LIST_SETS))[of]
+    lowest = at[begins][of]  # the list's first family
+    smaller = np.where(crowded, 0, at - lowest)
+    who = np.repeat(np.arange(len(node)), smaller)
+    which = lowest[who] + np.arange(len(who)) - np.repeat(np.cumsum(smaller) - smaller, smaller)
+    guests = np.stack([np.zeros(len(who), np.int64), node[who], families[which], least[who]])
+    return np.concatenate([guests, np.stack([np.ones(crowded.sum(), np.int64), node[crowded], low[crowded], least[crowded]])], 1)
+
+
 def _counted(rows: list[np.ndarray]) -> pa.RecordBatch:
-    found, times = np.unique(np.concatenate(rows, 1), axis=1, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(r) for r in found), pa.array(times.astype(np.int64))], _GUESTS)
+    found = pa.table([pa.array(r) for r in np.concatenate(rows, 1)], _GUESTS[:4]).group_by(_GUESTS[:4], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(found[c].chunks) if found[c].num_chunks else pa.nulls(0, pa.int64()) for c in [*_GUESTS[:4], "count_all"]], _GUESTS)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,30 +261,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(name), pa.array(blobs, pa.binary())], ["node", "name", "shingles"])
 
 
-def _edges(group: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[str, str]]]:
-    """The different sets of a group, and edges from each of them to one of its component."""
-    group = group.drop_duplicates("name").sort_values("name")
-    roots = overlap.components([np.frombuffer(x, np.uint64) for x in group["shingles"]], NUM, DEN)
-    name = group["name"].tolist()
-    return group, [(a, name[r]) for a, r in zip(name, roots, strict=True) if a != name[r]]
+_FOUND = pa.schema([("family", pa.int64()), ("node", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("shingles", pa.binary())])
+
+
+def _edges(group: pa.Table) -> tuple[pa.Table, list[str], list[str]]:
+    """The different sets of a group (the first of each name), and edges (a, b) from each of them to one of its component."""
+    first: dict[str, int] = {}
+    for i, name in enumerate(group["name"].to_pylist()):
+        first.setdefault(name, i)
+    names = sorted(first)
+    group = group.take([first[n] for n in names])
+    roots = overlap.components([np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()], NUM, DEN)
+    edges = [(a, names[r]) for a, r in zip(names, roots, strict=True) if a != names[r]]
+    return group, [a for a, _ in edges], [b for _, b in edges]
 
 
-def _linked(group: pd.DataFrame) -> pd.DataFrame:
+def _linked(group: pa.Table) -> pa.Table:
     """Edges (a, b) of a family or of a block of one; of blocks their own sets too, as rows without b."""
-    group, edges = _edges(group.sort_values("centre"))
-    own = group[(group["block"] >= 0) & ~group["centre"]]
-    none = [None] * len(edges)
-    return pd.DataFrame(
-        {
-            "family": pd.array([*none, *own["family"]], "Int64"), "node": pd.array([*none, *own["node"]], "Int64"), "a": pd.Series([*(a for a, _ in edges), *own["name"]], dtype=object),
-            "b": pd.Series([*(b for _, b in edges), *[None] * len(own)], dtype=object), "shingles": pd.Series([*none, *own["shingles"]], dtype=object),
-        }
-    )
+    group, a, b = _edges(group.take(np.argsort(group["centre"].to_numpy(), kind="stable")))
+    found = pa.table([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.nulls(len(a), pa.binary())], schema=_FOUND)
+    own = group.filter(pc.and_(pc.greater_equal(group["block"], 0), pc.invert(group["centre"])))
+    return pa.concat_tables([found, pa.table([own["family"], own["node"], own["name"], pa.nulls(len(own), pa.string()), own["shingles"]], schema=_FOUND)])
 
 
-def _met(group: pd.DataFrame) -> pd.DataFrame:
-    _, edges = _edges(group)
-    return pd.DataFrame({"a": pd.Series([a for a, _ in edges], dtype=object), "b": pd.Series([b for _, b in edges], dtype=object)})
+def _met(group: pa.Table) -> pa.Table:
+    _, a, b = _edges(group)
+    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -384,7 +415,7 @@ def _by_core(met: DataFrame, facts: DataFrame) -> DataFrame | None:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = rows.where("stray").select("family", F.pmod(F.xxhash64("name"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), "name", "shingles")
     more = own.union(rows.select("family", each("rows").alias("i"), F.pmod(F.xxhash64("name"), F.col("columns")).cast("int").alias("j"), "name", "shingles"))
-    return more.groupBy("family", "i", "j").applyInPandas(_met, "a string, b string")
+    return more.groupBy("family", "i", "j").applyInArrow(_met, "a string, b string")
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -394,7 +425,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     where = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
     sets = docs.select("text").mapInArrow(_sets, "node long, name string, shingles binary")
     met = sets.join(where, "node").groupBy("family", "block")
-    found = cut(met.applyInPandas(_linked, "family long, node long, a string, b string, shingles binary"))
+    found = cut(met.applyInArrow(_linked, "family long, node long, a string, b string, shingles binary"))
     edges = found.where("b IS NOT NULL").select("a", "b")
     roots = cut(components(edges))
     more = strays(found.where("b IS NULL").select("family", "node", F.col("a").alias("name"), "shingles"), roots)

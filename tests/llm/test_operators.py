@@ -8,6 +8,7 @@ import struct
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -468,6 +469,58 @@ def test_lists_across_batches(monkeypatch):
         assert got == want
 
 
+def test_short_lists_cost_a_few_sorts():
+    """Lists of two sets are taken many at once: a step for each of them cost over a hundred times the sort of their rows."""
+    rnd = np.random.default_rng(4)
+    shingle = np.repeat(np.sort(rnd.integers(-(1 << 62), 1 << 62, 100_000)), 2)
+    node = rnd.integers(-(1 << 62), 1 << 62, len(shingle))
+    columns = {"shingle": shingle, "node": node, "least": np.full(len(node), 2), "home": node, "low": np.repeat(node.reshape(-1, 2).min(1), 2)}
+    batches = pa.table(columns).to_batches(max_chunksize=10_000)
+    began = time.process_time()
+    for batch in batches:
+        np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))
+    sort = time.process_time() - began
+    began = time.process_time()
+    got = [r for part in ngrams._guests(iter(batches)) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+    took = time.process_time() - began
+    pairs = np.sort(node.reshape(-1, 2), 1).tolist()
+    assert sorted(got) == sorted((0, high, low, 2, 1) for low, high in pairs)
+    assert took < 60 * sort
+
+
+def test_sets_and_prefixes_by_text():
+    """Sets and prefixes of many texts at once are those of each text by itself."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("ab") + str(rnd.randint(0, 2)) for _ in range(rnd.choice([0, 1, 4, 5, 9, 60]))) for _ in range(80)]
+    texts = [None, "", " ", *texts, "a b c d e " * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    ((_, data, offsets),) = common.slices(iter([batch]), "text")
+    found, counts = ngrams.shingle_sets(data, offsets)
+    each = np.split(found, np.cumsum(counts)[:-1])
+    alone = []
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        alone.append(ngrams.shingle_sets(raw, np.array([0, len(raw)]))[0])
+    words = [(t or "").split() for t in texts]
+    assert counts.tolist() == [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0 for w in words]
+    assert all(np.array_equal(a, b) and np.array_equal(a, np.unique(a)) for a, b in zip(each, alone, strict=True))
+    every, often = np.unique(found, return_counts=True)
+    late = rnd.sample(range(len(every)), 100)
+    last = np.sort(every[late])
+    times = dict(zip(every.tolist(), often.tolist(), strict=True))
+    often = np.array([times[x] for x in last.tolist()])
+    want = set()
+    standing = dict(zip(last.tolist(), often.tolist(), strict=True))
+    for own, n in zip(each, counts, strict=True):
+        if n:
+            ordered = sorted(own.tolist(), key=lambda x: (standing.get(x, 0), x))
+            name = ngrams.names(own, np.array([n]))[0].view(np.int64)[0]
+            want |= {(x, int(name)) for x in np.array(ordered[: ngrams._prefix(np.array([n]))[0]], np.uint64).view(np.int64).tolist()}
+    run = ngrams._postings(SimpleNamespace(value=(last, often)))
+    got = [(r["shingle"], r["node"]) for part in run(iter([batch])) for r in part.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_of_many_near_copies():
     rnd = np.random.default_rng(5)
     base = [rnd.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(3)]
