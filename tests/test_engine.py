@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphloom import queries as catalogue
 from graphloom.functions import geometry, text
 from graphloom.operators import answer, chunks, embed, evaluate, extract, graph, rank, traverse
 from graphloom.plans import index, report, store, strategies, sweep
@@ -448,3 +449,29 @@ def test_stream(spark, docs, tmp_path):
     q = ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("document_id").distinct().count() == 4
+
+
+def test_capped_pairs_over_ranges(spark, monkeypatch):
+    """Ranges follow the order of concepts, in which document 10 comes before document 1."""
+    monkeypatch.setattr(extract, "RANGE", 16)
+    monkeypatch.setattr(extract, "WHOLE", 12)
+    rnd = random.Random(5)
+    rows = [(f"c-{i:03d}", f"doc:{i}", o, rnd.choice("abc"), ["p"], [f"t{i % 3}"]) for i in range(150) for o in range(1)]
+    concepts = spark.createDataFrame(rows, "id string, document_id string, ordinal int, domain string, phrases array<string>, terms array<string>").repartition(5)
+    assert extract.ranged(concepts).select("range").distinct().count() > 4
+    got = {}
+    for r in extract.capped_pairs(concepts, 20).collect():
+        got.setdefault(r["phrase"], set()).add((r["left_id"], r["right_id"]))
+    rows.sort(key=lambda r: f"{r[1]}|")
+    for p in ("p", "t0", "t1", "t2"):
+        own = [r for r in rows if p in r[4] + r[5]]
+        assert got[p] == {(own[i][0], own[j][0]) for i, j in capped_model(range(len(own)), [r[3] for r in own], 20)}
+
+
+def test_capped_phrase_edges_reads_documents_once(spark, tmp_path):
+    """Concepts are extracted once and kept, so the edges no longer follow from the documents."""
+    rows = [(i, f"Alpha beta gamma {i}. The token requires alpha beta gamma. Delta epsilon.", "en", f"s{i % 3}", 60) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.capped_phrase_edges(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in found.inputFiles())
+    assert {"portal", "depends_on"} <= {r["edge_type"] for r in found.collect()}
