@@ -475,3 +475,21 @@ def test_capped_phrase_edges_reads_documents_once(spark, tmp_path):
     found = catalogue.capped_phrase_edges(spark, str(tmp_path))
     assert not any("documents.parquet" in f for f in found.inputFiles())
     assert {"portal", "depends_on"} <= {r["edge_type"] for r in found.collect()}
+
+
+@pytest.mark.parametrize("kind", ["torus", "euclidean", "random"])
+def test_layout_probe_in_blocks(spark, monkeypatch, kind):
+    """Tasks keep the first places, ties by id, places that are missing last; the pairs themselves are not sorted."""
+    monkeypatch.setattr(rank, "PROBE_NODES", 7)
+    monkeypatch.setattr(rank, "PROBE_QUERIES", 2)
+    rnd = random.Random(3)
+    spots = [(rnd.choice([0.0, 0.1, 6.2, 3.1]), rnd.uniform(0, 6.28)) for _ in range(20)] + [(1.0, 1.0)] * 12 + [(None, 2.0)] * 3
+    nodes = spark.createDataFrame([(f"n{i}", *p) for i, p in enumerate(spots)], "node_id string, theta double, phi double").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", f"n{i}") for i in (0, 5, 19, 25, 34)], "query_id string, seed_id string")
+    found = rank.layout_probe(asked, nodes, kind, 6)
+    assert "BatchEvalPython" not in (plan := found._jdf.queryExecution().simpleString()) and plan.count("MapInArrow") and plan.index("Window") < plan.index("MapInArrow")
+    seed = nodes.toDF("seed_id", "a", "b")
+    place = (F.col("a"), F.col("b"), F.col("theta"), F.col("phi"))
+    score = {"torus": 0.0 - geometry.torus_distance(*place), "euclidean": 0.0 - geometry.flat_distance(*place), "random": geometry.random_score(F.col("query_id"), F.col("node_id"))}[kind]
+    want = rank.top(asked.join(seed, "seed_id").crossJoin(nodes).select("query_id", "node_id", score.alias("score")), 6)
+    assert sorted(map(str, found.select("query_id", "node_id", "score", "rank").collect())) == sorted(map(str, want.select("query_id", "node_id", "score", "rank").collect()))
