@@ -493,3 +493,24 @@ def test_layout_probe_in_blocks(spark, monkeypatch, kind):
     score = {"torus": 0.0 - geometry.torus_distance(*place), "euclidean": 0.0 - geometry.flat_distance(*place), "random": geometry.random_score(F.col("query_id"), F.col("node_id"))}[kind]
     want = rank.top(asked.join(seed, "seed_id").crossJoin(nodes).select("query_id", "node_id", score.alias("score")), 6)
     assert sorted(map(str, found.select("query_id", "node_id", "score", "rank").collect())) == sorted(map(str, want.select("query_id", "node_id", "score", "rank").collect()))
+
+
+def test_scores_are_added_up_where_items_lie(spark):
+    """BM25 moves postings by item and no pair of a query and an item."""
+    items = spark.createDataFrame([(f"n{i}", f"alpha beta{i % 3} gamma{i % 5}") for i in range(40)], "node_id string, body string")
+    asked = spark.createDataFrame([(f"q{i}", f"alpha beta{i} gamma{i}") for i in range(3)], "query_id string, query string")
+    found = rank.bm25(items, asked)
+    assert found.count() == 120
+    assert not re.search(r"hashpartitioning\(query_id#\d+, node_id", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_agentic_reads_nodes_of_its_edges_only(spark):
+    """What a search does not meet is left out before the nodes are dealt out for a join; the result is that of all nodes."""
+    nodes = spark.createDataFrame([(f"n{i}", f"alpha beta{i}") for i in range(50)], "id string, text string").withColumn("label", F.lit(""))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "portal" if i % 4 == 0 else "related_to", 0.6) for i in range(49)], "source string, target string, edge_type string, weight double")
+    asked = spark.createDataFrame([("q", "alpha beta12 beta9")], "query_id string, query string")
+    seeds = spark.createDataFrame([("q", "n10", 1.0, 1)], "query_id string, node_id string, score double, rank int")
+    found = traverse.agentic(asked, seeds, nodes, edges)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["node_id"] for r in found.where("kind = 'visit'").orderBy("rank").collect()] == ["n10", "n11", "n12", "n8", "n9"]
+    assert [r["node_id"] for r in traverse.agentic(asked, seeds, nodes, edges, TraversalPolicy(max_hops=0)).where("kind = 'visit'").collect()] == ["n10"]
