@@ -514,3 +514,26 @@ def test_agentic_reads_nodes_of_its_edges_only(spark):
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r["node_id"] for r in found.where("kind = 'visit'").orderBy("rank").collect()] == ["n10", "n11", "n12", "n8", "n9"]
     assert [r["node_id"] for r in traverse.agentic(asked, seeds, nodes, edges, TraversalPolicy(max_hops=0)).where("kind = 'visit'").collect()] == ["n10"]
+
+
+def test_strategies_share_their_searches(spark):
+    """Strategies take their nearest nodes from one search and their BM25 scores from one pass."""
+    asked = []
+
+    class Fake:
+        def search(self, rows, k):
+            asked.append(k)
+            return spark.createDataFrame([("q", f"n{i}", 1.0 / i, i) for i in range(1, k + 1)], "query_id string, node_id string, score double, rank int")
+
+        def lexical(self, rows):
+            asked.append("bm25")
+            return spark.createDataFrame([("q", "n1", 1.0)], "query_id string, node_id string, score double")
+
+        def asked(self, rows):
+            return rows
+
+    fake = Fake()
+    fake.nearest = fake
+    c = strategies.Context(fake, spark.createDataFrame([("q", "alpha")], "query_id string, query string"), TraversalPolicy(), 5)
+    assert [c.dense(5).count(), c.dense(2).count(), c.dense(12).count(), c.dense(15).count(), c.lexical().count(), c.lexical().count()] == [5, 2, 12, 15, 1, 1]
+    assert asked == [12, 15, "bm25"]
