@@ -537,3 +537,24 @@ def test_strategies_share_their_searches(spark):
     c = strategies.Context(fake, spark.createDataFrame([("q", "alpha")], "query_id string, query string"), TraversalPolicy(), 5)
     assert [c.dense(5).count(), c.dense(2).count(), c.dense(12).count(), c.dense(15).count(), c.lexical().count(), c.lexical().count()] == [5, 2, 12, 15, 1, 1]
     assert asked == [12, 15, "bm25"]
+
+
+def test_pair_counts(spark, monkeypatch):
+    """All pairs as counts, by blocks and tiles of a few concepts, against the pairs one by one."""
+    for name, n in (("PAIR_BLOCK", 20), ("TILE", 7), ("COMMON", 2), ("SHORT", 4), ("RANGE", 16)):
+        monkeypatch.setattr(extract, name, n)
+    rnd = random.Random(8)
+    said = [*(f"word{i}" for i in range(12)), "requires", "resolution", "other", "more"]
+    rows = [(f"c{i:02d}", f"doc:{i // 2}", i % 2, rnd.choice("ab"), " ".join(rnd.choices(said, k=14)), [f"p q{i % 9}"], ["t", *(["u"] if i % 19 == 0 else [])]) for i in range(60)]
+    concepts = spark.createDataFrame(rows, "id string, document_id string, ordinal int, domain string, text string, phrases array<string>, terms array<string>")
+    counts, sources = extract.pair_counts(concepts)
+    want, first = {}, set()
+    rows.sort(key=lambda r: f"{r[1]}|{r[2]:09d}")
+    for a, b in itertools.combinations(rows, 2):
+        for p in set(a[5] + a[6]) & set(b[5] + b[6]):
+            kind = "portal" if a[3] != b[3] else "depends_on" if "requires" in a[4] + b[4] else "supports" if "resolution" in a[4] + b[4] else "related_to"
+            key = (kind, len(p.split(" ")), min(8, len(set(a[4].split()) & set(b[4].split()))))
+            want[key] = want.get(key, 0) + 1
+            first.add((kind, a[0]))
+    assert {(r["edge_type"], r["words"], r["shared"]): r["edges"] for r in counts.collect()} == want
+    assert {(r["edge_type"], r["source"]) for r in sources.collect()} == first
